@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lexiforge.llm import langid
+from lexiforge.llm import decontaminate, langid, merkle, packing, simhash
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (langid,):
+for _module in (simhash, packing, merkle, decontaminate, langid):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
