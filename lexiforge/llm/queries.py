@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lexiforge.llm import decontaminate, langid, merkle, packing, pii, simhash, tokencount, tokenfile
+from lexiforge.llm import decontaminate, langid, merkle, packing, pii, simhash, tokencount, tokenfile, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (simhash, packing, pii, tokencount, tokenfile, merkle, decontaminate, langid):
+for _module in (simhash, packing, pii, tokencount, toxicity, tokenfile, merkle, decontaminate, langid):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
