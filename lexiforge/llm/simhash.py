@@ -36,18 +36,38 @@ def _word_blocks(text: bytes, size: int = _BLOCK) -> Iterator[list[bytes]]:
         at = end
 
 
-def _tally(words: list[bytes], width: int, ones: np.ndarray) -> int:
-    """Add the set bits of every shingle of width words to ones; how many shingles there were."""
+def _hashes(words: list[bytes], width: int) -> np.ndarray:
+    """XXH64 of every shingle of width words, as rows of 8 big-endian bytes."""
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     stop = np.cumsum(size + 1) - 1
     start = (stop - size)[: len(words) - width + 1].tolist()
     digest = xxhash.xxh64_digest
     h = b"".join([digest(joined[a:b], SEED) for a, b in zip(start, stop[width - 1 :].tolist(), strict=True)])
-    each = np.frombuffer(h, dtype=np.uint8).reshape(-1, 8)
-    for lo in range(0, len(each), 8192):
-        ones += np.unpackbits(each[lo : lo + 8192], axis=1).sum(axis=0, dtype=np.int64)
-    return len(each)
+    return np.frombuffer(h, dtype=np.uint8).reshape(-1, 8)
+
+
+def shingle_hashes(text: bytes | None, width: int) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles, repeats included, in runs of about 1 MB of text; of the whole word sequence if it is
+    shorter than width; nothing for a null text or one without words. A-Z are lower-cased first."""
+    tail, found = [], False
+    for words in _word_blocks((text or b"").lower()):
+        tail += words
+        if len(tail) >= width:
+            found = True
+            yield _hashes(tail, width)
+            tail = tail[-(width - 1) :] if width > 1 else []
+    if tail and not found:
+        yield _hashes([b" ".join(tail)], 1)
+
+
+def _bits(runs: list[np.ndarray]) -> int:
+    ones, n = np.zeros(64, dtype=np.int64), 0
+    for run in runs:
+        n += len(run)
+        for lo in range(0, len(run), 8192):
+            ones += np.unpackbits(run[lo : lo + 8192], axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big") if n else 0
 
 
 def fingerprint(text: bytes | None, width: int = 3) -> int:
@@ -55,18 +75,24 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
 
     A-Z are lower-cased, words are runs of bytes other than 0x20 and 0x09-0x0D, shingles are width words joined by a space
     with repeats counted, each hashed by XXH64 with seed 42. A text of fewer words is one shingle; one without words, or a
-    null text, has fingerprint 0. A bit is set if it is set in more than half of the shingles. The text is read in runs of
-    about 1 MB.
+    null text, has fingerprint 0. A bit is set if it is set in more than half of the shingles.
     """
-    ones, n, tail = np.zeros(64, dtype=np.int64), 0, []
-    for words in _word_blocks((text or b"").lower()):
-        tail += words
-        if len(tail) >= width:
-            n += _tally(tail, width, ones)
-            tail = tail[-(width - 1) :] if width > 1 else []
-    if not n and tail:
-        n = _tally([b" ".join(tail)], 1, ones)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big") if n else 0
+    return _bits(list(shingle_hashes(text, width)))
+
+
+def sketch(runs: list[np.ndarray], slots: int) -> np.ndarray:
+    """The least value of the shingle hashes under each of `slots` hash functions (32 bits each); all ones without shingles."""
+    rng = np.random.default_rng(64)
+    mult, plus_ = rng.integers(1, 1 << 32, slots, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, slots, dtype=np.uint32)
+    least = np.full(slots, 0xFFFFFFFF, dtype=np.uint32)
+    for run in runs:
+        h = np.unique(np.ascontiguousarray(run[:, 4:]).view(">u4").ravel().astype(np.uint32))
+        for lo in range(0, len(h), 1024):
+            x = h[lo : lo + 1024, None] * mult + plus_
+            x ^= x >> np.uint32(15)
+            x *= np.uint32(0x2C1B3C6D)
+            least = np.minimum(least, x.min(axis=0))
+    return least
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", *, name: str = "fp", width: int = 3) -> DataFrame:
@@ -211,6 +237,11 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, r
     fps = materialize(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width=width), "fingerprints")
     first = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     links = materialize(linked(first.select("fp"), radius), "links")
+    return _grouped(fps, first, links)
+
+
+def _grouped(fps: DataFrame, first: DataFrame, links: DataFrame) -> DataFrame:
+    """component_id of every row (doc_id, fp), from the links between fingerprints and the smallest id of each of them."""
     groups = connected_components(links)
     named = first.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = materialize(named.groupBy("component").agg(F.min("first").alias("component_id")), "least")
@@ -218,19 +249,86 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, r
     return fps.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, *, radius: int = 3, width: int = 5) -> DataFrame:
-    """The pipeline's filter: one document of each group of near copies, with the columns of docs.
+def _with_sketch(docs: DataFrame, width: int, slots: int, shards: int) -> DataFrame:
+    """Of rows (text, doc_id): doc_id, fp, one byte of each of the sketch's minima, and the minima that name its shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prints, bytes_, names = [], [], []
+            for text in b.column(0).to_pylist():
+                runs = list(shingle_hashes(text, width))
+                least = sketch(runs, slots + shards)
+                prints.append(_bits(runs))
+                bytes_.append((least[:slots] & 0xFF).astype(np.uint8).tobytes())
+                names.append(least[slots:].astype(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(1), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.array(bytes_, pa.binary()), pa.array(names, pa.list_(pa.int64()))], ["doc_id", "fp", "sketch", "shards"]
+            )
+
+    rows = docs.select(F.col("text").cast("binary").alias("text"), "doc_id")
+    return rows.mapInArrow(run, plus(docs.select("doc_id"), {"fp": "bigint", "sketch": "binary", "shards": "array<bigint>"}))
+
+
+def _link_like(radius: int, least: float, slots: int, block: int = 256):
+    """As _link, but of the tree's hits only those stay whose sketches agree in a share of their slots of least or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for tree_fp, tree_sk, asked_fp, asked_sk in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                fps, at = np.unique(np.array(tree_fp, dtype=np.int64).view(np.uint64), return_index=True)
+                own = np.frombuffer(b"".join(tree_sk), dtype=np.uint8).reshape(-1, slots)[at]
+                tree, asked = BKTree(fps), np.array(asked_fp, dtype=np.int64).view(np.uint64)
+                theirs = np.frombuffer(b"".join(asked_sk), dtype=np.uint8).reshape(-1, slots)
+                for lo in range(0, len(asked), block):
+                    q, n = tree.within(asked[lo : lo + block], radius)
+                    same = np.concatenate([(theirs[lo + q[i : i + 4096]] == own[n[i : i + 4096]]).sum(axis=1) for i in range(0, len(q), 4096)] or [np.zeros(0)])
+                    # a byte of different minima agrees once in 256 times
+                    ok = (same / slots - 1 / 256) / (1 - 1 / 256) >= least
+                    out += _forest(asked[lo : lo + block][q[ok]].view(np.int64), fps[n[ok]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def near_copies(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, width: int = 5, least: float = 0.8, radius: int = 18, slots: int = 256, shards: int = 5, tree_size: int = 1024
+) -> DataFrame:
+    """Rows (doc_id, fp, component_id): groups of texts whose sets of width-word shingles have a Jaccard similarity of least.
+
+    At that similarity SimHashes differ in up to about radius bits of 64, too many to be found by bits alone. So the shards
+    are named by the text's least shingle under `shards` hash functions: two texts of similarity s miss each other with
+    probability (1 - s) ** shards. In a shard the BK-tree finds the fingerprints within the radius, and a sketch of `slots`
+    minima, one byte each, gives their similarity to about 0.025. Shards are cut into trees of tree_size as in linked.
+    Equal fingerprints are one node. Nulls, repeats and empty tables are treated as in components.
+    """
+    base = docs.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id"))
+    rows = materialize(_with_sketch(base, width, slots, shards), "sketches")
+    first = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(F.struct("sketch", "shards")).alias("s")), "distinct")
+    named = first.select("fp", F.col("s.sketch").alias("sketch"), F.posexplode("s.shards").alias("pair", "at"))
+    full = materialize(named.groupBy("pair", "at").agg(F.count("*").alias("n")).where("n > 1"), "shards")
+    members = named.join(full, ["pair", "at"]).withColumn("cuts", F.ceil(F.col("n") / tree_size).cast("int"))
+    members = members.withColumn("part", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("cuts")).cast("int"))
+    trees = materialize(members.groupBy("pair", "at", "part").agg(F.collect_list(F.struct("fp", "sketch")).alias("m"), F.first("cuts").alias("cuts")), "trees")
+    alone = trees.select(F.col("m").alias("t"), F.col("m").alias("q"))
+    many = trees.where("cuts > 1")
+    across = many.join(many.select("pair", "at", F.col("part").alias("to"), F.col("m").alias("q")), ["pair", "at"]).where("part < to").select(F.col("m").alias("t"), "q")
+    asked = alone.unionByName(across).select(F.col("t.fp").alias("t_fp"), F.col("t.sketch").alias("t_sk"), F.col("q.fp").alias("q_fp"), F.col("q.sketch").alias("q_sk"))
+    links = materialize(asked.mapInArrow(_link_like(radius, least, slots), "a bigint, b bigint").distinct(), "links")
+    return _grouped(rows.select("doc_id", "fp"), first.select("fp", "first"), links)
+
+
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The pipeline's filter: one document of each group of near copies (see near_copies), with the columns of docs.
 
-    Kept is the row with the smallest doc_id of its component; rows of that id that repeat it are one document, of which one
-    row stays. Rows with a null id stay only if no row of their component has an id, one for each component.
+    The one that stays is the row with the group's smallest doc_id; of several rows with that id one stays. A group in which
+    no row has an id leaves nothing to name it by: its rows all stay.
     """
-    spark_id = free_name(docs, "row_key")
-    keyed = docs.withColumn(spark_id, F.xxhash64(*[F.col(c) for c in docs.columns]))
-    found = components(keyed.select("doc_id", "text"), radius=radius, width=width)
-    keep = found.where("doc_id <=> component_id").groupBy("doc_id", "fp").count().groupBy("doc_id").agg(F.min("fp").alias("fp"))
-    keep = materialize(keep.select(F.col("doc_id").alias("kept_id")), "kept")
-    rows = keyed.join(keep, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return rows.dropDuplicates(["doc_id"]).select(*docs.columns)
+    found = near_copies(docs, text, doc_id)
+    keep = materialize(found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
+    rows = docs.join(keep, docs[doc_id] == keep["kept_id"], "left_semi").dropDuplicates([doc_id])
+    nameless = found.where("doc_id is null and component_id is null").isEmpty()
+    return rows if nameless else rows.unionByName(docs.where(F.col(doc_id).isNull()))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
