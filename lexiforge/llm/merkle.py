@@ -108,7 +108,8 @@ def with_neighbours(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
-    rows = rows.select("doc_id", "text", key.alias("k"), F.xxhash64("text", F.col("doc_id").isNull()).alias("h"))
+    # both sides of the last join start from these three columns dealt out by k and h: Spark moves the texts once for both
+    rows = rows.select(key.alias("k"), F.xxhash64("text", F.col("doc_id").isNull()).alias("h"), "text")
     ids = rows.select("k", "h", F.length("text").alias("n")).distinct()
     ids = materialize(ids.repartitionByRange("k", "h").withColumn("part", F.spark_partition_id()), "order")
     me = F.struct("k", "h", "n")
@@ -124,10 +125,11 @@ def with_neighbours(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     inside = W.partitionBy("part").orderBy("k", "h")
     order = ids.join(F.broadcast(ends), "part").select("k", "h", F.coalesce(F.lag(me).over(inside), "before").alias("p"))  # one row a partition
     order = materialize(order.select("k", "h", F.col("p.k").alias("pk"), F.col("p.h").alias("ph"), F.floor(F.col("p.n") / 4).cast("int").alias("take")), "previous")
-    mine = rows.join(order, ["k", "h"]).withColumn("copy", F.row_number().over(W.partitionBy("k", "h").orderBy("k"))).where("copy = 1")
+    mine = rows.repartition("k", "h").join(order, ["k", "h"]).withColumn("copy", F.row_number().over(W.partitionBy("k", "h").orderBy("k"))).where("copy = 1")
     printed = mine.withColumn("fingerprint", fingerprint(F.col("text")))
     sent = printed.select(F.col("pk").alias("k"), F.col("ph").alias("h"), F.expr("substring(text, 1, take)").alias("patch"), F.col("fingerprint").alias("next_fingerprint"))
-    return printed.join(sent, ["k", "h"]).select("doc_id", "text", "fingerprint", "patch", "next_fingerprint")
+    id_ = F.when(F.col("k") != -(1 << 63), F.col("k")).cast(docs.schema[doc_id].dataType)
+    return printed.join(sent, ["k", "h"]).select(id_.alias("doc_id"), "text", "fingerprint", "patch", "next_fingerprint")
 
 
 def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
