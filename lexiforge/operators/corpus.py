@@ -148,6 +148,8 @@ def exact_parts(text: str, budget: int, overlap: int = 1) -> list[tuple[str, int
         if j >= len(spans):
             break
         i = max(j - overlap, i + 1)
+        while i < j and _tokens(text[spans[i][0] : spans[j][1]]) > budget:  # no room for the overlap beside the next sentence
+            i += 1
     return out
 
 

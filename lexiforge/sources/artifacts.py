@@ -31,7 +31,8 @@ def decode_text(content: Column) -> Column:
 
 
 def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each file: path, name, bytes, sha256, media type, source type, text of text files, and an issue code."""
+    """One row for each file that is not empty (Spark's file source passes over empty ones): path, name, bytes, sha256, media
+    type, source type, text of text files, and an issue code."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     name = F.element_at(F.split("path", "/"), -1)
     suffix = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
@@ -40,7 +41,7 @@ def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
     rows = raw.select("path", "modificationTime", F.col("length").alias("bytes"), "content", name.alias("file_name"), F.sha2("content", 256).alias("sha256"), media.alias("media_type"), text.alias("text"))
     derived = F.when(F.col("text").rlike(r"(?m)^\s*https?://\S+\s*$"), "derived_web_text")
     kind = F.when(F.col("media_type") == "text/html", "webpage").otherwise(F.coalesce(derived, source_kind(F.col("file_name"))))
-    issue = F.when(F.col("bytes") == 0, "EMPTY_FILE").when(F.col("media_type").startswith("text/") & F.col("text").isNull(), "INVALID_ENCODING")
+    issue = F.when(F.col("media_type").startswith("text/") & F.col("text").isNull(), "INVALID_ENCODING")
     return rows.withColumn("source_type", kind).withColumn("issue", issue)
 
 

@@ -83,10 +83,11 @@ def session_counts(events: DataFrame, key: str, ts: str, gap: str, late: str = "
     return s.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n")
 
 
-def session_history(turns: DataFrame, key: str, *, ttl_ms: int = 1_800_000, most: int = 20) -> DataFrame:
+def session_history(turns: DataFrame, key: str, *, ttl_ms: int = 1_800_000, most: int = 20, late: str = "10 minutes") -> DataFrame:
     """Rows (key, ts, history): after each message of a chat its last `most` messages; a chat idle longer than ttl starts anew.
 
-    turns: key, ts (epoch milliseconds), text. State is one bounded list a chat, dropped when its time is out.
+    turns: a stream of key, ts (a timestamp), text. State is one bounded list a chat, dropped once the watermark has passed
+    its time to live, whether or not the chat returns.
     """
     kind = turns.schema[key].dataType.simpleString()
 
@@ -96,16 +97,17 @@ def session_history(turns: DataFrame, key: str, *, ttl_ms: int = 1_800_000, most
             return
         last, held = state.get if state.exists else (0, [])
         held, out = list(held), []
-        for r in pd.concat(list(frames)).sort_values("ts", kind="stable").itertuples():
-            if held and r.ts - last > ttl_ms:
+        for r in pd.concat(list(frames)).sort_values("at", kind="stable").itertuples():
+            if held and r.at - last > ttl_ms:
                 held = []
-            held, last = [*held, r.text][-most:], int(r.ts)
+            held, last = [*held, r.text][-most:], int(r.at)
             out.append((k[0], last, list(held)))
         state.update((last, held))
-        state.setTimeoutDuration(ttl_ms)
+        state.setTimeoutTimestamp(max(last + ttl_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[key, "ts", "history"])
 
-    return turns.select(key, "ts", "text").groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ts bigint, history array<string>", "last bigint, held array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = turns.withWatermark("ts", late).select(key, "ts", F.unix_millis("ts").alias("at"), "text")
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ts bigint, history array<string>", "last bigint, held array<string>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _fold_turn(row: dict | None, e: dict, expiry_ms: int) -> dict | None:
