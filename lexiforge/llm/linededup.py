@@ -209,25 +209,25 @@ def _verify(shape: Shape):
 
 
 def _finer(shape: Shape, level: int):
-    """Rows (key, line) of a key's members under the keys of another level, each within the key it comes from."""
+    """Rows (key, line) of lines under the keys of a level's bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = _keys(batch.column(2).to_pylist(), shape, level)
-            old = batch.column(0).to_numpy().astype(np.int64).view(np.uint64)
-            mixed = (keys.view(np.uint64) ^ (old * np.uint64(0xD6E8FEB86659FD93))[:, None]) * np.uint64(0x9E3779B97F4A7C15)
-            yield pa.RecordBatch.from_arrays([pa.array(mixed.view(np.int64).ravel()), pa.array(np.repeat(batch.column(1).to_numpy(), shape.bands))], ["key", "line"])
+            keys = _keys(batch.column(1).to_pylist(), shape, level)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), shape.bands))], ["key", "line"])
 
     return run
 
 
-def similar_lines(docs: DataFrame, lines: DataFrame, shape: Shape, *, levels: int = 6) -> DataFrame:
+def similar_lines(docs: DataFrame, lines: DataFrame, shape: Shape, *, levels: tuple[tuple[int, int], ...] = ((24, 8), (64, 12))) -> DataFrame:
     """Verified links (a, b) between different lines.
 
     docs has one column, the text. lines has line ids with their band keys. In every bucket each member is compared with the
     bucket's smallest id, so a bucket costs as many rows as it has members, however large it is; true groups of near copies
-    hang together after that. A bucket in which some member is unlike its first one is dealt out again, without it, under
-    finer keys inside the bucket, level by level, until no bucket of three or more is left mixed.
+    hang together after that. Lines that share a bucket of three or more in which some member is unlike its first one, as
+    lines with a common passage do, are banded again: levels has the number of bands and the rows of each further round, so
+    that a round costs a fixed number of rows a line. A pair at the threshold shares a bucket with probability
+    1 - (1 - least ** rows) ** bands: 0.985, 0.988 and 0.99 as set.
     """
     spark = docs.sparkSession
     banded = lines.select("line", F.explode("bands").alias("key"))
@@ -238,7 +238,7 @@ def similar_lines(docs: DataFrame, lines: DataFrame, shape: Shape, *, levels: in
     texts = docs.mapInArrow(_texts(bits)(spark.sparkContext.broadcast(bitmap)), "line bigint, text string").join(wanted, "line", "left_semi").dropDuplicates(["line"])
     texts = materialize(texts, "line-texts")
     links = None
-    for level in range(1, levels + 1):
+    for level in range(len(levels) + 1):
         first = materialize(members.groupBy("key").agg(F.min("line").alias("b"), F.count("*").alias("n")).where("n > 1"), "line-first")
         pairs = materialize(members.join(first, "key").where("line != b").select(F.col("line").alias("a"), "b", "key", "n"), "line-pairs")
         asked = pairs.select("a", "b").distinct()
@@ -247,12 +247,16 @@ def similar_lines(docs: DataFrame, lines: DataFrame, shape: Shape, *, levels: in
         both = asked.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
         found = materialize(both.mapInArrow(_verify(shape), "a bigint, b bigint"), "line-links")
         links = found if links is None else links.unionByName(found)
+        if level == len(levels):
+            break
         unlike = pairs.where("n > 2").join(found, ["a", "b"], "left_anti").select("key").distinct()
-        rest = pairs.join(unlike, "key", "left_semi").select("key", F.col("a").alias("line"))
-        finer = rest.join(texts, "line").select("key", "line", "text").mapInArrow(_finer(shape, level), "key bigint, line bigint")
-        members = materialize(finer.distinct(), "line-members")
-        if members.isEmpty():
+        rest = materialize(pairs.join(unlike, "key", "left_semi").select(F.col("a").alias("line")).distinct(), "line-rest")
+        if rest.isEmpty():
             break
+        finer = Shape(shape.chars, *levels[level], shape.least)
+        members = rest.join(texts, "line").select("line", "text").mapInArrow(_finer(finer, level + 1), "key bigint, line bigint")
+        full = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        members = materialize(members.join(full, "key"), "line-members")
     return links
 
 
