@@ -16,7 +16,7 @@ from lexiforge.llm.common import free_name, table
 from lexiforge.operators.components import connected_components
 from lexiforge.store import materialize
 
-_CHUNK = 1 << 18
+_CHUNK = 1 << 15
 _FILTER_BITS = 1 << 28
 
 
@@ -41,53 +41,66 @@ def line_id(line: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _shingles(text: str, chars: int) -> np.ndarray:
-    """A 64-bit hash of every run of `chars` characters, repeats included; of the whole text if it is shorter."""
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+def _roll(code: np.ndarray, chars: int) -> np.ndarray:
+    """A 64-bit hash of every run of `chars` code points (of all of them if they are fewer)."""
     n = max(1, len(code) - chars + 1)
     h = np.zeros(n, dtype=np.uint64)
     for i in range(min(chars, len(code))):
-        h = h * np.uint64(0x100000001B3) + code[i : i + n]
+        h *= np.uint64(0x100000001B3)
+        h += code[i : i + n]
     h *= np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(31)
-    return h * np.uint64(0xD6E8FEB86659FD93)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+
+
+def _shingles(text: str, chars: int) -> np.ndarray:
+    """A 64-bit hash of every run of `chars` characters, repeats included; of the whole text if it is shorter."""
+    return _roll(_codes(text), chars)
 
 
 def _keys(lines: list[str], shape: Shape, level: int = 0) -> np.ndarray:
     """lines x bands: one key for each band, from minima under independent hash functions; other ones on each level.
 
-    All lines of a run are hashed as one array; the minimum of each line is taken over its stretch of it. A line longer than
-    a run is folded run by run.
+    Lines of at least a shingle are laid end to end, as many as fit a chunk that stays in the processor's cache; all their
+    shingles are hashed at once, and each line's minima are taken over its own stretch, which ends before shingles that
+    reach into the next line. A line longer than a chunk is folded piece by piece, a shorter one than a shingle alone.
     """
     rng = np.random.default_rng(1_000 + level)
     mult = rng.integers(1, 1 << 32, shape.bands * shape.rows, dtype=np.uint32) | np.uint32(1)
-    plus = rng.integers(0, 1 << 32, shape.bands * shape.rows, dtype=np.uint32)
     least = np.full((len(lines), len(mult)), 0xFFFFFFFF, dtype=np.uint32)
-
-    def fold(part: list[np.ndarray], of: list[int]) -> None:
-        h = (np.concatenate(part) >> np.uint64(32)).astype(np.uint32)
-        at = np.concatenate([[0], np.cumsum([len(p) for p in part])[:-1]])
+    room = np.empty(2 * _CHUNK + shape.chars, dtype=np.uint32)
+
+    def fold(parts: list[str], of: list[int]) -> None:
+        h = (_roll(_codes("".join(parts)), shape.chars) >> np.uint64(32)).astype(np.uint32)
+        size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        start = np.cumsum(size) - size
+        stop = np.minimum(start + np.maximum(size - shape.chars + 1, 1), len(h))
+        edges = np.stack([start, stop], axis=1).ravel()
+        edges = edges[:-1] if edges[-1] >= len(h) else edges
+        x = room[: len(h)] if len(h) <= len(room) else np.empty(len(h), dtype=np.uint32)
         for k in range(len(mult)):
-            x = h * mult[k] + plus[k]
-            x ^= x >> np.uint32(15)
-            x *= np.uint32(0x2C1B3C6D)
-            least[of, k] = np.minimum(least[of, k], np.minimum.reduceat(x, at))
+            np.multiply(h, mult[k], out=x)
+            least[of, k] = np.minimum(least[of, k], np.minimum.reduceat(x, edges)[::2])
 
-    part, of, size = [], [], 0
+    parts, of, size = [], [], 0
     for i, line in enumerate(lines):
-        for lo in range(0, max(1, len(line) - shape.chars + 1), _CHUNK):
-            piece = _shingles(line[lo : lo + _CHUNK + shape.chars - 1], shape.chars)
-            if of and of[-1] == i:  # a long line's further run
-                fold(part, of)
-                part, of, size = [], [], 0
-            part.append(piece)
-            of.append(i)
-            size += len(piece)
-            if size >= _CHUNK:
-                fold(part, of)
-                part, of, size = [], [], 0
-    if part:
-        fold(part, of)
+        if len(line) < shape.chars or len(line) > _CHUNK:
+            for lo in range(0, max(1, len(line) - shape.chars + 1), _CHUNK):
+                fold([line[lo : lo + _CHUNK + shape.chars - 1]], [i])
+            continue
+        parts.append(line)
+        of.append(i)
+        size += len(line)
+        if size >= _CHUNK:
+            fold(parts, of)
+            parts, of, size = [], [], 0
+    if parts:
+        fold(parts, of)
     out = np.zeros((len(lines), shape.bands), dtype=np.uint64)
     for b in range(shape.bands):
         key = np.full(len(lines), b + 1 + 1000 * level, dtype=np.uint64)
@@ -200,7 +213,6 @@ def _verify(shape: Shape):
             keep = []
             a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
             for i in range(batch.num_rows):
-                short, long = sorted((len(ta[i]), len(tb[i])))
                 x, y = of(b[i], tb[i]), np.unique(_shingles(ta[i], shape.chars))
                 keep.append(min(len(x), len(y)) >= shape.least * max(len(x), len(y)) and jaccard(x, y) >= shape.least)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -232,10 +244,10 @@ def similar_lines(docs: DataFrame, lines: DataFrame, shape: Shape, *, levels: tu
     spark = docs.sparkSession
     banded = lines.select("line", F.explode("bands").alias("key"))
     full = materialize(banded.groupBy("key").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo < hi").select("key"), "line-buckets")
-    members = materialize(banded.join(full, "key").select("key", "line").distinct(), "line-members")
+    members = materialize(banded.join(full.hint("shuffle_hash"), "key").select("key", "line").distinct(), "line-members")
     wanted = materialize(members.select("line").distinct(), "lines-wanted")
     bits, bitmap = _filter_of(wanted)
-    texts = docs.mapInArrow(_texts(bits)(spark.sparkContext.broadcast(bitmap)), "line bigint, text string").join(wanted, "line", "left_semi").dropDuplicates(["line"])
+    texts = docs.mapInArrow(_texts(bits)(spark.sparkContext.broadcast(bitmap)), "line bigint, text string").dropDuplicates(["line"]).join(wanted, "line", "left_semi")
     texts = materialize(texts, "line-texts")
     links = None
     for level in range(len(levels) + 1):
@@ -275,19 +287,22 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *,
     lines = materialize(rows.mapInArrow(_sketch(shape), "doc_id bigint, h bigint, line_no int, line bigint, bands array<bigint>"), "lines")
     links = similar_lines(rows.select("text"), lines.select("line", "bands"), shape)
     groups = connected_components(links)
-    place = F.struct("doc_id", "h", "line_no")
-    seen = materialize(lines.groupBy("line").agg(F.min(place).alias("first"), F.max(place).alias("last")), "line-seen")
-    grouped = seen.join(groups.withColumnRenamed("node", "line"), "line", "left")
     # only lines that stand more than once, alone or through their group, matter from here on
-    busy = grouped.where("component is not null or first != last").withColumn("component", F.coalesce("component", "line"))
-    kept = materialize(busy.groupBy("component").agg(F.min("first").alias("keep")), "line-kept")
-    fate = materialize(busy.select("line", "component").join(kept, "component").select("line", "keep"), "line-fate")
-    gone = lines.select("doc_id", "h", "line_no", "line").join(fate, "line").where(place != F.col("keep"))
-    gone = materialize(gone.groupBy(F.col("doc_id").alias(key), F.col("h").alias(hash_)).agg(F.collect_set("line_no").alias("gone")), "line-gone")
+    repeated = lines.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line")
+    busy = repeated.join(groups.withColumnRenamed("node", "line"), "line", "full_outer").select("line", F.coalesce("component", "line").alias("component"))
+    busy = materialize(busy, "line-busy")
+    place = F.struct("doc_id", "h", "line_no")
+    rows = lines.select("doc_id", "h", "line_no", "line").join(busy.hint("shuffle_hash"), "line").select("component", place.alias("place"))
+    rows = materialize(rows, "line-places")
+    kept = materialize(rows.groupBy("component").agg(F.min("place").alias("keep")), "line-kept")
+    gone = rows.join(kept, "component").where(F.col("place") != F.col("keep"))
+    gone = materialize(gone.groupBy(F.col("place.doc_id").alias(key), F.col("place.h").alias(hash_)).agg(F.collect_set("place.line_no").alias("gone")), "line-gone")
     at = F.split(F.col(text), "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(at) - 1), F.col("gone"))
-    new = F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda i: F.element_at(at, i + 1)), "\n"))
-    out = keyed.join(gone, [key, hash_], "left")
+    # the lines are split once and then picked by place
+    picked = F.transform(F.array(F.struct(at.alias("at"), left.alias("left"))), lambda s: F.array_join(F.transform(s["left"], lambda i: F.element_at(s["at"], i + 1)), "\n"))
+    new = F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.element_at(picked, 1))
+    out = keyed.join(gone.hint("shuffle_hash"), [key, hash_], "left")
     more = [F.coalesce(F.size("gone"), F.lit(0)).alias(removed)] if removed else []
     return out.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns], *more)
 
