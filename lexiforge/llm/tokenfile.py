@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import uuid
+from array import array
 from collections.abc import Iterator
+from itertools import filterfalse
 from urllib.parse import urlsplit
 from zlib import crc32
 
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from lexiforge.llm.common import table
 from lexiforge.store import materialize, shared_dir
 
-_CACHED = 400_000
+_CACHED = 600_000
 _PUNCTUATION = ".,!?;:"
 
 
@@ -47,42 +49,57 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype(kind)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.marks = dict(zip(_PUNCTUATION, self._encode(list(_PUNCTUATION)), strict=True))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        code = {2: "H", 4: "I"}[self.kind.itemsize]
+        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _pieces(self, text: str) -> list[str] | None:
-        if "<|" in text or not text or text[0].isspace() or text[-1].isspace():
+        """The text cut before every single space and line break: words[1:] each stand after a space, which is left out, but
+        those that begin with their line break. None if the text must be encoded whole."""
+        flat = text.replace("\n", " ")
+        if not text or flat[0] == " " or flat[-1] == " " or "  " in flat or "<|" in text or not flat.isprintable():
             return None
-        out: list[str] = []
-        for n, line in enumerate(text.split("\n")):
-            words = line.split(" ")
-            if n:
-                out.append("\n")
-            out.append(words[0])
-            out += [" " + w for w in words[1:]]
-        # every piece must be a line break or [one space and] something without other white space
-        return None if "" in out or " " in out or len(text.split()) != len(out) - text.count("\n") else out
-
-    def _learn(self, pieces: set[str]) -> None:
+        return text.replace("\n", " \n").split(" ")
+
+    @staticmethod
+    def _spelled(piece: str) -> str:
+        return piece if piece[0] == "\n" else " " + piece
+
+    def _learn(self, new: set[str]) -> None:
         """Encode pieces not known yet, a trailing mark apart: it is a pre-token of its own after a letter."""
-        split = {}
-        for p in pieces:
-            if len(p) > 2 and p[-1] in _PUNCTUATION and p[-2].isalpha():
-                split[p] = (p[:-1], p[-1])
-        new = list({q for p in pieces for q in split.get(p, (p,))} - self.known.keys())
-        self.known.update(zip(new, self._encode(new), strict=True))
-        self.known.update({p: self.known[a] + self.known[b] for p, (a, b) in split.items()})
+        split = {p: (p[:-1], p[-1]) for p in new if len(p) > 2 and p[-1] in _PUNCTUATION and p[-2].isalpha()}
+        new = (new - split.keys()) | {a for a, _ in split.values() if a not in self.known}
+        old = new & self.older.keys()
+        self.known.update({p: self.older[p] for p in old})
+        todo = list(new - old)
+        self.known.update(zip(todo, self._encode([self._spelled(p) for p in todo]), strict=True))
+        self.known.update({p: self.known[a] + self.marks[m] for p, (a, m) in split.items()})
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > _CACHED:
-            self.known.clear()
+        if len(self.known) > _CACHED:  # what is used again soon moves over, the rest is forgotten
+            self.older, self.known = self.known, {}
         cut = [self._pieces(t) for t in texts]
-        new = {p for pieces in cut if pieces for p in pieces} - self.known.keys()
+        known = self.known
+        new: set[str] = set()
+        for pieces in cut:
+            if pieces:
+                new.update(filterfalse(known.__contains__, pieces[1:]))
         self._learn(new)
-        whole = [t for t, pieces in zip(texts, cut, strict=True) if pieces is None]
-        rest = iter(self._encode(whole))
-        return [next(rest) if pieces is None else b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
+        whole = [t if pieces is None else pieces[0] for t, pieces in zip(texts, cut, strict=True)]
+        return [head if not pieces else head + b"".join(map(known.__getitem__, pieces[1:])) for head, pieces in zip(self._encode(whole), cut, strict=True)]
+
+
+_encoders: dict[tuple[str, str], Encoder] = {}
+
+
+def _encoder(path: str, kind: str) -> Encoder:
+    """The encoder of this worker process, so that later tasks find its pieces."""
+    if (path, kind) not in _encoders:
+        _encoders[path, kind] = Encoder(path, kind)
+    return _encoders[path, kind]
 
 
 class _Writer:
@@ -149,7 +166,7 @@ def write(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encoder, writer, uri = Encoder(tokenizer, kind), None, f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.arrows"
+        encoder, writer, uri = _encoder(tokenizer, kind), None, f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.arrows"
         end = np.array([end_id], dtype=kind).tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
