@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 from math import ceil
 
 import numpy as np
@@ -64,6 +65,22 @@ def _seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
+def _share(least_share: float) -> Fraction:
+    return Fraction(least_share).limit_denominator(10_000)
+
+
+def longest_stretch(same: np.ndarray, share: Fraction) -> tuple[int, int]:
+    """Start and stop of the longest stretch of which a share of `share` or more is true; the first of several.
+
+    For every stop the start is the first place whose prefix sum is not greater: the sums' running minimum never rises, so
+    that place is found by bisection.
+    """
+    total = np.concatenate([[0], np.cumsum(np.where(same, share.denominator - share.numerator, -share.numerator))])
+    start = np.searchsorted(-np.minimum.accumulate(total), -total, "left")
+    stop = int(np.argmax(np.arange(len(total)) - start))
+    return int(start[stop]), stop
+
+
 @dataclass(frozen=True)
 class Seeds:
     """One block of the benchmark: its items' word hashes, and for each mask the sorted seed hashes with item and place.
@@ -113,22 +130,23 @@ class Seeds:
     def overlaps(self, words: np.ndarray, least_words: int, least_share: float) -> Iterator[tuple[object, int, int, int]]:
         """The best overlap with each item: (item id, first word in the document, words, words that agree).
 
-        Along a hit's diagonal an overlap is the stretch with the highest score, where a word that agrees counts 1 and one
-        that doesn't counts against it so that stretches of least_share agreement score 0. It must have least_words words,
-        or the whole item if that is shorter.
+        Along a hit's diagonal an overlap is the longest stretch of which a share of least_share or more agrees: a word that
+        agrees counts 1 - least_share and one that doesn't counts -least_share, in whole numbers, and the stretch's sum must
+        not be negative. It must have least_words words, or the whole item if that is shorter. Of an item's diagonals the one
+        with most words that agree is given.
         """
         best: dict[int, tuple[int, int, int]] = {}
-        cost = least_share / (1 - least_share) if least_share < 1 else np.inf
+        share = _share(least_share)
         for item, shift in self.diagonals(words):
             mine = self.words[item]
             lo, hi = max(0, -shift), min(len(mine), len(words) - shift)
+            least = min(least_words, len(mine))
+            if hi - lo < max(least, 1):
+                continue
             same = mine[lo:hi] == words[lo + shift : hi + shift]
-            total = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -min(cost, 1e9)))])
-            floor = np.minimum.accumulate(total)
-            stop = int(np.argmax(total - floor))
-            start = int(np.argmin(total[: stop + 1]))
+            start, stop = longest_stretch(same, share)
             n = stop - start
-            if n >= min(least_words, len(mine)) and n:
+            if n >= least and n:
                 got = (int(same[start:stop].sum()), n, -(lo + shift + start))
                 best[item] = max(best.get(item, got), got)
         for item, (agree, n, at) in sorted(best.items()):

@@ -3,6 +3,7 @@
 import random
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -429,6 +430,26 @@ def test_decontamination(spark, empty):
     assert decontaminate.matches(df, bench.limit(0)).count() == 0 and decontaminate.keep_clean(empty, bench).count() == 0
 
 
+def test_longest_stretch_equals_brute_force():
+    rng = random.Random(31)
+    for share in (Fraction(4, 5), Fraction(2, 3), Fraction(1)):
+        for _ in range(300):
+            same = np.array([rng.random() < rng.choice((0.5, 0.8, 0.95)) for _ in range(rng.randint(0, 45))], dtype=bool)
+            brute = max(b - a for a in range(len(same) + 1) for b in range(a, len(same) + 1) if same[a:b].sum() >= share * (b - a))
+            a, b = decontaminate.longest_stretch(same, share)
+            assert b - a == brute and same[a:b].sum() >= share * (b - a)
+
+
+@pytest.mark.parametrize("changed", [(6, 9, 14, 19), (4, 9, 14, 17), (2, 5, 8, 11, 14)])
+def test_overlap_of_exactly_the_share_is_found(monkeypatch, changed):
+    item = words(random.Random(32), 20).split()
+    doc = ["before", *(f"other{i}" if i in changed else w for i, w in enumerate(item)), "after"]
+    monkeypatch.setattr(decontaminate.Seeds, "diagonals", lambda *_: {(0, 1), (0, -1)})
+    hashes = decontaminate.word_hashes(" ".join(doc), decontaminate._Hashes())
+    got = list(decontaminate.Seeds.of([(0, " ".join(item))]).overlaps(hashes, 20, 0.8))
+    assert got == ([(0, 1, 20, 16)] if len(changed) == 4 else [])  # 16 of 20 words are four fifths, 15 are not
+
+
 def test_benchmark_blocks_cover_it(spark):
     bench = spark.createDataFrame([(k, words(random.Random(k), 30)) for k in range(20)], "item_id bigint, text string")
     parts = list(decontaminate.blocks(bench, max_words=100))
