@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
+from itertools import combinations
 from math import ceil
 
 import numpy as np
@@ -17,8 +18,10 @@ from pyspark.sql.types import IntegerType, LongType, StructType
 
 from lexiforge.llm.common import table
 
-#: Fixed seeds: 1 is a word that is hashed, 0 one that is ignored.
-MASKS = ("110101100101", "111001010011", "101100110011")
+#: Fixed seeds: 1 is a word that is hashed, 0 one that is ignored. Every stretch of ten words or more of which four fifths
+#: agree leaves at least one of them untouched at some place (enumerated in the tests).
+MASKS = ("111011", "101000111", "1111001")
+_WORDS, _SHARE = 10, Fraction(4, 5)  # what MASKS are complete for
 _WORD = re.compile(r"\w+")
 _BLOCK = 1 << 20
 _TABLE_BITS = 20
@@ -81,11 +84,33 @@ def longest_stretch(same: np.ndarray, share: Fraction) -> tuple[int, int]:
     return int(start[stop]), stop
 
 
+def masks_for(n: int, share: Fraction, *, whole: bool = False) -> list[str]:
+    """Masks one of which is left untouched by every stretch of n words or more (of n words alone if whole) that agrees in share.
+
+    A stretch of 2n words or more has a part of n or more that agrees as well, so shorter ones are enough. n words of which e
+    differ are cut into e + 2 pieces: two pieces are untouched, and each pair of pieces is a mask.
+    """
+    if not whole and n >= _WORDS and share >= _SHARE:
+        return list(MASKS)
+    out, least = set(), -1
+    for size in range(n, n + 1 if whole else 2 * n):
+        differ = size - ceil(size * share)
+        if differ == least:  # holds a stretch of one word less with as many differing words
+            continue
+        least = differ
+        pieces = min(size, differ + 2)
+        cuts = [size * i // pieces for i in range(pieces + 1)]
+        for on in combinations(range(pieces), max(1, pieces - differ)):
+            out.add("".join(("1" if i in on else "0") * (cuts[i + 1] - cuts[i]) for i in range(pieces)).strip("0"))
+    return sorted(out)
+
+
 @dataclass(frozen=True)
 class Seeds:
     """One block of the benchmark: its items' word hashes, and for each mask the sorted seed hashes with item and place.
 
-    Items too short for the masks are found by a solid mask of their own length.
+    The masks are complete: an overlap of least_words words or more, or of a whole shorter item, of which least_share agree
+    has a seed. Shorter items have masks for their own length.
     """
 
     ids: list
@@ -93,15 +118,16 @@ class Seeds:
     masks: list[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
     @staticmethod
-    def of(items: list[tuple[object, str]], masks: tuple[str, ...] = MASKS) -> Seeds:
-        known = _Hashes()
+    def of(items: list[tuple[object, str]], least_words: int = 10, least_share: float = 0.8) -> Seeds:
+        known, share = _Hashes(), _share(least_share)
         pairs = [(i, w) for i, t in items if len(w := word_hashes(t, known))]
-        span = max(map(len, masks))
+        least = max(1, least_words)
+        users: dict[str, list[int]] = {}
+        for n in sorted({min(len(w), least) for _, w in pairs}):
+            for mask in masks_for(n, share, whole=n < least and not (n >= _WORDS and share >= _SHARE)):
+                users.setdefault(mask, []).extend(k for k, (_, w) in enumerate(pairs) if min(len(w), least) == n)
         out = []
-        for mask in [*masks, *("1" * n for n in sorted({len(w) for _, w in pairs if len(w) < span}))]:
-            chosen = [k for k, (_, w) in enumerate(pairs) if (len(w) >= span) == (mask in masks) and (mask in masks or len(w) == len(mask))]
-            if not chosen:
-                continue
+        for mask, chosen in users.items():
             hashes = [_seed_hashes(pairs[k][1], mask) for k in chosen]
             item = np.concatenate([np.full(len(h), k, dtype=np.int32) for k, h in zip(chosen, hashes, strict=True)])
             place = np.concatenate([np.arange(len(h), dtype=np.int32) for h in hashes])
@@ -153,14 +179,14 @@ class Seeds:
             yield self.ids[item], -at, n, agree
 
 
-def blocks(benchmark: DataFrame, text: str = "text", item_id: str = "item_id", *, max_words: int = 1_000_000) -> Iterator[Seeds]:
+def blocks(benchmark: DataFrame, text: str = "text", item_id: str = "item_id", *, max_words: int = 1_000_000, least_words: int = 10, least_share: float = 0.8) -> Iterator[Seeds]:
     """The benchmark in blocks of about max_words words, so that what is broadcast is bounded however large it is."""
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where("text is not null")
     words = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     n = max(1, ceil(words / max_words))
     for b in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
-        yield Seeds.of([(r["item_id"], r["text"]) for r in part.collect()])
+        yield Seeds.of([(r["item_id"], r["text"]) for r in part.collect()], least_words, least_share)
 
 
 def matches(
@@ -176,7 +202,7 @@ def matches(
     id_type = benchmark.schema[item_id].dataType
     schema = StructType([rows.schema["doc_id"]]).add("item_id", id_type).add("start_word", LongType()).add("n_words", IntegerType()).add("n_agree", IntegerType())
     out = None
-    for seeds in blocks(benchmark, item_id=item_id):
+    for seeds in blocks(benchmark, item_id=item_id, least_words=least_words, least_share=least_share):
         shared = docs.sparkSession.sparkContext.broadcast(seeds)  # a block of max_words words
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -197,7 +223,7 @@ def matches(
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", *, least_words: int = 10, least_share: float = 0.8) -> DataFrame:
     """The pipeline's filter: rows and columns of docs without an overlap with any benchmark item (rules as in matches)."""
     at = docs.columns.index(text)
-    for seeds in blocks(benchmark, item_id=item_id):
+    for seeds in blocks(benchmark, item_id=item_id, least_words=least_words, least_share=least_share):
         shared = docs.sparkSession.sparkContext.broadcast(seeds)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ import random
 import zlib
 from collections import Counter
 from fractions import Fraction
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -450,6 +451,34 @@ def test_overlap_of_exactly_the_share_is_found(monkeypatch, changed):
     assert got == ([(0, 1, 20, 16)] if len(changed) == 4 else [])  # 16 of 20 words are four fifths, 15 are not
 
 
+def untouched(mask, n, differ):
+    return any(all(c == "0" or o + i not in differ for i, c in enumerate(mask)) for o in range(n - len(mask) + 1))
+
+
+def test_masks_leave_one_untouched_at_every_placement():
+    four_fifths, half = Fraction(4, 5), Fraction(1, 2)
+    assert max(map(len, decontaminate.MASKS)) <= 10 and decontaminate.masks_for(10, four_fifths) == list(decontaminate.MASKS)
+    cases = [(decontaminate.masks_for(10, four_fifths), n, n // 5) for n in range(10, 20)]
+    cases += [(decontaminate.masks_for(n, four_fifths, whole=True), n, n // 5) for n in range(1, 10)]
+    cases += [(decontaminate.masks_for(6, four_fifths), n, n // 5) for n in range(6, 13)] + [(decontaminate.masks_for(4, half), n, n // 2) for n in range(4, 9)]
+    for masks, n, e in cases:
+        assert all(any(untouched(m, n, set(differ)) for m in masks) for differ in combinations(range(n), e))
+
+
+def test_short_overlaps_and_items_have_seeds():
+    rng = random.Random(33)
+    known = decontaminate._Hashes()
+    for n_item, n_copied, n_changed in [(40, 10, 0), (40, 10, 2), (40, 11, 2), (12, 12, 2), (13, 13, 2), (15, 15, 3), (11, 11, 1), (10, 10, 2), (9, 9, 1), (5, 5, 1), (4, 4, 0)]:
+        item = [f"w{i}" for i in range(n_item)]
+        for _ in range(40):
+            at = rng.randint(0, n_item - n_copied)
+            doc, gone = item[at : at + n_copied], rng.sample(range(n_copied), n_changed)
+            for i in gone:
+                doc[i] = f"other{i}"
+            got = list(decontaminate.Seeds.of([(7, " ".join(item))]).overlaps(decontaminate.word_hashes(" ".join(doc), known), 10, 0.8))
+            assert got == [(7, 0, n_copied, n_copied - n_changed)]
+
+
 def test_benchmark_blocks_cover_it(spark):
     bench = spark.createDataFrame([(k, words(random.Random(k), 30)) for k in range(20)], "item_id bigint, text string")
     parts = list(decontaminate.blocks(bench, max_words=100))
