@@ -395,6 +395,39 @@ def test_line_dedup_equals_brute_force(spark, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def template_lines(rng, n, pairs):
+    """n lines that share a passage, 0.76 alike, and pairs of such lines that are 0.81 to 0.84 alike."""
+    letters = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    passage = letters(200)
+    lines, planted = [passage + letters(30) for _ in range(n)], []
+    for _ in range(pairs):
+        own = letters(9)
+        planted.append((passage + own + letters(21), passage + own + letters(21)))
+    return lines, planted
+
+
+def test_buckets_mixed_in_the_last_round_lose_no_pair(spark):
+    texts, planted = template_lines(random.Random(34), 400, 40)
+    texts += [x for pair in planted for x in pair]
+    shape = linededup.Shape()
+    lines = spark.createDataFrame([(linededup.line_id(x), k.tolist()) for x, k in zip(texts, linededup._keys(texts, shape), strict=True)], "line bigint, bands array<bigint>")
+    links = linededup.similar_lines(spark.createDataFrame([(x,) for x in texts], "text string"), lines, shape, levels=()).collect()
+    found = {frozenset(r) for r in links}
+    missed = sum(frozenset(map(linededup.line_id, pair)) not in found for pair in planted)
+    assert missed <= 2, missed  # a pair shares a bucket with 0.985 or more
+
+
+def test_mixed_buckets_are_compared_block_by_block(spark):
+    lines, planted = template_lines(random.Random(36), 150, 40)
+    texts = lines + [x for pair in planted for x in pair] + [lines[0] + "x", "short line", "a" * 9000, "a" * 8000 + "b"]
+    members = spark.createDataFrame([(k, i) for k in (1, 2) for i in range(len(texts))] + [(3, 0)], "key bigint, line bigint")
+    named = spark.createDataFrame(list(enumerate(texts)), "line bigint, text string")
+    links = {tuple(sorted(r)) for r in linededup._linked_inside(members, named, linededup.Shape(), 16, 3000).collect()}
+    sets = [{x[i : i + 8] for i in range(len(x) - 7)} for x in texts]
+    assert links == {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(links) >= 41
+
+
 def test_line_dedup_keeps_repeated_rows(spark):
     rows = [(1, "same line here\nother line here"), (1, "same line here\nother line here"), (2, "same line here"), (None, "same line here")]
     out = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
