@@ -28,3 +28,26 @@ def free_name(df: DataFrame, wanted: str) -> str:
 def plus(df: DataFrame, more: dict[str, str]) -> StructType:
     """The schema of df with more columns at its end."""
     return StructType([*df.schema.fields, *(f for name, kind in more.items() for f in StructType.fromDDL(f"`{name}` {kind}").fields)])
+
+
+def single_spaced(text: str) -> list[str] | None:
+    """The text cut before every single space and line break that stands between two other characters: all pieces but the
+    first stood after a space, which is left out, but those that begin with their line break. None if the text is empty or
+    has other white space, runs of it, or white space at an end."""
+    flat = text.replace("\n", " ")
+    if not text or flat[0] == " " or flat[-1] == " " or "  " in flat or not flat.isprintable():
+        return None
+    return text.replace("\n", " \n").split(" ")
+
+
+class Places(dict):
+    """value -> place, the next free one for a new value, which is also put in new."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, value: str) -> int:
+        self[value] = place = len(self)
+        self.new.append(value)
+        return place

@@ -258,7 +258,7 @@ def test_pii_counts_and_other_columns(docs, empty):
 # ---------------------------------------------------------------- token counts
 
 
-def test_token_counts_equal_plain_dynamic_programming(docs, empty):
+def test_token_counts_equal_plain_dynamic_programming(spark, docs, empty):
     import public_tokenizers as P
     import regex
 
@@ -271,21 +271,30 @@ def test_token_counts_equal_plain_dynamic_programming(docs, empty):
             best.append((s, -n))
         return best[-1]
 
-    out = Counter((r["doc_id"], r["n_tokens"], r["n_pretokens"], round(r["score"], 6)) for r in tokencount.count_tokens(docs.select("doc_id", "text"), m, max_nodes=2000).collect())
-    want = Counter()
-    for r in docs.collect():
-        pieces = [slow(w.encode()) for w in regex.findall(P.PATTERN, r["text"] or "")]
-        want[r["doc_id"], sum(p[1] for p in pieces), len(pieces), round(sum(p[0] for p in pieces), 6)] += 1
-    assert {k[:3] for k in out} == {k[:3] for k in want} and sum(out.values()) == sum(want.values())
+    texts = [" lead", "trail ", "it's, fine.\nNext line\n\nDon't  stop", "nbsp\u00a0here \u2028 x", "a" * 200 + " " + "é" * 90, "\0x y", "word. \nword"]
+    given = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(900 + i, t) for i, t in enumerate(texts)], "doc_id bigint, text string"))
+    got = tokencount.count_tokens(given.withColumn("score", F.lit("clash")), m, room=50)
+    assert got.columns == ["doc_id", "n_tokens", "n_pretokens", "score"]
+    got = sorted(((r["doc_id"] or 0, r["n_tokens"], r["n_pretokens"], r["score"]) for r in got.collect()))
+    want, pieces = [], Counter()
+    for r in given.collect():
+        found = [slow(w.encode()) for w in regex.findall(P.PATTERN, r["text"] or "")]
+        want.append((r["doc_id"] or 0, sum(p[1] for p in found), len(found), sum(p[0] for p in found)))
+    want.sort()
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert all(abs(a[3] - b[3]) < 1e-6 * max(1, abs(b[3])) for a, b in zip(got, want))
     assert tokencount.count_tokens(empty, m).count() == 0
+    pieces = {bytes(r["piece"]): r["n"] for r in tokencount.piece_counts(given, m).collect()}
+    assert sum(pieces.values()) == sum(x[1] for x in want) and set(pieces) <= set(m.score)
+    assert abs(sum(n * m.score[p] for p, n in pieces.items()) - sum(x[3] for x in want)) < 1e-3
 
 
-def test_trie_shares_prefixes():
+def test_trie_shares_prefixes_and_keeps_counts():
     m = tokencount.Unigram("", {b"a": -1.0, b"b": -1.5, b"ab": -2.0, b"abc": -2.2, b"c": -3.0}, 3)
-    t = tokencount.Trie(m)
-    nodes = [t.insert(w) for w in (b"ab", b"abc", b"abcb", b"ab")]
-    assert nodes[0] == nodes[3] and len(t) == 5
-    assert [t.tokens[n] for n in nodes] == [1, 1, 2, 1]
+    t = tokencount.Trie(tokencount.Endings(m), [b"ab", b"abc", b"abcb", b""], np.array([5, 2, 1, 9]))
+    assert len(t) == 5 and t.tokens[t.last].tolist() == [1, 1, 2, 0]
+    assert t.count[t.last].tolist() == [5, 2, 1, 9] and t.best[t.last].tolist() == [-2.0, -2.2, -3.7, 0.0]
+    assert dict(zip(m.score, t.piece_counts().tolist())) == {b"a": 0, b"b": 1, b"ab": 5, b"abc": 3}
 
 
 # ---------------------------------------------------------------- token files
