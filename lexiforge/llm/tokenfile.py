@@ -6,7 +6,6 @@ import os
 import uuid
 from array import array
 from collections.abc import Iterator
-from itertools import filterfalse
 from urllib.parse import urlsplit
 from zlib import crc32
 
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import table
+from lexiforge.llm.common import Places, single_spaced, table
 from lexiforge.store import materialize, shared_dir
 
 _CACHED = 600_000
@@ -48,48 +47,57 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype(kind)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.places, self.ids = Places(), []
+        self.older: tuple[dict[str, int], list[bytes]] = ({}, [])
         self.marks = dict(zip(_PUNCTUATION, self._encode(list(_PUNCTUATION)), strict=True))
+        self.line_break = self._encode(["\n"])[0]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         code = {2: "H", 4: "I"}[self.kind.itemsize]
         return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, text: str) -> list[str] | None:
-        """The text cut before every single space and line break: words[1:] each stand after a space, which is left out, but
-        those that begin with their line break. None if the text must be encoded whole."""
-        flat = text.replace("\n", " ")
-        if not text or flat[0] == " " or flat[-1] == " " or "  " in flat or "<|" in text or not flat.isprintable():
-            return None
-        return text.replace("\n", " \n").split(" ")
-
-    @staticmethod
-    def _spelled(piece: str) -> str:
-        return piece if piece[0] == "\n" else " " + piece
-
-    def _learn(self, new: set[str]) -> None:
-        """Encode pieces not known yet, a trailing mark apart: it is a pre-token of its own after a letter."""
-        split = {p: (p[:-1], p[-1]) for p in new if len(p) > 2 and p[-1] in _PUNCTUATION and p[-2].isalpha()}
-        new = (new - split.keys()) | {a for a, _ in split.values() if a not in self.known}
-        old = new & self.older.keys()
-        self.known.update({p: self.older[p] for p in old})
-        todo = list(new - old)
-        self.known.update(zip(todo, self._encode([self._spelled(p) for p in todo]), strict=True))
-        self.known.update({p: self.known[a] + self.marks[m] for p, (a, m) in split.items()})
+    def _encode_pieces(self, pieces: list[str], run: int = 64) -> list[bytes]:
+        """The ids of pieces that stand after a space: many are encoded as one text, with line breaks to cut its ids at."""
+        if len(self.line_break) != self.kind.itemsize:
+            return self._encode([" " + p for p in pieces])
+        out, width = [], self.kind.itemsize
+        mark = np.frombuffer(self.line_break, dtype=self.kind)[0]
+        for ids in self._encode([" " + "\n ".join(pieces[i : i + run]) for i in range(0, len(pieces), run)]):
+            cut = (np.flatnonzero(np.frombuffer(ids, dtype=self.kind) == mark) * width).tolist()
+            out += [ids[a:b] for a, b in zip([0, *(c + width for c in cut)], [*cut, len(ids)], strict=True)]
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        """The ids of new pieces, put after those known: a trailing mark after a letter and a line break before all else are
+        pre-tokens of their own."""
+        got: dict[str, bytes | None] = {}
+        split = {}
+        for p in new:
+            if p[0] == "\n":
+                got[p] = None
+                continue
+            if len(p) > 2 and p[-1] in _PUNCTUATION and p[-2].isalpha():
+                split[p] = p[:-1]
+                p = p[:-1]
+            old = self.older[0].get(p)
+            got[p] = None if old is None else self.older[1][old]
+        lines = [p for p, ids in got.items() if ids is None and p[0] == "\n"]
+        todo = [p for p, ids in got.items() if ids is None and p[0] != "\n"]
+        got.update(zip(todo, self._encode_pieces(todo), strict=True))
+        got.update(zip(lines, self._encode(lines), strict=True))
+        self.ids += [got[p] if p not in split else got[split[p]] + self.marks[p[-1]] for p in new]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > _CACHED:  # what is used again soon moves over, the rest is forgotten
-            self.older, self.known = self.known, {}
-        cut = [self._pieces(t) for t in texts]
-        known = self.known
-        new: set[str] = set()
-        for pieces in cut:
-            if pieces:
-                new.update(filterfalse(known.__contains__, pieces[1:]))
-        self._learn(new)
+        if len(self.places) > _CACHED:  # what is used again soon moves over, the rest is forgotten
+            self.older, self.places, self.ids = (dict(self.places), self.ids), Places(), []
+        cut = [None if "<|" in t else single_spaced(t) for t in texts]
         whole = [t if pieces is None else pieces[0] for t, pieces in zip(texts, cut, strict=True)]
-        return [head if not pieces else head + b"".join(map(known.__getitem__, pieces[1:])) for head, pieces in zip(self._encode(whole), cut, strict=True)]
+        at = [None if pieces is None else list(map(self.places.__getitem__, pieces[1:])) for pieces in cut]
+        if self.places.new:
+            self._learn(self.places.new)
+            self.places.new = []
+        known = self.ids.__getitem__
+        return [head if places is None else head + b"".join(map(known, places)) for head, places in zip(self._encode(whole), at, strict=True)]
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -223,8 +231,11 @@ def read(index: DataFrame) -> DataFrame:
     little-endian unsigned 32-bit integers. Files are dealt out by name, so each is opened by one task; its documents are
     read as views of the mapped file.
     """
-    sums = index.groupBy("part", "file").agg(F.sum("n_tokens").alias("n"))
-    before = materialize(sums.select("part", "file", (F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("before")), "token-starts")  # one row a file
+    sums = materialize(index.groupBy("part", "file", F.floor(F.col("part") / 1024).alias("run")).agg(F.sum("n_tokens").alias("n")), "token-files")
+    earlier = lambda by, n: F.sum(n).over(by.rowsBetween(W.unboundedPreceding, 0)) - F.col(n)
+    runs = sums.groupBy("run").agg(F.sum("n").alias("of_run")).select("run", earlier(W.orderBy("run"), "of_run").alias("runs_before"))  # one row a thousand files
+    inside = earlier(W.partitionBy("run").orderBy("part"), "n")
+    before = materialize(sums.select("part", "file", "run", inside.alias("inside")).join(runs, "run").select("part", "file", (F.col("runs_before") + F.col("inside")).alias("before")), "token-starts")
     rows = index.join(before, ["part", "file"]).select("file", "doc_id", (F.col("before") + F.col("first")).alias("start"), "first", "n_tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
