@@ -306,10 +306,10 @@ def test_token_files_round_trip(spark, docs, empty, tmp_path):
 
     path = P.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    given = docs.where("doc_id is not null").unionByName(spark.createDataFrame([(500, "line one\n line two  with  gaps, <|endoftext|> and (marks).\r\nend ", "", "", 1), (501, "it's, fine.\nNext line. Don't", "", "", 1)], DOCS))
+    given = docs.unionByName(spark.createDataFrame([(502, "it's, fine.\nNext line. Don't\nx y, it's\nfine, 3.14, *, a-b. é, ß!", "", "", 1), (503, "w " * 600_000 + "end", "", "", 1), (500, "line one\n line two  with  gaps, <|endoftext|> and (marks).\r\nend ", "", "", 1), (501, "it's, fine.\nNext line. Don't", "", "", 1)], DOCS))
     index = tokenfile.write(given, f"file://{tmp_path}/t", path, length=64, rows=4, partition_bytes=20_000)
     out = tokenfile.read(index).orderBy("start").collect()
-    rows = sorted(((r["doc_id"], r["text"] or "") for r in given.collect()), key=lambda x: (x[0], x[1].encode()))
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in given.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode()))
     start = 0
     assert len(out) == len(rows)
     for r, (i, t) in zip(out, rows):
