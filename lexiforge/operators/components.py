@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lexiforge.store import materialize
 
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(
-        F.count("*").alias("n"),
-        F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("mark"),
-    ).first()
-    return row["n"], row["mark"]
+def _written(edges: DataFrame, name: str) -> tuple[DataFrame, tuple[int, int]]:
+    """The edges as a written table, with their number and a mark of them all, taken while they are written."""
+    seen = Observation()
+    marks = (F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("mark"))
+    table = materialize(edges.observe(seen, *marks), name)
+    return table, (seen.get["n"], seen.get["mark"])
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -26,8 +26,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     loops = e.where("u = v").select("u").distinct()
-    e = materialize(e.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = _mark(e)
+    e, seen = _written(e.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     while seen[0]:
         # large star: hang every larger neighbour of a node on the smallest member of its neighbourhood
         low = materialize(
@@ -46,8 +45,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         # small star: hang a node and its smaller neighbours on the smallest of them
         low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = _mark(e)
+        e, now = _written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         if now == seen:
             break
         seen = now
