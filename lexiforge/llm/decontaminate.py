@@ -14,6 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import IntegerType, LongType, StructType
 
 from lexiforge.llm.common import table
@@ -22,7 +23,7 @@ from lexiforge.llm.common import table
 #: agree leaves at least one of them untouched at some place (enumerated in the tests).
 MASKS = ("111011", "101000111", "1111001")
 _WORDS, _SHARE = 10, Fraction(4, 5)  # what MASKS are complete for
-_WORD = re.compile(r"\w+")
+_WORD, _EDGE = re.compile(r"\w+"), re.compile(r"\W")
 _BLOCK = 1 << 20
 _TABLE_BITS = 20
 _KNOWN = 500_000
@@ -39,13 +40,13 @@ class _Hashes(dict):
 
 
 def word_hashes(text: str | None, known: dict[str, int]) -> np.ndarray:
-    """One hash for each lower-cased run of word characters, in order; 8 bytes a word are held, the text is cut in blocks."""
+    """One hash for each lower-cased run of word characters, in order; 8 bytes a word are held, the text is cut in
+    blocks that end where a word ends."""
     text = text or ""
     parts, at = [np.zeros(0, dtype=np.uint64)], 0
     while at < len(text):
-        end = min(len(text), at + _BLOCK)
-        while end < len(text) and (text[end - 1].isalnum() or text[end - 1] == "_") and end - at < 2 * _BLOCK:
-            end += 1
+        edge = _EDGE.search(text, at + _BLOCK)
+        end = edge.start() if edge else len(text)
         words = _WORD.findall(text[at:end].lower())
         parts.append(np.fromiter((known[w] for w in words), dtype=np.uint64, count=len(words)))
         at = end
@@ -190,19 +191,19 @@ def blocks(benchmark: DataFrame, text: str = "text", item_id: str = "item_id", *
 
 
 def matches(
-    docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", *, least_words: int = 10, least_share: float = 0.8
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", *, item_text: str = "text", least_words: int = 10, least_share: float = 0.8
 ) -> DataFrame:
     """Rows (doc_id, item_id, start_word, n_words, n_agree): the best overlap of each document with each benchmark item.
 
     Words are lower-cased runs of letters, digits and underscores; an overlap tolerates substituted words. Null and empty
-    texts and items overlap nothing; repeated documents and items each give their rows. Documents are read whole, once for
-    each block of the benchmark, and nothing but the overlaps is moved.
+    texts and items overlap nothing; repeated documents and items each give their rows. Ids may be of any type that Arrow
+    carries. Documents are read whole, once for each block of the benchmark, and nothing but the overlaps is moved.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     id_type = benchmark.schema[item_id].dataType
     schema = StructType([rows.schema["doc_id"]]).add("item_id", id_type).add("start_word", LongType()).add("n_words", IntegerType()).add("n_agree", IntegerType())
-    out = None
-    for seeds in blocks(benchmark, item_id=item_id, least_words=least_words, least_share=least_share):
+    out, id_kind = None, to_arrow_type(id_type)
+    for seeds in blocks(benchmark, item_text, item_id, least_words=least_words, least_share=least_share):
         shared = docs.sparkSession.sparkContext.broadcast(seeds)  # a block of max_words words
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -210,8 +211,7 @@ def matches(
             for batch in batches:
                 found = [(i, *m) for i, t in enumerate(batch.column(1).to_pylist()) for m in s.overlaps(word_hashes(t, known), least_words, least_share)]
                 ids = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
-                kind = pa.string() if any(isinstance(f[1], str) for f in found) else pa.int64()
-                more = [pa.array([f[k] for f in found], t) for k, t in ((1, kind), (2, pa.int64()), (3, pa.int32()), (4, pa.int32()))]
+                more = [pa.array([f[k] for f in found], t) for k, t in ((1, id_kind), (2, pa.int64()), (3, pa.int32()), (4, pa.int32()))]
                 if found:
                     yield pa.RecordBatch.from_arrays([ids, *more], schema.names)
 
@@ -220,10 +220,10 @@ def matches(
     return out
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", *, least_words: int = 10, least_share: float = 0.8) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", *, item_text: str = "text", least_words: int = 10, least_share: float = 0.8) -> DataFrame:
     """The pipeline's filter: rows and columns of docs without an overlap with any benchmark item (rules as in matches)."""
     at = docs.columns.index(text)
-    for seeds in blocks(benchmark, item_id=item_id, least_words=least_words, least_share=least_share):
+    for seeds in blocks(benchmark, item_text, item_id, least_words=least_words, least_share=least_share):
         shared = docs.sparkSession.sparkContext.broadcast(seeds)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
