@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -97,20 +98,23 @@ def fit(
     *,
     spectrum: Spectrum = Spectrum(),
     rows_per_lang: int = 400,
-    max_langs: int = 256,
+    max_rows: int = 100_000,
     landmarks: int = 96,
     ridge: float = 1e-2,
 ) -> Model | None:
-    """Fit on at most rows_per_lang distinct texts of each of the max_langs most frequent values of lang.
+    """Fit on at most rows_per_lang distinct texts of each value of lang, on fewer where all values together would go over
+    max_rows, on one at least.
 
     Rows with a null lang or text teach nothing. The sample is taken by text hash, after a count of each lang, so a lang
-    with a third of all rows is thinned before it is shuffled. The driver gets max_langs * rows_per_lang packed presence
-    rows (2**bits / 8 bytes each) at most. None if no row can be learned from.
+    with a third of all rows is thinned before it is shuffled. The driver gets one packed presence row (2**bits / 8 bytes)
+    for each text of the sample. landmarks are shared out among the langs, one each at least, in the order of a hash of
+    their presence rows. None if no row can be learned from.
     """
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    counts = rows.groupBy("lang").count().collect()  # one row a lang
     if not counts:
         return None
+    rows_per_lang = max(1, min(rows_per_lang, max_rows // len(counts)))
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 4.0 * rows_per_lang / r["count"])))])
     rank = F.xxhash64("text")
     near = rows.withColumn("h", rank).where((F.pmod("h", F.lit(1 << 40)) / float(1 << 40)) < F.try_element_at(share, F.col("lang")))
@@ -123,7 +127,7 @@ def fit(
     got = sample.mapInArrow(_features(spectrum), "lang string, present binary").collect()
     if not got:
         return None
-    got = sorted(((r["lang"], bytes(r["present"])) for r in got))
+    got = sorted(((r["lang"], bytes(r["present"])) for r in got), key=lambda g: (g[0], xxhash.xxh64_intdigest(g[1]), g[1]))
     langs = sorted({g[0] for g in got})
     at = {v: i for i, v in enumerate(langs)}
     x = np.unpackbits(np.frombuffer(b"".join(g[1] for g in got), dtype=np.uint8).reshape(len(got), -1), axis=1).astype(np.float32)
