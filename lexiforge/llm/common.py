@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -51,3 +52,11 @@ class Places(dict):
         self[value] = place = len(self)
         self.new.append(value)
         return place
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order, by a sort, which numpy does many times faster than the hash table of np.unique."""
+    values = np.sort(values)
+    keep = np.ones(len(values), dtype=bool)
+    keep[1:] = values[1:] != values[:-1]
+    return values[keep]

@@ -12,35 +12,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import held_out, plus, table
+from lexiforge.llm.common import Places, held_out, plus, table
+from lexiforge.store import materialize
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD, _EDGE = re.compile(r"[^\W\d_]+"), re.compile(r"[\W\d_]")
 _BLOCK = 1 << 20
 
 
 @dataclass(frozen=True)
 class Bag:
-    """How a text becomes bags of subwords: windows of words, each word as its character n-grams with end marks, hashed."""
+    """How a text becomes bags of subwords: windows of words, each word as its character n-grams with end marks and itself, hashed."""
 
     min_n: int = 3
     max_n: int = 5
     bits: int = 18
     window: int = 12
 
-    def subwords(self, word: str) -> list[int]:
-        """Slots of a word's n-grams and of the whole word; no word is cut."""
-        w = f"<{word}>"
-        grams = {w} | {w[i : i + n] for n in range(self.min_n, self.max_n + 1) for i in range(len(w) - n + 1)}
+    def subwords(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of all n-grams and of the whole word, one word after the other, and how many each word has; no word is cut."""
         mask = (1 << self.bits) - 1
-        return sorted({crc32(g.encode("utf-8", "surrogatepass")) & mask for g in grams})
+        size = np.fromiter((len(w) + 2 for w in words), dtype=np.int64, count=len(words))
+        code = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        start, of = np.cumsum(size) - size, np.repeat(np.arange(len(words)), size)
+        left = np.repeat(start + size, size) - np.arange(len(code))  # code points up to the word's end
+        slots, owner = [np.fromiter((crc32(w.encode("utf-8", "surrogatepass")) & mask for w in words), dtype=np.int64, count=len(words))], [np.arange(len(words))]
+        gram = np.zeros(len(code), dtype=np.uint32)
+        for n in range(1, min(self.max_n, len(code)) + 1):
+            gram = gram[: len(code) - n + 1] * np.uint32(0x01000193) + code[n - 1 :]
+            if n >= self.min_n:
+                at = np.flatnonzero(left[: len(gram)] >= n)
+                h = gram[at] * np.uint32(0x85EBCA6B)
+                h ^= h >> np.uint32(15)
+                slots.append((h * np.uint32(0xC2B2AE35) >> np.uint32(32 - self.bits)).astype(np.int64))
+                owner.append(of[at])
+        owner, slots = np.concatenate(owner), np.concatenate(slots)
+        order = np.argsort(owner, kind="stable")
+        return slots[order], np.bincount(owner, minlength=len(words))
 
     def words(self, text: str) -> Iterator[str]:
         """Lower-cased runs of letters, from blocks of the text that end where a word ends."""
         at = 0
         while at < len(text):
-            end = min(len(text), at + _BLOCK)
-            while end < len(text) and text[end - 1].isalpha() and end - at < 2 * _BLOCK:
-                end += 1
+            edge = _EDGE.search(text, at + _BLOCK)
+            end = edge.start() if edge else len(text)
             yield from _WORD.findall(text[at:end].lower())
             at = end
 
@@ -57,17 +71,28 @@ class Model:
     bias: float
 
 
-def _scored(model: Model):
-    """word -> logit, remembered; forgotten as a whole when a million words are held."""
+class _Scored:
+    """The logits of words, remembered while a worker reads on; forgotten as a whole when `room` words are held."""
 
-    class Known(dict):
-        def __missing__(self, word: str) -> float:
-            if len(self) >= 1_000_000:
-                self.clear()
-            self[word] = value = float(model.logit[model.bag.subwords(word)].mean())
-            return value
+    def __init__(self, model: Model, room: int = 400_000):
+        self.model, self.room = model, room
+        self.places, self.logit = Places(), np.zeros(0, dtype=np.float32)
 
-    return Known()
+    def values(self, texts: list[str]) -> list[np.ndarray]:
+        """For each text the logits of its words, in order."""
+        if len(self.places) > self.room:
+            self.places, self.logit = Places(), np.zeros(0, dtype=np.float32)
+        bag, at = self.model.bag, self.places.__getitem__
+        ids = [np.array(list(map(at, bag.words(t))), dtype=np.int64) for t in texts]
+        if self.places.new:
+            slots, size = bag.subwords(self.places.new)
+            mean = np.add.reduceat(self.model.logit[slots], np.cumsum(size) - size) / size
+            self.logit = np.concatenate([self.logit, mean.astype(np.float32)])
+            self.places.new = []
+        return [self.logit[x] for x in ids]
+
+
+_held: dict[str, object] = {}  # of this worker process, so that later tasks find it
 
 
 def _best_window(values: np.ndarray, window: int) -> float:
@@ -88,14 +113,13 @@ def fit(
     *,
     bag: Bag = Bag(),
     max_rows: int = 6000,
-    max_chars: int = 60_000,
     dim: int = 8,
     steps: int = 100,
     rate: float = 1.0,
     seed: int = 7,
     share: float | None = None,
 ) -> Model | None:
-    """Train on at most max_rows labelled texts of at most max_chars characters each, taken in the order of their text hash.
+    """Train on at most max_rows labelled texts, taken in the order of their text hash and whole, however long.
 
     Up to half of max_rows are toxic and as many are not, so a rare label is seen; both weigh the same in training, and the
     bias is then moved half way to the natural share of toxic rows (share, or else that of labelled). A row with a null text
@@ -103,7 +127,7 @@ def fit(
     by gradient steps with momentum; a document's loss is that of its windows under attention that sharpens from all windows
     to the best one. None if the sample does not hold both labels.
     """
-    rows = labelled.select(F.col(text).alias("text"), F.col(toxic).cast("int").alias("y")).where(f"text is not null and y in (0, 1) and length(text) <= {max_chars}")
+    rows = labelled.select(F.col(text).alias("text"), F.col(toxic).cast("int").alias("y")).where("text is not null and y in (0, 1)")
     order = F.xxhash64("text")
     got = [rows.where(F.col("y") == y).orderBy(order).limit(max_rows // 2).collect() for y in (1, 0)]
     if not got[0] or not got[1]:
@@ -128,11 +152,8 @@ def _train(bag: Bag, texts: list[str], y: np.ndarray, share: float, dim: int, st
     word_at = np.concatenate([[0], np.cumsum(spans)[:-1]])
     window_at = np.concatenate([[0], np.cumsum(doc_windows)[:-1]])
     window_doc = np.repeat(np.arange(len(texts)), doc_windows)
-    grams = [bag.subwords(w) for w in known]
-    size = np.array([len(g) for g in grams], dtype=np.int64)
+    flat, size = bag.subwords(list(known))
     gram_at = np.concatenate([[0], np.cumsum(size)[:-1]])
-    flat = np.fromiter((x for g in grams for x in g), dtype=np.int32, count=int(size.sum()))
-    del grams
     used, flat = np.unique(flat, return_inverse=True)  # only slots that occur are trained
     flat = flat.astype(np.int32)
 
@@ -183,12 +204,14 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", *, score:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        known = _scored(m) if m else {}
+        if m and _held.get("model") is not m:
+            _held["model"], _held["words"] = m, _Scored(m)
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for i, t in enumerate(batch.column(at).to_pylist() if m else []):
-                values = np.fromiter((known[w] for w in m.bag.words(t or "")), dtype=np.float32)
-                out[i] = 1 / (1 + np.exp(-np.clip(_best_window(values, m.bag.window) + m.bias, -30, 30)))
+            for lo in range(0, batch.num_rows if m else 0, 512):
+                texts = [t or "" for t in batch.column(at).slice(lo, 512).to_pylist()]
+                raw = [_best_window(v, m.bag.window) for v in _held["words"].values(texts)]
+                out[lo : lo + len(raw)] = 1 / (1 + np.exp(-np.clip(np.array(raw) + m.bias, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, score])
 
     return docs.mapInArrow(run, plus(docs, {score: "double"}))
@@ -200,6 +223,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str, threshold: float = 0.3, max_r
     share = labels.agg(F.avg("toxic")).first()[0]
     chosen = [labels.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows // 2) for y in (0, 1)]
     sample = docs.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")  # max_rows ids
+    sample = materialize(sample, "toxicity-sample")
     found = predict(docs, fit(sample, max_rows=max_rows, share=share))
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
