@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+from secrets import token_hex
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.llm.common import table
 
-#: What is looked for, in this order at each place of the text.
+#: What is looked for, in this order at each place of the text. The bounds are those of the formats: 63 characters of a
+#: domain label and 127 labels, 34 characters of an IBAN, 19 digits of a card; local parts and secrets have none.
 KINDS = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}(?![\w@])",
-    "secret": r"AKIA[0-9A-Z]{16}(?!\w)|(?i:password|passwd|pwd|secret|token|api_?key)\s*[=:]\s*\"?[0-9A-Za-z_+/-]{8,200}\"?",
-    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){2,7}(?: ?[0-9]{1,3})?(?![\w])",
+    "email": r"[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}(?![\w@])",
+    "secret": r"AKIA[0-9A-Z]{16}(?!\w)|(?i:password|passwd|pwd|secret|token|api_?key)\s*[=:]\s*\"?[0-9A-Za-z_+/=.~-]{8,}+\"?",
+    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![\w])",
     "ip": r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9])",
     "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\w-])|(?:[0-9]{2}\.[0-9]{2}\.|[0-9]{2}/[0-9]{2}/)[0-9]{4}(?![\w]|[./][0-9])",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "card": r"[0-9]{13,19}(?!\w)|[0-9]{4}(?:[ -][0-9]{4}){3}(?!\w)|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?!\w)",
     "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![\w])|\([0-9]{3}\) ?[0-9]{3}[.-][0-9]{4}(?![\w])|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w])",
 }
-PATTERN = r"(?<![\w.@+-])(?:" + "|".join(KINDS.values()) + ")"
+PATTERN = r"(?<![\w.@+%-])(?:" + "|".join(KINDS.values()) + ")"
 ROUNDS = 10
 
 
@@ -158,7 +161,8 @@ def _ip(s: Column, key: str) -> Column:
 
 
 def _date(s: Column, key: str) -> Column:
-    """A real date of 0001 to 9999 becomes another date of its 400-year cycle (146097 = 189 * 773 days), in its own format.
+    """A real date of 0001 to 9999 becomes another date of its 400-year cycle (146097 = 189 * 773 days; the last one ends with
+    the year 9999 and has 145731 = 93 * 1567), in its own format.
 
     dd.mm.yyyy is day first; with / the month comes first unless only day first is a date.
     """
@@ -167,7 +171,8 @@ def _date(s: Column, key: str) -> Column:
     form = F.coalesce(*[F.when(shape & F.try_to_date(F.when(shape, s), f).isNotNull(), lit) for shape, lit, f in zip(shaped, forms, ["yyyy-MM-dd", "dd.MM.yyyy", "MM/dd/yyyy", "dd/MM/yyyy"], strict=True)])
 
     def body(x: Column) -> Column:
-        day, cycle, a, b = F.unix_date(x["d"]).cast("bigint"), F.lit(146097).cast("bigint"), F.lit(189).cast("bigint"), F.lit(773).cast("bigint")
+        day, cycle = F.unix_date(x["d"]).cast("bigint"), F.lit(146097).cast("bigint")
+        a, b = (F.when(F.year(x["d"]) > 9600, last).otherwise(full).cast("bigint") for full, last in ((189, 93), (773, 1567)))
         start = F.lit(-719162).cast("bigint")  # 0001-01-01
         at = day - start
         moved = F.date_from_unix_date((start + F.floor(at / cycle) * cycle + feistel(F.pmod(at, cycle), a, b, key, "date")).cast("int"))
@@ -188,48 +193,89 @@ def _mod97(s: Column) -> Column:
 
 
 def _iban(s: Column, key: str) -> Column:
-    """A number with right check digits: its account digits are permuted in two halves, its check digits set anew."""
+    """A number of 15 to 34 characters with right check digits (02 to 98): its account part is permuted, digits among digits
+    and letters among letters, and its check digits are set anew."""
 
     def body(c: Column) -> Column:
-        land, rest = c.substr(F.lit(1), F.lit(2)), F.substring(c, F.lit(5), F.length(c))
-        good = _mod97(F.concat(rest, land, c.substr(F.lit(3), F.lit(2)))) == 1
-        n = F.length(rest)
-        cut = _half(n)
-        moved = F.concat(permuted_digits(rest.substr(F.lit(1), cut), key, "iban1"), permuted_digits(rest.substr(cut + 1, n - cut), key, "iban2"))
-        return F.when(good, _let(moved, lambda m: _refill(s, F.concat(F.lpad((F.lit(98) - _mod97(F.concat(m, land, F.lit("00")))).cast("string"), 2, "0"), m))))
+        land, check, rest = c.substr(F.lit(1), F.lit(2)), c.substr(F.lit(3), F.lit(2)), F.substring(c, F.lit(5), F.length(c))
+        good = (F.length(c) >= 15) & (F.length(c) <= 34) & check.between("02", "98") & (_mod97(F.concat(rest, land, check)) == 1)
+        return F.when(
+            good,
+            _let(permuted_string(rest, key, "iban"), lambda m: _spread(s, F.concat(land, F.lpad((F.lit(98) - _mod97(F.concat(m, land, F.lit("00")))).cast("string"), 2, "0"), m))),
+        )
 
     return _let(F.regexp_replace(s, " ", ""), body)
 
 
-def _hidden(s: Column, key: str, tweak: str) -> Column:
-    """A keyed digest in the letters of s: its capitals, small letters and digits become others, all else stays.
+def _spread(form: Column, characters: Column) -> Column:
+    """characters with the spaces of form put in where they stood."""
+    return F.aggregate(
+        F.filter(F.split(form, ""), lambda c: c != ""),
+        F.struct(F.lit("").alias("out"), F.lit(1).alias("i")),
+        lambda s, c: F.when(c == " ", F.struct(F.concat(s["out"], c).alias("out"), s["i"].alias("i"))).otherwise(
+            F.struct(F.concat(s["out"], characters.substr(s["i"], F.lit(1))).alias("out"), (s["i"] + 1).alias("i"))
+        ),
+        lambda s: s["out"],
+    )
+
+
+#: Classes of characters that are moved among themselves: first code and size. Hex digits stay hex digits.
+CLASSES = ((48, 10), (97, 6), (103, 20), (65, 6), (71, 20))
 
-    No permutation: strings of any length have no arithmetic. Equal values still get equal pseudonyms.
-    """
-    mixed = F.concat(*[F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), F.lit(str(i)), s), 512) for i in range(2)])
-    small = F.when(s.rlike("^[0-9a-f]+\"?$"), 6).otherwise(26)  # hex stays hex
-    other = lambda c, i, base, n: F.char(F.ascii(F.lit(base)) + F.pmod(F.conv(mixed.substr(i + 1, F.lit(2)), 16, 10).cast("int"), n))
-    return F.array_join(
-        F.transform(
-            F.filter(F.split(s, ""), lambda c: c != ""),
-            lambda c, i: F.when(c.rlike("[0-9]"), other(c, i, "0", F.lit(10))).when(c.rlike("[a-z]"), other(c, i, "a", small)).when(c.rlike("[A-Z]"), other(c, i, "A", F.lit(26))).otherwise(c),
+
+def _pick(code: Column, what: int) -> Column:
+    """Of a code's class the first code (what = 0) or the size (1); the code itself and size 1 outside of all classes."""
+    out = code if what == 0 else F.lit(1)
+    for first, n in CLASSES:
+        out = F.when(code.between(first, first + n - 1), F.lit((first, n)[what])).otherwise(out)
+    return out
+
+
+def _moved(half: Column, other: Column, key: str, tweak: str, i: Column) -> Column:
+    """Each code of one half moved within its class by what a keyed digest of the other half says for its place."""
+    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), i.cast("string"), F.size(half).cast("string"), F.array_join(other.cast("array<string>"), ",")), 256)
+    return _let(
+        digest,
+        lambda d: _let(
+            F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.size(half) / 16).cast("int")), lambda k: F.sha2(F.concat_ws("|", d, k.cast("string")), 256)), ""),
+            lambda stream: F.transform(
+                half, lambda c, at: _pick(c, 0) + F.pmod(c - _pick(c, 0) + F.conv(F.substring(stream, at * 4 + 1, F.lit(4)), 16, 10).cast("int"), _pick(c, 1))
+            ),
         ),
-        "",
     )
 
 
+def permuted_string(s: Column, key: str, tweak: str) -> Column:
+    """A string of any length permuted among those of its form: a Feistel network over its two halves, in which each character
+    is moved within its class (digits, a-f, g-z, A-F, G-Z) and all others stay. Different strings stay different."""
+
+    def body(codes: Column) -> Column:
+        cut = _half(F.size(codes) + 1)
+        halves = F.struct(F.slice(codes, F.lit(1), cut).alias("l"), F.slice(codes, cut + 1, F.size(codes) - cut).alias("r"))
+        return F.aggregate(
+            F.sequence(F.lit(1), F.lit(6)),
+            halves,
+            lambda x, i: F.when(i % 2 == 1, F.struct(_moved(x["l"], x["r"], key, tweak, i).alias("l"), x["r"].alias("r"))).otherwise(
+                F.struct(x["l"].alias("l"), _moved(x["r"], x["l"], key, tweak, i).alias("r"))
+            ),
+            lambda x: F.array_join(F.transform(F.concat(x["l"], x["r"]), lambda c: F.char(c)), ""),
+        )
+
+    return F.when(F.length(s) > 0, _let(F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.ascii(c)), body)).otherwise(s)
+
+
 def _email(s: Column, key: str) -> Column:
-    """Local part and domain labels are hidden one by one, the last label stays, so addresses of one domain stay together."""
+    """Local part and the domain before its last label are permuted each by itself, so addresses of one domain stay together."""
     local, domain = F.substring_index(s, "@", 1), F.substring_index(s, "@", -1)
     tail = F.concat(F.lit("."), F.substring_index(domain, ".", -1))
     head = F.substring(domain, F.lit(1), F.length(domain) - F.length(tail))
-    return F.concat(_hidden(local, key, "local"), F.lit("@"), _hidden(head, key, "domain"), tail)
+    return F.concat(permuted_string(local, key, "local"), F.lit("@"), permuted_string(head, key, "domain"), tail)
 
 
 def _secret(s: Column, key: str) -> Column:
-    """What follows AKIA, or the = or : of a named secret, is hidden."""
+    """What follows AKIA, or the = or : of a named secret, is permuted as a string, whole."""
     lead = F.regexp_extract(s, r"^(AKIA|[A-Za-z_]+\s*[=:]\s*\"?)", 1)
-    return F.concat(lead, _hidden(F.substring(s, F.length(lead) + 1, F.length(s)), key, "secret"))
+    return F.concat(lead, permuted_string(F.substring(s, F.length(lead) + 1, F.length(s)), key, "secret"))
 
 
 def _pseudonym(s: Column, key: str) -> Column:
@@ -249,9 +295,11 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", *, out: str = "t
 
     E-mail addresses, named secrets, IBANs, IPv4 addresses, dates, US social security numbers, card numbers and phone
     numbers are found in one pass over the whole text. Numbers and dates are checked (Luhn, check digits, ranges, calendar)
-    and, if they are valid, moved by a keyed Feistel permutation of the valid values of their format; separators stay. Equal
-    values get equal pseudonyms in every document, different ones different ones. What fails its check is left alone. Null
-    texts stay null, and texts without a digit or @ are passed through unread. Rows do not depend on each other: no shuffle.
+    and, if they are valid, moved by a keyed Feistel permutation of the valid values of their format; separators stay. Names
+    and secrets are moved by one over their characters, whatever their length. Equal values get equal pseudonyms in every
+    document, different ones of a kind and format different ones. What fails its check is left alone. Null texts stay null,
+    and texts without a digit, @ or a secret's name are passed through unread. Columns of docs named as out or found are
+    replaced. Rows do not depend on each other: no shuffle.
     """
     t = F.col(text)
     hits = F.when(t.rlike("[0-9@]|AKIA|(?i:password|passwd|pwd|secret|token|api_?key)"), F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)))
@@ -270,10 +318,17 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", *, out: str = "t
     return done.withColumn(out, made).withColumn(found, counts)
 
 
-def op3_pii(spark: SparkSession, sf_dir: str, key: str = "lexiforge") -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The key of spark.lexiforge.pii.key; where it is unset, a random one that the session keeps. Who has it can undo pseudonyms."""
+    if not (key := spark.conf.get("spark.lexiforge.pii.key", None)):
+        spark.conf.set("spark.lexiforge.pii.key", key := token_hex(32))
+    return key
+
+
+def op3_pii(spark: SparkSession, sf_dir: str, key: str | None = None) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     n = {k: F.coalesce(F.try_element_at("pii", F.lit(k)), F.lit(0)).alias(f"n_{k}") for k in KINDS}
-    return pseudonymise(docs, key).select("doc_id", "text", *n.values())
+    return pseudonymise(docs, key or session_key(spark)).select("doc_id", "text", *n.values())
 
 
 QUERIES = {"op3_pii": op3_pii}
