@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import free_name, plus, table
+from lexiforge.llm.common import distinct, free_name, plus, table
 from lexiforge.operators.components import connected_components
 from lexiforge.store import materialize
 
@@ -80,18 +80,15 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
     return _bits(list(shingle_hashes(text, width)))
 
 
-def sketch(runs: list[np.ndarray], slots: int) -> np.ndarray:
-    """The least value of the shingle hashes under each of `slots` hash functions (32 bits each); all ones without shingles."""
-    rng = np.random.default_rng(64)
-    mult, plus_ = rng.integers(1, 1 << 32, slots, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, slots, dtype=np.uint32)
-    least = np.full(slots, 0xFFFFFFFF, dtype=np.uint32)
-    for run in runs:
-        h = np.unique(np.ascontiguousarray(run[:, 4:]).view(">u4").ravel().astype(np.uint32))
-        for lo in range(0, len(h), 1024):
-            x = h[lo : lo + 1024, None] * mult + plus_
-            x ^= x >> np.uint32(15)
-            x *= np.uint32(0x2C1B3C6D)
-            least = np.minimum(least, x.min(axis=0))
+def minima(h: np.ndarray, functions: int) -> np.ndarray:
+    """The least value of a set of 64-bit hashes under each of several hash functions; all ones for an empty set."""
+    turn = np.random.default_rng(64).integers(0, 1 << 32, functions, dtype=np.uint32)
+    least = np.full(functions, 0xFFFFFFFF, dtype=np.uint32)
+    if len(h):
+        x, step = (h >> np.uint64(32)).astype(np.uint32), h.astype(np.uint32)
+        for k in range(functions):  # a sum of two hashes and a constant
+            least[k] = (x + turn[k]).min()
+            x += step
     return least
 
 
@@ -118,7 +115,7 @@ class BKTree:
     """
 
     def __init__(self, prints: np.ndarray):
-        self.prints = np.unique(np.asarray(prints, dtype=np.uint64))
+        self.prints = distinct(np.asarray(prints, dtype=np.uint64))
         n = len(self.prints)
         self.child = np.full((n, 65), -1, dtype=np.int32)
         item, node = np.arange(1, n, dtype=np.int32), np.zeros(max(n - 1, 0), dtype=np.int32)
@@ -249,86 +246,177 @@ def _grouped(fps: DataFrame, first: DataFrame, links: DataFrame) -> DataFrame:
     return fps.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
-def _with_sketch(docs: DataFrame, width: int, slots: int, shards: int) -> DataFrame:
-    """Of rows (text, doc_id): doc_id, fp, one byte of each of the sketch's minima, and the minima that name its shards."""
+def _sketched(docs: DataFrame, width: int, shards: int) -> DataFrame:
+    """Of rows (text, doc_id): doc_id, h (a hash of the text), node, fp, the shards' names and the shingles, all of the set of
+    distinct shingles: node is its hash, fp its SimHash, a name two of its minima, shingles 32 bits of each member's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints, bytes_, names = [], [], []
+            node, prints, names, members = [], [], [], []
             for text in b.column(0).to_pylist():
-                runs = list(shingle_hashes(text, width))
-                least = sketch(runs, slots + shards)
-                prints.append(_bits(runs))
-                bytes_.append((least[:slots] & 0xFF).astype(np.uint8).tobytes())
-                names.append(least[slots:].astype(np.int64).tolist())
+                h = [np.frombuffer(r.tobytes(), dtype=">u8").astype(np.uint64) for r in shingle_hashes(text, width)]
+                h = distinct(np.concatenate([np.zeros(0, dtype=np.uint64), *h]))
+                node.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+                prints.append(_bits([h.astype(">u8").view(np.uint8).reshape(-1, 8)]))
+                least = minima(h, 2 * shards).astype(np.int64)
+                names.append((least[0::2] << 31 ^ least[1::2]).tolist())
+                members.append(distinct(h.astype(np.uint32)).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [b.column(1), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.array(bytes_, pa.binary()), pa.array(names, pa.list_(pa.int64()))], ["doc_id", "fp", "sketch", "shards"]
-            )
+                [
+                    b.column(1), b.column(2), *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (node, prints)),
+                    pa.array(names, pa.list_(pa.int64())), pa.array(members, pa.binary()),
+                ],
+                ["doc_id", "h", "node", "fp", "names", "shingles"],
+            )
+
+    rows = docs.select(F.col("text").cast("binary").alias("text"), "doc_id", F.xxhash64("text", F.col("text").isNull()).alias("h"))
+    return rows.mapInArrow(run, plus(rows.select("doc_id"), {"h": "bigint", "node": "bigint", "fp": "bigint", "names": "array<bigint>", "shingles": "binary"}))
+
+
+def _common_members(sets: list[np.ndarray], q: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How many members sets[q[i]] and sets[n[i]] share, for all i together: one sorted list of (i, member) for each side."""
 
-    rows = docs.select(F.col("text").cast("binary").alias("text"), "doc_id")
-    return rows.mapInArrow(run, plus(docs.select("doc_id"), {"fp": "bigint", "sketch": "binary", "shards": "array<bigint>"}))
+    def numbered(which: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(0, dtype=np.uint64), *(np.uint64(i << 32) | sets[k].astype(np.uint64) for i, k in enumerate(which.tolist()))])
 
+    both = np.sort(np.concatenate([numbered(q), numbered(n)]), kind="stable")
+    return np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(32)).astype(np.int64), minlength=len(q))
 
-def _link_like(radius: int, least: float, slots: int, block: int = 256):
-    """As _link, but of the tree's hits only those stay whose sketches agree in a share of their slots of least or more."""
+
+def _joined(sets: list[np.ndarray], q: np.ndarray, n: np.ndarray, least: float, run: int = 1024) -> list[tuple[int, int]]:
+    """A spanning forest of those pairs (q, n) whose sets have a Jaccard similarity of least or more.
+
+    Pairs are verified in rounds, in each the first open pair of every tree of the forest so far; what has come together is
+    open no more, so a group of m copies costs about m comparisons, and only pairs that stay apart are all compared.
+    """
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    up = np.arange(len(sets))
+    short, long_ = np.minimum(size[q], size[n]), np.maximum(size[q], size[n])
+    may = (short >= least * long_) & (q != n)
+    q, n, links = q[may], n[may], []
+    while len(q):
+        while (up != (top := up[up])).any():
+            up = top
+        apart = up[q] != up[n]
+        q, n = q[apart], n[apart]
+        _, first = np.unique(up[q], return_index=True)
+        for lo in range(0, len(first), run):
+            i = first[lo : lo + run]
+            both = _common_members(sets, q[i], n[i])
+            like = i[both >= least * (size[q[i]] + size[n[i]] - both)]
+            for a, b in zip(q[like].tolist(), n[like].tolist(), strict=True):
+                links.append((a, b))
+                a, b = _root(up, a), _root(up, b)
+                up[max(a, b)] = min(a, b)
+        open_ = np.ones(len(q), dtype=bool)
+        open_[first] = False
+        q, n = q[open_], n[open_]
+    return links
+
+
+def _root(up: np.ndarray, x: int) -> int:
+    while up[x] != x:
+        x = int(up[x])
+    return x
+
+
+def _link_like(radius: int, least: float, block: int = 256):
+    """For each row of two blocks of (node, fp, shingles): links between nodes whose fingerprints the BK-tree of the first
+    block finds within the radius and whose sets are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            for tree_fp, tree_sk, asked_fp, asked_sk in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                fps, at = np.unique(np.array(tree_fp, dtype=np.int64).view(np.uint64), return_index=True)
-                own = np.frombuffer(b"".join(tree_sk), dtype=np.uint8).reshape(-1, slots)[at]
-                tree, asked = BKTree(fps), np.array(asked_fp, dtype=np.int64).view(np.uint64)
-                theirs = np.frombuffer(b"".join(asked_sk), dtype=np.uint8).reshape(-1, slots)
-                for lo in range(0, len(asked), block):
-                    q, n = tree.within(asked[lo : lo + block], radius)
-                    same = np.concatenate([(theirs[lo + q[i : i + 4096]] == own[n[i : i + 4096]]).sum(axis=1) for i in range(0, len(q), 4096)] or [np.zeros(0)])
-                    # a byte of different minima agrees once in 256 times
-                    ok = (same / slots - 1 / 256) / (1 - 1 / 256) >= least
-                    out += _forest(asked[lo : lo + block][q[ok]].view(np.int64), fps[n[ok]].view(np.int64))
+            out: set[tuple[int, int]] = set()
+            for i in range(batch.num_rows):
+                one, two = (batch.column(k)[i].as_py() for k in (0, 1))
+                members = one + (two or [])
+                sets = [np.frombuffer(m["shingles"], dtype=np.uint32) for m in members]
+                fps = np.array([m["fp"] for m in members], dtype=np.int64).view(np.uint64)
+                tree = BKTree(fps[: len(one)])
+                # a node of the tree is a fingerprint: members with an equal one are all met there
+                order = np.argsort(fps[: len(one)], kind="stable")
+                lo_of, hi_of = (np.searchsorted(fps[: len(one)][order], tree.prints, side) for side in ("left", "right"))
+                start = len(one) if two else 0
+                for lo in range(start, len(members), block):
+                    hits, node = tree.within(fps[lo : min(lo + block, len(members))], radius)
+                    many = (hi_of - lo_of)[node]
+                    q = np.repeat(lo + hits, many)
+                    at = np.repeat(lo_of[node] - np.concatenate([[0], np.cumsum(many)[:-1]]) if len(many) else np.zeros(0, dtype=np.int64), many) + np.arange(int(many.sum()))
+                    out.update((members[a]["node"], members[b]["node"]) for a, b in _joined(sets, q, order[at], least))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
     return run
 
 
-def near_copies(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, width: int = 5, least: float = 0.8, radius: int = 18, slots: int = 256, shards: int = 5, tree_size: int = 1024
-) -> DataFrame:
+def _near(rows: DataFrame, data: DataFrame, least: float, radius: int, tree_size: int) -> DataFrame:
+    """Components (node, component) over links of a similarity of least or more; rows has (node, names), data what a node's
+    rows in it hold: fp and shingles. Nodes that no shard brings together are not in it."""
+    named = rows.select("node", F.posexplode("names").alias("shard", "at")).distinct()
+    full = named.groupBy("shard", "at").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialize(named.join(full, ["shard", "at"]), "shard-members")
+    needed = members.select("node").distinct()
+    held = materialize(data.join(needed, "node", "left_semi").select("node", "fp", "shingles").dropDuplicates(["node"]), "shard-data")
+    members = members.withColumn("cuts", F.ceil(F.col("n") / tree_size).cast("int")).withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("cuts")).cast("int"))
+    full_rows = members.join(held, "node")
+    trees = materialize(full_rows.groupBy("shard", "at", "part").agg(F.sort_array(F.collect_list(F.struct("node", "fp", "shingles"))).alias("m"), F.first("cuts").alias("cuts")), "trees")
+    alone = trees.select(F.col("m").alias("t"), F.lit(None).cast(trees.schema["m"].dataType).alias("q"))
+    many = trees.where("cuts > 1")
+    across = many.join(many.select("shard", "at", F.col("part").alias("to"), F.col("m").alias("q")), ["shard", "at"]).where("part < to").select(F.col("m").alias("t"), "q")
+    links = materialize(alone.unionByName(across).mapInArrow(_link_like(radius, least), "a bigint, b bigint").distinct(), "links")
+    return connected_components(links)
+
+
+def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, width: int = 5, least: float = 0.8, radius: int = 20, shards: int = 8, tree_size: int = 512) -> DataFrame:
     """Rows (doc_id, fp, component_id): groups of texts whose sets of width-word shingles have a Jaccard similarity of least.
 
-    At that similarity SimHashes differ in up to about radius bits of 64, too many to be found by bits alone. So the shards
-    are named by the text's least shingle under `shards` hash functions: two texts of similarity s miss each other with
-    probability (1 - s) ** shards. In a shard the BK-tree finds the fingerprints within the radius, and a sketch of `slots`
-    minima, one byte each, gives their similarity to about 0.025. Shards are cut into trees of tree_size as in linked.
-    Equal fingerprints are one node. Nulls, repeats and empty tables are treated as in components.
+    At that similarity SimHashes of the distinct shingles differ in about 10 bits of 64, too many to be found by bits alone.
+    So a shard is named by two of the text's least shingles under independent hash functions: two texts of similarity s miss
+    each other in all shards with probability (1 - s * s) ** shards, 0.0003 at 0.8. In a shard the BK-tree finds the
+    fingerprints within the radius (at 0.8 all but 2 in 10,000 are), and each pair found is verified by its sets, exactly but
+    for equal 32-bit hashes. Texts of equal sets are one node. A shard over tree_size nodes is cut by hash into trees, each
+    of which meets every other. component_id is the smallest doc_id of the group, null if all its ids are null. Texts
+    without words are alike. Repeated rows come back as often as they stand in docs; an empty table gives an empty result.
     """
-    base = docs.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id"))
-    rows = materialize(_with_sketch(base, width, slots, shards), "sketches")
-    first = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(F.struct("sketch", "shards")).alias("s")), "distinct")
-    named = first.select("fp", F.col("s.sketch").alias("sketch"), F.posexplode("s.shards").alias("pair", "at"))
-    full = materialize(named.groupBy("pair", "at").agg(F.count("*").alias("n")).where("n > 1"), "shards")
-    members = named.join(full, ["pair", "at"]).withColumn("cuts", F.ceil(F.col("n") / tree_size).cast("int"))
-    members = members.withColumn("part", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("cuts")).cast("int"))
-    trees = materialize(members.groupBy("pair", "at", "part").agg(F.collect_list(F.struct("fp", "sketch")).alias("m"), F.first("cuts").alias("cuts")), "trees")
-    alone = trees.select(F.col("m").alias("t"), F.col("m").alias("q"))
-    many = trees.where("cuts > 1")
-    across = many.join(many.select("pair", "at", F.col("part").alias("to"), F.col("m").alias("q")), ["pair", "at"]).where("part < to").select(F.col("m").alias("t"), "q")
-    asked = alone.unionByName(across).select(F.col("t.fp").alias("t_fp"), F.col("t.sketch").alias("t_sk"), F.col("q.fp").alias("q_fp"), F.col("q.sketch").alias("q_sk"))
-    links = materialize(asked.mapInArrow(_link_like(radius, least, slots), "a bigint, b bigint").distinct(), "links")
-    return _grouped(rows.select("doc_id", "fp"), first.select("fp", "first"), links)
+    rows = materialize(_sketched(docs.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id")), width, shards), "sketches")
+    groups = _near(rows, rows, least, radius, tree_size)
+    named = rows.select("doc_id", "fp", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = materialize(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
+    return named.join(first, "component").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def keep_one(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, whole: DataFrame | None = None, width: int = 5, least: float = 0.8, radius: int = 20, shards: int = 8, tree_size: int = 512
+) -> DataFrame:
     """The pipeline's filter: one document of each group of near copies (see near_copies), with the columns of docs.
 
-    The one that stays is the row with the group's smallest doc_id; of several rows with that id one stays. A group in which
-    no row has an id leaves nothing to name it by: its rows all stay.
+    A document is a pair of id and text. The one that stays has the group's smallest id, rows without an id last, and of
+    several texts with that id the smallest hash; of rows that repeat it one stays. whole may give the documents as they once
+    were, with the same columns: then a row whose id stands there once, with a text, is compared by that text and not by what
+    a former stage has left of it.
     """
-    found = near_copies(docs, text, doc_id)
-    keep = materialize(found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
-    rows = docs.join(keep, docs[doc_id] == keep["kept_id"], "left_semi").dropDuplicates([doc_id])
-    nameless = found.where("doc_id is null and component_id is null").isEmpty()
-    return rows if nameless else rows.unionByName(docs.where(F.col(doc_id).isNull()))
+    key, hash_ = free_name(docs, "near_id"), free_name(docs, "near_hash")
+    keyed = docs.withColumn(hash_, F.xxhash64(F.col(text), F.col(text).isNull())).withColumn(key, F.col(doc_id))
+    mine = keyed.select(F.col(key).alias("doc_id"), F.col(hash_).alias("h"))
+    if whole is None:
+        rows = data = materialize(_sketched(docs.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id")), width, shards), "sketches")
+    else:
+        data = materialize(_sketched(whole.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id")), width, shards), "sketches")
+        once = data.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("names").alias("names")).where("n = 1 and doc_id is not null").drop("n")
+        once = materialize(once, "whole")
+        rows = materialize(mine.join(once, "doc_id", "left"), "sketches")
+        others = rows.where("node is null").select("doc_id").distinct()
+        if not others.isEmpty():
+            ids = materialize(others, "others").withColumnRenamed("doc_id", "other_id")
+            apart = docs.join(ids, docs[doc_id].eqNullSafe(ids["other_id"]), "left_semi").select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id"))
+            apart = materialize(_sketched(apart, width, shards), "sketches")
+            rows = rows.where("node is not null").unionByName(apart.select(*rows.columns))
+            data = data.select("node", "fp", "shingles").unionByName(apart.select("node", "fp", "shingles"))
+    groups = _near(rows, data, least, radius, tree_size)
+    named = rows.select("doc_id", "h", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    best = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "h")).alias("best")).select("best.doc_id", "best.h").distinct()
+    best = materialize(best.select(F.col("doc_id").alias("best_id"), F.col("h").alias("best_h")), "kept")
+    kept = keyed.join(best, (keyed[hash_] == best["best_h"]) & keyed[key].eqNullSafe(best["best_id"]), "left_semi")
+    return kept.dropDuplicates([key, hash_]).select(*docs.columns)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
