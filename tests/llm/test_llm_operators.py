@@ -148,6 +148,73 @@ def test_near_copies_and_keep_one(spark, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
+def five(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or ({" ".join(w)} if w else set())
+
+
+def slow_groups(texts, least=0.8):
+    """Root of each text over links of a Jaccard similarity of least or more."""
+    sets, up = [five(t) for t in texts], list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(sets))]
+
+
+def edited(rng, text, target):
+    """A text whose five-word shingles are about target alike with those of text: words changed one by one."""
+    w = text.split()
+    while len(five(text) & five(" ".join(w))) > target * len(five(text) | five(" ".join(w))):
+        w[rng.randrange(len(w))] = words(rng, 1, "qrstuvwxyz")
+    return " ".join(w)
+
+
+def test_near_copies_about_the_threshold_equal_brute_force(spark):
+    rng = random.Random(41)
+    texts = []
+    for _ in range(60):
+        base = words(rng, rng.choice((12, 40, 150, 300)))
+        texts += [base, edited(rng, base, rng.uniform(0.75, 0.86))]
+    filler = "again and again and again and again " * 60
+    texts += [filler + words(rng, 60) for _ in range(4)]  # one shingle makes most of the text
+    base = words(rng, 300)
+    texts += [base, base + (" " + " ".join(base.split()[:20])) * 30, None, "", " \n", "one two", "One  TWO"]
+    opening = words(rng, 12)
+    texts += [opening + " " + words(rng, 40) for _ in range(120)]  # a common opening, cut into many trees
+    want = slow_groups(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df, tree_size=16).collect()}
+    missed = [i for i, w in enumerate(want) if got[i] != w]
+    assert not missed, (len(missed), len(set(want)))
+
+
+def test_keep_one_names_rows_by_id_and_text(spark):
+    rng = random.Random(42)
+    a, b, c, d = (words(rng, 80) for _ in range(4))
+    rows = [(1, a), (1, b), (1, b), (2, a), (None, c), (None, c), (None, d), (5, d), (None, None), (None, "")]
+    out = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert Counter(map(tuple, out.collect())) in (Counter([(1, a), (1, b), (None, c), (5, d), (None, x)]) for x in (None, ""))
+
+
+def test_keep_one_by_whole_texts(spark):
+    rng = random.Random(43)
+    base = words(rng, 200)
+    whole = [(1, base), (2, edited(rng, base, 0.85)), (3, words(rng, 200)), (4, "x"), (4, "y")]
+    left = [(1, base), (2, words(rng, 10)), (3, words(rng, 12)), (4, "x"), (9, "new text"), (10, "new text"), (None, "z")]
+    schema = "doc_id bigint, text string"
+    out = simhash.keep_one(spark.createDataFrame(left, schema), whole=spark.createDataFrame(whole, schema))
+    assert {r["doc_id"] for r in out.collect()} == {1, 3, 4, 9, None}
+
+
 # ---------------------------------------------------------------- packing
 
 
@@ -249,6 +316,36 @@ def test_digit_strings_are_permuted(spark):
     assert len({r["y"] for r in df.collect()}) == 100
 
 
+def test_strings_are_permuted_whole(spark):
+    letters = [chr(97 + i) for i in range(26)]
+    short = [a + b for a in letters[:8] for b in "019xyzAZ-_."]
+    texts = [f"mail {x}@example.com" for x in letters + short]
+    out = pseudo(spark, texts)
+    assert len(set(out)) == len(texts)
+    token = "".join(random.Random(51).choice("0123456789abcdef") for _ in range(1000))
+    long_ = [f"password={'Aa0' * 107}tail", f"token: {token}", "token=eyJhbGciOi.eyJzdWIiOiIx.SflKxwRJSM-eKKF2", "n" * 70 + "@example.org, x", "password=" + "Aa0" * 107 + "tai1"]
+    got = pseudo(spark, long_)
+    import re
+
+    assert all(len(a) == len(b) for a, b in zip(got, long_)) and len(set(got)) == len(long_)
+    assert "tail" not in got[0] and "Aa0Aa0" not in got[0] and re.fullmatch(r"token: [0-9a-f]{1000}", got[1]) and sum(x == y for x, y in zip(got[1][7:], token)) < 300
+    assert re.fullmatch(r"token=\w{10}\.\w{12}\.\w{10}-\w{5}", got[2]) and "SflK" not in got[2] and "nnnnn" not in got[3]
+
+
+def test_ibans_with_letters_and_late_dates(spark):
+    valid = ["GB82 WEST 1234 5698 7654 32", "NL91ABNA0417164300", "IE29AIBK93115212345678", "MT84MALT011000012345MTLCAST001S"]
+    out = pseudo(spark, [*valid, "GB83 WEST 1234 5698 7654 32", *(f"{y}-12-31" for y in range(9595, 10000))])
+    for a, b in zip(out, valid):
+        x = a.replace(" ", "")
+        assert a != b and len(a) == len(b) and a[:2] == b[:2] and [c.isalpha() for c in a] == [c.isalpha() for c in b]
+        assert int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+    assert out[4].startswith("GB83 WEST")
+    import datetime
+
+    days = [datetime.date.fromisoformat(d) for d in out[5:]]
+    assert len(set(days)) == len(days)
+
+
 def test_pii_counts_and_other_columns(docs, empty):
     out = pii.pseudonymise(docs, "k")
     assert out.count() == docs.count() and out.columns == [*docs.columns, "pii"]
@@ -327,18 +424,48 @@ def test_token_files_round_trip(spark, docs, empty, tmp_path):
 # ---------------------------------------------------------------- Merkle trees
 
 
+def slow_tree(text):
+    import hashlib
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    paragraphs, leaves = [], []
+    for line in (text or "").split("\n"):
+        own, run = [], []
+        for w in (ws := line.split(" ")):
+            run.append(w)
+            if zlib.crc32(w.encode()) % merkle.LEAF == 0:
+                own.append(" ".join(run))
+                run = []
+        if run:
+            own.append(" ".join(run))
+        elif zlib.crc32(ws[-1].encode()) % merkle.LEAF == 0 and not own:
+            own.append("")
+        leaves.append(own)
+        paragraphs.append(sha("".join(map(sha, own))))
+    sections, run = [], []
+    for p in paragraphs:
+        run.append(p)
+        if p[0] == "0":
+            sections.append(run)
+            run = []
+    sections += [run] if run else []
+    root = sha("".join(sha(("|" if False else ",").join(r)) for r in sections))
+    distinct = sorted({sha(x)[:16] for own in leaves for x in own})
+    return f"{root}-{len(distinct)}-{''.join(d[:6] for d in distinct[:256])}", {sha(x)[:6] for own in leaves for x in own}
+
+
 def test_merkle_fingerprints(spark, docs, empty):
-    out = merkle.op7_merkle.__wrapped__ if hasattr(merkle.op7_merkle, "__wrapped__") else None
-    assert out is None
     pairs = merkle.with_neighbours(docs).withColumn("edited", merkle.edited_tail(F.col("text"), F.col("patch"))).collect()
-    distinct = sorted({(r["doc_id"], r["text"] or "") for r in docs.collect()}, key=lambda x: (x[0] is not None, x[0] or 0))
-    assert Counter((r["doc_id"], r["text"]) for r in pairs) == Counter(distinct)
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    assert Counter((r["doc_id"], r["text"]) for r in pairs) == Counter(rows)
     prints = {}
     for r in pairs:
-        assert prints.setdefault(r["text"], r["fingerprint"]) == r["fingerprint"]
+        assert r["fingerprint"] == slow_tree(r["text"])[0] and len(r["fingerprint"]) <= 1620
+        prints[r["text"]] = r["fingerprint"]
         n = len(r["text"])
         assert r["edited"] == r["text"][: n - n // 4] + r["patch"] and len(r["patch"]) <= n // 4
     assert len(set(prints.values())) == len(prints)
+    distinct = sorted(set(rows), key=lambda x: (x[0] is not None, x[0] or 0))
     unique = [x for x in distinct if sum(y[0] == x[0] for y in distinct) == 1]
     by = {r["doc_id"]: r for r in pairs}
     for k in range(len(distinct) - 1):
@@ -346,15 +473,40 @@ def test_merkle_fingerprints(spark, docs, empty):
             r, nxt = by[distinct[k][0]], distinct[k + 1][1]
             assert r["patch"] == nxt[: len(r["text"]) // 4] and r["next_fingerprint"] == prints[nxt]
     assert merkle.with_neighbours(empty).count() == 0
-
-
-def test_likeness_locates_edits(spark):
-    base = "\n".join("line %d of a text that goes on for a while and then ends" % i for i in range(40))
-    changed = base.replace("line 7 of", "LINE 7 of")
-    rows = [(base, base), (base, changed), (base, "something else entirely"), ("", ""), ("", "a")]
-    df = spark.createDataFrame(rows, "a string, b string").select(merkle.likeness(merkle.fingerprint(F.col("a")), merkle.fingerprint(F.col("b"))).alias("n"))
-    n = [r["n"] for r in df.collect()]
-    assert n[0] == 1.0 and 0.95 < n[1] < 1.0 and n[2] < 0.05 and n[3] == 1.0 and n[4] == 0.0
+    named = spark.createDataFrame([("b", "x"), ("a", "y z"), ("a", "y z")], "doc_id string, text string")
+    assert Counter((r["doc_id"], r["next_fingerprint"] == slow_tree("x")[0]) for r in merkle.with_neighbours(named).collect()) == Counter({("a", True): 2, ("b", False): 1})
+
+
+def test_likeness_and_edit_places(spark):
+    rng = random.Random(61)
+    base = "\n".join(words(rng, 14) for _ in range(40))
+    line = base.split("\n")
+    changed = "\n".join([*line[:7], line[7].replace(" ", " NEW ", 1), *line[8:]])
+    inserted = "\n".join([words(rng, 9), *line])
+    rows = [(base, base), (base, changed), (base, inserted), (base, words(rng, 400)), ("", ""), ("", "a"), (line[0], line[0][:30] + "x" + line[0][30:]), (base, base + "\nend"), (base, "\n".join(line[:-3]))]
+    rows += [(words(rng, 5), words(rng, 3)), ("a b\n\n c", "a b\n\n\n c"), ("x", None), (base * 12, base * 12 + words(rng, 20))]
+    for _ in range(30):
+        t = rng.choice([base, line[3], "\n".join(rng.choice(["", "a", words(rng, 3)]) for _ in range(8))])
+        at, n = rng.randint(0, len(t)), rng.randint(0, 12)
+        rows.append((t, t[:at] + words(rng, rng.randint(0, 2)) + t[at + n :]))
+    ta, tb = merkle.tree(F.col("a")), merkle.tree(F.col("b"))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, b string").repartition(4).select("i", "a", "b", ta.alias("ta"), tb.alias("tb"))
+    out = df.select("i", "a", "b", merkle.likeness(merkle.fingerprint(F.col("ta")), merkle.fingerprint(F.col("tb"))).alias("n"), merkle.edit_place(F.col("ta"), F.col("tb")).alias("e")).orderBy("i").collect()
+    for r in out:
+        a, b = r["a"], r["b"] or ""
+        (_, x), (_, y) = slow_tree(a), slow_tree(b)
+        want = 1.0 if a == b else len(x & y) / max(len(x), len(y), 1)
+        assert abs(r["n"] - want) < (1e-9 if max(len(x), len(y)) <= 256 else 0.1)
+        if a == b:
+            assert r["e"] is None
+            continue
+        start, stop = r["e"]
+        tail = len(a) - stop
+        assert a[:start] == b[:start] and (not tail or a[stop:] == b[len(b) - tail :]) and start <= stop <= len(a)
+    n = [r["n"] for r in out]
+    assert n[0] == 1.0 and n[1] > 0.9 and n[2] > 0.9 and n[3] < 0.1 and n[6] > 0.3
+    span = out[1]["e"]
+    assert span["stop"] - span["start"] <= len(line[7]) and span["start"] >= len("\n".join(line[:7]))
 
 
 # ---------------------------------------------------------------- line dedup
@@ -429,7 +581,7 @@ def test_buckets_mixed_in_the_last_round_lose_no_pair(spark):
 def test_mixed_buckets_are_compared_block_by_block(spark):
     lines, planted = template_lines(random.Random(36), 150, 40)
     texts = lines + [x for pair in planted for x in pair] + [lines[0] + "x", "short line", "a" * 9000, "a" * 8000 + "b"]
-    members = spark.createDataFrame([(k, i) for k in (1, 2) for i in range(len(texts))] + [(3, 0)], "key bigint, line bigint")
+    members = spark.createDataFrame([(k, i, True) for k in (1, 2) for i in range(len(texts))] + [(3, 0, True)], "key bigint, line bigint, apart boolean")
     named = spark.createDataFrame(list(enumerate(texts)), "line bigint, text string")
     links = {tuple(sorted(r)) for r in linededup._linked_inside(members, named, linededup.Shape(), 16, 3000).collect()}
     sets = [{x[i : i + 8] for i in range(len(x) - 7)} for x in texts]
