@@ -154,9 +154,10 @@ def with_neighbours(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     by hashes of id and text, and each sends its patch and fingerprint to the one before it.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    named = rows.select(F.xxhash64("doc_id", F.col("doc_id").isNull()).alias("k"), F.xxhash64("text").alias("h"), "doc_id", "text")
     # both sides of the last join start from these columns dealt out by k and h: Spark moves the texts once for both
-    rows = rows.select(F.xxhash64("doc_id", F.col("doc_id").isNull()).alias("k"), F.xxhash64("text").alias("h"), "doc_id", "text")
-    ids = rows.groupBy("doc_id", "k", "h").agg(F.max(F.length("text")).alias("n"), F.count("*").alias("copies"))
+    rows = named.select("k", "h", "text")
+    ids = named.groupBy("doc_id", "k", "h").agg(F.max(F.length("text")).alias("n"), F.count("*").alias("copies"))
     ids = materialize(ids.repartitionByRange("doc_id", "h").withColumn("part", F.spark_partition_id()), "order")
     me = F.struct("k", "h", "n")
     ends = ids.groupBy("part").agg(F.max(F.struct("doc_id", "h", "k", "n")).alias("e")).select("part", F.struct("e.k", "e.h", "e.n").alias("last"))
@@ -169,8 +170,8 @@ def with_neighbours(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         "ends",
     )
     inside = W.partitionBy("part").orderBy("doc_id", "h")
-    order = ids.join(F.broadcast(ends), "part").select("k", "h", "copies", F.coalesce(F.lag(me).over(inside), "before").alias("p"))  # one row a partition
-    order = materialize(order.select("k", "h", "copies", F.col("p.k").alias("pk"), F.col("p.h").alias("ph"), F.floor(F.col("p.n") / 4).cast("int").alias("take")), "previous")
+    order = ids.join(F.broadcast(ends), "part").select("k", "h", "doc_id", "copies", F.coalesce(F.lag(me).over(inside), "before").alias("p"))  # one row a partition
+    order = materialize(order.select("k", "h", "doc_id", "copies", F.col("p.k").alias("pk"), F.col("p.h").alias("ph"), F.floor(F.col("p.n") / 4).cast("int").alias("take")), "previous")
     mine = rows.repartition("k", "h").join(order, ["k", "h"]).withColumn("copy", F.row_number().over(W.partitionBy("k", "h").orderBy("k"))).where("copy = 1")
     printed = mine.withColumn("tree", tree(F.col("text"))).withColumn("fingerprint", fingerprint(F.col("tree")))
     sent = printed.select(F.col("pk").alias("k"), F.col("ph").alias("h"), F.expr("substring(text, 1, take)").alias("patch"), F.col("fingerprint").alias("next_fingerprint"))
