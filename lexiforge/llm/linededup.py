@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import free_name, table
+from lexiforge.llm.common import distinct, free_name, plus, table
 from lexiforge.llm.simhash import _forest
 from lexiforge.operators.components import connected_components
 from lexiforge.store import materialize
@@ -33,7 +32,14 @@ class Shape:
 
 def norm(line: str) -> str:
     """What two lines are compared by: lower case, runs of white space as one space, none at the ends."""
-    return " ".join(line.lower().split())
+    return _squeezed(line.lower())
+
+
+def _squeezed(line: str) -> str:
+    """Runs of white space as one space, none at the ends."""
+    if line.isprintable() and "  " not in line:  # a space is the one printable white space
+        return line.strip()
+    return " ".join(line.split())
 
 
 def line_id(line: str) -> int:
@@ -64,29 +70,46 @@ def _shingles(text: str, chars: int) -> np.ndarray:
     return _roll(_codes(text), chars)
 
 
+def _scrambled(h: np.ndarray, seed: int) -> np.ndarray:
+    h = h ^ np.uint32(seed)
+    h *= np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0xC2B2AE35)
+    h ^= h >> np.uint32(16)
+    return h
+
+
 def _keys(lines: list[str], shape: Shape, level: int = 0) -> np.ndarray:
-    """lines x bands: one key for each band, from minima under independent hash functions; other ones on each level.
+    """lines x bands: one key for each band, from minima under different hash functions; other ones on each level.
 
-    Lines of at least a shingle are laid end to end, as many as fit a chunk that stays in the processor's cache; all their
-    shingles are hashed at once, and each line's minima are taken over its own stretch, which ends before shingles that
-    reach into the next line. A line longer than a chunk is folded piece by piece, a shorter one than a shingle alone.
+    The functions are h1 + k * h2 + c_k modulo 2**32, of two hashes of a shingle and a constant: each is uniform, any two of
+    them are independent, and the constants keep a shingle with a small h2 from being least under many of them. Lines of at
+    least a shingle are laid end to end, as many as fit a chunk that stays in the processor's cache; all their shingles are
+    hashed at once, and each line's minima are taken over its own stretch, which ends before shingles that reach into the next
+    line. A line longer than a chunk is folded piece by piece, a shorter one than a shingle alone.
     """
-    rng = np.random.default_rng(1_000 + level)
-    mult = rng.integers(1, 1 << 32, shape.bands * shape.rows, dtype=np.uint32) | np.uint32(1)
-    least = np.full((len(lines), len(mult)), 0xFFFFFFFF, dtype=np.uint32)
-    room = np.empty(2 * _CHUNK + shape.chars, dtype=np.uint32)
+    turn = np.random.default_rng(1_000 + level).integers(0, 1 << 32, shape.bands * shape.rows, dtype=np.uint32)
+    least = np.full((len(lines), len(turn)), 0xFFFFFFFF, dtype=np.uint32)
 
     def fold(parts: list[str], of: list[int]) -> None:
-        h = (_roll(_codes("".join(parts)), shape.chars) >> np.uint64(32)).astype(np.uint32)
+        code = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        n = max(1, len(code) - shape.chars + 1)
+        h = np.zeros(n, dtype=np.uint32)
+        for i in range(min(shape.chars, len(code))):
+            h *= np.uint32(0x01000193)
+            h += code[i : i + n]
+        x, step = _scrambled(h, 0x9E3779B9 + level), _scrambled(h, 0x2545F491 ^ level)
         size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
         start = np.cumsum(size) - size
-        stop = np.minimum(start + np.maximum(size - shape.chars + 1, 1), len(h))
+        stop = np.minimum(start + np.maximum(size - shape.chars + 1, 1), n)
         edges = np.stack([start, stop], axis=1).ravel()
-        edges = edges[:-1] if edges[-1] >= len(h) else edges
-        x = room[: len(h)] if len(h) <= len(room) else np.empty(len(h), dtype=np.uint32)
-        for k in range(len(mult)):
-            np.multiply(h, mult[k], out=x)
-            least[of, k] = np.minimum(least[of, k], np.minimum.reduceat(x, edges)[::2])
+        edges = edges[:-1] if edges[-1] >= n else edges
+        turned, mine = np.empty_like(x), np.empty((len(turn), len(parts)), dtype=np.uint32)
+        for k in range(len(turn)):
+            np.add(x, turn[k], out=turned)
+            mine[k] = np.minimum.reduceat(turned, edges)[::2]
+            x += step
+        least[of] = np.minimum(least[of], mine.T)
 
     parts, of, size = [], [], 0
     for i, line in enumerate(lines):
@@ -112,12 +135,6 @@ def _keys(lines: list[str], shape: Shape, level: int = 0) -> np.ndarray:
     return out.view(np.int64)
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sorted sets of shingle hashes."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
-
-
 def _sketch(shape: Shape):
     """Rows (doc key columns, line_no, line, bands) for each line that is not blank; bands at a line's first sight in a batch."""
 
@@ -127,8 +144,8 @@ def _sketch(shape: Shape):
                 part = batch.slice(lo, 512)
                 of, no, ids, new, slot = [], [], [], {}, []
                 for i, text in enumerate(part.column(2).to_pylist()):
-                    for n, raw in enumerate((text or "").split("\n")):
-                        line = norm(raw)
+                    for n, raw in enumerate((text or "").lower().split("\n")):
+                        line = _squeezed(raw)
                         if line:
                             of.append(i)
                             no.append(n)
@@ -158,8 +175,8 @@ def _texts(bits: int):
             for batch in batches:
                 got = {}
                 for text in batch.column(0).to_pylist():
-                    for raw in (text or "").split("\n"):
-                        if line := norm(raw):
+                    for raw in (text or "").lower().split("\n"):
+                        if line := _squeezed(raw):
                             x = line_id(line)
                             p = (x & 0xFFFFFFFFFFFFFFFF) % bits
                             if wanted[p >> 3] >> (p & 7) & 1:
@@ -197,50 +214,152 @@ def _filter_of(wanted: DataFrame) -> tuple[int, bytes]:
     return bits, bytes(out)
 
 
+_RUN_BITS = 12
+
+
+class _Sets:
+    """The sets of shingle hashes of texts, laid end to end: 52 bits of each hash."""
+
+    def __init__(self, texts: list[str], chars: int):
+        self.flat, sizes, lo = [], [], 0
+        while lo < len(texts):
+            hi, length = lo, 0
+            while hi < len(texts) and hi - lo < 1 << _RUN_BITS and (length < 1 << 20 or hi == lo):
+                length += len(texts[hi])
+                hi += 1
+            part = self._numbered(texts[lo:hi], chars)
+            self.flat.append(part & np.uint64((1 << 64 - _RUN_BITS) - 1))
+            sizes.append(np.bincount((part >> np.uint64(64 - _RUN_BITS)).astype(np.int64), minlength=hi - lo))
+            lo = hi
+        self.flat = np.concatenate([np.zeros(0, dtype=np.uint64), *self.flat])
+        self.size = np.concatenate([np.zeros(0, dtype=np.int64), *sizes])
+        self.start = np.cumsum(self.size) - self.size
+
+    @staticmethod
+    def _numbered(texts: list[str], chars: int) -> np.ndarray:
+        """Of up to 2**_RUN_BITS texts one sorted set: a text's number above, the upper bits of a hash below."""
+        size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        if size.min() < chars:  # a text shorter than a shingle has one hash, of its own
+            return distinct(np.concatenate([np.uint64(i << 64 - _RUN_BITS) | _shingles(t, chars) >> np.uint64(_RUN_BITS) for i, t in enumerate(texts)]))
+        start = np.cumsum(size) - size
+        h = _roll(_codes("".join(texts)), chars)
+        of = np.repeat(np.arange(len(texts)), size)[: len(h)]
+        whole = np.arange(len(h)) < (start + size - chars + 1)[of]
+        return distinct(of[whole].astype(np.uint64) << np.uint64(64 - _RUN_BITS) | h[whole] >> np.uint64(_RUN_BITS))
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.flat[self.start[i] : self.start[i] + self.size[i]]
+
+    def _of(self, which: np.ndarray) -> np.ndarray:
+        size = self.size[which]
+        at = np.repeat(self.start[which] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return np.repeat(np.arange(len(which)), size).astype(np.uint64) << np.uint64(64 - _RUN_BITS) | self.flat[at]
+
+    def jaccards(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The similarity of set a[i] with set b[i], for all i."""
+        out, lo, n = np.zeros(len(a)), 0, 1 << _RUN_BITS
+        total = np.cumsum(self.size[a] + self.size[b])
+        while lo < len(a):
+            hi = max(lo + 1, min(lo + n, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + (1 << 22)))))
+            x, y = a[lo:hi], b[lo:hi]
+            both = np.sort(np.concatenate([self._of(x), self._of(y)]))
+            both = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(64 - _RUN_BITS)).astype(np.int64), minlength=len(x))
+            out[lo:hi] = both / (self.size[x] + self.size[y] - both)
+            lo = hi
+        return out
+
+
 def _verify(shape: Shape):
     """Of rows (a, b, text_a, text_b) those whose exact Jaccard similarity reaches the threshold, as (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: OrderedDict[int, np.ndarray] = OrderedDict()
-
-        def of(key: int, text: str) -> np.ndarray:
-            if key not in sets:
-                if len(sets) >= 256:
-                    sets.popitem(last=False)
-                sets[key] = np.unique(_shingles(text, shape.chars))
-            return sets[key]
-
         for batch in batches:
-            keep = []
-            a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
-            for i in range(batch.num_rows):
-                x, y = of(b[i], tb[i]), np.unique(_shingles(ta[i], shape.chars))
-                keep.append(min(len(x), len(y)) >= shape.least * max(len(x), len(y)) and jaccard(x, y) >= shape.least)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            sets, n = _Sets(batch.column(2).to_pylist() + batch.column(3).to_pylist(), shape.chars), batch.num_rows
+            like = sets.jaccards(np.arange(n), np.arange(n, 2 * n)) >= shape.least
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(like))
 
     return run
 
 
-def _finer(shape: Shape, level: int):
-    """Rows (key, line) of lines under the keys of a level's bands."""
+def _scattered(line: np.ndarray) -> np.ndarray:
+    x = line.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ x >> np.uint64(32)).view(np.int64)
+
+
+def _stars_here(shape: Shape | None, level: int = 0):
+    """Of rows (line, bands), or (line, text) with a shape: the buckets of one batch, rows (g, line, low).
+
+    In each bucket the smallest line is low, with the bucket's key as g; the others name it as theirs under a g of their own,
+    from which _pairs finds the key. So a bucket that holds much of the table sends one row a batch to its key.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = _keys(batch.column(1).to_pylist(), shape, level)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), shape.bands))], ["key", "line"])
+            line = batch.column(0).to_numpy()
+            if shape:
+                line, first = np.unique(line, return_index=True)
+                key = _keys(batch.column(1).take(pa.array(first)).to_pylist(), shape, level).ravel()
+                line = np.repeat(line, shape.bands)
+            else:
+                bands = batch.column(1)
+                many = np.diff(bands.offsets.to_numpy())
+                with_ = np.flatnonzero(many > 0)
+                line, first = np.unique(line[with_], return_index=True)
+                chosen = bands.take(pa.array(with_[first]))
+                key, line = chosen.flatten().to_numpy(), np.repeat(line, np.diff(chosen.offsets.to_numpy()))
+            if not len(key):
+                continue
+            order = np.argsort(key, kind="stable")  # lines ascend, so the first of a bucket is its smallest
+            key, line = key[order], line[order]
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = key[1:] != key[:-1]
+            low = line[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+            g = np.where(new, key, key ^ _scattered(line))
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(line), pa.array(low)], ["g", "line", "low"])
 
     return run
 
 
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (g, line, low) sorted by g: the candidates (a, b, key), each line with the smallest of its batch's bucket, and
+    each of these with the smallest of all. The last bucket's rows, one from each batch that has it, wait for what follows."""
+
+    def stars(g: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        b = np.repeat(np.minimum.reduceat(line, start), np.diff(np.append(start, len(g))))
+        on = line != b
+        return line[on], b[on], g[on]
+
+    def rows(out: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["a", "b", "key"])
+
+    held = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    for batch in batches:
+        g, line, low = (batch.column(i).to_numpy() for i in range(3))
+        own = line != low
+        out = [(line[own], low[own], g[own] ^ _scattered(line[own]))]
+        g, line = np.concatenate([held[0], g[~own]]), np.concatenate([held[1], line[~own]])
+        if len(g):
+            last = np.searchsorted(g, g[-1])
+            held = g[last:], line[last:]
+            if last:
+                out.append(stars(g[:last], line[:last]))
+        yield rows(out)
+    if len(held[0]):
+        yield rows([stars(*held)])
+
+
 def _common(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     """How many values each set of a shares with each of b: products of 0/1 matrices, so many distinct values at a time."""
     h = np.concatenate([*a, *b])
     row = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in [*a, *b]])
-    _, inv, n = np.unique(h, return_inverse=True, return_counts=True)
-    row, inv = row[n[inv] > 1], inv[n[inv] > 1]
-    _, column = np.unique(inv, return_inverse=True)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
+    order = np.argsort(h, kind="stable")
+    h, row = h[order], row[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = h[1:] != h[:-1]
+    lone = new & np.append(new[1:], True)
+    column, row = np.cumsum(new & ~lone)[~lone] - 1, row[~lone]
     out = np.zeros((len(a), len(b)), dtype=np.float64)
     for lo in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
         x, y = np.searchsorted(column, [lo, lo + columns])
@@ -250,86 +369,129 @@ def _common(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096) -> np
     return out
 
 
-def _link_blocks(shape: Shape):
-    """For each row of two blocks of (line, text): the pairs that reach the threshold, contracted to a spanning forest."""
+def _link_blocks(shape: Shape, few: int = 4096):
+    """For each row of two blocks of (line, text), or one that meets itself: the pairs that reach the threshold, contracted to
+    a spanning forest. The lines of y hang together already where together says so, and count as one.
+
+    The shingles of a batch's lines are hashed once. Blocks of up to `few` pairs are compared pair by pair, those of the whole
+    batch together; larger ones by matrix products.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: set[tuple[int, int]] = set()
-            for i in range(batch.num_rows):
-                blocks = [batch.column(k)[i].as_py() for k in (0, 1)]
-                ids = [np.array([m["line"] for m in b], dtype=np.int64) for b in blocks]
-                sets = [[np.unique(_shingles(m["text"], shape.chars)) for m in b] for b in blocks]
-                size = [np.array([len(x) for x in s], dtype=np.float64) for s in sets]
-                both = _common(*sets)
-                x, y = np.nonzero(both / (size[0][:, None] + size[1] - both) >= shape.least)
-                out.update(_forest(ids[0][x], ids[1][y]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+            members = [batch.column(k).flatten() for k in (0, 1)]
+            many = [np.diff(batch.column(k).offsets.to_numpy()) * batch.column(k).is_valid().to_numpy(zero_copy_only=False) for k in (0, 1)]
+            texts = pa.concat_arrays([m.field(1) for m in members])
+            line, first, place = np.unique(np.concatenate([m.field(0).to_numpy() for m in members]), return_index=True, return_inverse=True)
+            sets = _Sets(texts.take(pa.array(first)).to_pylist(), shape.chars)
+            ends = [np.cumsum(m) for m in many]
+            of_x, of_y = place[: len(members[0])], place[len(members[0]) :]
+            rows, a, b, links = [], [], [], set()
+            for i, together in enumerate(batch.column(2).to_pylist()):
+                x = of_x[ends[0][i] - many[0][i] : ends[0][i]]
+                y = of_y[ends[1][i] - many[1][i] : ends[1][i]] if many[1][i] else x
+                if len(x) * len(y) > few:
+                    both = _common([sets[k] for k in x], [sets[k] for k in y])
+                    p, q = np.nonzero(both / (sets.size[x][:, None] + sets.size[y] - both) >= shape.least)
+                    p, q = x[p], y[q]
+                    if together:
+                        p, one = np.unique(p, return_index=True)
+                        links.update(zip(p.tolist(), q[one].tolist(), strict=True))
+                    else:
+                        links.update(_forest(p[p != q], q[p != q]))
+                    continue
+                a.append(np.repeat(x, len(y)))
+                b.append(np.tile(y, len(x)))
+                rows.append(np.full(len(a[-1]), i if together else -1))
+            if a:
+                a, b, rows = np.concatenate(a), np.concatenate(b), np.concatenate(rows)
+                sure = np.minimum(sets.size[a], sets.size[b]) >= shape.least * np.maximum(sets.size[a], sets.size[b])
+                sure &= a != b
+                a, b, rows = a[sure], b[sure], rows[sure]
+                pair, at = np.unique(np.minimum(a, b) * len(line) + np.maximum(a, b), return_inverse=True)
+                like = (sets.jaccards(pair // max(1, len(line)), pair % max(1, len(line))) >= shape.least)[at]
+                a, b, rows = a[like], b[like], rows[like]
+                own = rows >= 0
+                _, one = np.unique(rows[own] * len(line) + a[own], return_index=True)
+                links.update(zip(a[own][one].tolist(), b[own][one].tolist(), strict=True))
+                links.update(_forest(a[~own], b[~own]))
+            yield pa.RecordBatch.from_arrays([pa.array(line[np.array([x[k] for x in links], dtype=np.int64)]) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
 def _linked_inside(members: DataFrame, texts: DataFrame, shape: Shape, block: int, chars: int = 1 << 21) -> DataFrame:
-    """Links (a, b) whose components are those of all like pairs inside each bucket of members (key, line).
+    """Links (a, b) whose components, with those that stand already, are those of all like pairs inside each bucket of members
+    (key, line, apart). Lines that are not apart hang together by links that stand; those apart are compared with all.
 
-    Buckets are cut by hash into blocks of about `block` lines and `chars` characters, and every block is compared with
-    every other one of its bucket. Buckets of the same lines are compared once.
+    Buckets are cut by hash into blocks of about `block` lines and `chars` characters, lines apart by themselves, and every
+    block of lines apart meets every block of its bucket. Buckets of the same lines are compared once.
     """
     sized = members.join(texts, "line")
-    full = sized.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("line").cast("decimal(20,0)")).alias("sum"), F.sum(F.length("text")).alias("size")).where("n > 1")
+    full = sized.groupBy("key").agg(
+        F.count("*").alias("n"), F.sum(F.xxhash64("line", "apart").cast("decimal(20,0)")).alias("sum"), F.sum(F.length("text")).alias("size")
+    ).where("n > 1")
     cuts = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("size") / chars)).cast("int")
     full = materialize(full.groupBy("n", "sum").agg(F.min(F.struct("key", cuts.alias("cuts"))).alias("k")).select("k.key", "k.cuts"), "line-mixed")
     part = F.pmod(F.xxhash64("line", F.lit(7)), F.col("cuts")).cast("int")
-    cut = sized.join(full, "key").groupBy("key", part.alias("part")).agg(F.collect_list(F.struct("line", "text")).alias("m"), F.first("cuts").alias("cuts"))
+    cut = sized.join(full, "key").groupBy("key", "apart", part.alias("part")).agg(F.collect_list(F.struct("line", "text")).alias("m"))
     blocks = materialize(cut, "line-blocks")
-    alone = blocks.select(F.col("m").alias("x"), F.col("m").alias("y"))
-    many = blocks.where("cuts > 1")
-    across = many.join(many.select("key", F.col("part").alias("to"), F.col("m").alias("y")), "key").where("part < to").select(F.col("m").alias("x"), "y")
+    ones = blocks.where("apart")
+    alone = ones.select(F.col("m").alias("x"), F.lit(None).cast(blocks.schema["m"].dataType).alias("y"), F.lit(False).alias("together"))
+    across = ones.join(blocks.select("key", F.col("apart").alias("too"), F.col("part").alias("to"), F.col("m").alias("y")), "key").where("not too or part < to").select(F.col("m").alias("x"), "y", (~F.col("too")).alias("together"))
     return alone.unionByName(across).mapInArrow(_link_blocks(shape), "a bigint, b bigint").distinct()
 
 
-def similar_lines(docs: DataFrame, lines: DataFrame, shape: Shape, *, levels: tuple[tuple[int, int], ...] = ((24, 8), (64, 12)), block: int = 256) -> DataFrame:
+def _mixed(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows (key, line, apart) of the mixed buckets: those of three lines or more in which some comparison failed. A line is
+    apart if it is unlike what it was compared with, or if that is unlike the bucket's smallest line."""
+    failed = materialize(pairs.join(found, ["a", "b"], "left_anti"), "line-unlike")
+    keys = failed.select("key").distinct()
+    mine = pairs.join(keys, "key", "left_semi")
+    far = failed.select("key", "a").distinct()
+    mine = mine.join(far.withColumn("_own", F.lit(True)), ["key", "a"], "left").join(far.select("key", F.col("a").alias("b"), F.lit(True).alias("_low")), ["key", "b"], "left")
+    mine = mine.select("key", "a", "b", F.coalesce("_own", "_low", F.lit(False)).alias("apart"))
+    lines = mine.select("key", F.col("a").alias("line"), "apart").unionByName(mine.select("key", F.col("b").alias("line"), F.lit(False).alias("apart")))
+    lines = lines.groupBy("key", "line").agg(F.bool_or("apart").alias("apart"))
+    sizes = lines.groupBy("key").agg(F.count("*").alias("n"), F.count_if("apart").alias("n_apart")).where("n > 2")
+    return materialize(lines.join(sizes, "key"), "line-mixed")
+
+
+def similar_lines(docs: DataFrame, lines: DataFrame, shape: Shape, *, levels: tuple[tuple[int, int], ...] = ((24, 8), (64, 12)), block: int = 256, direct: int = 1 << 22) -> DataFrame:
     """Verified links (a, b) between different lines.
 
     docs has one column, the text. lines has line ids with their band keys. In every bucket each member is compared with the
-    bucket's smallest id, so a bucket costs as many rows as it has members, however large it is; true groups of near copies
-    hang together after that. Lines that share a bucket of three or more in which some member is unlike its first one, as
-    lines with a common passage do, are banded again: levels has the number of bands and the rows of each further round, so
-    that a round costs a fixed number of rows a line. In the buckets that are mixed even in the last round all lines are
-    compared with each other, in blocks of `block`. A pair at the threshold shares a bucket with probability
-    1 - (1 - least ** rows) ** bands: 0.985, 0.988 and 0.99 as set; one that needs all three rounds is found with 0.963.
+    smallest id of those in its batch, and each of these with the smallest of all: a bucket costs as many rows as it has
+    members, however large it is, and true groups of near copies hang together after that. A bucket of three lines or more in
+    which some line is unlike what it was compared with, as lines with a common passage are, is mixed: there every line that
+    stands apart is compared with all others, exactly. Where that would be more than `direct` comparisons in a bucket, its lines
+    are banded again instead: levels has the number of bands and the rows of each further round, so that a round costs a fixed
+    number of rows a line; after the last round all that stand apart are compared, block by block, however many they are. A pair
+    at the threshold shares a bucket with probability 1 - (1 - least ** rows) ** bands: 0.985, 0.988 and 0.99 as set; one whose
+    buckets are all banded twice more is found with 0.963.
     """
-    spark = docs.sparkSession
-    banded = lines.select("line", F.explode("bands").alias("key"))
-    full = materialize(banded.groupBy("key").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo < hi").select("key"), "line-buckets")
-    members = materialize(banded.join(full.hint("shuffle_hash"), "key").select("key", "line").distinct(), "line-members")
-    wanted = materialize(members.select("line").distinct(), "lines-wanted")
-    bits, bitmap = _filter_of(wanted)
-    texts = docs.mapInArrow(_texts(bits)(spark.sparkContext.broadcast(bitmap)), "line bigint, text string").dropDuplicates(["line"]).join(wanted, "line", "left_semi")
-    texts = materialize(texts, "line-texts")
-    links = None
+    spark, links, texts = docs.sparkSession, None, None
+    rows, stars = lines.select("line", "bands"), _stars_here(None)
     for level in range(len(levels) + 1):
-        first = materialize(members.groupBy("key").agg(F.min("line").alias("b"), F.count("*").alias("n")).where("n > 1"), "line-first")
-        pairs = materialize(members.join(first, "key").where("line != b").select(F.col("line").alias("a"), "b", "key", "n"), "line-pairs")
-        asked = pairs.select("a", "b").distinct()
+        placed = rows.mapInArrow(stars, "g bigint, line bigint, low bigint").repartition("g").sortWithinPartitions("g")
+        pairs = materialize(placed.mapInArrow(_pairs, "a bigint, b bigint, key bigint"), "line-pairs")
+        if texts is None:
+            wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct(), "lines-wanted")
+            bits, bitmap = _filter_of(wanted)
+            texts = docs.mapInArrow(_texts(bits)(spark.sparkContext.broadcast(bitmap)), "line bigint, text string").dropDuplicates(["line"]).join(wanted, "line", "left_semi")
+            texts = materialize(texts, "line-texts")
         right = texts.select(F.col("line").alias("b"), F.col("text").alias("text_b"))
         left = texts.select(F.col("line").alias("a"), F.col("text").alias("text_a"))
-        both = asked.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+        both = pairs.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
         found = materialize(both.mapInArrow(_verify(shape), "a bigint, b bigint"), "line-links")
         links = found if links is None else links.unionByName(found)
-        unlike = pairs.where("n > 2").join(found, ["a", "b"], "left_anti").select("key").distinct()
-        if level == len(levels):
-            mixed = materialize(pairs.join(unlike, "key", "left_semi").select("key", F.col("a").alias("line")), "line-rest")
-            if not mixed.isEmpty():
-                links = links.unionByName(materialize(_linked_inside(mixed, texts, shape, block), "line-links"))
-            break
-        rest = materialize(pairs.join(unlike, "key", "left_semi").select(F.col("a").alias("line")).distinct(), "line-rest")
-        if rest.isEmpty():
+        mixed, last = _mixed(pairs, found), level == len(levels)
+        within = F.lit(last) | (F.col("n") * F.col("n_apart") <= direct)
+        links = links.unionByName(materialize(_linked_inside(mixed.where(within).select("key", "line", "apart"), texts, shape, block), "line-links"))
+        mixed = mixed.where(~within)
+        if last or mixed.isEmpty():
             break
-        finer = Shape(shape.chars, *levels[level], shape.least)
-        members = rest.join(texts, "line").select("line", "text").mapInArrow(_finer(finer, level + 1), "key bigint, line bigint")
-        full = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        members = materialize(members.join(full, "key"), "line-members")
+        rows, stars = mixed.select("line").distinct().join(texts, "line").select("line", "text"), _stars_here(Shape(shape.chars, *levels[level], shape.least), level + 1)
     return links
 
 
@@ -343,9 +505,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *,
     id and text: rows that repeat one are treated as one, and all stay. Equality is that of a 64-bit hash of the line.
     """
     key, hash_ = free_name(docs, "line_doc"), free_name(docs, "line_hash")
-    keyed = docs.withColumn(key, F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(1 << 63)))).withColumn(hash_, F.xxhash64(F.col(text), F.col(doc_id).isNull()))
+    keyed = docs.withColumn(key, F.col(doc_id)).withColumn(hash_, F.xxhash64(F.col(text)))
     rows = keyed.select(F.col(key).alias("doc_id"), F.col(hash_).alias("h"), F.col(text).alias("text"))
-    lines = materialize(rows.mapInArrow(_sketch(shape), "doc_id bigint, h bigint, line_no int, line bigint, bands array<bigint>"), "lines")
+    made = plus(rows.select("doc_id"), {"h": "bigint", "line_no": "int", "line": "bigint", "bands": "array<bigint>"})
+    lines = materialize(rows.mapInArrow(_sketch(shape), made), "lines")
     links = similar_lines(rows.select("text"), lines.select("line", "bands"), shape)
     groups = connected_components(links)
     # only lines that stand more than once, alone or through their group, matter from here on
@@ -357,13 +520,13 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *,
     rows = materialize(rows, "line-places")
     kept = materialize(rows.groupBy("component").agg(F.min("place").alias("keep")), "line-kept")
     gone = rows.join(kept, "component").where(F.col("place") != F.col("keep"))
-    gone = materialize(gone.groupBy(F.col("place.doc_id").alias(key), F.col("place.h").alias(hash_)).agg(F.collect_set("place.line_no").alias("gone")), "line-gone")
+    gone = materialize(gone.groupBy(F.col("place.doc_id").alias("of_doc"), F.col("place.h").alias("of_text")).agg(F.collect_set("place.line_no").alias("gone")), "line-gone")
     at = F.split(F.col(text), "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(at) - 1), F.col("gone"))
     # the lines are split once and then picked by place
     picked = F.transform(F.array(F.struct(at.alias("at"), left.alias("left"))), lambda s: F.array_join(F.transform(s["left"], lambda i: F.element_at(s["at"], i + 1)), "\n"))
     new = F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.element_at(picked, 1))
-    out = keyed.join(gone.hint("shuffle_hash"), [key, hash_], "left")
+    out = keyed.join(gone.hint("shuffle_hash"), keyed[key].eqNullSafe(gone["of_doc"]) & (keyed[hash_] == gone["of_text"]), "left")
     more = [F.coalesce(F.size("gone"), F.lit(0)).alias(removed)] if removed else []
     return out.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns], *more)
 
