@@ -5,8 +5,12 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from lexiforge.functions import packs
 
 UNIT = "\u001f"
 
@@ -30,6 +34,11 @@ def _fold_table() -> tuple[str, str]:
 _FOLD_FROM, _FOLD_TO = _fold_table()
 
 
+def folded(text: str) -> str:
+    """fold for a plain value."""
+    return "".join(x for x in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(x))
+
+
 def sha256_hex(c: Column | str) -> Column:
     return F.sha2(_col(c).cast("string"), 256)
 
@@ -58,9 +67,24 @@ def safe_slug(c: Column | str, fallback: str = "item") -> Column:
     return F.when(F.coalesce(F.length(slug), F.lit(0)) > 0, slug).otherwise(F.lit(fallback))
 
 
-def normalize_search_text(c: Column | str) -> Column:
-    """No-break spaces as spaces, runs of blanks as one, lines trimmed, blank lines dropped."""
-    lines = F.split(F.regexp_replace(_col(c), "[  ]", " "), "\n", -1)
+@F.pandas_udf(StringType())
+def _composed(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+
+#: What NFC may change: combining marks, Hangul parts, and characters that only stand for others.
+_COMPOSABLE = r"[\p{M}\u1100-\u11FF\u0340-\u0344\u0374\u037E\u0387\u1F71-\u1FFD\u2000\u2001\u2126\u212A\u212B\u2329\u232A\uF900-\uFAFF\uFB1D-\uFB4E]"
+
+
+def nfc(c: Column | str) -> Column:
+    """Unicode's composed form. Spark has no function for it: texts that hold something to compose go through Arrow, others stay."""
+    t = _col(c)
+    return F.coalesce(_composed(F.when(t.rlike(_COMPOSABLE), t)), t)
+
+
+def normalize_search_text(c: Column | str, *, compose: bool = True) -> Column:
+    """Composed (NFC), no-break spaces as spaces, runs of blanks as one, lines trimmed, blank lines dropped."""
+    lines = F.split(F.regexp_replace(nfc(c) if compose else _col(c), "[  ]", " "), "\n", -1)
     return F.array_join(F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"[ \t\r\f]+", " "))), lambda x: x != ""), "\n")
 
 
@@ -95,14 +119,16 @@ def tokenize_stem(c: Column | str, suffixes: Sequence[str] = (), keep: int = 4)
     return F.transform(words, lambda w: F.coalesce(*[F.when(w.endswith(s) & (F.length(w) - len(s) >= keep), w.substr(F.lit(1), F.length(w) - len(s))) for s in suffixes], w))
 
 
-def keywords(c: Column | str, stopwords: Sequence[str] = (), suffixes: Sequence[str] = (), least: int = 3, cut: int = 7) -> Column:
-    """Folded words of `least` letters or digits or more that are no stop words and have no digit, ASCII words without
-    their suffix, cut to `cut` letters; each once, in the order of first sight."""
-    words = F.regexp_extract_all(fold(c), F.lit(rf"[\p{{L}}\p{{N}}]{{{least},}}"), F.lit(0))
-    kept = F.filter(words, lambda w: ~w.rlike(r"\p{N}") & ~w.isin(*stopwords) if stopwords else ~w.rlike(r"\p{N}"))
-    if suffixes:
-        kept = F.transform(kept, lambda w: F.coalesce(*[F.when(w.rlike("^[a-z]+$") & w.endswith(s) & (F.length(w) - len(s) >= 4), w.substr(F.lit(1), F.length(w) - len(s))) for s in suffixes], w))
-    return F.array_distinct(F.transform(kept, lambda w: F.substring(w, 1, cut)))
+def _without_suffix(w: Column, suffixes: Sequence[str], keep: int) -> Column:
+    return F.coalesce(*[F.when(w.endswith(s) & (F.length(w) - len(s) >= keep), w.substr(F.lit(1), F.length(w) - len(s))) for s in suffixes], w) if suffixes else w
+
+
+def keywords(c: Column | str, stopwords: Sequence[str] = packs.STOPWORDS, suffixes: Sequence[str] = packs.RO_KEYWORD_SUFFIXES, least: int = 3, cut: int = 7, token: str = packs.KEYWORD_TOKEN) -> Column:
+    """Folded words of `least` characters or more that are no stop words and no numbers, ASCII words without their suffix, cut
+    to `cut` characters; each once, in the order of first sight."""
+    words = F.regexp_extract_all(fold(c), F.lit(f"{token}{{{least},}}"), F.lit(0))
+    kept = F.filter(words, lambda w: ~w.rlike("^[0-9]+$") & ~w.isin(*stopwords) if stopwords else ~w.rlike("^[0-9]+$"))
+    return F.array_distinct(F.transform(kept, lambda w: F.substring(F.when(w.rlike("^[a-z0-9]+$"), _without_suffix(w, suffixes, 4)).otherwise(w), 1, cut)))
 
 
 def clip(c: Column | str, n: int) -> Column:
@@ -115,15 +141,23 @@ def clip(c: Column | str, n: int) -> Column:
 
 
 def count_words(c: Column | str, words: Sequence[str]) -> Column:
-    """How many words of the text are in the list."""
-    tokens = F.regexp_extract_all(F.lower(_col(c)), F.lit(r"\p{L}+"), F.lit(0))
+    """How many words of the folded text are in the list."""
+    tokens = F.regexp_extract_all(fold(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     return F.size(F.filter(tokens, lambda w: w.isin(*words)))
 
 
-def detect_language(c: Column | str, hint: Column | str, lists: dict[str, Sequence[str]], marks: dict[str, str], script: dict[str, str], default: str) -> Column:
+def detect_language(
+    c: Column | str,
+    hint: Column | str,
+    lists: dict[str, Sequence[str]] = packs.FUNCTION_WORDS,
+    marks: dict[str, str] = packs.MARKS,
+    script: dict[str, str] = packs.SCRIPTS,
+    default: str = packs.LANGUAGES[0],
+    known: Sequence[str] | None = None,
+) -> Column:
     """A script's language if the text has its letters; else the list with most hits; else, on a tie, a language's marks;
-    else the hint; else the default."""
-    t = _col(c)
+    else the hint, if it is known (or any, where known is not given); else the default."""
+    t, asked = _col(c), _col(hint)
     out = [F.when(t.rlike(p), F.lit(k)) for k, p in script.items()]
     hits = {k: count_words(t, v) for k, v in lists.items()}
     for k, n in hits.items():
@@ -131,13 +165,13 @@ def detect_language(c: Column | str, hint: Column | str, lists: dict[str, Sequen
         best = others[0] if len(others) == 1 else F.greatest(*others)
         out.append(F.when(n > best, F.lit(k)))
     out += [F.when(t.rlike(p), F.lit(k)) for k, p in marks.items()]
-    return F.coalesce(*out, _col(hint), F.lit(default))
+    return F.coalesce(*out, asked if known is None else F.when(asked.isin(*known), asked), F.lit(default))
 
 
 def first_rule(c: Column | str, rules: Sequence[tuple[str, str]], otherwise: Column) -> Column:
     """The name of the first rule whose pattern the folded text has."""
     t = fold(c)
-    return F.coalesce(*[F.when(t.rlike(p), F.lit(name)) for name, p in rules], otherwise)
+    return F.coalesce(*[F.when(t.rlike("(?U)" + p), F.lit(name)) for name, p in rules], otherwise)
 
 
 def years_in(c: Column | str, longest: int = 20) -> Column:
@@ -154,15 +188,29 @@ def years_in(c: Column | str, longest: int = 20) -> Column:
     return F.array_sort(F.array_union(single, F.flatten(F.transform(pairs, span))))
 
 
-def acronyms(c: Column | str, least: int = 3) -> Column:
-    """Runs of `least` capitals or more standing alone, each once."""
-    return F.array_distinct(F.regexp_extract_all(_col(c), F.lit(rf"(?<![\p{{L}}\p{{N}}])\p{{Lu}}{{{least},}}(?![\p{{L}}\p{{N}}])"), F.lit(0)))
+def acronyms(c: Column | str, shape: str = packs.ACRONYM, no: Sequence[str] = packs.NOT_ACRONYMS) -> Column:
+    """Runs of capitals of that shape that stand alone and are none of the others, each once."""
+    found = F.regexp_extract_all(_col(c), F.lit(rf"(?U)\b{shape}\b"), F.lit(0))
+    return F.array_distinct(F.filter(found, lambda x: ~x.isin(*no)) if no else found)
+
+
+def street_keys(c: Column | str, streets: Column | None = None, pattern: str = packs.STREET, no: Sequence[str] = packs.STREET_STOPWORDS) -> Column:
+    """The distinctive (last) word of each street that is listed or that the folded text names: four characters or more, none
+    of the words that go with any street."""
+    named = F.regexp_extract_all(fold(c), F.lit("(?U)" + pattern), F.lit(1))
+    if streets is not None:
+        named = F.concat(F.coalesce(F.transform(streets, lambda x: fold(x)), F.array().cast("array<string>")), named)
+    words = F.transform(named, lambda s: F.filter(F.regexp_extract_all(s, F.lit(r"[\p{L}\p{N}]{4,}"), F.lit(0)), lambda w: ~w.isin(*no)))
+    return F.array_distinct(F.transform(F.filter(words, lambda w: F.size(w) > 0), lambda w: F.element_at(w, -1)))
 
 
-def street_keys(c: Column | str, markers: str = r"str|strada|bd|bulevardul|ul|улица") -> Column:
-    """The last word of each street name that follows a street word, folded."""
-    found = F.regexp_extract_all(fold(c), F.lit(rf"(?<![\p{{L}}])(?:{markers})\.?\s+((?:\p{{L}}[\p{{L}}-]*\s?){{1,3}})"), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda s: F.element_at(F.split(F.trim(s), r"\s+"), -1)))
+def sectors_in(c: Column | str, *, explicit_only: bool = False, names: Sequence[str] = tuple(packs.SECTORS), common: Sequence[str] = ("centru",)) -> Column:
+    """Districts that the folded text names after the word sector, or, unless only those are asked for, anywhere; a name that
+    is a common word too counts only after sector."""
+    t = fold(c)
+    after = {n: t.rlike(rf"(?U)\bsector\w*\s+{n}\b") for n in names}
+    has = {n: a if explicit_only or n in common else a | t.rlike(rf"(?U)\b{n}\b") for n, a in after.items()}
+    return F.array_sort(F.array_compact(F.array(*[F.when(h, F.lit(n)) for n, h in has.items()])))
 
 
 def named_in(c: Column | str, names: Sequence[str]) -> Column:
@@ -216,31 +264,80 @@ def display_date(c: Column | str) -> Column:
     return F.date_format(parse_iso_date(c), "dd.MM.yyyy")
 
 
-def choice_label(subject: Column, publisher: Column, published: Column, n: int = 110) -> Column:
-    """subject · publisher · dd.mm.yyyy without missing parts, at most n characters."""
+def shorten(c: Column | str, n: Column | int) -> Column:
+    """At most n characters, squeezed and without closing punctuation; cut at the last space if that keeps over half."""
+    n = F.lit(n) if isinstance(n, int) else n
+    edge = r"^[ ,;:—-]+|[ ,;:—-]+$"
+    t = F.regexp_replace(F.regexp_replace(_col(c), r"(?U)\s+", " "), edge, "")
+    head = t.substr(F.lit(1), F.greatest(F.lit(1), n - 1))
+    at = F.length(head) - F.length(F.substring_index(head, " ", -1))
+    cut = F.when((F.instr(head, " ") > 0) & (at > F.floor(n / 2)), head.substr(F.lit(1), at - 1)).otherwise(head)
+    return F.when(F.length(t) <= n, t).otherwise(F.concat(F.regexp_replace(cut, r"[ ,;:—-]+$", ""), F.lit("…")))
+
+
+def readable_subject(title: Column | str, url: Column | str, act: str = packs.ACT_TITLE) -> Column:
+    """What a document is about, for a choice: an act's kind and number with its subject; `Nr. n` and the subject of a numbered
+    title; the title itself if it is no link text or file name; else words of the file's name; else the title's first part."""
+    t = F.trim(F.regexp_replace(F.coalesce(_col(title), F.lit("")), r"(?U)\s+", " "))
+    with_rest = lambda head, rest: F.concat(head, F.when(F.length(rest) > 0, F.concat(F.lit(" — "), rest)).otherwise(""))
+    kind, number = F.regexp_extract(t, "(?iU)" + act, 1), F.regexp_extract(t, "(?iU)" + act, 2)
+    rest = F.regexp_replace(t, "(?iU)" + act, "")
+    rest = F.regexp_replace(F.regexp_replace(rest, r"^\s*(?:din\s+[\d.\-/]+\s*)?", ""), r"(?iU)^[\s—–-]*(?:cu privire la\s+)?", "")
+    act_label = with_rest(F.concat(F.upper(F.substring(kind, 1, 1)), F.lower(F.substring(kind, 2, 100)), F.lit(" nr. "), number), rest)
+    numbered = r"(?iU)^\s*(?:nr\.?\s*)?(\d[\w/.-]*)\s+din\s+[\d.\-/]+\s*[—–-]?\s*(?:cu privire la\s+)?"
+    plain = ~is_anchor_title(t) & ~is_file_title(t) & (F.length(t) > 0)
+    stem = F.regexp_replace(F.regexp_replace(url_basename(url), r"(?i)\.(?:pdf|docx?|xlsx?|odt|ods|rtf|pptx?|jpe?g|png|zip|rar)$", ""), r"^\d{6,}[_-]*", "")
+    name = F.trim(F.regexp_replace(stem, r"[_+]+|(?<=[^\d])-|-(?=[^\d])", " "))
+    long_words = F.filter(F.regexp_extract_all(name, F.lit(r"\p{L}{3,}"), F.lit(0)), lambda w: fold(w) != "scan")
+    first = F.trim(F.element_at(F.split(F.regexp_replace(t, "_", " "), r"(?iU)\s+aici\b|\s+click\b|\s,|,", 2), 1))
+    return (
+        F.when(F.length(number) > 0, act_label)
+        .when(t.rlike(numbered), with_rest(F.concat(F.lit("Nr. "), F.regexp_extract(t, numbered, 1)), F.regexp_replace(t, numbered, "")))
+        .when(plain, t)
+        .when((F.size(long_words) > 0) & (F.size(F.split(name, r"\s+")) >= 2), F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 10_000)))
+        .otherwise(F.coalesce(F.when(F.length(first) > 0, first), F.when(F.length(t) > 0, t), F.lit("Document")))
+    )
+
+
+def choice_label(subject: Column, publisher: Column, published: Column, n: int = 110, detail: Column | None = None) -> Column:
+    """subject · publisher · dd.mm.yyyy without missing parts, at most n characters. A subject of one or two words is followed
+    by the detail, where there is one."""
     part = lambda x: F.when(F.length(F.trim(x)) > 0, F.trim(x))
-    return clip(F.concat_ws(" · ", part(subject), part(publisher), display_date(published)), n)
+    if detail is not None:
+        brief = F.size(F.regexp_extract_all(fold(subject), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))) <= 2
+        subject = F.when(brief & part(detail).isNotNull(), F.concat(subject, F.lit(": "), part(detail))).otherwise(subject)
+    suffix = F.concat_ws(" · ", part(publisher), display_date(published))
+    room = F.greatest(F.lit(20), n - F.length(suffix) - 3)
+    return F.when(F.length(suffix) == 0, shorten(subject, n)).otherwise(F.concat(shorten(subject, room), F.lit(" · "), suffix))
 
 
-def clean_title(c: Column | str) -> Column:
-    """Without a closing site name after | or -, at most two, and without Markdown marks."""
-    once = lambda x: F.regexp_replace(x, r"\s+[|–—-]\s+[^|–—]{2,40}$", "")
-    return F.trim(once(once(F.regexp_replace(_col(c), r"[*_`#]+", ""))))
+def clean_title(c: Column | str, suffix: str = packs.TITLE_SUFFIX) -> Column:
+    """Squeezed, without a closing site name, at most two."""
+    once = lambda x: F.trim(F.regexp_replace(x, "(?iU)" + suffix, ""))
+    return once(once(F.trim(F.regexp_replace(_col(c), r"(?U)\s+", " "))))
 
 
-def clean_text(c: Column | str, title: Column | str) -> Column:
-    """Without Markdown marks, squeezed, without the title if it opens the text."""
-    t = F.trim(F.regexp_replace(F.regexp_replace(_col(c), r"[*_`#>]+", " "), r"\s+", " "))
-    head = F.trim(_col(title))
-    return F.when((F.length(head) > 0) & t.startswith(head), F.trim(t.substr(F.length(head) + 1, F.length(t)))).otherwise(t)
+def title_noise(c: Column | str, pattern: str = packs.TITLE_NOISE) -> Column:
+    """The folded title is that of a form, report or list and names no news."""
+    return F.coalesce(fold(c).rlike("(?iU)" + pattern), F.lit(False))
 
 
-def split_sentences(c: Column | str, abbreviations: Sequence[str] = ("nr", "str", "art", "alin", "lit", "pct", "bd", "etc", "dr", "mr", "mrs", "no")) -> Column:
-    """Cut after . ! ? … and white space before a capital, digit, quote or bracket, unless what stands before the mark is
-    an abbreviation, a single letter or a number of one or two digits."""
-    words = "|".join(abbreviations)
+def clean_text(c: Column | str, title: Column | str) -> Column:
+    """Without Markdown marks, squeezed, without the title if the text opens with its first 60 characters."""
+    t = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(_col(c), r"(?mU)^\s*#+\s*", ""), r"[*_`>|]+", " "), r"(?U)\s+", " "))
+    head = _col(title)
+    opens = (F.length(head) > 0) & F.startswith(fold(t), F.substring(fold(head), 1, 60))
+    return F.when(opens, F.regexp_replace(t.substr(F.length(head) + 1, F.length(t)), "^[ .:–-]+", "")).otherwise(t)
+
+
+def split_sentences(c: Column | str, abbreviations: Sequence[str] = packs.ABBREVIATIONS, *, without_marks: bool = False) -> Column:
+    """Cut after . ! ? … and white space before a capital, digit, quote or bracket, unless what stands before a full stop is
+    an abbreviation, a single letter or a number of one or two digits. without_marks takes [S1] marks out first."""
+    words, text = "|".join(abbreviations), _col(c)
+    if without_marks:
+        text = F.regexp_replace(F.regexp_replace(text, r"\[S[1-9][0-9]*\]", ""), r"[ \t]+([.,;:!?])", "$1")
     pattern = rf"(?iu)(?<=[.!?…])(?<!(?<![\p{{L}}\p{{N}}])(?:{words}|\p{{L}}|[0-9]{{1,2}})\.)\s+(?-i)(?=[\p{{Lu}}\p{{N}}\"'(„«\[])"
-    return F.filter(F.transform(F.split(F.trim(_col(c)), pattern, -1), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.trim(text), pattern, -1), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def markers(c: Column | str) -> Column:
@@ -259,6 +356,52 @@ def uncited_sentences(c: Column | str, known: Column, least_words: int = 4) -> C
     return F.filter(split_sentences(c), bad)
 
 
+def uncited_segments(c: Column | str, known: Column) -> Column:
+    """Parts of an answer that break its citations: a sentence without a mark, or with one that is not known, or several
+    sentences before one run of marks. A part is what stands before a run of marks, or after the last."""
+    run = r"(?:\s*\[S[1-9][0-9]*\])+"
+    t = F.coalesce(_col(c), F.lit(""))
+    parts = F.transform(F.split(t, run, -1), lambda p: F.trim(p))
+    runs = F.transform(F.regexp_extract_all(t, F.lit(run), F.lit(0)), lambda r: markers(r))
+    pairs = F.zip_with(parts, runs, lambda p, r: F.struct(p.alias("text"), F.coalesce(r, F.array().cast("array<string>")).alias("ids")))
+    bad = lambda x: (F.length(x["text"]) > 0) & ((F.size(x["ids"]) == 0) | (F.size(F.array_except(x["ids"], known)) > 0) | (F.size(split_sentences(x["text"], without_marks=True)) != 1))
+    return F.transform(F.filter(pairs, bad), lambda x: x["text"])
+
+
+def fact_matches(c: Column | str, patterns: dict[str, str] = packs.FACTS) -> Column:
+    """A struct of lists: all matches of each family (amounts, dates, durations, counts), in order, repeats included."""
+    return F.struct(*[all_matches(c, p).alias(k) for k, p in patterns.items()])
+
+
+def parse_event(c: Column | str, place: str = "Locația:", period: str = "Perioada:") -> Column:
+    """(title, location, period_raw, unrecognized) of an event's lines: those before its place or period make the title, those
+    after them are not recognised; closing full stops go, empty values are null."""
+    lines = F.filter(F.transform(F.split(F.coalesce(_col(c), F.lit("")), r"\R", -1), lambda x: F.trim(x)), lambda x: x != "")
+    kept = lambda x: F.when(F.length(x) > 0, x)
+    value = lambda mark: F.element_at(F.transform(F.filter(lines, lambda x: x.startswith(mark)), lambda x: kept(F.regexp_replace(F.trim(x.substr(F.lit(len(mark) + 1), F.length(x))), r"\.+$", ""))), -1)
+    some = lambda mark: F.when(F.exists(lines, lambda x: x.startswith(mark)), value(mark))
+    labelled = lambda x: x.startswith(place) | x.startswith(period)
+    filled = lambda x: x.rlike(f"^(?:{place}|{period})[\\s.]*[^\\s.]")
+    first = F.array_position(F.transform(lines, filled), F.lit(True))
+    at = F.when(first > 0, first).otherwise(F.size(lines) + 1).cast("int")
+    plain = lambda part: F.filter(part, lambda x: ~labelled(x))
+    title = kept(F.regexp_replace(F.array_join(plain(F.slice(lines, F.lit(1), at - 1)), " "), r"\.+$", ""))
+    return F.struct(title.alias("title"), some(place).alias("location"), some(period).alias("period_raw"), plain(F.slice(lines, at, F.size(lines) + 1)).alias("unrecognized"))
+
+
+def doc_type(declared: Column | str, source_type: Column | str) -> Column:
+    """The declared type unless it is unknown, else one by the source."""
+    d, s = _col(declared), _col(source_type)
+    by_source = F.when(s.isin("derived_web_text", "webpage"), "webpage_article").when(s == "pdf", "administrative_document").otherwise("municipal_document")
+    return F.when(d.isNotNull() & (d != "unknown"), d).otherwise(by_source)
+
+
+def evidence_kind(c: Column | str) -> Column:
+    """table, list, headline or body, by a passage's type."""
+    t = F.lower(F.coalesce(_col(c), F.lit("")))
+    return F.when(t.contains("table"), "table").when(t.contains("list") | t.contains("item"), "list").when(t.contains("heading") | t.contains("headline"), "headline").otherwise("body")
+
+
 def speech_text(c: Column | str) -> Column:
     """Text to be read aloud: links become their words, URLs, marks and Markdown go."""
     t = F.regexp_replace(_col(c), r"\[([^\]]*)\]\([^)]*\)", "$1")
@@ -276,11 +419,11 @@ def parse_iso_date(c: Column | str) -> Column:
 
 
 def contains_any(c: Column | str, phrases: Sequence[str]) -> Column:
-    """The folded text has one of the folded phrases."""
-    t = fold(c)
+    """The folded text, apostrophes straight, has one of the folded phrases."""
+    t = F.regexp_replace(fold(c), "[‘’]", "'")
     out = F.lit(False)
     for p in phrases:
-        out = out | F.coalesce(t.contains(p), F.lit(False))
+        out = out | F.coalesce(t.contains(folded(p)), F.lit(False))
     return out
 
 
