@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexiforge.functions import packs
 from lexiforge.functions import text as T
 from lexiforge.operators.search import top_per
 
@@ -102,26 +103,103 @@ def atomize_claims(claims: DataFrame) -> DataFrame:
 
 
 def render_answers(claims: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows (question_id, answer, citations, dropped): claims that cite known evidence, in order, marks renumbered by first use."""
-    cited = claims.select("question_id", "claim_no", "text", F.posexplode("evidence_ids").alias("at", "evidence_id")).join(known.select("question_id", "evidence_id").distinct(), ["question_id", "evidence_id"])
+    """Rows (question_id, answer, citations, dropped): a line for each claim that cites known evidence, in order, each of its
+    sentences with the claim's marks, renumbered S1, S2 ... by first use; citations are the evidence ids in that order.
+
+    Claims without known evidence or without a sentence are dropped. If a part of the answer is left uncited, the whole
+    answer is rejected: it is null, without citations, and all claims count as dropped.
+    """
+    rows = claims.withColumn("_s", T.split_sentences("text", without_marks=True))
+    cited = rows.where(F.size("_s") > 0).select("question_id", "claim_no", "_s", F.posexplode(F.array_distinct("evidence_ids")).alias("at", "evidence_id"))
+    cited = cited.join(known.select("question_id", "evidence_id").distinct(), ["question_id", "evidence_id"])
     from lexiforge.operators.relational import renumber
 
-    ordered = cited.withColumn("_order", F.col("claim_no") * 1000 + F.col("at"))
-    labelled = renumber(ordered, "question_id", "evidence_id", "_order")
-    one = labelled.groupBy("question_id", "claim_no", "text").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "label", "evidence_id"))), lambda x: F.struct(x["label"].alias("label"), x["evidence_id"].alias("id"))).alias("m"))
-    marks = F.array_join(F.transform("m", lambda x: F.concat(F.lit("["), x["label"], F.lit("]"))), "")
-    one = one.withColumn("_s", F.concat(F.regexp_replace(F.trim(F.regexp_replace("text", r"\s*\[S[0-9]+\]", "")), r"[.]$", ""), F.lit(" "), marks, F.lit(".")))
-    out = one.groupBy("question_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("claim_no", "_s"))), lambda x: x["_s"]), " ").alias("answer"),
-        F.array_distinct(F.transform(F.array_sort(F.flatten(F.collect_list("m"))), lambda x: x["id"])).alias("citations"),
-        F.count("*").alias("_kept"),
-    )
+    labelled = renumber(cited.withColumn("_order", F.struct("claim_no", "at")), "question_id", "evidence_id", "_order")
+    one = labelled.groupBy("question_id", "claim_no").agg(F.first("_s").alias("_s"), F.array_sort(F.collect_list(F.struct("at", "label", "evidence_id"))).alias("m"))
+    marks = F.array_join(F.transform("m", lambda x: F.concat(F.lit("["), x["label"], F.lit("]"))), " ")
+    one = one.withColumn("_line", F.array_join(F.transform("_s", lambda s: F.concat(s, F.lit(" "), marks)), " "))
+    in_order = F.array_sort(F.collect_list(F.struct("claim_no", "_line", "m")))
+    out = one.groupBy("question_id").agg(in_order.alias("_claims"), F.count("*").alias("_kept"))
+    used = F.array_sort(F.array_distinct(F.flatten(F.transform("_claims", lambda c: F.transform(c["m"], lambda x: F.struct(F.substring(x["label"], 2, 9).cast("int").alias("n"), x["evidence_id"].alias("id")))))))
+    out = out.select("question_id", "_kept", F.array_join(F.transform("_claims", lambda c: c["_line"]), "\n").alias("answer"), F.transform(used, lambda u: u["id"]).alias("citations"))
+    ids = F.transform(F.sequence(F.lit(1), F.greatest(F.size("citations"), F.lit(1))), lambda i: F.concat(F.lit("S"), i.cast("string")))
+    out = out.withColumn("_ok", F.size(T.uncited_segments("answer", ids)) == 0)
     total = claims.groupBy("question_id").agg(F.count("*").alias("_total"))
-    return total.join(out, "question_id", "left").select("question_id", "answer", "citations", (F.col("_total") - F.coalesce("_kept", F.lit(0))).alias("dropped"))
+    ok = F.coalesce("_ok", F.lit(False))
+    return total.join(out, "question_id", "left").select(
+        "question_id", F.when(ok, F.col("answer")).alias("answer"), F.when(ok, F.col("citations")).alias("citations"), (F.col("_total") - F.when(ok, F.col("_kept")).otherwise(0)).alias("dropped")
+    )
+
 
+def not_found_reason(in_scope: Column, relevant: Column, n_claims: Column, lacks_value: Column) -> Column:
+    """Why nothing could be answered: no relevant passage (or a question out of scope), passages without the value or without a
+    claim, or claims that none verified."""
+    return F.when(relevant == 0, F.when(in_scope, "NO_RELEVANT_EVIDENCE").otherwise("OUT_OF_SCOPE")).when((n_claims == 0) | lacks_value, "EVIDENCE_LACKS_VALUE").otherwise("CLAIMS_UNVERIFIED")
 
-def not_found_reason(in_scope: Column, n_evidence: Column, lacks_value: Column, n_verified: Column) -> Column:
-    return F.when(~in_scope, "OUT_OF_SCOPE").when(n_evidence == 0, "NO_RELEVANT_EVIDENCE").when(lacks_value, "EVIDENCE_LACKS_VALUE").when(n_verified == 0, "CLAIMS_UNVERIFIED")
+
+def has_expected_value(claims: DataFrame, kinds: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Rows (question_id, has_value): whether some claim of the question holds a value of the kind asked for.
+
+    kinds has one row (question_id, answer_type) for each question. Hours, dates, amounts and legal acts are looked for by
+    pattern, in the claim and folded; a claim that cites a passage of a titled act holds that act. Of other kinds any claim will
+    do; without claims there is none. evidence: question_id, evidence_id, title.
+    """
+    said = F.coalesce("text", F.lit(""))
+    holds = lambda p: T.fold(said).rlike("(?iU)" + p) | said.rlike("(?iU)" + p)
+    rows = claims.select("question_id", "text", "evidence_ids").join(kinds, "question_id")
+    test = F.coalesce(*[F.when(F.col("answer_type") == k, holds(p)) for k, p in packs.EXPECTED_VALUES.items()], F.lit(True))
+    acts = rows.where("answer_type = 'legal_act'").select("question_id", F.explode("evidence_ids").alias("evidence_id"))
+    acts = acts.join(evidence.where(F.col("title").rlike("(?iU)" + packs.ACT_TITLE)), ["question_id", "evidence_id"]).select("question_id", F.lit(True).alias("v"))
+    found = rows.select("question_id", test.alias("v")).unionByName(acts).groupBy("question_id").agg(F.bool_or("v").alias("v"))
+    return kinds.select("question_id").join(found, "question_id", "left").select("question_id", F.coalesce("v", F.lit(False)).alias("has_value"))
+
+
+def check_answer_contract(answers: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Answers with an array of violations of the citation contract, in the order of the checks.
+
+    answers: question_id, status, answer, evidence_ids, limitations. evidence: question_id, evidence_id, document_id, quote.
+    INVALID_STATUS, UNKNOWN_EVIDENCE (declared or in line), CITATIONS_DIFFER (in line and declared), LIMITATIONS_MISSING (of
+    PARTIAL and NOT_FOUND); then of the sentences of four words or more: UNCITED_SENTENCE, DOCUMENT_CITED_TWICE,
+    NUMERIC_CROSS_DOCUMENT and NUMBER_NOT_IN_QUOTE.
+    """
+    held = evidence.groupBy("question_id").agg(F.map_from_entries(F.collect_list(F.struct("evidence_id", F.struct("document_id", "quote")))).alias("_e"))
+    rows = answers.join(held, "question_id", "left").withColumn("_e", F.coalesce("_e", F.create_map().cast("map<string,struct<document_id:string,quote:string>>")))
+    number = r"\d+(?:[.,]\d+)?"
+    text, declared = F.coalesce("answer", F.lit("")), F.coalesce("evidence_ids", F.array().cast("array<string>"))
+    inline, valid = F.array_distinct(T.markers(text)), F.map_keys("_e")
+    shielded = F.regexp_replace(F.regexp_replace(text, r"(?iU)\b(str|bd|dl|dna|nr|mun|sec)\.", "$1\u0001"), r"(?U)\b(\p{Lu}\p{Ll}{0,2})\.", "$1\u0001")
+    sentences = F.transform(F.split(shielded, r"(?<=[.!?])\s+|\n+", -1), lambda s: F.replace(s, F.lit("\u0001"), F.lit(".")))
+    bare = lambda s: F.regexp_replace(s, r"\[S\d+\]", "")
+    long_ = F.filter(sentences, lambda s: F.size(F.regexp_extract_all(bare(s), F.lit(r"\p{L}+"), F.lit(0))) >= 4)
+    known = F.filter(long_, lambda s: F.size(F.array_except(T.markers(s), valid)) == 0)
+    documents = lambda s: F.transform(F.array_distinct(T.markers(s)), lambda i: F.try_element_at(F.col("_e"), i)["document_id"])
+    claimed = lambda s: F.array_distinct(F.regexp_extract_all(bare(s), F.lit(number), F.lit(0)))
+    quoted = lambda s: F.flatten(F.transform(T.markers(s), lambda i: F.regexp_extract_all(F.coalesce(F.try_element_at(F.col("_e"), i)["quote"], F.lit("")), F.lit(number), F.lit(0))))
+    cited = lambda s: F.size(T.markers(s)) > 0
+    codes = F.array_compact(
+        F.array(
+            F.when(~F.coalesce(F.col("status").isin("SUPPORTED", "PARTIAL", "NOT_FOUND", "CONTRADICTION"), F.lit(False)) | F.col("evidence_ids").isNull(), "INVALID_STATUS"),
+            F.when((F.size(F.array_except(declared, valid)) > 0) | (F.size(F.array_except(inline, valid)) > 0), "UNKNOWN_EVIDENCE"),
+            F.when(F.array_sort(inline) != F.array_sort(F.array_distinct(declared)), "CITATIONS_DIFFER"),
+            F.when(F.col("status").isin("PARTIAL", "NOT_FOUND") & (F.coalesce(F.size("limitations"), F.lit(0)) <= 0), "LIMITATIONS_MISSING"),
+            F.when(F.exists(long_, lambda s: ~cited(s)), "UNCITED_SENTENCE"),
+            F.when(F.exists(known, lambda s: F.size(documents(s)) != F.size(F.array_distinct(documents(s)))), "DOCUMENT_CITED_TWICE"),
+            F.when(F.exists(known, lambda s: (F.size(claimed(s)) > 0) & (F.size(F.array_distinct(documents(s))) > 1)), "NUMERIC_CROSS_DOCUMENT"),
+            F.when(F.exists(known, lambda s: cited(s) & (F.size(F.array_except(claimed(s), quoted(s))) > 0)), "NUMBER_NOT_IN_QUOTE"),
+        )
+    )
+    return rows.withColumn("violations", codes).drop("_e")
+
+
+def verify(claims: DataFrame, evidence: DataFrame, verdicts: DataFrame, question: str = "question") -> tuple[DataFrame, DataFrame]:
+    """Claims that a verifier supports, and the others with reasons. Claims with deterministic issues never reach it; one
+    without a verdict is not supported. verdicts: question_id, claim_no, supported, reason."""
+    checked = deterministic_issues(claims, evidence, question)
+    said = verdicts.select("question_id", "claim_no", F.col("supported").alias("_supported"), F.col("reason").alias("_reason"))
+    rows = checked.join(said, ["question_id", "claim_no"], "left")
+    good = (F.size("issues") == 0) & F.coalesce("_supported", F.lit(False))
+    reasons = F.when(F.size("issues") > 0, F.col("issues")).otherwise(F.array_compact(F.array(F.coalesce("_reason", F.lit("NO_VERDICT")))))
+    return rows.where(good).drop("issues", "_supported", "_reason"), rows.where(~good).withColumn("reasons", reasons).drop("issues", "_supported", "_reason")
 
 
 def answer_status(reason: Column, ambiguous: Column, contradiction: Column, n_docs: Column, n_missing: Column) -> Column:
@@ -130,6 +208,11 @@ def answer_status(reason: Column, ambiguous: Column, contradiction: Column, n_do
     return F.when(ambiguous, "NEEDS_CLARIFICATION").when(reason.isNotNull() | (contradiction & (n_docs < 2)), "NOT_FOUND").when(contradiction, "CONTRADICTION").when(n_missing > 0, "PARTIAL").otherwise("SUPPORTED")
 
 
+def needs_second_round(n_claims: Column, n_verified: Column) -> Column:
+    """One more round is worth its while: nothing was claimed, or fewer than half of the claims stood."""
+    return (n_claims == 0) | (n_verified * 2 < n_claims)
+
+
 def better_round(rounds: DataFrame, by: str, verified: str, number: str) -> DataFrame:
     """A later round stands only if it has at least as many verified claims."""
     return top_per(rounds, [by], [F.desc(verified), F.desc(number)], 1, "_n").drop("_n")

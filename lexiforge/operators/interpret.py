@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,25 +13,29 @@ from lexiforge.functions import packs
 from lexiforge.functions import text as T
 
 REQUIREMENT = "array<struct<id:string,query:string,kind:string>>"
-INTERPRETATION = f"language string, standalone string, query string, category string, answer_type string, yearly boolean, requirements {REQUIREMENT}"
+INTERPRETATION = f"language string, standalone string, query string, category string, answer_type string, yearly boolean, streets array<string>, requirements {REQUIREMENT}"
 
 
 def embed(df: DataFrame, key: str, text: str, embedder: Callable[[list[str]], list[list[float]]]) -> DataFrame:
-    """Rows (key, embedding); the embedder gets batches of texts and returns as many finite vectors of one length."""
+    """Rows (key, embedding); the embedder gets batches of texts and returns as many finite vectors of one length. Anything else
+    it returns fails the job."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             vectors = embedder(f[text].tolist())
             if len(vectors) != len(f) or len({len(v) for v in vectors}) > 1:
                 raise ValueError("the embedder must return one vector of one length for each text")
+            if not np.isfinite(np.array(vectors, dtype=np.float64)).all():
+                raise ValueError("the embedder returned a number that is not finite")
             yield pd.DataFrame({key: f[key], "embedding": vectors})
 
     return df.select(key, text).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, embedding array<float>")
 
 
 def rerank(candidates: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
-    """Candidates with a model's scores where it gave one in 0..1; the others keep theirs, below."""
-    good = scores.where(F.col("score").between(0, 1)).select(*keys, F.col("score").alias("_s"))
+    """Candidates with a model's scores where it gave one in 0..1, reranked saying so; the others keep their score. Order by
+    reranked and then score, both descending: what the model did not score stands below what it did."""
+    good = scores.where(F.col("score").between(0, 1)).select(*keys, F.col("score").alias("_s")).dropDuplicates(keys)
     return candidates.join(good, keys, "left").withColumn("reranked", F.col("_s").isNotNull()).withColumn("score", F.coalesce("_s", "score")).drop("_s")
 
 
@@ -41,30 +46,34 @@ def lexical_rerank(query: Column, text: Column) -> Column:
 
 
 def answer_type(question: Column | str, hint: Column) -> Column:
-    """Kind of answer by rules on the folded question, which override the hint; other at last."""
-    return T.first_rule(question, [(n, p) for n, p in packs.ANSWER_TYPES], F.coalesce(hint, F.lit("other")))
+    """Kind of answer: by rules on the folded question for working hours and legal acts; else the hint, if it is a kind; else other."""
+    return T.first_rule(question, packs.ANSWER_RULES, F.when(hint.isin(*packs.ANSWER_TYPES), hint).otherwise("other"))
 
 
-def is_yearly(question: Column | str) -> Column:
-    return F.coalesce(T.fold(question).rlike(packs.YEARLY), F.lit(False))
+def is_yearly(question: Column | str, hint: Column | None = None) -> Column:
+    """The question is about something that comes anew each year, by its words or by the hint."""
+    said = F.coalesce(T.fold(question).rlike("(?U)" + packs.YEARLY), F.lit(False))
+    return said if hint is None else said | F.coalesce(hint, F.lit(False))
 
 
 def interpret(questions: DataFrame, model_output: str | None = None, most: int = 8, kinds: tuple[str, ...] = ("fact", "date", "amount", "procedure", "contact", "other")) -> DataFrame:
-    """Questions with language, query, answer_type, yearly, years, streets, acronyms and requirements.
+    """Questions with language, query, answer_type, yearly, years, streets, sectors, acronyms, category and requirements.
 
     model_output names a column of JSON, of which valid parts are used; what it lacks comes from the rules, and the rules on
     language, kind of answer and years override it. At least one requirement, at most `most`, of known kinds.
     """
     m = F.from_json(F.col(model_output) if model_output else F.lit("{}"), INTERPRETATION)
     rows = questions.withColumn("_m", m)
-    q = F.col("question")
-    lang = T.detect_language(q, F.col("_m.language"), packs.FUNCTION_WORDS, packs.MARKS, packs.SCRIPTS, "ro")
+    q, query = F.col("question"), T.first_non_blank("_m.query", "question")
+    lang = T.detect_language(q, F.col("_m.language"), known=packs.LANGUAGES)
     wanted = F.filter(F.coalesce("_m.requirements", F.array().cast(REQUIREMENT)), lambda r: r["kind"].isin(*kinds) & (F.length(F.trim(r["query"])) > 0))
     single = F.array(F.struct(F.lit("r1").alias("id"), q.alias("query"), F.lit("other").alias("kind")))
+    both = F.concat_ws("\n", q, query)
     return rows.select(
-        *questions.columns, lang.alias("language"), T.first_non_blank("_m.standalone", "question").alias("standalone"), T.first_non_blank("_m.query", "question").alias("query"),
-        answer_type(q, F.col("_m.answer_type")).alias("answer_type"), (is_yearly(q) | F.coalesce("_m.yearly", F.lit(False))).alias("yearly"),
-        T.years_in(q).alias("years"), T.street_keys(q).alias("streets"), T.acronyms(q).alias("acronyms"),
+        *questions.columns, lang.alias("language"), T.first_non_blank("_m.standalone", "question").alias("standalone"), query.alias("query"),
+        answer_type(q, F.col("_m.answer_type")).alias("answer_type"), is_yearly(q, F.col("_m.yearly")).alias("yearly"),
+        T.years_in(both).alias("years"), T.street_keys(query, F.col("_m.streets")).alias("streets"), T.sectors_in(both).alias("sectors"), T.acronyms(q).alias("acronyms"),
+        T.first_non_blank("_m.category", F.lit("none")).alias("category"),
         F.slice(F.when(F.size(wanted) > 0, wanted).otherwise(single), 1, most).alias("requirements"),
     )
 
@@ -76,7 +85,7 @@ def dense_query_text(query: Column, yearly: Column, years: Column, today: Column
 
 def extract_topics(questions: DataFrame, by: str, text: str, themes: DataFrame, districts: tuple[str, ...], most: int = 4) -> DataFrame:
     """Rows (by, label, query): a group's themes by hits, with the district after them if its questions name exactly one; a
-    group without a theme gets up to five content words of its latest question, if they are Latin."""
+    group without a theme gets up to five content words of its latest question, unless it is Cyrillic."""
     from lexiforge.operators.alerts import theme_counts
     from lexiforge.operators.search import top_per
 
@@ -84,29 +93,46 @@ def extract_topics(questions: DataFrame, by: str, text: str, themes: DataFrame,
     hits = theme_counts(questions.withColumn(text, T.fold(text)), by, text, themes).where(F.col("rank") <= most)
     known = hits.join(named, by, "left").withColumn("query", F.concat_ws(" ", "label", F.when(F.size("_d") == 1, F.element_at("_d", 1))))
     rest = top_per(questions.join(hits.select(by).distinct(), by, "left_anti"), [by], [F.desc("position")], 1, "_n")
-    words = F.slice(T.keywords(text), 1, 5)
-    other = rest.where(~F.col(text).rlike(r"\p{IsCyrillic}") & (F.size(words) > 0)).select(by, F.array_join(words, " ").alias("label"), F.array_join(words, " ").alias("query"))
+    words = F.slice(F.filter(F.regexp_extract_all(F.col(text), F.lit(r"(?U)\p{L}[\w-]{2,}"), F.lit(0)), lambda w: ~T.fold(w).isin(*packs.STOPWORDS)), 1, 5)
+    said = F.array_join(words, " ")
+    other = rest.where(~F.col(text).rlike(packs.SCRIPTS["ru"]) & (F.size(words) > 0)).select(by, F.concat(F.upper(F.substring(said, 1, 1)), F.substring(said, 2, 10_000)).alias("label"), said.alias("query"))
     return known.select(by, "label", "query").unionByName(other)
 
 
 def resolve_followup(reply: Column, labels: Column) -> Column:
-    """The clarification choice that a reply picks: by ordinal, by its label, by a part of it of 8 letters or more, or by
-    holding it; null if none or several."""
-    key = T.normalize_label(reply)
-    norm = F.transform(labels, lambda x: F.struct(x.alias("label"), T.normalize_label(x).alias("k")))
-    number = F.regexp_extract(F.trim(reply), r"^(?:nr\.?\s*)?([1-9])[.)]?$", 1).try_cast("int")
-    fits = lambda test: F.transform(F.filter(norm, test), lambda x: x["label"])
-    only = lambda found: F.when(F.size(found) == 1, F.element_at(found, 1))
-    return F.coalesce(
-        F.try_element_at(labels, number), only(fits(lambda x: x["k"] == key)),
-        F.when(F.length(key) >= 8, only(fits(lambda x: F.contains(x["k"], key)))), only(fits(lambda x: (F.length(x["k"]) >= 8) & F.contains(key, x["k"]))),
-    )
+    """The clarification choice that a reply picks: by an ordinal; else the first label that, folded, equals the reply, holds
+    it (from 8 characters on), or stands in it; null if none does."""
+    key = F.regexp_replace(T.fold(reply), r"^[ .!?\"'«»-]+|[ .!?\"'«»-]+$", "")
+    place = F.coalesce(*[F.when(key == T.folded(w), F.lit(n)) for w, n in packs.ORDINALS.items()])
+    fits = lambda x: (T.fold(x) == key) | ((F.length(key) >= 8) & F.contains(T.fold(x), key)) | ((F.length(T.fold(x)) > 0) & F.contains(key, T.fold(x)))
+    return F.coalesce(F.try_element_at(labels, place), F.when(F.length(key) > 0, F.try_element_at(F.filter(labels, fits), F.lit(1))))
+
+
+def _by(texts: dict[str, str], key: Column, otherwise: str) -> Column:
+    return F.coalesce(*[F.when(key == k, F.lit(t)) for k, t in texts.items()], F.lit(texts[otherwise]))
+
+
+def not_found_note(reason: Column, language: Column, kind: Column | None = None) -> Column:
+    """Why nothing was found, in the language, naming what was asked for; of an unknown reason or language the first."""
+    lang = F.when(language.isin(*packs.LANGUAGES), language).otherwise(packs.LANGUAGES[0])
+    wanted = F.coalesce(*[F.when(lang == k, _by(t, F.lit("other") if kind is None else kind, "other")) for k, t in packs.TYPE_NAMES.items()])
+    text = lambda r: _by(packs.NOT_FOUND[r], lang, packs.LANGUAGES[0])
+    chosen = F.coalesce(*[F.when(reason == r, text(r)) for r in packs.NOT_FOUND], text("NO_RELEVANT_EVIDENCE"))
+    return F.replace(chosen, F.lit("{value}"), wanted)
+
+
+def clarification(language: Column) -> Column:
+    return _by(packs.CLARIFICATIONS, language, packs.LANGUAGES[0])
 
 
-def note(reason: Column, language: Column) -> Column:
-    """Localised text of a reason; the first language's where there is none."""
-    texts = F.create_map(*[F.lit(x) for (r, lang), t in packs.NOTES.items() for x in (f"{r}/{lang}", t)])
-    return F.coalesce(F.try_element_at(texts, F.concat_ws("/", reason, language)), F.try_element_at(texts, F.concat(reason, F.lit("/ro"))))
+def outdated_note(language: Column, citations: Column) -> Column:
+    """A sentence with the years of outdated citations and their marks; null if none has a year. citations: structs of id,
+    published (a date) and outdated."""
+    old = F.filter(citations, lambda c: F.coalesce(c["outdated"], F.lit(False)))
+    years = F.array_sort(F.array_distinct(F.array_compact(F.transform(old, lambda c: F.year(c["published"]).cast("string")))))
+    marks = F.array_join(F.transform(old, lambda c: F.concat(F.lit("["), c["id"], F.lit("]"))), " ")
+    text = F.replace(_by(packs.OUTDATED, language, packs.LANGUAGES[0]), F.lit("{years}"), F.array_join(years, ", "))
+    return F.when(F.size(years) > 0, F.concat(text, F.lit(" "), marks))
 
 
 def is_unanswered(answer: Column | str) -> Column:

@@ -9,16 +9,26 @@ from lexiforge.operators import interpret as I
 
 
 def test_interpret(spark):
-    df = spark.createDataFrame([("q1", "Cât costă biletul în 2024?", None), ("q2", "Где находится школа?", '{"language":"ru","requirements":[{"id":"r1","query":"adresa","kind":"contact"},{"id":"r2","query":"x","kind":"nope"}]}'), ("q3", "taxa anuală", "{broken")], "id string, question string, m string")
+    df = spark.createDataFrame([("q1", "Care este programul de lucru al DGTPCC din sectorul Botanica în 2024?", None), ("q2", "Где находится школа?", '{"language":"ru","requirements":[{"id":"r1","query":"adresa","kind":"contact"},{"id":"r2","query":"x","kind":"nope"}]}'), ("q3", "taxa locală", "{broken")], "id string, question string, m string")
     out = {r["id"]: r for r in I.interpret(df, "m").collect()}
-    assert out["q1"]["language"] == "ro" and out["q1"]["answer_type"] == "amount" and out["q1"]["years"] == [2024]
+    assert out["q1"]["language"] == "ro" and out["q1"]["answer_type"] == "hours" and out["q1"]["years"] == [2024] and out["q1"]["sectors"] == ["botanica"] and out["q1"]["acronyms"] == ["DGTPCC"]
     assert out["q2"]["language"] == "ru" and [r["query"] for r in out["q2"]["requirements"]] == ["adresa"]
-    assert out["q3"]["yearly"] and [r["query"] for r in out["q3"]["requirements"]] == ["taxa anuală"]
+    assert out["q3"]["yearly"] and [r["query"] for r in out["q3"]["requirements"]] == ["taxa locală"]
     q = spark.range(1).select(I.dense_query_text(F.lit("taxa"), F.lit(True), F.array().cast("array<int>"), F.lit(dt.date(2026, 9, 27))).alias("x"))
     assert q.first()["x"] == "taxa 2026"
 
 
-@pytest.mark.parametrize(("reply", "want"), [("2", "Ordin 278 · detsriscani.md"), ("Ordin 278 · detsriscani.md", "Ordin 278 · detsriscani.md"), ("hotărârea nr. 5", "Hotărârea nr. 5 · primaria.md"), ("7", None), ("altceva", None)])
+def test_answer_types_and_yearly_topics(spark):
+    rows = [("vreau sa aflu despre legislatiile cum sa dau copilul la scoala", "procedure", "legal_act"), ("Care este programul de lucru al DGTPCC?", "other", "hours"), ("Какой график работы?", "other", "hours"), ("Cât costă parcarea?", "amount", "amount"), ("Ce este?", "nonsense", "other")]
+    got = spark.createDataFrame(rows, "q string, h string, w string").select("w", I.answer_type("q", F.col("h")).alias("t")).collect()
+    assert all(r["w"] == r["t"] for r in got)
+    yearly = {"cum sa dau copilul meu la scoala": True, "Înscrierea în clasa I": True, "Care sunt impozitele locale?": True, "Ce lucrări s-au făcut pe strada Vasile Alecsandri?": False}
+    got = spark.createDataFrame([(q,) for q in yearly], "q string").select("q", I.is_yearly("q").alias("y")).collect()
+    assert {r["q"]: r["y"] for r in got} == yearly
+    assert spark.range(1).select(I.is_yearly(F.lit("Programul de burse"), F.lit(True)).alias("y")).first()["y"]
+
+
+@pytest.mark.parametrize(("reply", "want"), [("al doilea", "Ordin 278 · detsriscani.md"), ("Вторая!", "Ordin 278 · detsriscani.md"), ("vreau ordin 278 · detsriscani.md", "Ordin 278 · detsriscani.md"), ("2", "Ordin 278 · detsriscani.md"), ("Ordin 278 · detsriscani.md", "Ordin 278 · detsriscani.md"), ("hotărârea nr. 5", "Hotărârea nr. 5 · primaria.md"), ("7", None), ("altceva", None)])
 def test_followups(spark, reply, want):
     labels = F.array(F.lit("Hotărârea nr. 5 · primaria.md"), F.lit("Ordin 278 · detsriscani.md"))
     assert spark.createDataFrame([(reply,)], "r string").select(I.resolve_followup(F.col("r"), labels).alias("x")).first()["x"] == want
@@ -29,14 +39,19 @@ def test_replies(spark):
     out = [r["r"] for r in spark.createDataFrame(list(enumerate(rows)), "i int, j string").orderBy("i").select(I.parse_reply(F.col("j")).alias("r")).collect()]
     assert out[0]["outdated"] is False and out[0]["citations"][0]["outdated"] is False and out[1]["answer"] == "Care?\n- A\n- B" and out[2]["status"] is None
     assert spark.range(1).select(I.is_unanswered(F.lit("Nu am găsit informații")).alias("x")).first()["x"]
-    assert "out of date" in spark.range(1).select(I.note(F.lit("OUTDATED"), F.lit("en")).alias("x")).first()["x"]
+    says = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    assert "none of them contains the working hours." in says(I.not_found_note(F.lit("EVIDENCE_LACKS_VALUE"), F.lit("en"), F.lit("hours")))
+    assert says(I.not_found_note(F.lit("?"), F.lit("xx"))).startswith("Nu am găsit în documentele")
+    cites = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(d).cast("date").alias("published"), F.lit(o).alias("outdated")) for i, d, o in (("S1", "2023-02-01", True), ("S2", "2026-01-01", False), ("S3", "2021-05-05", True))])
+    assert says(I.outdated_note(F.lit("en"), cites)) == "Note: the sources found date from 2021, 2023 and may be out of date. [S1] [S3]"
+    assert says(I.clarification(F.lit("ru"))).startswith("Найдено несколько")
 
 
 def test_topics_and_models(spark):
     themes = spark.createDataFrame([("transport", "autobuz|troleibuz", 1), ("educație", "scoal|gradinit", 2)], "label string, pattern string, position int")
     q = spark.createDataFrame([("p1", "Când vine autobuzul la Botanica?", 1), ("p2", "parcuri verzi curate", 1), ("p3", "вопрос", 1)], "p string, t string, position int")
     out = {r["p"]: (r["label"], r["query"]) for r in I.extract_topics(q, "p", "t", themes, ("botanica", "centru")).collect()}
-    assert out["p1"] == ("transport", "transport botanica") and out["p2"][0].startswith("parcuri") and "p3" not in out
+    assert out["p1"] == ("transport", "transport botanica") and out["p2"] == ("Parcuri verzi curate", "parcuri verzi curate") and "p3" not in out
     e = I.embed(spark.createDataFrame([(1, "ab"), (2, "c")], "k int, t string"), "k", "t", lambda ts: [[float(len(t)), 1.0] for t in ts])
     assert {r["k"]: r["embedding"] for r in e.collect()} == {1: [2.0, 1.0], 2: [1.0, 1.0]}
     c = spark.createDataFrame([("a", 0.1), ("b", 0.2)], "id string, score double")
