@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexiforge.functions import packs
 from lexiforge.functions.text import tokenize_stem
+from lexiforge.store import materialize
 
 #: Fixed values of the lexical weight: saturation, length share, nominal length.
 K1, B, NOMINAL = 1.2, 0.75, 120
@@ -44,24 +48,97 @@ def corpus_stats(index: DataFrame, key: str) -> DataFrame:
     return index.groupBy("term").agg(F.count(key).alias("df"))
 
 
+def document_frequency(docs: DataFrame, terms: Column) -> DataFrame:
+    """Rows (term, df): in how many rows each term stands, by one count of each row's distinct terms."""
+    return docs.select(F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def top_per(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group; Spark keeps at most k rows a group before the shuffle."""
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, query_key: str, query_text: str, key: str, text: str, terms: Callable[[Column], Column] = tokenize_stem) -> DataFrame:
+def bm25_topk(
+    queries: DataFrame, docs: DataFrame, k: int, query_key: str, query_text: str, key: str, text: str, terms: Callable[[Column], Column] = tokenize_stem, *, block: int = 4096
+) -> DataFrame:
     """Rows (query_key, rank, key, score): the best k documents of each query by the sum over shared terms of query weight,
-    document weight and idf; ties by key. Terms that no query has are dropped before the documents' terms are counted, so
-    the shuffle follows the queries' vocabulary. Scores are rounded to 6 places before they are ranked."""
-    asked = postings(queries, query_key, query_text, terms).withColumnRenamed("weight", "q")
-    vocabulary = asked.select("term").distinct()
+    document weight and idf; ties by key. Scores are rounded to 6 places before they are ranked.
+
+    Queries are taken in blocks of `block` rows, so what is broadcast is bounded. A document's terms are counted in its task
+    and scored against all queries of the block that have them; a task keeps the best k of its documents for each query, and
+    only those are shuffled. Documents that share no term with a query are no result of it.
+    """
+    spark = docs.sparkSession
+    asked = postings(queries, query_key, query_text, terms).withColumnRenamed("weight", "_w").withColumn("_block", F.lit(0))
+    parts = max(1, -(-queries.count() // block))
+    if parts > 1:
+        asked = asked.withColumn("_block", F.pmod(F.xxhash64(query_key), F.lit(parts)))
+    asked = materialize(asked, "asked")
     words = docs.select(key, terms(F.col(text)).alias("w"))
-    hits = words.select(key, F.size("w").alias("length"), F.explode("w").alias("term")).join(vocabulary, "term", "left_semi")
-    index = hits.groupBy(key, "term", "length").agg(F.count("*").alias("tf")).select(key, "term", lexical_weight(F.col("tf"), F.col("length")).alias("weight"))
+    vocabulary = asked.select("term").distinct()
+    df = words.select(F.explode(F.array_distinct("w")).alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     n = docs.agg(F.count("*").alias("n"))
-    weights = asked.join(corpus_stats(index, key), "term").crossJoin(F.broadcast(n)).select(query_key, "term", (F.col("q") * idf(F.col("n"), F.col("df"))).alias("q"))  # one row
-    scored = index.join(weights, "term").groupBy(query_key, key).agg(F.round(F.sum(F.col("q") * F.col("weight")), 6).alias("score"))
-    return top_per(scored, [query_key], [F.desc("score"), F.asc(key)], k).select(query_key, "rank", key, "score")
+    weights = asked.join(df, "term").crossJoin(F.broadcast(n)).select("_block", query_key, "term", (F.col("_w") * idf(F.col("n"), F.col("df"))).alias("_w"))  # n is one row
+    weights = materialize(weights, "query-weights")
+    schema = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {key} {docs.schema[key].dataType.simpleString()}, score double"
+    out = None
+    for p in range(parts):
+        ids: list = []
+        place: dict = {}
+        lists: dict[str, tuple[list[int], list[float]]] = {}
+        for r in weights.where(F.col("_block") == p).orderBy(query_key, "term").collect():  # the words of `block` queries
+            if r[query_key] not in place:
+                place[r[query_key]] = len(ids)
+                ids.append(r[query_key])
+            at, w = lists.setdefault(r["term"], ([], []))
+            at.append(place[r[query_key]])
+            w.append(r["_w"])
+        shared = spark.sparkContext.broadcast((ids, {t: (np.array(at), np.array(w)) for t, (at, w) in lists.items()}))
+        found = words.mapInPandas(_best_documents(shared, k, query_key, key), schema)
+        out = found if out is None else out.unionByName(found)
+    return top_per(out, [query_key], [F.desc("score"), F.asc(key)], k).select(query_key, "rank", key, "score")
+
+
+def _best_documents(shared, k: int, query_key: str, key: str):
+    """For each query of the block the best k documents of a task, by rows (key, w) of documents and their terms."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, lists = shared.value
+        best: list[list[tuple[float, object]]] = [[] for _ in ids]  # of each query a heap of (score, document), the worst first
+        for f in frames:
+            for doc, w in zip(f[key], f["w"], strict=True):
+                if w is None or not len(ids):
+                    continue
+                counts = {t: c for t, c in Counter(w).items() if t in lists}
+                scores = np.zeros(len(ids))
+                for t in sorted(counts):
+                    at, q = lists[t]
+                    scores[at] += q * (counts[t] * (K1 + 1) / (counts[t] + K1 * (1 - B + B * len(w) / NOMINAL)))
+                for i in np.flatnonzero(scores).tolist():
+                    held, item = best[i], (round(float(scores[i]), 6), _Last(doc))
+                    if len(held) < k:
+                        heapq.heappush(held, item)
+                    elif item > held[0]:
+                        heapq.heapreplace(held, item)
+        rows = [(ids[i], item[1].value, item[0]) for i, held in enumerate(best) for item in held]
+        yield pd.DataFrame(rows, columns=[query_key, key, "score"])
+
+    return run
+
+
+class _Last:
+    """A value that sorts the other way round: of equal scores the smaller key is the better one."""
+
+    __slots__ = ("value",)
+
+    def __init__(self, value: object):
+        self.value = value
+
+    def __lt__(self, other: _Last) -> bool:
+        return other.value < self.value
+
+    def __eq__(self, other: object) -> bool:
+        return self.value == other.value
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, query_key: str, key: str, vector: str = "embedding", *, block: int = 4096) -> DataFrame:
@@ -89,7 +166,7 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, query_key: str, k
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, matrix = shared.value
             best_k, best_s = np.zeros((len(ids), 0), dtype=np.int64), np.zeros((len(ids), 0))
-            for batch in batches:
+            for batch in (b.slice(lo, 512) for b in batches for lo in range(0, b.num_rows, 512)):
                 vs = [(a, v) for a, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if len(v) == matrix.shape[1]]
                 if not vs:
                     continue
@@ -99,6 +176,10 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, query_key: str, k
                 s = np.round(matrix @ (x[norm > 0] / norm[norm > 0, None]).T, 9)
                 best_k = np.concatenate([best_k, np.broadcast_to(keys, s.shape)], axis=1)
                 best_s = np.concatenate([best_s, s], axis=1)
+                if best_s.shape[1] > 4 * k:  # what is below the k-th score goes before the sort, ties stay
+                    least = -np.partition(-best_s, k - 1, axis=1)[:, k - 1]
+                    keep = (best_s >= least[:, None]).any(axis=0)
+                    best_k, best_s = best_k[:, keep], best_s[:, keep]
                 order = np.lexsort((best_k, -best_s), axis=1)[:, :k]
                 best_k, best_s = np.take_along_axis(best_k, order, 1), np.take_along_axis(best_s, order, 1)
             n = best_k.shape[1]
@@ -175,6 +256,13 @@ def following_context(anchors: DataFrame, passages: DataFrame, query_key: str, *
     return near.select(query_key, "document", "pos", (F.col("anchor_score") / (F.col("distance") + 1)).alias("score"), "anchor_pos", "distance")
 
 
+def introduces(kind: Column | str, quote: Column | str, pattern: str = packs.INTRODUCES) -> Column:
+    """A passage that what follows belongs to: a headline, one that ends with a colon, or one that speaks of steps or a list."""
+    k, q = (F.col(c) if isinstance(c, str) else c for c in (kind, quote))
+    said = F.trim(F.coalesce(q, F.lit("")))
+    return F.coalesce(F.lower(k) == "headline", F.lit(False)) | said.endswith(":") | F.lower(said).rlike("(?U)" + pattern)
+
+
 def eligible_with_context(ranked: DataFrame, least: float, query_key: str, key: str, anchor: str) -> DataFrame:
     """Rows that score `least` or more, and rows whose anchor does."""
     good = ranked.where(F.col("score") >= least).select(query_key, F.col(key).alias("_anchor")).distinct()
@@ -182,12 +270,54 @@ def eligible_with_context(ranked: DataFrame, least: float, query_key: str, key:
     return ranked.where(F.col("score") >= least).unionByName(held)
 
 
-def hybrid_search(dense: DataFrame, sparse: DataFrame, others: dict[str, DataFrame], query_key: str, key: str, document: DataFrame, *, limit: int = 16, per_document: int = 3, k: int = 60) -> DataFrame:
-    """Ranks of all channels fused, joined to their document, chosen by prioritize_channels. dense, sparse and others are
-    (query_key, rank, key); document maps key to its document."""
+def hybrid_search(
+    dense: DataFrame,
+    sparse: DataFrame,
+    requirements: dict[str, DataFrame],
+    query_key: str,
+    key: str,
+    points: DataFrame,
+    *,
+    catalog: DataFrame | None = None,
+    scores: DataFrame | None = None,
+    limit: int = 16,
+    per_document: int = 3,
+    final: int = 12,
+    least: float = 0.0,
+    k: int = 60,
+    per_anchor: int = 6,
+    per_query: int = 12,
+) -> DataFrame:
+    """Rows (query_key, key, document, score, ranks, rerank_score, anchor, place): the whole search of a table of queries.
+
+    dense, sparse and the requirement channels are ranks (query_key, rank, key); points maps key to document and pos (whole
+    numbers without gaps in a document), kind and quote; catalog ranks documents (query_key, rank, document). Ranks are fused
+    and get their document's bonus; `limit` candidates are chosen by prioritize_channels; passages that introduce something
+    bring what follows them; scores (query_key, key, score in 0..1) re-rank all of these, the others standing below with their
+    fused score; rows of `least` or more, and those whose anchor is one, are chosen from again, `final` of them.
+    """
     ranks = None
-    for name, df in {"dense": dense, "sparse": sparse, **others}.items():
+    for name, df in {"dense": dense, "sparse": sparse, **requirements}.items():
         part = df.select(query_key, key, F.col("rank"), F.lit(name).alias("channel"))
         ranks = part if ranks is None else ranks.unionByName(part)
-    fused = fuse_rrf(ranks, query_key, key, k).join(document, key)
-    return prioritize_channels(fused, query_key, key, "document", list(others), limit, per_document)
+    fused = fuse_rrf(ranks, query_key, key, k).join(points, key)
+    if catalog is not None:
+        fused = add_bonus(fused, catalog, query_key, "document", k)
+    names = list(requirements)
+    chosen = materialize(prioritize_channels(fused, query_key, key, "document", names, limit, per_document), "candidates")
+    after = following_context(chosen.where(introduces("kind", "quote")), points, query_key, per_anchor=per_anchor, per_query=per_query)
+    after = after.join(points.select("document", "pos", key, "kind", "quote"), ["document", "pos"])
+    after = after.join(chosen.select(query_key, key), [query_key, key], "left_anti")  # candidates that are no anchors are not repeated either
+    heads = points.select("document", F.col("pos").alias("anchor_pos"), F.col(key).alias("anchor"))
+    after = after.join(heads, ["document", "anchor_pos"]).withColumn("ranks", F.create_map(F.lit("contextAfter"), F.col("distance")))
+    cols = [query_key, key, "document", "score", "ranks", "anchor"]
+    rows = chosen.withColumn("anchor", F.lit(None).cast(points.schema[key].dataType)).select(*cols).unionByName(after.select(*cols))
+    if scores is not None:
+        given = scores.where(F.col("score").between(0, 1)).select(query_key, key, F.col("score").alias("rerank_score")).dropDuplicates([query_key, key])
+        rows = rows.join(given, [query_key, key], "left")
+    else:
+        rows = rows.withColumn("rerank_score", F.col("score").cast("double"))
+    rows = rows.withColumnRenamed("score", "fused").withColumn("score", F.coalesce("rerank_score", F.lit(0.0)))
+    rows = eligible_with_context(rows, least, query_key, key, "anchor")
+    out = prioritize_channels(rows, query_key, key, "document", names, final, final)
+    return out.select(query_key, key, "document", F.col("fused").alias("score"), "ranks", "rerank_score", "anchor", "place")
