@@ -23,6 +23,19 @@ def mismatches(left: DataFrame, right: DataFrame, key: str, check: str) -> DataF
     return both.select(key, code.alias("issue")).where("issue is not null")
 
 
+def join_embeddings(chunks: DataFrame, vectors: DataFrame, key: str = "chunk_id", check: str = "text_sha256") -> DataFrame:
+    """Chunks with their vectors, one to one. Fails if a side lacks a key, a text hash differs, a key repeats, or the vectors
+    are of more than one length, model or kind (mock). vectors: key, check, embedding, model, mock."""
+    twice = chunks.select(key).unionByName(vectors.select(key)).groupBy(key).count().where("count > 2")
+    wrong = mismatches(chunks, vectors, key, check).select(key, "issue").unionByName(twice.select(key, F.lit("REPEATED").alias("issue"))).limit(5).collect()
+    if wrong:
+        raise ValueError("chunks and vectors differ: " + ", ".join(f"{r[key]} {r['issue']}" for r in wrong))
+    kinds = vectors.agg(*[F.countDistinct(c).alias(n) for n, c in (("lengths", F.size("embedding")), ("models", F.col("model")), ("kinds", F.col("mock")))]).first()
+    if max(kinds) > 1:
+        raise ValueError(f"the vectors are of {kinds['lengths']} lengths, {kinds['models']} models and {kinds['kinds']} kinds")
+    return chunks.join(vectors.drop(check), key)
+
+
 def reconcile(expected: DataFrame, actual: DataFrame, key: str, scope: DataFrame | None = None) -> DataFrame:
     """Rows (key, state): `missing` are expected and absent, `stale` present and not expected. A scope of keys limits what
     may be stale to itself."""
@@ -41,6 +54,16 @@ def merge_versions(server: DataFrame, local: DataFrame, key: str, version: str)
     return s.join(m, key, "full_outer").select(key, row.alias("_r")).select(key, "_r.*")
 
 
+def merge_turns(server: DataFrame, local: DataFrame, key: str, version: str, request: str, order: str, pending: Column) -> DataFrame:
+    """merge_versions of a chat's turns, with the local ones that are not sent yet: a local row that waits is kept if no server
+    row has its request id, and a server row that answers one takes its place in the order."""
+    waiting = local.where(pending)
+    merged = merge_versions(server, local.where(~pending), key, version)
+    place = waiting.groupBy(request).agg(F.min(order).alias("_place"))
+    merged = merged.join(place, request, "left").withColumn(order, F.coalesce("_place", order)).drop("_place").select(*server.columns)
+    return merged.unionByName(waiting.join(server.where(F.col(request).isNotNull()).select(request).distinct(), request, "left_anti").select(*server.columns))
+
+
 def insert_if_absent(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """The rows to add: one of each key, none that target has."""
     return rows.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti")
@@ -64,6 +87,16 @@ def with_defaults(keys: DataFrame, settings: DataFrame, key: str, defaults: dict
     return keys.join(settings.select(key, *defaults), key, "left").select(*keys.columns, *[F.coalesce(F.col(c), d).alias(c) for c, d in defaults.items()])
 
 
+def settings_view(subscriptions: DataFrame, settings: DataFrame, topics: DataFrame, key: str, defaults: dict[str, Column]) -> DataFrame:
+    """One row for each subscription: its settings or the defaults, and its topics that are not removed, oldest first, as
+    structs of topic_id, label and origin. topics: key, topic_id, label, origin, removed, created_at."""
+    active = topics.where(~F.coalesce("removed", F.lit(False)))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("created_at", "topic_id", "label", "origin"))), lambda t: F.struct(t["topic_id"].alias("topic_id"), t["label"].alias("label"), t["origin"].alias("origin")))
+    lists = active.groupBy(key).agg(listed.alias("topics"))
+    none = F.array().cast(lists.schema["topics"].dataType)
+    return with_defaults(subscriptions, settings, key, defaults).join(lists, key, "left").withColumn("topics", F.coalesce("topics", none))
+
+
 def update_from(target: DataFrame, source: DataFrame, key: str, column: str) -> DataFrame:
     """target with the column taken from the source row of its key, where there is one."""
     s = source.select(key, F.col(column).alias("_new"))
@@ -142,6 +175,11 @@ def signature(df: DataFrame, by: str, order: str, *parts: str) -> DataFrame:
     return df.groupBy(by).agg(F.sha2(F.array_join(lists, "\n"), 256).alias("signature"))
 
 
+def request_conflicts(requests: DataFrame, request: str, *payload: str) -> DataFrame:
+    """Request ids under which more than one payload was sent."""
+    return requests.where(F.col(request).isNotNull()).groupBy(request).agg(F.countDistinct(F.struct(*payload)).alias("payloads")).where("payloads > 1")
+
+
 def status_counts(df: DataFrame, by: list[str], status: str, values: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("total"), *[F.count_if(F.col(status) == v).alias(f"n_{v.lower()}") for v in values])
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lexiforge.functions.text import first_non_blank, first_url, stable_id, valid_url
 from lexiforge.operators.relational import latest
@@ -84,9 +87,43 @@ def write_stage(df: DataFrame, root: str, stage: str, run_id: str) -> str:
     return path
 
 
-def publish_version(spark: SparkSession, path: str, name: str) -> None:
-    """Switch the view `name` to a version that is complete; readers see the old one or the new one."""
+def publish_version(spark: SparkSession, path: str, name: str, root: str | None = None) -> None:
+    """Switch `name` to a version that is complete: the session's view, and, with a root, the pointer that all sessions read.
+
+    A pointer is one more row in `root`/pointers/`name`; a reader takes the newest, so it sees the old version or the new one.
+    """
     spark.read.parquet(path).createOrReplaceTempView(name)
+    if root is not None:
+        spark.range(1).select(F.lit(path).alias("path"), F.current_timestamp().alias("at"), F.lit(uuid.uuid4().hex).alias("id")).coalesce(1).write.mode("append").parquet(f"{root}/pointers/{name}")
+
+
+def read_version(spark: SparkSession, name: str, root: str) -> DataFrame:
+    """The version that was published last under `name`."""
+    newest = spark.read.schema("path string, at timestamp, id string").parquet(f"{root}/pointers/{name}").groupBy().agg(F.max_by("path", F.struct("at", "id")).alias("path")).first()
+    return spark.read.parquet(newest["path"])
+
+
+#: Columns of the service's tables.
+RELATIONAL = {
+    "chats": "id string, client_id string, project_id string, name string, request_id string, creation_name string, created_at timestamp, updated_at timestamp",
+    "documents": "id bigint, title string, document_link string, added_at timestamp",
+    "responses": """id bigint, chat_id string, prompt string, text string, request_id string, generation_status string, generation_version int, generation_request_id string,
+        generation_started_at timestamp, generation_expires_at timestamp, error_code string, ai_reply string, created_at timestamp""",
+    "response_documents": "response_id bigint, document_id bigint",
+    "projects": "id string, client_id string, name string, created_at timestamp, updated_at timestamp",
+    "alert_subscriptions": "id bigint, client_id string, project_id string, chat_id string, enabled boolean, prompted boolean, topics_refreshed_at timestamp, last_scan_at timestamp, updated_at timestamp",
+    "alert_topics": "id bigint, subscription_id bigint, label string, query string, source string, removed boolean, min_score double, created_at timestamp",
+    "alerts": """id bigint, client_id string, subscription_id bigint, topic_id bigint, topic_label string, document_id string, title string, url string, source string, district string, category string,
+        published_date date, excerpt string, score double, created_at timestamp, read_at timestamp, dismissed_at timestamp, feedback string""",
+}
+
+
+def read_relational(spark: SparkSession, root: str | None = None, *, jdbc: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """The service's eight tables with their fixed columns: from Parquet folders under a root, or through JDBC with the given
+    options (url, user, ...), where the numeric keys deal large tables out if the options name bounds."""
+    if jdbc is not None:
+        return {n: spark.read.format("jdbc").options(dbtable=n, **jdbc).load().select(*[F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(c)]) for n, c in RELATIONAL.items()}
+    return {n: spark.read.schema(c).parquet(f"{root}/{n}") for n, c in RELATIONAL.items()}
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
@@ -109,10 +146,19 @@ def write_feed(feed: DataFrame, path: str) -> None:
     out.write.mode("overwrite").json(path)
 
 
-def curation_scan(docs: DataFrame, labels: DataFrame, key: str, source: str, wanted: Column, chars: str, least: int = 300, most: int = 60_000) -> DataFrame:
-    """Documents that are wanted, of a usable length and labelled, with the number of documents of their source."""
+def curation_scan(
+    docs: DataFrame, labels: DataFrame, key: str, source: str, wanted: Column, chars: str, least: int = 300, most: int = 60_000, *, tier: str | None = None, tiers: tuple[int, ...] = (1, 2), date: str | None = None, since: str | None = None
+) -> DataFrame:
+    """Documents that are wanted, of a usable length and labelled, with the number of documents of their source; with a tier
+    column those of the tiers, with a date column those from `since` on (text dates compare as they stand), newest first."""
     sizes = docs.groupBy(source).agg(F.count("*").alias("source_docs"))
-    return docs.where(wanted & F.col(chars).between(least, most)).join(labels.select(key), key, "left_semi").join(sizes, source)
+    rows = docs.where(wanted & F.col(chars).between(least, most))
+    if tier is not None:
+        rows = rows.where(F.col(tier).isin(*tiers))
+    if date is not None and since is not None:
+        rows = rows.where(F.col(date) >= since)
+    rows = rows.join(labels.select(key), key, "left_semi").join(sizes, source)
+    return rows if date is None else rows.orderBy(F.desc(date), F.asc(key))
 
 
 def append_trace(results: DataFrame, path: str) -> None:

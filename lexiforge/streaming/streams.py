@@ -34,13 +34,18 @@ def next_start(marks: DataFrame, filters: str, overlap_s: int = 300) -> DataFram
 
 
 def collect_batch(batch: DataFrame, store: str, marks: str, filters: str, key: str = "id", ts: str = "updated_at") -> None:
-    """Append what the store does not have (by id and content hash), then the mark: replays of the overlap add nothing."""
+    """Append what the store does not have (by id and content hash), then the mark: replays of the overlap add nothing.
+
+    Of the store only rows from the batch's own span of time are read: equal content has equal times.
+    """
     spark = batch.sparkSession
     rest = [c for c in batch.columns if c != "content_hash"]
     rows = batch.withColumn("content_hash", F.sha2(F.to_json(F.struct(*rest)), 256))
     rows = rows.dropDuplicates([key, "content_hash"])
     try:
         old = spark.read.schema(rows.schema).parquet(store)
+        span = batch.agg(F.min(ts).alias("a"), F.max(ts).alias("b")).first()
+        old = old.where(F.col(ts).isNull() if span["a"] is None else F.col(ts).isNull() | F.col(ts).between(F.lit(span["a"]), F.lit(span["b"])))
         rows = rows.join(old.select(key, "content_hash"), [key, "content_hash"], "left_anti").select(*rows.columns)
     except Exception as e:  # the first batch: nothing is stored yet
         if "PATH_NOT_FOUND" not in str(e):
@@ -122,12 +127,14 @@ def _fold_turn(row: dict | None, e: dict, expiry_ms: int) -> dict | None:
     return row
 
 
-def turn_lifecycle(events: DataFrame, key: str, *, expiry_ms: int = 300_000) -> DataFrame:
+def turn_lifecycle(events: DataFrame, key: str, *, expiry_ms: int = 300_000, now_ms: int | None = None, keep_ms: int = 86_400_000, late: str = "10 minutes") -> DataFrame:
     """The current row of each turn: PENDING, COMPLETED or FAILED. An attempt that outlives its five minutes becomes FAILED
-    with GENERATION_INTERRUPTED even if its reply comes; replies of an old version change nothing; a retry needs a turn that is
-    over. On a stream the latest row is emitted after each batch.
+    with GENERATION_INTERRUPTED, whether or not its reply comes; replies of an old version change nothing; a retry needs a turn
+    that is over.
 
-    events: key, ts (epoch milliseconds), kind, version, text.
+    events: key, ts (epoch milliseconds), kind, version, text. On a table now_ms is the time at which silent turns are judged
+    (none: they stay pending). On a stream the watermark is: a turn's row is emitted after each batch that brings it events,
+    and again when its time runs out; a turn that is over is forgotten keep_ms after its last event.
     """
     kind = events.schema[key].dataType.simpleString()
     names = ["version", "status", "text", "error", "started"]
@@ -142,18 +149,32 @@ def turn_lifecycle(events: DataFrame, key: str, *, expiry_ms: int = 300_000) ->
 
         def whole(k: tuple, f: pd.DataFrame) -> pd.DataFrame:
             row = run(k, f, None)
+            if row is not None and now_ms is not None:
+                row = _fold_turn(row, {"kind": "tick", "ts": now_ms, "version": None}, expiry_ms)
             return pd.DataFrame([] if row is None else [(k[0], *[row[n] for n in names])], columns=[key, *names])
 
         return events.select(key, "ts", "kind", "version", "text").groupBy(key).applyInPandas(whole, out)
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        row = dict(zip(names, state.get, strict=True)) if state.exists else None
-        row = run(k, pd.concat(list(frames)), row)
+        *held, last = state.get if state.exists else (*[None] * len(names), 0)
+        row = dict(zip(names, held, strict=True)) if held[1] is not None else None
+        if state.hasTimedOut:
+            if row is None or row["status"] != "PENDING":
+                state.remove()
+                return
+            row = row | {"status": "FAILED", "error": "GENERATION_INTERRUPTED"}
+        else:
+            f = pd.concat(list(frames))
+            row, last = run(k, f, row), max(last, int(f["ts"].max()))
+        state.update((*[row[n] if row else None for n in names], last))
+        due = row["started"] + expiry_ms + 1 if row and row["status"] == "PENDING" else last + keep_ms
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         if row is not None:
-            state.update(tuple(row[n] for n in names))
             yield pd.DataFrame([(k[0], *[row[n] for n in names])], columns=[key, *names])
 
-    return events.select(key, "ts", "kind", "version", "text").groupBy(key).applyInPandasWithState(step, out, "version bigint, status string, text string, error string, started bigint", "update", GroupStateTimeout.NoTimeout)
+    rows = events.withColumn("_at", F.timestamp_millis("ts")).withWatermark("_at", late).select(key, "_at", "ts", "kind", "version", "text")
+    held = "version bigint, status string, text string, error string, started bigint, last bigint"
+    return rows.groupBy(key).applyInPandasWithState(step, out, held, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest_state(changes: DataFrame, key: str, *order: str) -> DataFrame:
@@ -162,21 +183,36 @@ def latest_state(changes: DataFrame, key: str, *order: str) -> DataFrame:
     return changes.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(key, "_r.*")
 
 
-def embed_missing(texts: DataFrame, stored: DataFrame, embed: Callable[[list[str]], list[list[float]]], model: str) -> DataFrame:
-    """Rows (text_hash, model, embedding, error) of texts without a stored vector; a text that fails has an error and no vector."""
-    need = texts.select("text_hash", "text").dropDuplicates(["text_hash"]).join(stored.where(F.col("model") == model).select("text_hash"), "text_hash", "left_anti")
+def embed_missing(texts: DataFrame, stored: DataFrame, embed: Callable[[list[str]], list[list[float]]], model: str, *, mock: bool = False, size: int = 64) -> DataFrame:
+    """Rows (text_hash, model, mock, embedding, error) of texts without a vector stored for their hash, model and kind.
+
+    Texts go to embed `size` at a time; where that fails each of them goes alone, and one that fails has an error and no vector.
+    stored may lack the column mock: its vectors are real ones then.
+    """
+    have = stored if "mock" in stored.columns else stored.withColumn("mock", F.lit(False))
+    have = have.where((F.col("model") == model) & (F.col("mock") == F.lit(mock)) & F.col("embedding").isNotNull()).select("text_hash")
+    need = texts.select("text_hash", "text").dropDuplicates(["text_hash"]).join(have, "text_hash", "left_anti")
+
+    def one(t: str) -> tuple[list[float] | None, str | None]:
+        try:
+            return embed([t])[0], None
+        except Exception as e:  # one text's failure stays its own
+            return None, str(e)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = []
-            for h, t in zip(f["text_hash"], f["text"], strict=True):
+            for lo in range(0, len(f), size):
+                part = f.iloc[lo : lo + size]
                 try:
-                    rows.append((h, model, embed([t])[0], None))
-                except Exception as e:  # one text's failure stays its own
-                    rows.append((h, model, None, str(e)))
-            yield pd.DataFrame(rows, columns=["text_hash", "model", "embedding", "error"])
-
-    return need.mapInPandas(run, "text_hash string, model string, embedding array<float>, error string")
+                    vectors = embed(part["text"].tolist())
+                    if len(vectors) != len(part):
+                        raise ValueError("one vector for each text is asked for")
+                    got = [(v, None) for v in vectors]
+                except Exception:
+                    got = [one(t) for t in part["text"]]
+                yield pd.DataFrame({"text_hash": part["text_hash"].tolist(), "model": model, "mock": mock, "embedding": [v for v, _ in got], "error": [e for _, e in got]})
+
+    return need.mapInPandas(run, "text_hash string, model string, mock boolean, embedding array<float>, error string")
 
 
 def progress(df: DataFrame, name: str, done: Column) -> DataFrame:
