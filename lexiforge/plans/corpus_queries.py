@@ -24,11 +24,6 @@ def _line_blocks(spark: SparkSession, d: str) -> DataFrame:
     return P.split_blocks(table(spark, d, "documents"), "doc_id", "text", lines_are_blocks=True)
 
 
-@query(f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS INTEGER) AS ord, sha256(t) AS block_hash, CAST(line AS INTEGER) AS start_line FROM ({_LINES}) WHERE t <> ''")
-def q_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return _line_blocks(spark, d).select("doc_id", "ord", F.sha2("block", 256).alias("block_hash"), "start_line")
-
-
 @query("SELECT user_id, event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS heading FROM events QUALIFY event_type <> 'purchase'")
 def q_carry_forward(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("type", F.when(F.col("event_type") == "purchase", "heading").otherwise("text")).withColumn("place", F.struct("ts", "event_id"))

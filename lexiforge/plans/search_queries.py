@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiforge.functions import text as T
 from lexiforge.operators import search as S
 from lexiforge.plans.query import query, table
 
@@ -33,7 +34,7 @@ def q_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 )
 def q_idf(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    stats = S.corpus_stats(S.postings(docs, "doc_id", "text"), "doc_id")
+    stats = S.document_frequency(docs, T.tokenize_stem("text"))
     n = docs.agg(F.count("*").alias("n"))
     return stats.crossJoin(F.broadcast(n)).select("term", "df", F.round(S.idf(F.col("n"), F.col("df")), 6).alias("idf"))  # n is one row
 
@@ -87,10 +88,12 @@ def q_cap_per_doc(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q_hybrid(spark: SparkSession, d: str) -> DataFrame:
-    """Dense and a requirement channel fused, reserved and capped; greedy, so proved by properties in tests."""
+    """Dense and a requirement channel fused, reserved, given context and chosen again; greedy, so proved by properties in tests."""
+    from pyspark.sql import Window as W
+
     dense, other = _channels(spark, d)
-    labels = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("document"))
-    found = S.hybrid_search(dense, dense.where("rank <= 5"), {"requirement": other}, "query_id", "vec_id", labels, limit=12)
+    points = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("document"), (F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1).alias("pos"), F.when(F.col("vec_id") % 7 == 0, "headline").otherwise("body").alias("kind"), F.lit("").alias("quote"))
+    found = S.hybrid_search(dense, dense.where("rank <= 5"), {"requirement": other}, "query_id", "vec_id", points, limit=12)
     return found.select("query_id", "vec_id", "document", F.round("score", 9).alias("score"), "place")
 
 
@@ -119,6 +122,7 @@ def q_following_events(spark: SparkSession, d: str) -> DataFrame:
     FROM q JOIN d USING (t) GROUP BY item_id, doc_id HAVING count(*) >= 10"""
 )
 def q_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    """Similarity of each benchmark item with each document that shares ten words or more with it."""
     from lexiforge.functions.text import fold, jaccard
 
     words = lambda df, key: df.select(key, F.array_distinct(F.regexp_extract_all(fold("text"), F.lit(r"\p{L}{3,}"), F.lit(0))).alias(f"w_{key}"))

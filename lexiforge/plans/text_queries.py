@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiforge.functions import packs
 from lexiforge.functions import text as T
 from lexiforge.plans.query import query, table
 
@@ -68,13 +69,17 @@ def q_tokenize(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").withColumn("w", T.tokenize_stem("text")).select("doc_id", F.size("w").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("w", " "), 256).alias("tokens_hash"))
 
 
+_SUFFIXES = " ".join(f"WHEN ends_with(w, '{x}') AND length(w) - {len(x)} >= 4 THEN left(w, length(w) - {len(x)})" for x in packs.RO_KEYWORD_SUFFIXES)
+_STOPWORDS = ", ".join(f"'{x}'" for x in packs.STOPWORDS)
+
+
 @query(
-    """SELECT item_id, array_to_string(list(k ORDER BY pos), ' ') AS keywords FROM (SELECT item_id, k, min(pos) AS pos FROM (
-    SELECT item_id, substr(w[pos], 1, 7) AS k, pos FROM (SELECT item_id, w, unnest(generate_series(1, len(w))) AS pos FROM (
-    SELECT item_id, list_filter(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]{3,}'), lambda x: NOT regexp_matches(x, '\\p{N}') AND x NOT IN ('the', 'and', 'les', 'des', 'que')) AS w FROM benchmark))) GROUP BY item_id, k) GROUP BY item_id"""
+    f"""SELECT item_id, array_to_string(list(k ORDER BY pos), ' ') AS keywords FROM (SELECT item_id, k, min(pos) AS pos FROM (
+    SELECT item_id, substr(CASE WHEN regexp_full_match(w, '[a-z0-9]+') THEN CASE {_SUFFIXES} ELSE w END ELSE w END, 1, 7) AS k, pos FROM (SELECT item_id, words[pos] AS w, pos FROM (SELECT item_id, words, unnest(generate_series(1, len(words))) AS pos FROM (
+    SELECT item_id, list_filter(regexp_extract_all(strip_accents(lower(text)), '{packs.KEYWORD_TOKEN}{{3,}}'), lambda x: NOT regexp_full_match(x, '[0-9]+') AND x NOT IN ({_STOPWORDS})) AS words FROM benchmark)))) GROUP BY item_id, k) GROUP BY item_id"""
 )
 def q_keywords(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select("item_id", F.array_join(T.keywords("text", ("the", "and", "les", "des", "que")), " ").alias("keywords")).where("keywords <> ''")
+    return table(spark, d, "benchmark").select("item_id", F.array_join(T.keywords("text"), " ").alias("keywords")).where("keywords <> ''")
 
 
 @query(
@@ -89,7 +94,7 @@ def q_clip(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """SELECT doc_id, CAST(en AS BIGINT) AS en_hits, CAST(fr AS BIGINT) AS fr_hits, CASE WHEN en > fr THEN 'en' WHEN fr > en THEN 'fr' WHEN regexp_matches(text, '[äöüß]') THEN 'de' ELSE 'es' END AS guess FROM (
     SELECT doc_id, text, len(list_filter(w, lambda x: x IN ('the', 'and', 'of', 'to', 'in'))) AS en, len(list_filter(w, lambda x: x IN ('le', 'la', 'les', 'des', 'et'))) AS fr FROM (
-    SELECT doc_id, text, regexp_extract_all(lower(text), '\\p{L}+') AS w FROM documents))"""
+    SELECT doc_id, text, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') AS w FROM documents))"""
 )
 def q_language_votes(spark: SparkSession, d: str) -> DataFrame:
     guess = T.detect_language("text", F.lit(None).cast("string"), {"en": EN, "fr": FR}, {"de": "[äöüß]"}, {}, "es")
@@ -106,8 +111,8 @@ def q_years(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, array_to_string(list(a ORDER BY a), ' ') AS acronyms FROM (SELECT DISTINCT doc_id, a FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) AS a FROM documents)
-    WHERE regexp_matches(a, '^\\p{Lu}{3,}$')) GROUP BY doc_id"""
+    """SELECT doc_id, array_to_string(list(a ORDER BY a), ' ') AS acronyms FROM (SELECT DISTINCT doc_id, a FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}\\p{M}_]+')) AS a FROM documents)
+    WHERE regexp_full_match(a, '[A-ZĂÂÎȘȚ]{3,8}') AND a NOT IN ('III', 'VII', 'VIII', 'XII', 'XIV', 'XV', 'XX', 'XXI', 'ANEXA', 'NOTA', 'PDF', 'SRL', 'ORDON', 'DECIDE')) GROUP BY doc_id"""
 )
 def q_acronyms(spark: SparkSession, d: str) -> DataFrame:
     found = table(spark, d, "documents").select("doc_id", F.array_sort(T.acronyms("text")).alias("a"))

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiforge.functions import text as T
-from lexiforge.functions.packs import RO_KEYWORD_SUFFIXES, RO_SUFFIXES
+from lexiforge.functions import packs
+from lexiforge.functions.packs import RO_SUFFIXES
 from lexiforge.operators import alerts as A
 from lexiforge.operators import claims as C
 from lexiforge.operators import corpus as P
@@ -79,8 +80,53 @@ def test_text(spark, f, text, want):
 def test_clip_and_stems(spark):
     assert one(spark, T.clip("t", 20), t="unu doi trei, patru cinci") == "unu doi trei…"
     assert one(spark, T.clip("t", 20), t="scurt") == "scurt"
-    assert one(spark, T.tokenize_stem("t", RO_SUFFIXES), t="școlilor casele 2024") == ["școl", "cas"] or one(spark, T.tokenize_stem("t", RO_SUFFIXES), t="școlilor")[0].startswith("școl")
-    assert one(spark, T.keywords("t", ("pentru",), RO_KEYWORD_SUFFIXES), t="Înscrierea pentru grădinițe 2024 înscrierea")[0].startswith("inscrie")
+    assert one(spark, T.tokenize_stem("t", RO_SUFFIXES), t="școlilor casele drumurilor investiții copii 2024 x") == ["școl", "case", "drum", "investiț", "copi"]
+    assert one(spark, T.keywords("t"), t="Înscrierea pentru grădinițe 2024 înscrierea Botanica2 школы в Кишиневе") == ["inscrie", "gradini", "botanic", "школы"]
+    assert one(spark, T.normalize_search_text("t"), t="s\u0326coala\u00a0 nr.\u202f5  \n\n  a ") == "școala nr. 5\na"
+
+
+def test_question_rules(spark):
+    lang = lambda t, hint=None: one(spark, T.detect_language("t", F.lit(hint).cast("string"), known=packs.LANGUAGES), t=t)
+    assert lang("vreau sa aflu cum sa dau copilul la scoala") == "ro" and lang("Какой график работы примэрии?") == "ru"
+    assert lang("What are the working hours of the city hall?") == "en"
+    assert lang("How much did the football pitch works at the Liviu Deleanu lyceum in Chișinău cost?") == "en"
+    assert lang("DGTPCC?", "en") == "en" and lang("DGTPCC?", "xx") == "ro" and lang("DGTPCC?") == "ro"
+    assert one(spark, T.sectors_in("t"), t="în sectorul Centru și la Botanica") == ["botanica", "centru"]
+    assert one(spark, T.sectors_in("t"), t="în centru") == [] and one(spark, T.sectors_in("t", explicit_only=True), t="la Botanica") == []
+    assert one(spark, T.street_keys("t", F.array(F.lit("Strada Mihai Eminescu"))), t="pe str. Vasile Alecsandri din Chișinău") == ["eminescu", "alecsandri"]
+    assert one(spark, T.acronyms("t"), t="DGTPCC, ANEXA și SRL, NOTA, XXI, CNAS") == ["DGTPCC", "CNAS"]
+
+
+def test_titles_and_labels(spark):
+    subject = lambda t, u="": one(spark, T.readable_subject(F.col("t"), F.lit(u)), t=t)
+    assert subject("ORDINUL nr. 278 din 12.03.2026 cu privire la înscrierea copiilor") == "Ordinul nr. 278 — înscrierea copiilor"
+    assert subject("12/3 din 01.02.2026 — cu privire la buget") == "Nr. 12/3 — buget"
+    assert subject("Vezi detalii", "https://a.md/files/20260101_plan-de-actiuni.pdf") == "Plan de actiuni"
+    assert subject("Lista actelor necesare") == "Lista actelor necesare"
+    label = one(spark, T.choice_label(F.col("t"), F.lit("primaria.md"), F.lit("2026-03-01"), detail=F.lit("Program de lucru")), t="Anunț")
+    assert label == "Anunț: Program de lucru · primaria.md · 01.03.2026"
+    assert len(one(spark, T.choice_label(F.col("t"), F.lit("primaria.md"), F.lit("2026-03-01")), t="cuvânt " * 60)) <= 110
+    assert one(spark, T.clean_title("t"), t="Reparații  pe strada Mare - Primăria Municipiului Chișinău") == "Reparații pe strada Mare"
+    assert one(spark, T.title_noise("t"), t="Anexa nr. 5") and not one(spark, T.title_noise("t"), t="Reparații pe strada Mare")
+    assert one(spark, T.clean_text("t", F.lit("Un titlu")), t="# Un titlu\n\n**text** cu `semne`") == "text cu semne"
+
+
+def test_events_types_and_facts(spark):
+    e = one(spark, T.parse_event("t"), t="Târg de carte.\nLocația: Piața Mare.\nPerioada: 04-06.09.2026\nrând în plus")
+    assert tuple(e) == ("Târg de carte", "Piața Mare", "04-06.09.2026", ["rând în plus"])
+    e = one(spark, T.parse_event("t"), t="Doar titlu\nLocația:\nîncă titlu")
+    assert tuple(e) == ("Doar titlu încă titlu", None, None, [])
+    kinds = spark.createDataFrame([("law", "pdf"), ("unknown", "pdf"), (None, "webpage"), (None, None)], "d string, s string")
+    assert [r[0] for r in kinds.select(T.doc_type("d", "s")).collect()] == ["law", "administrative_document", "webpage_article", "municipal_document"]
+    assert [one(spark, T.evidence_kind("t"), t=t) for t in ("data_table", "list_item", "Heading", "paragraph", None)] == ["table", "list", "headline", "body", "body"]
+    f = one(spark, T.fact_matches("t"), t="Costă 1,5 milioane lei și 200 EUR, din 01.02.2026 până în 2027, 3 luni, 12 de străzi")
+    assert (f["amounts"], f["dates"], f["durations"], f["counts"]) == (["1,5 milioane lei", "200 EUR"], ["01.02.2026", "2027"], ["3 luni"], ["12 de străzi"])
+
+
+def test_uncited_segments(spark):
+    u = lambda t, *ids: one(spark, T.uncited_segments("t", F.array(*map(F.lit, ids))), t=t)
+    assert u("Prima. A doua. [S1]", "S1") == ["Prima. A doua."] and u("Prima. [S4]", "S1") == ["Prima."] and u("Fără marker", "S1") == ["Fără marker"]
+    assert u("Prima frază. [S1] [S2]\nA doua frază. [S2]", "S1", "S2") == []
 
 
 def test_language(spark):
@@ -147,11 +193,39 @@ def test_versions_feeds_and_traces(spark, tmp_path):
     assert spark.table("current_feed").count() == 1
     with pytest.raises(Exception, match="already exists"):
         feeds.write_stage(df, str(tmp_path / "out"), "feed", "r1")
+    feeds.publish_version(spark, v1, "current_feed", str(tmp_path))
+    v2 = feeds.write_stage(df.unionByName(df), str(tmp_path / "out"), "feed", "r2")
+    feeds.publish_version(spark, v2, "current_feed", str(tmp_path))
+    assert feeds.read_version(spark.newSession(), "current_feed", str(tmp_path)).count() == 2
     q = spark.createDataFrame([("secret words", "ro", "OK", 3, [("c1", {"dense": 1})])], "question string, language string, status string, elapsed_ms int, citations array<struct<id:string,ranks:map<string,int>>>")
     feeds.append_trace(q, str(tmp_path / "trace"))
     assert "secret" not in "".join(p.read_text() for p in (tmp_path / "trace").glob("*.json"))
 
 
+def test_relational_tables(spark, tmp_path):
+    for n, columns in feeds.RELATIONAL.items():
+        spark.createDataFrame([], columns).write.parquet(str(tmp_path / n))
+    tables = feeds.read_relational(spark, str(tmp_path))
+    assert len(tables) == 8 and all(t.count() == 0 for t in tables.values()) and "ai_reply" in tables["responses"].columns
+    chunks = spark.createDataFrame([("a", "h1"), ("b", "h2")], "chunk_id string, text_sha256 string")
+    vectors = spark.createDataFrame([("a", "h1", [1.0], "m", False), ("b", "h2", [2.0], "m", False)], "chunk_id string, text_sha256 string, embedding array<float>, model string, mock boolean")
+    assert R.join_embeddings(chunks, vectors).count() == 2
+    for bad in (vectors.limit(1), vectors.withColumn("text_sha256", F.lit("x")), vectors.withColumn("model", F.col("chunk_id")), vectors.withColumn("embedding", F.when(F.col("chunk_id") == "a", F.array(F.lit(1.0), F.lit(2.0))).otherwise(F.col("embedding")))):
+        with pytest.raises(ValueError):
+            R.join_embeddings(chunks, bad)
+    cols = "id string, v int, request string, n int, text string"
+    server, local = spark.createDataFrame([("1", 2, "r1", 5, "new"), ("2", 1, None, 6, "s")], cols), spark.createDataFrame([("1", 1, "r1", 5, "old"), ("x", 0, "r1", 3, "waits"), ("y", 0, "r9", 9, "unsent")], cols)
+    got = R.merge_turns(server, local, "id", "v", "request", "n", F.col("id").isin("x", "y")).orderBy("n").collect()
+    assert [(r["id"], r["n"], r["text"]) for r in got] == [("1", 3, "new"), ("2", 6, "s"), ("y", 9, "unsent")]
+    subs = spark.createDataFrame([("s",), ("t",)], "sub string")
+    settings = spark.createDataFrame([("s", True)], "sub string, enabled boolean")
+    topics = spark.createDataFrame([("s", 2, "B", "AUTO", False, 2), ("s", 1, "A", "USER", False, 1), ("s", 3, "C", "AUTO", True, 0)], "sub string, topic_id int, label string, origin string, removed boolean, created_at int")
+    view = {r["sub"]: (r["enabled"], [t["label"] for t in r["topics"]]) for r in R.settings_view(subs, settings, topics, "sub", {"enabled": F.lit(False)}).collect()}
+    assert view == {"s": (True, ["A", "B"]), "t": (False, [])}
+    sent = spark.createDataFrame([("r1", "a"), ("r1", "a"), ("r2", "a"), ("r2", "b"), (None, "c")], "request string, prompt string")
+    assert [r["request"] for r in R.request_conflicts(sent, "request", "prompt").collect()] == ["r2"]
+
+
 def test_chunks_and_pages(spark, tmp_path):
     (tmp_path / "c.jsonl").write_text("\n".join(json.dumps(x) for x in ({"chunkId": "a", "text": "x"}, {"chunkId": "b", "text": " "}, {"chunkId": "c", "text": "y"}, {"chunkId": "c", "text": "z"})))
     rows = feeds.read_chunks_jsonl(spark, str(tmp_path / "c.jsonl"), "chunkId string, text string")
@@ -238,9 +312,77 @@ def test_quality_and_validation(spark):
     assert {r["id"]: (r["status"], r["failed_stage"], r["issues"]) for r in Q.pipeline_outcome(st, "id").collect()} == {"a": ("WARNING", None, ["w"]), "b": ("ERROR", 3, ["e"])}
 
 
+def test_evidence_rows(spark):
+    docs = spark.createDataFrame([("d", "v1", "Titlu distinct", "2026-03-01", "Botanica")], "document_id string, version_id string, title string, published_date string, district string")
+    long_ = " ".join(f"Propoziția numărul {i} are destule cuvinte." for i in range(60))
+    rows = [("d", "p1", "paragraph", ["# Titlu distinct", "Secțiune"], "Lucrările costă 200 EUR și durează 3 luni.", True, None), ("d", "p2", "paragraph", [], long_, True, []), ("d", "p3", "list_item", [], "unu", True, None), ("d", "p4", "paragraph", [], "unu doi", True, None), ("d", "p5", "paragraph", [], "un text bun de citit", False, ["LOW"])]
+    passages = spark.createDataFrame(rows, "document_id string, passage_id string, type string, heading_path array<string>, citation_text string, validated boolean, issues array<string>")
+    out = P.build_evidence(docs, passages, 64).orderBy("passage_id", "part").collect()
+    first = out[0]
+    assert first["retrieval_text"] == "Titlu distinct | Secțiune | Data publicării: 2026-03-01\n\nLucrările costă 200 EUR și durează 3 luni." and first["citation_text"] == rows[0][4]
+    assert first["facts"]["amounts"] == ["200 EUR"] and first["facts"]["durations"] == ["3 luni"] and first["locations"] == ["Botanica"] and first["heading"] == ["Secțiune"]
+    parts = [r for r in out if r["passage_id"] == "p2"]
+    assert len(parts) > 3 and all(r["token_estimate"] <= 64 + 2 and long_[r["char_start"] : r["char_end"]] == r["citation_text"] for r in parts)
+    of = {r["passage_id"]: r for r in out}
+    assert of["p3"]["indexing_status"] == "READY" and of["p4"]["issue_codes"] == ["FRAGMENT"] and of["p5"]["issue_codes"] == ["LOW"] and of["p5"]["target_collection"] == "review"
+    assert len({r["evidence_id"] for r in out}) == len(out)
+    assert {r["passage_id"] for r in P.ready_chunks(docs, passages, 5000).select("passage_id").distinct().collect()} == {"p1", "p2", "p3"}
+    with pytest.raises(ValueError):
+        P.ready_chunks(docs, passages, 63)
+
+
+def test_merged_chunks_and_previews(spark):
+    docs = spark.createDataFrame([("d", "Titlu", "2026-01-02", ("p0", "Titlu"), True, True)], "document_id string, title string, published_date string, title_citation struct<passage_id:string,quote:string>, data_ok boolean, citations_ok boolean")
+    rows = [("d", 0, 1, "p2", ["H"], "doi", "Doi", True, True), ("d", 0, 0, "p1", ["H"], "unu", "Unu", True, True), ("d", 1, 2, "p3", [], "trei", "Trei", True, False), ("d", 2, 3, "p4", [], "patru", "Patru", False, False)]
+    passages = spark.createDataFrame(rows, "document_id string, chunk int, passage_ord int, passage_id string, heading_path array<string>, search_text string, citation_text string, data_ok boolean, citations_ok boolean")
+    out = P.merge_chunk(docs, passages).orderBy("chunk").collect()
+    assert out[0]["text"] == "Titlu | Publicat: 2026-01-02 | H\n\nunu\n\ndoi" and out[0]["citation_text"] == "Unu\n\nDoi" and out[0]["passage_ids"] == ["p1", "p2"]
+    assert [c["passage_id"] for c in out[0]["citations"]] == ["p0", "p1", "p2"] and [r["status"] for r in out] == ["READY", "CITATION_PENDING", "NEEDS_REVIEW"]
+    ev = [("d", "v", "b", "e2", "second", 20, 2, None, None), ("d", "v", "b", "e1", "first", 0, 2, None, None), ("d", "v", "a", "e3", "later", 0, None, 1, 1), ("d", "v", "c", "e4", "one", 0, 2, 5, None)]
+    pre = P.source_previews(spark.createDataFrame(ev, "document_id string, version_id string, passage_id string, evidence_id string, citation_text string, char_start int, page int, start_line int, block_index int")).orderBy("place").collect()
+    assert [(r["passage_id"], r["text"], r["evidence_ids"]) for r in pre] == [("c", "one", ["e4"]), ("b", "first second", ["e1", "e2"]), ("a", "later", ["e3"])]
+
+
+def test_scraper_blocks(spark):
+    df = spark.createDataFrame([("d", [(1, "unu\n\ndoi"), (2, "trei")], "patru\n\ncinci"), ("e", None, "doar text"), ("f", [(1, "x")], None)], "id string, pages array<struct<page:int,text:string>>, text string")
+    b = P.scraper_blocks(df, "id").orderBy("id", "ord").collect()
+    assert [(r["id"], r["ord"], r["page"], r["block"]) for r in b] == [("d", 0, 1, "unu"), ("d", 1, 1, "doi"), ("d", 2, 2, "trei"), ("d", 3, None, "patru"), ("d", 4, None, "cinci"), ("e", 0, None, "doar text"), ("f", 0, 1, "x")]
+
+
 # ---------------------------------------------------------------- search
 
 
+def test_hybrid_search_brings_what_a_heading_introduces(spark):
+    quotes = ["Pașii pentru înregistrare pe platformă:", "Pasul 1: autentificați-vă", "Pasul 2: selectați instituția", "Altceva"]
+    points = spark.createDataFrame([(f"p{i}", "d1", i, "body", q) for i, q in enumerate(quotes)] + [("b0", "d2", 0, "body", "Părinții consultă instrucțiunile."), ("b1", "d2", 1, "body", "Altă informație")], "point string, document string, pos int, kind string, quote string")
+    rank = lambda *ids: spark.createDataFrame([("q", r, p) for r, p in enumerate(ids, 1)], "q string, rank int, point string")
+    scores = spark.createDataFrame([("q", "p0", 0.8), ("q", "p1", 0.1), ("q", "p2", 0.05), ("q", "b0", 0.1)], "q string, point string, score double")
+    out = S.hybrid_search(rank("p0", "b0"), rank("b0"), {"need": rank("p0")}, "q", "point", points, catalog=spark.createDataFrame([("q", 1, "d1")], "q string, rank int, document string"), scores=scores, least=0.22, per_anchor=2)
+    rows = out.orderBy("place").collect()
+    assert [r["point"] for r in rows] == ["p0", "p1", "p2"] and rows[1]["anchor"] == "p0" and dict(rows[2]["ranks"]) == {"contextAfter": 2}
+    assert abs(rows[0]["score"] - (2 / 61 + 1 / 61)) < 1e-9  # two channels and the catalog
+    plain = S.hybrid_search(rank("b0"), rank("b0"), {}, "q", "point", points)
+    assert [r["point"] for r in plain.collect()] == ["b0"]
+
+
+def test_bm25_in_blocks(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(2))
+    docs = spark.createDataFrame([(i, " ".join(word() for _ in range(rng.randint(0, 30))) or None) for i in range(60)], "d int, t string").repartition(3)
+    queries = spark.createDataFrame([(f"q{i}", " ".join(word() for _ in range(4))) for i in range(20)], "q string, t string")
+    one_, many = (sorted(map(tuple, S.bm25_topk(queries, docs, 5, "q", "t", "d", "t", block=n).collect())) for n in (4096, 3))
+    assert one_ == many and len(one_) > 40
+    texts = {r["d"]: (r["t"] or "").split() for r in docs.collect()}
+    df = lambda t: sum(t in w for w in texts.values())
+    import math
+
+    weight = lambda w, t: w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / 120))
+    for q, rank, d, score in one_:
+        asked = next(r["t"] for r in queries.collect() if r["q"] == q).split()
+        want = {i: sum(weight(asked, t) * weight(w, t) * math.log(1 + (60 - df(t) + 0.5) / (df(t) + 0.5)) for t in set(asked) if t in w) for i, w in texts.items()}
+        assert abs(score - want[d]) < 1e-5 and sum(v > want[d] + 1e-6 for v in want.values()) < rank
+
+
 def test_fusion_and_channels(spark):
     ranks = spark.createDataFrame([("q", "dense", p, r) for r, p in enumerate("abc", 1)] + [("q", "sparse", p, r) for r, p in enumerate("ca", 1)], "query_id string, channel string, point_id string, rank int")
     docs = spark.createDataFrame([("a", "d1"), ("b", "d1"), ("c", "d2")], "point_id string, document string")
@@ -262,6 +404,8 @@ def test_context(spark):
     pos = spark.createDataFrame([("d", i) for i in range(3, 6)], "document string, pos int")
     out = S.following_context(anchors, pos, "query_id", per_anchor=2).orderBy("pos").collect()
     assert [(r["pos"], r["distance"]) for r in out] == [(4, 1), (5, 2)] and abs(out[0]["score"] - 0.4) < 1e-9
+    said = [("headline", "Titlu"), ("body", "Pașii:"), ("body", "Documentele necesare sunt"), ("body", "Un text simplu"), (None, None)]
+    assert [r["x"] for r in spark.createDataFrame(said, "k string, q string").select(S.introduces("k", "q").alias("x")).collect()] == [True, True, True, False, False]
     ranked = spark.createDataFrame([("q", "h", None, 0.8), ("q", "s", "h", 0.1), ("q", "o", None, 0.1)], "query_id string, id string, anchor string, score double")
     assert sorted(r["id"] for r in S.eligible_with_context(ranked, 0.22, "query_id", "id", "anchor").collect()) == ["h", "s"]
 
@@ -304,10 +448,11 @@ def test_claim_issues(spark):
 
 
 def test_answers(spark):
-    claims = spark.createDataFrame([("q", 1, "Unu.", ["b"]), ("q", 2, "Doi.", ["c", "b"]), ("q", 3, "Trei.", ["z"])], "question_id string, claim_no int, text string, evidence_ids array<string>")
-    known = spark.createDataFrame([("q", "b"), ("q", "c")], "question_id string, evidence_id string")
-    r = C.render_answers(claims, known).first()
-    assert r["answer"] == "Unu [S1]. Doi [S2][S1]." and r["citations"] == ["b", "c"] and r["dropped"] == 1
+    claims = spark.createDataFrame([("q", 1, "Unu. Și încă o frază.", ["b"]), ("q", 2, "Doi.", ["c", "b", "z"]), ("q", 3, "Trei.", ["z"]), ("q", 1001, "Patru.", ["d"]), ("p", 1, "Nimic.", ["z"])], "question_id string, claim_no int, text string, evidence_ids array<string>")
+    known = spark.createDataFrame([("q", "b"), ("q", "c"), ("q", "d")], "question_id string, evidence_id string")
+    r = {x["question_id"]: x for x in C.render_answers(claims, known).collect()}
+    assert r["q"]["answer"] == "Unu. [S1] Și încă o frază. [S1]\nDoi. [S2] [S1]\nPatru. [S3]" and r["q"]["citations"] == ["b", "c", "d"] and r["q"]["dropped"] == 1
+    assert (r["p"]["answer"], r["p"]["dropped"]) == (None, 1)
     assert one(spark, T.uncited_sentences("t", F.array(F.lit("S1"))), t="Aceasta este o frază citată [S1]. Aceasta nu are nicio sursă. Scurt.") == ["Aceasta nu are nicio sursă."]
     cov = C.requirement_coverage(spark.createDataFrame([("r1",), ("r2",)], "r string"), spark.createDataFrame([("r1", "x")], "r string, c string"), "r", "c").orderBy("r").collect()
     assert [(x["claims"], x["status"]) for x in cov] == [(1, "ANSWERED"), (0, "MISSING")]
@@ -316,6 +461,42 @@ def test_answers(spark):
     assert sorted((x["claim_no"], x["evidence_id"]) for x in C.prune_evidence(cl, ev).collect()) == [(1, "a"), (2, "b"), (2, "c")]
 
 
+def test_expected_values(spark):
+    cases = [
+        ("Programul este luni-vineri, 8:00-17:00.", "hours", True), ("Direcția are trei secții și un serviciu.", "hours", False), ("Taxa este de 150 lei.", "amount", True), ("Taxa se achită la ghișeu.", "amount", False),
+        ("Trebuie asigurate patru tone de apă.", "amount", True), ("Înscrierea începe la 1 aprilie.", "date", True), ("Înscrierea este reglementată de Ordinul nr. 01/1-7/345.", "legal_act", True), ("Părinții depun cererea online.", "legal_act", False),
+        ("Oricare.", "procedure", True), ("Părinții depun cererea online.", "legal_act", True),
+    ]
+    claims = spark.createDataFrame([(str(i), t, ["S1"]) for i, (t, _, _) in enumerate(cases)], "question_id string, text string, evidence_ids array<string>")
+    kinds = spark.createDataFrame([(str(i), k) for i, (_, k, _) in enumerate(cases)] + [("none", "hours")], "question_id string, answer_type string")
+    evidence = spark.createDataFrame([("9", "S1", "ORDINUL nr. 278 cu privire la înscriere"), ("7", "S1", "Înscrierea copiilor")], "question_id string, evidence_id string, title string")
+    got = {r["question_id"]: r["has_value"] for r in C.has_expected_value(claims, kinds, evidence).collect()}
+    assert got == {str(i): w for i, (_, _, w) in enumerate(cases)} | {"none": False}
+
+
+def test_answer_contract(spark):
+    ev = spark.createDataFrame([("q", "S1", "d1", "are 5 bănci"), ("q", "S2", "d1", "x"), ("q", "S3", "d2", "are 7 copaci")], "question_id string, evidence_id string, document_id string, quote string")
+    rows = [
+        ("SUPPORTED", "Parcul are acum 5 bănci [S1].", ["S1"], None, []), ("PARTIAL", "Parcul are acum 5 bănci [S1].", ["S1"], [], ["LIMITATIONS_MISSING"]), ("X", "Da.", [], None, ["INVALID_STATUS"]),
+        ("SUPPORTED", "Parcul are acum 6 bănci [S1].", ["S1"], None, ["NUMBER_NOT_IN_QUOTE"]), ("SUPPORTED", "Parcul are multe bănci noi. Vezi [S1].", ["S1"], None, ["UNCITED_SENTENCE"]),
+        ("SUPPORTED", "Parcul are acum bănci noi [S1][S2].", ["S1", "S2"], None, ["DOCUMENT_CITED_TWICE"]), ("SUPPORTED", "Are 5 bănci și 7 copaci [S1][S3].", ["S1", "S3"], None, ["NUMERIC_CROSS_DOCUMENT"]),
+        ("SUPPORTED", "Parcul are bănci noi [S9].", ["S9"], None, ["UNKNOWN_EVIDENCE"]), ("SUPPORTED", "Parcul de pe str. Mare e nou [S1].", [], None, ["CITATIONS_DIFFER"]),
+    ]
+    df = spark.createDataFrame([(i, "q", *r[:4]) for i, r in enumerate(rows)], "i int, question_id string, status string, answer string, evidence_ids array<string>, limitations array<string>")
+    assert [r["violations"] for r in C.check_answer_contract(df, ev).orderBy("i").collect()] == [r[4] for r in rows]
+
+
+def test_verifier(spark):
+    ev = spark.createDataFrame([("q", "e1", "Costul este 0 lei pentru toți.", "d1")], "question_id string, evidence_id string, quote string, document_id string")
+    claims = spark.createDataFrame([("q", n, t, ["e1"], "Cât?") for n, t in ((1, "Costă 50 lei."), (2, "Costul este zero."), (3, "Este scump."), (4, "Este bine."))], "question_id string, claim_no int, text string, evidence_ids array<string>, question string")
+    verdicts = spark.createDataFrame([("q", 1, True, None), ("q", 2, True, None), ("q", 3, False, "NOT_SAID")], "question_id string, claim_no int, supported boolean, reason string")
+    good, bad = C.verify(claims, ev, verdicts)
+    assert [r["claim_no"] for r in good.collect()] == [2]
+    assert {r["claim_no"]: r["reasons"] for r in bad.collect()} == {1: ["UNSUPPORTED_NUMBER:50"], 3: ["NOT_SAID"], 4: ["NO_VERDICT"]}
+    again = spark.createDataFrame([(0, 0), (4, 1), (4, 2)], "n int, v int").select(C.needs_second_round(F.col("n"), F.col("v")).alias("x"))
+    assert [r["x"] for r in again.collect()] == [True, True, False]
+
+
 def test_duplicates(spark):
     quote = "un text lung cu destule cuvinte diferite pentru comparare între copii"
     rows = [
@@ -346,6 +527,52 @@ def test_alert_scores_and_upkeep(spark):
     assert next(r["n"] for r in R.unread_counts(al, "p", "c").where("g is null and s is null").orderBy(F.desc("n")).collect()) == 3
 
 
+def test_topics_dismissals_and_matchers(spark):
+    rows = [("s", "Orarul troleibuzelor", "orar", 1), ("s", "orarul TROLEIBUZELOR", "dublură", 2), ("s", "Apă caldă", "apă", 3), ("s", "L" * 120, "q " * 400, 4), ("s", "Parcări", "parcare", 5), ("s", "Al cincilea", "x", 6), ("s", "Al șaselea", "y", 7), ("s", "Fără", " ", 8)]
+    topics = spark.createDataFrame(rows, "s string, label string, query string, n int")
+    out = A.finalize_topics(topics, "s", "label", "n", query="query", existing=spark.createDataFrame([("s", "apă CALDĂ")], "s string, label string")).orderBy("n").collect()
+    assert [r["label"] for r in out][0] == "Orarul troleibuzelor" and [r["n"] for r in out] == [1, 4, 5, 6] and len(out[1]["label"]) <= 80 and len(out[1]["query"]) <= 300
+    t = spark.createDataFrame([("a", "AUTO", None, None), ("b", "USER", None, 0.7), ("c", "AUTO", None, 0.9)], "topic_id string, origin string, deleted_at timestamp, min_score double")
+    now = F.lit("2026-09-27 10:00:00").cast("timestamp")
+    gone = A.delete_topics(t, t.where("topic_id in ('a', 'b')"), "topic_id", now).collect()
+    assert {r["topic_id"]: r["deleted_at"] is not None for r in gone} == {"a": True, "c": False}
+    al = spark.createDataFrame([(1, "a", 0.8, None), (2, "a", 0.7, None), (3, "c", 0.5, None), (4, "b", 0.6, None)], "id int, topic_id string, score double, dismissed_at timestamp")
+    hidden, after = A.dismiss(al, t, F.col("id").isin(1, 3), now)
+    assert {r["id"] for r in hidden.where("dismissed_at is not null").collect()} == {1, 3}
+    assert {r["topic_id"]: round(r["min_score"], 2) for r in after.collect() if r["min_score"]} == {"a": 0.81, "b": 0.7, "c": 0.9}
+    feed = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "id int, embedding array<float>")
+    with_gap = feed.unionByName(spark.createDataFrame([(3, None)], feed.schema))
+    pick = lambda f: A.match_with(f, lambda: f, lambda: f)[0]
+    assert (pick(feed), pick(with_gap), pick(feed.limit(0))) == ("embedding", "lexical", "lexical")
+
+
+def test_diverse_choice(spark):
+    rng = random.Random(9)
+    rows = [(f"i{n}", rng.choice("xyz"), f"Titlu {rng.choice(['apa', 'drum', 'parc'])} {n if n % 5 else 'repetat'}", n) for n in range(120)]
+    pool = spark.createDataFrame(rows, "id string, source string, title string, rank int")
+    buckets = {"water": (("x", "y"), "apa"), "road": (("x", "z"), "drum"), "any": (("x", "y", "z"), None)}
+    out = A.select_diverse(pool, buckets, 20, 6, thrice=("z",)).orderBy("place").collect()
+    got, used, keys = [], {}, set()
+    by = {s: [r for r in rows if r[1] == s] for s in "xyz"}
+    for name, (sources, pattern) in buckets.items():
+        at, taken = dict.fromkeys(sources, 0), 0
+        while taken < 7 and any(at[s] < len(by[s]) for s in sources):
+            for s in sources:
+                if taken >= 7:
+                    break
+                while at[s] < len(by[s]):
+                    r = by[s][at[s]]
+                    at[s] += 1
+                    if r[0] in {g[0] for g in got} or used.get(s, 0) >= (18 if s == "z" else 6) or r[2].lower() in keys or (pattern and pattern not in r[2]):
+                        continue
+                    got.append((r[0], name))
+                    used[s] = used.get(s, 0) + 1
+                    keys.add(r[2].lower())
+                    taken += 1
+                    break
+    assert [(r["id"], r["bucket"]) for r in out] == got[:20]
+
+
 def test_alert_scan_never_repeats(spark, tmp_path):
     topics = spark.createDataFrame([("t1", 1, None), ("t2", 1, 0.95)], "topic_id string, subscription_id bigint, min_score double")
     (tmp_path / "feed").mkdir()
@@ -378,6 +605,23 @@ def test_turns(spark):
     df = spark.createDataFrame(ev, "turn string, ts bigint, kind string, version bigint, text string")
     out = {r["turn"]: (r["status"], r["text"], r["error"]) for r in X.turn_lifecycle(df, "turn").collect()}
     assert out == {"a": ("COMPLETED", "ok", None), "b": ("COMPLETED", "Replacement", None), "c": ("FAILED", None, "GENERATION_INTERRUPTED")}
+    silent = spark.createDataFrame([("s", 0, "start", 1, None), ("t", 9 * m, "start", 1, None)], df.schema)
+    at = lambda now: {r["turn"]: r["status"] for r in X.turn_lifecycle(silent, "turn", now_ms=now).collect()}
+    assert at(None) == {"s": "PENDING", "t": "PENDING"} and at(10 * m) == {"s": "FAILED", "t": "PENDING"}
+
+
+def test_silent_turns_of_a_stream_run_out(spark, tmp_path):
+    m = 60_000
+    schema = "turn string, ts bigint, kind string, version bigint, text string"
+    for n, rows in enumerate([[("a", 0, "start", 1, None), ("b", 0, "start", 1, None)], [("b", 1 * m, "complete", 1, "ok")], [("z", 60 * m, "start", 1, None)], [("z", 61 * m, "complete", 1, "done")]]):
+        rows = [(k, 10**12 + at, *rest) for k, at, *rest in rows]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        q = X.turn_lifecycle(stream, "turn", late="1 minute").withColumn("n", F.lit(n)).writeStream.foreachBatch(lambda b, i: b.write.mode("append").parquet(str(tmp_path / "out"))).outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        assert q.awaitTermination(90)
+    rows = [(r["turn"], r["status"], r["error"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert ("a", "FAILED", "GENERATION_INTERRUPTED") in rows and ("b", "COMPLETED", None) in rows and ("z", "COMPLETED", None) in rows
+    assert ("b", "FAILED", "GENERATION_INTERRUPTED") not in rows
 
 
 def test_session_history(spark, tmp_path):
@@ -395,15 +639,16 @@ def test_session_history(spark, tmp_path):
 
 def test_embed_missing(spark):
     def embed(texts):
-        if "bad" in texts[0]:
+        if "bad" in texts:
             raise ValueError("no")
-        return [[float(len(texts[0]))]]
+        return [[float(len(t))] for t in texts]
 
     texts = spark.createDataFrame([("h1", "one"), ("h2", "bad"), ("h1", "one")], "text_hash string, text string")
     none = spark.createDataFrame([], "text_hash string, model string, embedding array<float>")
     out = X.embed_missing(texts, none, embed, "m")
     assert {r["text_hash"]: (r["embedding"], r["error"]) for r in out.collect()} == {"h1": ([3.0], None), "h2": (None, "no")}
     assert X.embed_missing(texts.where("text_hash = 'h1'"), out, embed, "m").count() == 0
+    assert X.embed_missing(texts, out, embed, "m").count() == 1 and X.embed_missing(texts.where("text_hash = 'h1'"), out, embed, "m", mock=True).count() == 1
 
 
 # ---------------------------------------------------------------- evaluation and history
