@@ -7,11 +7,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: dict[str, list[str]] = {}  # of each application, in the order of writing
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset a temporary one is taken on a local master
+    (tests); on a cluster that would scatter tables over its machines, so it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -21,9 +27,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: a lost executor costs no recomputation beyond it.
 
     Columns and rows are those of df; the name only labels the folder. Used instead of localCheckpoint, and instead of
-    checkpoint() because Parquet is compressed and lets later reads prune columns.
+    checkpoint() because Parquet is compressed and lets later reads prune columns. The table stays until release() or until
+    the folder is cleaned.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def mark(spark: SparkSession) -> int:
+    """How many tables this application has written so far, for release()."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int, *keep: DataFrame) -> int:
+    """Delete the tables written since a mark, but those that `keep` reads; how many went. No other DataFrame may read them."""
+    paths = _written.get(spark.sparkContext.applicationId, [])
+    read = {f for df in keep for f in df.inputFiles()}
+    held = [p for p in paths[since:] if any(f"/tables/{p.rpartition('/tables/')[2]}/" in f for f in read)]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = [p for p in paths[since:] if p not in held]
+    for p in gone:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    paths[since:] = held
+    return len(gone)
