@@ -413,10 +413,16 @@ def keep_one(
             data = data.select("node", "fp", "shingles").unionByName(apart.select("node", "fp", "shingles"))
     groups = _near(rows, data, least, radius, tree_size)
     named = rows.select("doc_id", "h", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    best = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "h")).alias("best")).select("best.doc_id", "best.h").distinct()
-    best = materialize(best.select(F.col("doc_id").alias("best_id"), F.col("h").alias("best_h")), "kept")
-    kept = keyed.join(best, (keyed[hash_] == best["best_h"]) & keyed[key].eqNullSafe(best["best_id"]), "left_semi")
-    return kept.dropDuplicates([key, hash_]).select(*docs.columns)
+    best = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "h")).alias("best"))
+    best = materialize(best.select(_name(F.col("best.doc_id"), F.col("best.h")).alias("best_name")).distinct(), "kept")
+    # joined and made single by the same column, so that the texts are moved once
+    kept = keyed.withColumn(key, _name(F.col(key), F.col(hash_))).join(best, F.col(key) == F.col("best_name"), "left_semi")
+    return kept.dropDuplicates([key]).select(*docs.columns)
+
+
+def _name(doc_id: Column, text_hash: Column) -> Column:
+    """64 bits that stand for a document's id and text."""
+    return F.xxhash64(doc_id, doc_id.isNull(), text_hash)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
