@@ -263,6 +263,23 @@ def test_pack_covers_every_token_once_within_the_budget(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_pack_token_ids(spark):
+    rng = random.Random(71)
+    rows = [(i, [rng.randrange(100) for _ in range(rng.choice((0, 3, 9, 20, 47)))]) for i in range(40)] + [(None, [7, 8]), (None, None), (3, [1, 2, 3]), (3, [1, 2, 3])]
+    df = spark.createDataFrame(rows, "doc_id bigint, tokens array<int>")
+    out = packing.pack(df, ids="tokens", max_len=16, buckets=3, budget=64, pad=-1).collect()
+    got = Counter()
+    parts = {}
+    for r in out:
+        assert len(r["tokens"]) == r["bucket_len"] and set(r["tokens"][r["n_tokens"] :]) <= {-1}
+        parts.setdefault(r["doc_id"], []).append((r["first_token"], r["tokens"][: r["n_tokens"]]))
+    for i, ids in rows[3:40]:
+        if i != 3:
+            assert sum((t for _, t in sorted(parts[i])), []) == ids
+    assert sorted(t for _, t in parts[None]) == [[], [7, 8]] and len(parts[3]) == 2 + max(1, -(-len(rows[3][1]) // 16))
+    assert all(sum(x["bucket_len"] for x in out if (x["bucket_len"], x["batch"]) == key) <= 64 for key in {(r["bucket_len"], r["batch"]) for r in out})
+
+
 # ---------------------------------------------------------------- PII
 
 
@@ -723,3 +740,57 @@ def test_toxicity_learns_subwords(spark, empty):
     assert len({r["score"] for r in out if r["doc_id"] >= 1000}) == 1 and all(0 <= r["score"] <= 1 for r in out)
     assert toxicity.fit(df.where("toxic = 0")) is None
     assert toxicity.predict(empty, model).count() == 0 and {r["score"] for r in toxicity.predict(df.limit(3), None).collect()} == {0.0}
+
+
+# ---------------------------------------------------------------- the queries
+
+
+def test_queries_return_what_is_asked_for(spark, tmp_path):
+    from lexiforge.llm.queries import QUERIES
+
+    rng = random.Random(81)
+    alphabets = {"en": "abcdefgh", "ru": "абвгдежз"}
+    rows = []
+    for i in range(120):
+        lang = rng.choice(list(alphabets))
+        rows.append((i, "\n".join(words(rng, 15, alphabets[lang]) for _ in range(2)) + (" grumxq" + words(rng, 1) if i % 5 == 0 else ""), lang, "s", 1))
+    rows += [(200, rows[0][1], "en", "s", 1), (201, None, None, None, None), (202, "", "en", "s", 0), (203, "call +1 (724) 555-3457 on 1999-02-28", "en", "s", 1)]
+    d = str(tmp_path)
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(120)], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(0, rows[7][1])], "item_id bigint, text string").write.parquet(f"{d}/benchmark.parquet")
+    want = {
+        "op1_simhash": "doc_id:bigint fingerprint:string component_id:bigint", "op4_token_counts": "doc_id:bigint n_tokens:bigint n_pretokens:bigint score:double",
+        "op5_toxicity": "doc_id:bigint held_out:boolean score:double predicted:int", "op6_token_file": "doc_id:bigint start:bigint n_tokens:bigint ids_crc32:bigint",
+        "op7_merkle": "doc_id:bigint n_chars:bigint edited_sha256:string fingerprint:string edited_fingerprint:string near_edited:double near_next:double", "op10_language_id": "doc_id:bigint held_out:boolean lang_pred:string score:double",
+        "op8_line_dedup": "doc_id:bigint text:string n_removed:int", "op9_decontamination": "doc_id:bigint item_id:bigint n_words:int n_agree:int", "op3_pii": "doc_id:bigint text:string n_phone:int", "op2_packing": "doc_id:bigint bucket_len:int batch:bigint slot:int",
+    }
+    ids = sorted(r[0] for r in rows)
+    for name, columns in want.items():
+        df = QUERIES[name](spark, d)
+        assert set(columns.split()) <= {f"{c}:{t}" for c, t in df.dtypes}, (name, df.dtypes)
+        out = df.collect()
+        if name not in ("op2_packing", "op9_decontamination"):
+            assert sorted(r["doc_id"] for r in out) == ids, name
+        if "held_out" in df.columns:
+            assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 for r in out)
+        by = {r["doc_id"]: r for r in out}
+        if name == "op1_simhash":
+            assert all(r["fingerprint"] == f"{slow_print(t):016x}" for i, t, *_ in rows for r in [by[i]]) and by[200]["component_id"] == 0
+        if name == "op5_toxicity":
+            assert all((r["score"] >= 0.3) == (r["predicted"] == 1) for r in out)
+        if name == "op7_merkle":
+            order = [rows[i] for i in sorted(range(len(rows)), key=lambda i: rows[i][0])]
+            for k, (i, t, *_) in enumerate(order):
+                t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
+                edited = t[: len(t) - len(t) // 4] + nxt[: len(t) // 4]
+                import hashlib
+
+                assert by[i]["n_chars"] == len(t) and by[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+                assert 0 <= by[i]["near_next"] <= 1 and 0 <= by[i]["near_edited"] <= 1 and by[i]["fingerprint"] == slow_tree(t)[0]
+        if name == "op9_decontamination":
+            assert {r["doc_id"] for r in out} == {7}
+        if name == "op10_language_id":
+            assert [by[i]["lang_pred"] for i in (201, 202)] == ["und", "und"] and sum(by[i]["lang_pred"] == lang for i, _, lang, *_ in rows[:120]) >= 118
+        if name == "op3_pii":
+            assert "555-3457" not in by[203]["text"] and by[203]["n_phone"] == 1
