@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexiforge.operators.search import top_per
+from lexiforge.store import materialize
 
 
 def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
@@ -153,11 +154,20 @@ def history_window(turns: DataFrame, by: str, order: str, role: str, n: int, *,
     return last.withColumn("_first", first).where(F.col(order) >= F.col("_first")).drop("_first")
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with the place of each row in the order of the whole table, from 1. Rows are dealt out by ranges of the order and
+    numbered inside each; ranges get the number of rows before them, found over one row a range."""
+    dealt = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))  # one row a partition
+    placed = dealt.withColumn("_at", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
+    return placed.join(F.broadcast(before), "_part").select(*df.columns, (F.col("_at") + F.col("_before")).cast("int").alias(name))
+
+
 def newest_groups(df: DataFrame, by: str, ts: str, tie: str) -> DataFrame:
-    """Rows with the place of their group, groups ordered by their newest member; groups are numbered over one row each."""
+    """Rows with the place of their group, groups ordered by their newest member."""
     groups = df.groupBy(by).agg(F.max(ts).alias("_newest"))
-    numbered = groups.withColumn("group_place", F.row_number().over(W.orderBy(F.desc("_newest"), F.asc(by)))).drop("_newest")
-    return df.join(numbered, by)
+    return df.join(numbered(groups, [F.desc("_newest"), F.asc(by)], "group_place").drop("_newest"), by)
 
 
 def close_ties(df: DataFrame, by: str, subject: str, score: str, *, least: float, ratio: float, most: int = 3) -> DataFrame:

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lexiforge.functions import packs
 from lexiforge.functions.text import tokenize_stem
@@ -193,6 +194,45 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, query_key: str, k
     return top_per(out, [query_key], [F.desc("score"), F.asc(key)], k).select(query_key, "rank", key, "score")
 
 
+def dense_pairs(queries: DataFrame, vectors: DataFrame, least: float, query_key: str, key: str, vector: str = "embedding", *, block: int = 4096) -> DataFrame:
+    """Rows (query_key, key, score): every vector whose cosine with a query reaches `least`.
+
+    Queries are taken in blocks of `block` rows, so the broadcast is bounded; each task multiplies its vectors, 512 at a time,
+    with the block and writes only what reaches the threshold: no join of all with all. Zero vectors and vectors of another
+    length match nothing.
+    """
+    spark = vectors.sparkSession
+    rows = queries.select(F.col(query_key).alias("q"), F.col(vector).alias("v")).where("v is not null")
+    parts = max(1, -(-rows.count() // block))
+    data = vectors.select(F.col(key).alias("k"), F.col(vector).alias("v")).where("v is not null")
+    schema = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, score double"
+    out = spark.createDataFrame([], schema)
+    for p in range(parts):
+        got = (rows if parts == 1 else rows.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == p)).collect()  # about `block` rows
+        if not got:
+            continue
+        matrix = np.array([r["v"] for r in got], dtype=np.float64)
+        norm = np.linalg.norm(matrix, axis=1)
+        shared = spark.sparkContext.broadcast(([r["q"] for r, n in zip(got, norm, strict=True) if n > 0], matrix[norm > 0] / norm[norm > 0, None]))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, matrix = shared.value
+            for batch in (b.slice(lo, 512) for b in batches for lo in range(0, b.num_rows, 512)):
+                vs = [(i, v) for i, v in enumerate(batch.column(1).to_pylist()) if len(v) == matrix.shape[1]]
+                if not vs:
+                    continue
+                x = np.array([v for _, v in vs], dtype=np.float64)
+                norm = np.linalg.norm(x, axis=1)
+                at = np.array([i for i, _ in vs])[norm > 0]
+                s = np.clip(matrix @ (x[norm > 0] / norm[norm > 0, None]).T, -1.0, 1.0)
+                q, k = np.nonzero(s >= least)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], to_arrow_type(q_type)), batch.column(0).take(pa.array(at[k])), pa.array(s[q, k])], [query_key, key, "score"])
+
+        q_type = queries.schema[query_key].dataType
+        out = out.unionByName(data.mapInArrow(run, schema))
+    return out
+
+
 def fuse_rrf(ranks: DataFrame, query_key: str, key: str, k: int = 60) -> DataFrame:
     """Rows (query_key, key, score, ranks): the sum of 1 / (k + rank) over a long table of channels, and the channels' ranks."""
     return ranks.groupBy(query_key, key).agg(F.sum(1 / (k + F.col("rank"))).alias("score"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("channel", "rank")))).alias("ranks"))

@@ -13,7 +13,8 @@ from lexiforge.operators import corpus as P
 from lexiforge.operators import evaluation as V
 from lexiforge.operators import rules as R
 from lexiforge.operators import validation as Q
-from lexiforge.operators.search import dense_topk
+from lexiforge.operators.relational import numbered
+from lexiforge.operators.search import dense_pairs, dense_topk
 from lexiforge.operators.similarity import similar_sets
 from lexiforge.plans.query import query, table
 
@@ -107,7 +108,7 @@ def q_penalty_rank(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "supplier").join(table(spark, d, "nation").withColumnRenamed("n_nationkey", "s_nationkey"), "s_nationkey")
     rows = rows.select("s_suppkey", "n_regionkey", F.col("s_acctbal").alias("score"), F.lit("r2").alias("asked"), F.when(F.col("n_regionkey") == 0, "general").otherwise(F.concat(F.lit("r"), F.col("n_regionkey"))).alias("category"))
     kept, _ = R.apply_rules(rows, F.when(F.col("n_regionkey") == 4, "DIFFERENT_ENTITY"), "asked", "category")
-    ranked = kept.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), F.asc("s_suppkey"))))
+    ranked = numbered(kept, [F.desc("score"), F.asc("s_suppkey")], "rank")
     return ranked.select("s_suppkey", "n_regionkey", F.round("score", 4).alias("score"), "rank")
 
 
@@ -199,8 +200,7 @@ _DOT = "list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUB
 @query(f"SELECT q.vec_id AS topic, v.vec_id, round(greatest(0.0, least(1.0, {_DOT})), 6) AS score FROM embeddings q JOIN embeddings v ON {_DOT} >= 0.6 WHERE q.vec_id % 20 = 0")
 def q_embedding_scores(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    topics = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("topic"), F.col("embedding").alias("t"))
-    pairs = A.score_join(topics, e.select("vec_id", "embedding"), T.cosine("t", "embedding"), F.lit(0.6))
+    pairs = dense_pairs(e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "topic"), e, 0.6, "topic", "vec_id")
     return pairs.select("topic", "vec_id", F.round(F.greatest(F.lit(0.0), F.col("score")), 6).alias("score"))
 
 
