@@ -36,7 +36,8 @@ def score_cases(cases: DataFrame, replies: DataFrame) -> DataFrame:
     """Checks of each case: pass (true), fail (false) or not applicable (null), and counts.
 
     A case without a reply, or with a request error, fails nothing but request_ok. Citation checks apply to answers that
-    found something.
+    found something. Choices are labels: they are judged by the accepted title patterns, and repeat each other if they are equal
+    as labels.
     """
     r = cases.join(replies.withColumnRenamed("id", "_rid"), cases["id"] == F.col("_rid"), "left")
     e = lambda f: F.col(f"expect.{f}")
@@ -74,7 +75,19 @@ def score_cases(cases: DataFrame, replies: DataFrame) -> DataFrame:
         "clarification_has_choices": F.when(ok & (F.col("status") == "NEEDS_CLARIFICATION"), F.coalesce(F.size("clarification_choices"), F.lit(0)).between(2, 3)),
         "not_found_is_bare": F.when(ok & ~found, F.size(ids) == 0),
     }
-    counts = {"n_citations": F.size(ids), "n_unrelated": n_unrelated, "n_uncited": F.when(ok & found, n_uncited), "n_forbidden": n_forbidden, "n_duplicates": dup + twice}
+    choices = F.coalesce("clarification_choices", F.array().cast("array<string>"))
+    labels = F.transform(choices, lambda c: T.normalize_label(c))
+    fits = lambda c: F.coalesce(F.exists(e("acceptable_title_patterns"), lambda p: F.regexp_like(T.fold(c), p)), F.lit(False))
+    bearing = ok & found & (F.length(F.trim(F.coalesce("answer", F.lit("")))) > 0)
+    said = F.filter(T.split_sentences(F.coalesce("answer", F.lit(""))), lambda s: F.length(F.trim(F.regexp_replace(s, r"\[S\d+\]", ""))) >= 25)
+    dangling = F.size(F.array_except(marks, cited))
+    counts = {
+        "n_citations": F.size(ids), "n_unrelated": n_unrelated, "n_uncited": F.when(ok & found, n_uncited), "n_forbidden": n_forbidden, "n_duplicates": dup + twice,
+        "n_relevance_scored": F.when(judged & ok, 1).otherwise(0), "n_choices": F.size(choices), "n_choices_scored": F.when(ok & has(e("acceptable_title_patterns")), F.size(choices)),
+        "n_unrelated_choices": F.when(ok & has(e("acceptable_title_patterns")), F.size(F.filter(choices, lambda c: ~fits(c)))), "n_duplicate_choices": F.size(labels) - F.size(F.array_distinct(labels)),
+        "n_answer_bearing": F.when(bearing, 1).otherwise(0), "n_uncited_answer": F.when(bearing & (F.size(F.array_intersect(marks, cited)) == 0), 1).otherwise(0), "n_dangling_marks": F.when(bearing, dangling),
+        "n_sentences": F.when(bearing, F.size(said)), "n_reason_reported": F.when(F.col("reason").isNotNull(), 1).otherwise(0),
+    }
     passed = F.lit(True)
     for c in checks.values():
         passed = passed & F.coalesce(c, F.lit(True))

@@ -32,6 +32,10 @@ class _Reader(HTMLParser):
         a = {k: v or "" for k, v in attrs}
         if tag == "meta" and (name := a.get("property") or a.get("name")):
             self.meta.setdefault(name.lower(), a.get("content", ""))
+        if tag == "link" and "canonical" in a.get("rel", "").lower().split():
+            self.meta.setdefault("canonical", a.get("href", ""))
+        if tag == "time" and a.get("datetime"):
+            self.meta.setdefault("time", a["datetime"])
         if tag == "title":
             self._in_title = True
         if tag in _SKIP:
@@ -55,15 +59,20 @@ class _Reader(HTMLParser):
         elif not self._skip:
             self._text.append(data)
 
+    def first(self, *names: str) -> str | None:
+        """The first of these that the page states."""
+        return next((v for n in names if (v := self.meta.get(n, "").strip())), None)
+
     def close(self) -> None:
         super().close()
         self._flush()
 
 
 def html_blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """Rows (key, title, sitename, description, ord, tag, text): the page's text blocks in order, repeats of a text dropped,
-    navigation, scripts and other boilerplate left out. A null page or one without text gives one row with a null block."""
-    schema = f"{key} {pages.schema[key].dataType.simpleString()}, title string, sitename string, description string, ord int, tag string, text string"
+    """Rows (key, title, sitename, description, date, url, image, ord, tag, text): the page's text blocks in order, repeats of a
+    text dropped, navigation, scripts and other boilerplate left out. What the page's head does not state is null; the date is
+    the text as it stands. A null page or one without text gives one row with a null block."""
+    schema = f"{key} {pages.schema[key].dataType.simpleString()}, title string, sitename string, description string, date string, url string, image string, ord int, tag string, text string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -72,7 +81,10 @@ def html_blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
                 r = _Reader()
                 r.feed(page or "")
                 r.close()
-                head = (k, " ".join(r.title.split()) or None, r.meta.get("og:site_name"), r.meta.get("description"))
+                head = (
+                    k, " ".join(r.title.split()) or r.first("og:title"), r.first("og:site_name", "application-name"), r.first("description", "og:description"),
+                    r.first("article:published_time", "date", "dc.date", "pubdate", "time"), r.first("canonical", "og:url"), r.first("og:image", "twitter:image"),
+                )
                 seen: set[str] = set()
                 kept = [b for b in r.blocks if not (b[1] in seen or seen.add(b[1]))]
                 rows += [(*head, i, *b) for i, b in enumerate(kept)] or [(*head, None, None, None)]

@@ -232,9 +232,9 @@ def test_chunks_and_pages(spark, tmp_path):
     assert sorted((r["chunkId"], r["issue"]) for r in rows.collect() if r["issue"]) == [("b", "TEXT_MISSING"), ("c", "DUPLICATE_ID"), ("c", "DUPLICATE_ID")]
     with pytest.raises(ValueError):
         feeds.read_chunks_jsonl(spark, str(tmp_path / "c.jsonl"), "chunkId string, text string", strict=True)
-    html = "<html><head><title>T &amp; x</title><script>no()</script></head><body><nav>menu</nav><h1>Head</h1><p>One <b>two</b></p><p>One two</p></body></html>"
+    html = "<html><head><title>T &amp; x</title><link rel='canonical' href='https://a.md/x'><meta property='article:published_time' content='2026-01-02'><meta property='og:image' content='i.png'><script>no()</script></head><body><nav>menu</nav><h1>Head</h1><p>One <b>two</b></p><p>One two</p></body></html>"
     b = pages.html_blocks(spark.createDataFrame([(1, html), (2, None)], "id int, h string"), "id", "h").orderBy("id", "ord").collect()
-    assert [(r["tag"], r["text"]) for r in b if r["id"] == 1] == [("h1", "Head"), ("p", "One two")] and b[0]["title"] == "T & x" and len([r for r in b if r["id"] == 2]) == 1
+    assert [(r["tag"], r["text"]) for r in b if r["id"] == 1] == [("h1", "Head"), ("p", "One two")] and b[0]["title"] == "T & x" and (b[0]["date"], b[0]["url"], b[0]["image"]) == ("2026-01-02", "https://a.md/x", "i.png") and len([r for r in b if r["id"] == 2]) == 1
 
 
 # ---------------------------------------------------------------- corpus batch
@@ -661,7 +661,9 @@ def test_evaluation(spark):
     cite = "array<struct<id:string,document_id:string,title:string,url:string>>"
     replies = spark.createDataFrame([("1", "SUPPORTED", "Aceasta este o propoziție citată [S1].", None, [("S1", "d1", "t", "u")], None, 1000.0, None), ("2", "NOT_FOUND", "", "OUT_OF_SCOPE", [], None, 3000.0, None), ("3", "SUPPORTED", "Aceasta este o propoziție [S1][S2].", None, [("S1", "d1", "t", "u"), ("S2", "d2", "t", "u")], None, 5000.0, None)], f"id string, status string, answer string, reason string, citations {cite}, clarification_choices array<string>, latency_ms double, error string")
     s = V.score_cases(cases, replies)
-    assert {r["id"]: r["passed"] for r in s.collect()} == {"1": True, "2": True, "3": False}
+    got = {r["id"]: r for r in s.collect()}
+    assert {i: r["passed"] for i, r in got.items()} == {"1": True, "2": True, "3": False}
+    assert [got["1"][c] for c in ("n_answer_bearing", "n_uncited_answer", "n_sentences", "n_dangling_marks", "n_choices", "n_relevance_scored")] == [1, 0, 1, 0, 0, 1] and got["2"]["n_reason_reported"] == 1
     total, kinds = V.suite_metrics(s)
     t = total.first()
     assert (t["cases"], t["passed"], t["unrelated"], t["unrelated_rate"], t["p50"], t["p95"]) == (3, 2, 1, 0.3333, 3000.0, 5000.0) and kinds.count() == 2
