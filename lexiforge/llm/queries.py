@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lexiforge.llm import decontaminate, langid, linededup, merkle, packing, pii, simhash, tokencount, tokenfile, toxicity
+from lexiforge.llm import bestfit, decontaminate, langid, linededup, manifest, merkle, packing, periodic, pii, simhash, tokencount, tokenfile, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (simhash, packing, pii, tokencount, toxicity, tokenfile, merkle, linededup, decontaminate, langid):
+for _module in (simhash, packing, pii, tokencount, toxicity, tokenfile, merkle, linededup, decontaminate, langid, manifest, periodic, bestfit):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
