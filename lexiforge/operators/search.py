@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -59,89 +57,6 @@ def top_per(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def bm25_topk(
-    queries: DataFrame, docs: DataFrame, k: int, query_key: str, query_text: str, key: str, text: str, terms: Callable[[Column], Column] = tokenize_stem, *, block: int = 4096
-) -> DataFrame:
-    """Rows (query_key, rank, key, score): the best k documents of each query by the sum over shared terms of query weight,
-    document weight and idf; ties by key. Scores are rounded to 6 places before they are ranked.
-
-    Queries are taken in blocks of `block` rows, so what is broadcast is bounded. A document's terms are counted in its task
-    and scored against all queries of the block that have them; a task keeps the best k of its documents for each query, and
-    only those are shuffled. Documents that share no term with a query are no result of it.
-    """
-    spark = docs.sparkSession
-    asked = postings(queries, query_key, query_text, terms).withColumnRenamed("weight", "_w").withColumn("_block", F.lit(0))
-    parts = max(1, -(-queries.count() // block))
-    if parts > 1:
-        asked = asked.withColumn("_block", F.pmod(F.xxhash64(query_key), F.lit(parts)))
-    asked = materialize(asked, "asked")
-    words = docs.select(key, terms(F.col(text)).alias("w"))
-    vocabulary = asked.select("term").distinct()
-    df = words.select(F.explode(F.array_distinct("w")).alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n"))
-    weights = asked.join(df, "term").crossJoin(F.broadcast(n)).select("_block", query_key, "term", (F.col("_w") * idf(F.col("n"), F.col("df"))).alias("_w"))  # n is one row
-    weights = materialize(weights, "query-weights")
-    schema = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {key} {docs.schema[key].dataType.simpleString()}, score double"
-    out = None
-    for p in range(parts):
-        ids: list = []
-        place: dict = {}
-        lists: dict[str, tuple[list[int], list[float]]] = {}
-        for r in weights.where(F.col("_block") == p).orderBy(query_key, "term").collect():  # the words of `block` queries
-            if r[query_key] not in place:
-                place[r[query_key]] = len(ids)
-                ids.append(r[query_key])
-            at, w = lists.setdefault(r["term"], ([], []))
-            at.append(place[r[query_key]])
-            w.append(r["_w"])
-        shared = spark.sparkContext.broadcast((ids, {t: (np.array(at), np.array(w)) for t, (at, w) in lists.items()}))
-        found = words.mapInPandas(_best_documents(shared, k, query_key, key), schema)
-        out = found if out is None else out.unionByName(found)
-    return top_per(out, [query_key], [F.desc("score"), F.asc(key)], k).select(query_key, "rank", key, "score")
-
-
-def _best_documents(shared, k: int, query_key: str, key: str):
-    """For each query of the block the best k documents of a task, by rows (key, w) of documents and their terms."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, lists = shared.value
-        best: list[list[tuple[float, object]]] = [[] for _ in ids]  # of each query a heap of (score, document), the worst first
-        for f in frames:
-            for doc, w in zip(f[key], f["w"], strict=True):
-                if w is None or not len(ids):
-                    continue
-                counts = {t: c for t, c in Counter(w).items() if t in lists}
-                scores = np.zeros(len(ids))
-                for t in sorted(counts):
-                    at, q = lists[t]
-                    scores[at] += q * (counts[t] * (K1 + 1) / (counts[t] + K1 * (1 - B + B * len(w) / NOMINAL)))
-                for i in np.flatnonzero(scores).tolist():
-                    held, item = best[i], (round(float(scores[i]), 6), _Last(doc))
-                    if len(held) < k:
-                        heapq.heappush(held, item)
-                    elif item > held[0]:
-                        heapq.heapreplace(held, item)
-        rows = [(ids[i], item[1].value, item[0]) for i, held in enumerate(best) for item in held]
-        yield pd.DataFrame(rows, columns=[query_key, key, "score"])
-
-    return run
-
-
-class _Last:
-    """A value that sorts the other way round: of equal scores the smaller key is the better one."""
-
-    __slots__ = ("value",)
-
-    def __init__(self, value: object):
-        self.value = value
-
-    def __lt__(self, other: _Last) -> bool:
-        return other.value < self.value
-
-    def __eq__(self, other: object) -> bool:
-        return self.value == other.value
-
-
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, query_key: str, key: str, vector: str = "embedding", *, block: int = 4096) -> DataFrame:
     """Rows (query_key, rank, key, score): the k vectors of each query with the highest cosine; ties by key.
 
@@ -239,9 +154,12 @@ def fuse_rrf(ranks: DataFrame, query_key: str, key: str, k: int = 60) -> DataFra
 
 
 def add_bonus(fused: DataFrame, catalog: DataFrame, query_key: str, document: str, k: int = 60) -> DataFrame:
-    """Fused scores plus 1 / (k + rank) of the document's place in a catalog search, if it has one."""
-    bonus = catalog.select(query_key, document, (1 / (k + F.col("rank"))).alias("bonus"))
-    return fused.join(bonus, [query_key, document], "left").withColumn("score", F.col("score") + F.coalesce("bonus", F.lit(0.0))).drop("bonus")
+    """Fused scores plus 1 / (k + rank) of the document's place in a catalog search, if it has one; ranks gets that place."""
+    bonus = catalog.select(query_key, document, F.col("rank").alias("_rank"))
+    found = fused.join(bonus, [query_key, document], "left").withColumn("score", F.col("score") + F.coalesce(1 / (k + F.col("_rank")), F.lit(0.0)))
+    if "ranks" in fused.columns:
+        found = found.withColumn("ranks", F.when(F.col("_rank").isNull(), F.col("ranks")).otherwise(F.map_concat("ranks", F.create_map(F.lit("catalog"), F.col("_rank")))))
+    return found.drop("_rank")
 
 
 def cap_per_document(df: DataFrame, query_key: str, document: str, order: list[Column], n: int) -> DataFrame:

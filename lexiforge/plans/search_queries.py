@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.functions import text as T
+from lexiforge.operators import index as I
 from lexiforge.operators import search as S
 from lexiforge.plans.query import query, table
+from lexiforge.store import shared_dir
 
 _TERMS = "regexp_extract_all(lower(text), '\\p{L}{2,}')"
 _BM25 = f"""WITH qt AS (SELECT item_id, len(w) AS length, unnest(w) AS term FROM (SELECT item_id, {_TERMS} AS w FROM benchmark)),
@@ -20,7 +24,7 @@ r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORD
 
 
 def _bm25(spark: SparkSession, d: str, k: int) -> DataFrame:
-    return S.bm25_topk(table(spark, d, "benchmark"), table(spark, d, "documents"), k, "item_id", "text", "doc_id", "text")
+    return I.bm25_topk(table(spark, d, "benchmark"), table(spark, d, "documents"), k, "item_id", "text", "doc_id", "text")
 
 
 @query(_BM25 + " SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 5")
@@ -28,6 +32,22 @@ def q_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return _bm25(spark, d, 5)
 
 
+_CATALOG = """WITH c AS (SELECT p_partkey, concat_ws(' ', p_name, p_brand, p_type) AS text FROM part),
+dt AS (SELECT p_partkey, len(w) AS length, unnest(w) AS term FROM (SELECT p_partkey, regexp_extract_all(lower(text), '\\p{L}{2,}') AS w FROM c)),
+d AS (SELECT p_partkey, term, count(*) * 2.2 / (count(*) + 1.2 * (0.25 + 0.75 * length / 120)) AS weight FROM dt GROUP BY p_partkey, term, length),
+f AS (SELECT term, count(*) AS df FROM d GROUP BY term),
+s AS (SELECT q.p_partkey AS query_id, d.p_partkey, round(sum(q.weight * d.weight * ln(1 + ((SELECT count(*) FROM part) - df + 0.5) / (df + 0.5))), 6) AS score FROM d q JOIN d USING (term) JOIN f USING (term) WHERE q.p_partkey % 20 = 0 GROUP BY q.p_partkey, d.p_partkey)"""
+
+
+@query(_CATALOG + " SELECT query_id, p_partkey, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p_partkey) AS INTEGER) AS rank FROM s QUALIFY rank <= 10")
+def q_catalog_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The ten catalog entries nearest to each twentieth part, from the kept index of the catalog."""
+    parts = table(spark, d, "part")
+    rows, index = I.build_catalog(parts, f"{shared_dir(spark)}/indexes/{uuid.uuid4().hex}", "p_partkey", "p_partkey", "p_name", "p_brand", "p_type")
+    asked = rows.where("p_partkey % 20 = 0").withColumnRenamed("p_partkey", "query_id")
+    return I.search_index(index, asked, 10, "query_id", "catalog_text", "p_partkey").select("query_id", "p_partkey", "score", "rank")
+
+
 @query(
     f"""WITH d AS (SELECT DISTINCT doc_id, unnest({_TERMS}) AS term FROM documents) SELECT term, CAST(count(*) AS BIGINT) AS df,
     round(ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM d GROUP BY term"""

@@ -15,6 +15,7 @@ from lexiforge.operators import claims as C
 from lexiforge.operators import corpus as P
 from lexiforge.operators import evaluation as V
 from lexiforge.operators import facts as K
+from lexiforge.operators import index as I
 from lexiforge.operators import relational as R
 from lexiforge.operators import rules as U
 from lexiforge.operators import search as S
@@ -370,7 +371,7 @@ def test_bm25_in_blocks(spark):
     word = lambda: "".join(rng.choice("abcdef") for _ in range(2))
     docs = spark.createDataFrame([(i, " ".join(word() for _ in range(rng.randint(0, 30))) or None) for i in range(60)], "d int, t string").repartition(3)
     queries = spark.createDataFrame([(f"q{i}", " ".join(word() for _ in range(4))) for i in range(20)], "q string, t string")
-    one_, many = (sorted(map(tuple, S.bm25_topk(queries, docs, 5, "q", "t", "d", "t", block=n).collect())) for n in (4096, 3))
+    one_, many = (sorted(map(tuple, I.bm25_topk(queries, docs, 5, "q", "t", "d", "t", block=n).collect())) for n in (4096, 3))
     assert one_ == many and len(one_) > 40
     texts = {r["d"]: (r["t"] or "").split() for r in docs.collect()}
     df = lambda t: sum(t in w for w in texts.values())
