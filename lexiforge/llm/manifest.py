@@ -50,7 +50,7 @@ def folded(leaf: Column, path: Column) -> Column:
 
 
 def _siblings(nodes: DataFrame, arity: int) -> DataFrame:
-    """Nodes (tree, idx, n, digest) with left and right, the joined digests of their siblings on either side.
+    """Nodes (tree, idx, n, digest, given) with left and right, the joined digests of their siblings on either side.
 
     Every node is shifted to the places of its siblings, computed from its own by XOR for pairs and else by slot offsets,
     and an equijoin on (tree, place) brings it there: n * (arity - 1) rows through one exchange, at most arity - 1 a key.
@@ -59,12 +59,12 @@ def _siblings(nodes: DataFrame, arity: int) -> DataFrame:
     target = F.col("idx").bitwiseXOR(F.lit(1).cast("bigint")) if arity == 2 else at + (slot + F.col("offset")) % arity
     shifted = nodes.withColumn("offset", F.explode(F.sequence(F.lit(1), F.lit(arity - 1)))).select("tree", target.alias("idx"), "n", slot.cast("int").alias("slot"), "digest")
     shifted = shifted.where(F.col("idx") < F.col("n")).select("tree", "idx", F.struct("slot", "digest").alias("sibling"))
-    found = nodes.join(shifted, ["tree", "idx"], "left").groupBy("tree", "idx", "n", "digest").agg(F.array_sort(F.collect_list("sibling")).alias("siblings"))
+    found = nodes.join(shifted, ["tree", "idx"], "left").groupBy("tree", "idx").agg(*[F.first(c).alias(c) for c in ("n", "digest", "given")], F.array_sort(F.collect_list("sibling")).alias("siblings"))
 
     def side(keep) -> Column:
         return F.unhex(F.array_join(F.transform(F.filter("siblings", lambda s: keep(s["slot"])), lambda s: F.hex(s["digest"])), ""))
 
-    return found.select("tree", "idx", "n", "digest", side(lambda s: s < slot).alias("left"), side(lambda s: s > slot).alias("right"))
+    return found.select("tree", "idx", "n", "digest", "given", side(lambda s: s < slot).alias("left"), side(lambda s: s > slot).alias("right"))
 
 
 def _climb(nodes: DataFrame, height: int, arity: int, name: str) -> tuple[list[DataFrame], DataFrame]:
@@ -74,7 +74,7 @@ def _climb(nodes: DataFrame, height: int, arity: int, name: str) -> tuple[list[D
     for k in range(height):
         level = materialize(_siblings(nodes.where("n > 1"), arity), f"{name}-{k}")
         parent = F.unhex(F.sha2(F.concat(_text(F.col("digest")), _text(F.col("right"))), 256))
-        nodes = level.where(F.col("idx") % arity == 0).select("tree", F.floor(F.col("idx") / arity).alias("idx"), F.ceil(F.col("n") / arity).alias("n"), parent.alias("digest"))
+        nodes = level.where(F.col("idx") % arity == 0).select("tree", F.floor(F.col("idx") / arity).alias("idx"), F.ceil(F.col("n") / arity).alias("n"), parent.alias("digest"), F.lit(None).cast("boolean").alias("given"))
         levels.append(level)
         tops = tops.unionByName(nodes.where("n = 1").select("tree", "digest"))
     return levels, tops
@@ -90,16 +90,22 @@ def _height(n: int, arity: int) -> int:
 _PATH = "array<struct<left:binary,right:binary>>"
 
 
-def _paths(levels: list[DataFrame], above: DataFrame, arity: int) -> DataFrame:
-    """From the top down: nodes of the lowest level with their path. above: (tree, height, path, subroot) of every tree's top."""
-    paths = above.where(F.col("height") == len(levels)).select("tree", F.lit(0).cast("bigint").alias("idx"), "path", "subroot")
+def _paths(levels: list[DataFrame], bottom: DataFrame, above: DataFrame, arity: int) -> DataFrame:
+    """From the top down: the nodes of the lowest level with their path, rows (tree, idx, given, path, subroot).
+
+    bottom has the nodes of the lowest level, above (tree, height, path, subroot) every tree's top. A level meets its parents
+    by one equijoin on their place, which carries a parent's path once for all its children; paths of the lowest level, a
+    few kilobytes each, are made by the last of these joins and move nowhere."""
+    tops = above.select("tree", "height", F.lit(0).cast("bigint").alias("idx"), "path", "subroot")
+    alone = bottom.where("n = 1").select("tree", "given").join(tops.where("height = 0"), "tree").select("tree", "idx", "given", "path", "subroot")
+    paths = None
     for k in reversed(range(len(levels))):
-        own = levels[k].select("tree", "idx", F.floor(F.col("idx") / arity).alias("up"), F.array(F.struct("left", "right")).alias("own"))
-        parents = paths.withColumnRenamed("idx", "up")
-        paths = own.join(parents, ["tree", "up"]).select("tree", "idx", F.concat("own", "path").alias("path"), "subroot")
-        tops = above.where(F.col("height") == k).select("tree", F.lit(0).cast("bigint").alias("idx"), "path", "subroot")
-        paths = paths.unionByName(tops)
-    return paths
+        parents = tops.where(F.col("height") == k + 1).select("tree", "idx", "path", "subroot")
+        if paths is not None:
+            parents = parents.unionByName(paths.drop("given"))
+        own = levels[k].select("tree", "idx", "given", F.floor(F.col("idx") / arity).alias("up"), F.struct("left", "right").alias("own"))
+        paths = own.join(parents.withColumnRenamed("idx", "up"), ["tree", "up"]).select("tree", "idx", "given", F.concat(F.array("own"), "path").alias("path"), "subroot")
+    return alone if paths is None else paths.unionByName(alone)
 
 
 def manifest(rows: DataFrame, group: str = "source", key: str = "doc_id", leaf: str = "leaf", *, arity: int = ARITY) -> Manifest:
@@ -131,22 +137,22 @@ def manifest(rows: DataFrame, group: str = "source", key: str = "doc_id", leaf:
         return Manifest(rows.withColumns({"subroot": F.lit(None).cast("string"), "path": F.array().cast(_PATH)}), spark.createDataFrame([], f"group {rows.schema[group].dataType.simpleString()}, n bigint, subroot string"), None)
     placed = runs.alias("r").join(trees.alias("t"), F.col("r.group").eqNullSafe(F.col("t.group"))).select("part", F.col("r.group").alias("group"), "tree", F.col("t.n").alias("n"), (F.col("before") - F.col("start")).alias("shift"))
     leaves = dealt.alias("d").join(placed.alias("p"), (F.col("d.part") == F.col("p.part")) & F.col("d.group").eqNullSafe(F.col("p.group")))
-    leaves = materialize(leaves.select("given", "tree", (F.col("place") + F.col("shift")).alias("idx"), "n", "digest"), "manifest-leaves")
+    leaves = materialize(leaves.select("tree", (F.col("place") + F.col("shift")).alias("idx"), "n", "digest", "given"), "manifest-leaves")
 
-    levels, subroots = _climb(leaves.select("tree", "idx", "n", "digest"), _height(widest, arity), arity, "manifest")
+    levels, subroots = _climb(leaves, _height(widest, arity), arity, "manifest")
     subroots = materialize(subroots, "manifest-subroots")
-    upper = subroots.select(F.lit(0).cast("bigint").alias("tree"), F.col("tree").alias("idx"), F.lit(n_trees).cast("bigint").alias("n"), "digest")
+    upper = subroots.select(F.lit(0).cast("bigint").alias("tree"), F.col("tree").alias("idx"), F.lit(n_trees).cast("bigint").alias("n"), "digest", F.lit(None).cast("boolean").alias("given"))
     tall = _height(n_trees, arity)
     upper_levels, top = _climb(upper, tall, arity, "manifest-upper")
     root = top.select(_text(F.col("digest"))).first()[0]
     at_top = spark.range(1).select(F.lit(0).cast("bigint").alias("tree"), F.lit(tall).alias("height"), F.array().cast(_PATH).alias("path"), F.lit("").alias("subroot"))
-    over = _paths(upper_levels, at_top, arity).select(F.col("idx").alias("tree"), "path")
+    over = _paths(upper_levels, upper, at_top, arity).select(F.col("idx").alias("tree"), "path")
 
     height = sum((F.when(F.col("n") > arity**k, 1).otherwise(0) for k in range(1, _height(widest, arity))), F.when(F.col("n") > 1, 1).otherwise(0))
     known = trees.join(subroots, "tree").select("tree", "group", "n", height.alias("height"), _text(F.col("digest")).alias("subroot"))
-    paths = _paths(levels, known.join(over, "tree").select("tree", "height", "path", "subroot"), arity)
-    out = leaves.select("given", "tree", "idx").join(paths, ["tree", "idx"]).select("given.*", "subroot", "path")
-    return Manifest(out, known.select("group", "n", "subroot"), root)
+    above = materialize(known.join(over, "tree").select("tree", "group", "n", "height", "path", "subroot"), "manifest-trees")
+    out = _paths(levels, leaves, above.drop("group", "n"), arity).select("given.*", "subroot", "path")
+    return Manifest(out, above.select("group", "n", "subroot"), root)
 
 
 def _numbered(groups: DataFrame, order: str) -> tuple[DataFrame, int]:
