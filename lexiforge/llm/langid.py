@@ -99,31 +99,29 @@ def fit(
     spectrum: Spectrum = Spectrum(),
     rows_per_lang: int = 400,
     max_rows: int = 100_000,
+    max_langs: int = 1000,
     landmarks: int = 96,
     ridge: float = 1e-2,
 ) -> Model | None:
     """Fit on at most rows_per_lang distinct texts of each value of lang, on fewer where all values together would go over
-    max_rows, on one at least.
-
-    Rows with a null lang or text teach nothing. The sample is taken by text hash, after a count of each lang, so a lang
-    with a third of all rows is thinned before it is shuffled. The driver gets one packed presence row (2**bits / 8 bytes)
-    for each text of the sample. landmarks are shared out among the langs, one each at least, in the order of a hash of
-    their presence rows. None if no row can be learned from.
+    max_rows, on one at least; of more than max_langs values those with most distinct texts are learned.
+
+    Rows with a null lang or text teach nothing, and a text counts once for a lang however often it repeats: the sample has
+    the texts of the smallest hashes among the distinct ones. Hashes are made distinct before they move and each task hands
+    on rows_per_lang a lang at most, so a lang with a third of all rows is thinned before it is shuffled; the texts follow
+    by a join with what was chosen, max_rows + max_langs hashes at most. The driver gets one packed presence row (2**bits / 8
+    bytes) for each text of the sample. landmarks are shared out among the langs, one each at least, in the order of a hash
+    of their presence rows. None if no row can be learned from.
     """
-    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    counts = rows.groupBy("lang").count().collect()  # one row a lang
-    if not counts:
+    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
+    distinct = rows.select("lang", "h").distinct()
+    langs = distinct.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    if not langs:
         return None
-    rows_per_lang = max(1, min(rows_per_lang, max_rows // len(counts)))
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 4.0 * rows_per_lang / r["count"])))])
-    rank = F.xxhash64("text")
-    near = rows.withColumn("h", rank).where((F.pmod("h", F.lit(1 << 40)) / float(1 << 40)) < F.try_element_at(share, F.col("lang")))
-    sample = (
-        near.groupBy("lang", "h").agg(F.first("text").alias("text"))
-        .withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h")))
-        .where(F.col("n") <= rows_per_lang)
-        .select("lang", "text")
-    )
+    rows_per_lang = max(1, min(rows_per_lang, max_rows // len(langs)))
+    chosen = distinct.where(F.col("lang").isin([r["lang"] for r in langs])) if len(langs) == max_langs else distinct
+    chosen = chosen.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("n") <= rows_per_lang).select("lang", "h")
+    sample = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
     got = sample.mapInArrow(_features(spectrum), "lang string, present binary").collect()
     if not got:
         return None
@@ -150,9 +148,9 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", *, label:
     """All columns of docs, then the predicted lang and a score of 0 to 1 (half of one plus the best regression output, cut to that range).
 
     `und` with score 0 where the text is null, has no letter, or nothing was learned. Ties go to the first lang in order.
-    The text is read whole. Every row is kept, repeated ones too. label and score must not be columns of docs.
+    The text is read whole. Every row is kept, repeated ones too. Columns of docs named as label or score are replaced.
     """
-    spark = docs.sparkSession
+    docs, spark = docs.drop(label, score), docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # landmarks * 2**bits floats, fixed by the parameters
     at = docs.columns.index(text)
 
