@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import IntegerType, LongType, StructType
 
-from lexiforge.llm.common import table
+from lexiforge.llm.common import distinct, table
 
 #: Fixed seeds: 1 is a word that is hashed, 0 one that is ignored. Every stretch of ten words or more of which four fifths
 #: agree leaves at least one of them untouched at some place (enumerated in the tests).
@@ -27,6 +27,8 @@ _WORD, _EDGE = re.compile(r"\w+"), re.compile(r"\W")
 _BLOCK = 1 << 20
 _TABLE_BITS = 20
 _KNOWN = 500_000
+_RUN = 1 << 18  # hits of a text that are held at once
+_FAR = 1 << 35  # added to a shift, so that it is no negative number beside its item
 
 
 class _Hashes(dict):
@@ -139,20 +141,33 @@ class Seeds:
             out.append((mask, h[order], item[order], place[order], there))
         return Seeds([i for i, _ in pairs], [w for _, w in pairs], out)
 
-    def diagonals(self, words: np.ndarray) -> set[tuple[int, int]]:
-        """Every (item, shift) on which some seed hits."""
-        found: set[tuple[int, int]] = set()
+    def diagonals(self, words: np.ndarray, run: int = _RUN) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The diagonals (item, shift) on which some seed hits, by item and shift, for one run of the text after the other: a
+        run has about `run` hits of all masks, so memory does not grow with what repeats. A diagonal that leads on into the
+        next run comes up there again."""
+        found, many = [], np.zeros(len(words) + 1, dtype=np.int64)
         for mask, hashes, item, place, there in self.masks:
             mine = _seed_hashes(words, mask)
             at = np.flatnonzero(there[(mine >> np.uint64(64 - _TABLE_BITS)).astype(np.intp)])
             if not at.size:
                 continue
             lo, hi = np.searchsorted(hashes, mine[at], "left"), np.searchsorted(hashes, mine[at], "right")
-            n = hi - lo
-            which = np.repeat(np.arange(len(at)), n)
-            entry = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-            found.update(zip(item[entry].tolist(), (at[which] - place[entry]).tolist(), strict=True))
-        return found
+            hit = hi > lo
+            if hit.any():
+                found.append((at[hit], lo[hit], (hi - lo)[hit], item, place))
+                many[at[hit]] += (hi - lo)[hit]
+        upto, first = np.cumsum(many), 0
+        while found and first < len(words) and upto[-1] > (before := int(upto[first - 1]) if first else 0):
+            stop = max(int(np.searchsorted(upto, before, "right")) + 1, int(np.searchsorted(upto, before + run, "right")))
+            packed = []
+            for at, lo, n, item, place in found:
+                a, b = np.searchsorted(at, (first, stop))
+                k = n[a:b]
+                entry = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(lo[a:b], k)
+                packed.append((item[entry].astype(np.int64) << 36) + (np.repeat(at[a:b], k) - place[entry] + _FAR))
+            packed = distinct(np.concatenate(packed))
+            yield packed >> 36, (packed & (1 << 36) - 1) - _FAR
+            first = stop
 
     def overlaps(self, words: np.ndarray, least_words: int, least_share: float) -> Iterator[tuple[object, int, int, int]]:
         """The best overlap with each item: (item id, first word in the document, words, words that agree).
@@ -160,22 +175,26 @@ class Seeds:
         Along a hit's diagonal an overlap is the longest stretch of which a share of least_share or more agrees: a word that
         agrees counts 1 - least_share and one that doesn't counts -least_share, in whole numbers, and the stretch's sum must
         not be negative. It must have least_words words, or the whole item if that is shorter. Of an item's diagonals the one
-        with most words that agree is given.
+        with most words that agree is given, the first of several; after a whole item that agrees in full no other is tried,
+        since every place of such a diagonal hits and runs go forward.
         """
         best: dict[int, tuple[int, int, int]] = {}
-        share = _share(least_share)
-        for item, shift in self.diagonals(words):
-            mine = self.words[item]
-            lo, hi = max(0, -shift), min(len(mine), len(words) - shift)
-            least = min(least_words, len(mine))
-            if hi - lo < max(least, 1):
-                continue
-            same = mine[lo:hi] == words[lo + shift : hi + shift]
-            start, stop = longest_stretch(same, share)
-            n = stop - start
-            if n >= least and n:
-                got = (int(same[start:stop].sum()), n, -(lo + shift + start))
-                best[item] = max(best.get(item, got), got)
+        share, over = _share(least_share), np.zeros(len(self.words), dtype=bool)
+        for items, shifts in self.diagonals(words):
+            open_ = ~over[items]
+            for item, shift in zip(items[open_].tolist(), shifts[open_].tolist(), strict=True):
+                mine = self.words[item]
+                lo, hi = max(0, -shift), min(len(mine), len(words) - shift)
+                least = min(least_words, len(mine))
+                if over[item] or hi - lo < max(least, 1):
+                    continue
+                same = mine[lo:hi] == words[lo + shift : hi + shift]
+                start, stop = longest_stretch(same, share)
+                n = stop - start
+                if n >= least and n:
+                    got = (int(same[start:stop].sum()), n, -(lo + shift + start))
+                    best[item] = max(best.get(item, got), got)
+                    over[item] = got[0] == len(mine)
         for item, (agree, n, at) in sorted(best.items()):
             yield self.ids[item], -at, n, agree
 
