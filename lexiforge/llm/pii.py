@@ -7,7 +7,7 @@ from secrets import token_hex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import table
+from lexiforge.llm.common import free_name, table
 
 #: What is looked for, in this order at each place of the text. The bounds are those of the formats: 63 characters of a
 #: domain label and 127 labels, 34 characters of an IBAN, 19 digits of a card; local parts and secrets have none.
@@ -21,16 +21,20 @@ KINDS = {
     "card": r"[0-9]{13,19}(?!\w)|[0-9]{4}(?:[ -][0-9]{4}){3}(?!\w)|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?!\w)",
     "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![\w])|\([0-9]{3}\) ?[0-9]{3}[.-][0-9]{4}(?![\w])|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w])",
 }
-PATTERN = r"(?<![\w.@+%-])(?:" + "|".join(KINDS.values()) + ")"
+PATTERN = r"(?<![\w@])(?<!\w[.+%-])(?:" + "|".join(KINDS.values()) + ")"
 ROUNDS = 10
 
 
-def _mix(key: str, tweak: str, i: Column, v: Column) -> Column:
+def _key(key: str | Column) -> Column:
+    return key if isinstance(key, Column) else F.lit(key)
+
+
+def _mix(key: str | Column, tweak: str, i: Column, v: Column) -> Column:
     """60 bits of SHA-256 of key, format, round and half, as a long."""
-    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), i.cast("string"), v.cast("string")), 256), 1, 15), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", _key(key), F.lit(tweak), i.cast("string"), v.cast("string")), 256), 1, 15), 16, 10).cast("bigint")
 
 
-def feistel(x: Column, a: Column, b: Column, key: str, tweak: str) -> Column:
+def feistel(x: Column, a: Column, b: Column, key: str | Column, tweak: str) -> Column:
     """A keyed permutation of 0..a*b-1: x is (left, right) in base b; odd rounds add a hash of left to right modulo b, even
     rounds a hash of right to left modulo a. Every round is undone by subtraction, so no two values meet."""
     halves = F.struct(F.floor(x / b).cast("bigint").alias("l"), F.pmod(x, b).cast("bigint").alias("r"))
@@ -53,7 +57,7 @@ def _half(x: Column) -> Column:
     return F.floor(x / 2).cast("int")
 
 
-def permuted_digits(d: Column, key: str, tweak: str) -> Column:
+def permuted_digits(d: Column, key: str | Column, tweak: str) -> Column:
     """A string of 1 to 18 digits permuted among the strings of its length."""
     n = F.length(d)
     even = F.lpad(feistel(d.cast("bigint"), _power(_half(n)), _power(n - _half(n)), key, tweak).cast("string"), n, "0")
@@ -91,7 +95,7 @@ def luhn_sum(d: Column) -> Column:
     )
 
 
-def _card(s: Column, key: str) -> Column:
+def _card(s: Column, key: str | Column) -> Column:
     """Luhn-valid numbers of 13 to 19 digits: the payload is permuted after its first digit and the check digit set anew."""
     return _let(
         _digits(s),
@@ -105,7 +109,7 @@ def _card(s: Column, key: str) -> Column:
     )
 
 
-def _ssn(s: Column, key: str) -> Column:
+def _ssn(s: Column, key: str | Column) -> Column:
     """Area not 000, 666 or 900 up, group not 00, serial not 0000: permuted among all such numbers (898 * 99 * 9999)."""
 
     def body(d: Column) -> Column:
@@ -133,19 +137,27 @@ def _ssn(s: Column, key: str) -> Column:
     return _let(_digits(s), body)
 
 
-def _phone(s: Column, key: str) -> Column:
-    """The last 7 to 12 digits are permuted; a leading + and country code stay. Fewer than 9 or over 15 digits are no number."""
+#: Country calling codes of one and two digits; all others have three.
+ONE_DIGIT = ("1", "7")
+TWO_DIGITS = (
+    "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58",
+    "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98",
+)
+
+
+def _phone(s: Column, key: str | Column) -> Column:
+    """9 to 15 digits: all but a country code after + are permuted, whatever stands between them, so a number is linked in each of
+    its notations. Numbers without a country code are permuted whole and are others than those with one."""
 
     def body(d: Column) -> Column:
         n = F.length(d)
-        kept = F.when(s.startswith("+"), F.greatest(F.length(F.regexp_extract(s, r"^\+([0-9]{1,3})[ .(-]", 1)), F.lit(0))).otherwise(0)
-        kept = F.greatest(kept, n - 14)
+        kept = F.when(~s.startswith("+"), 0).when(d.substr(F.lit(1), F.lit(1)).isin(*ONE_DIGIT), 1).when(d.substr(F.lit(1), F.lit(2)).isin(*TWO_DIGITS), 2).otherwise(3)
         return F.when((n >= 9) & (n <= 15), _refill(s, F.concat(d.substr(F.lit(1), kept), permuted_digits(d.substr(kept + 1, n - kept), key, "phone"))))
 
     return _let(_digits(s), body)
 
 
-def _ip(s: Column, key: str) -> Column:
+def _ip(s: Column, key: str | Column) -> Column:
     """Four octets up to 255, permuted among all addresses."""
     parts = F.transform(F.split(s, r"\."), lambda p: p.cast("bigint"))
 
@@ -160,7 +172,7 @@ def _ip(s: Column, key: str) -> Column:
     return _let(parts, body)
 
 
-def _date(s: Column, key: str) -> Column:
+def _date(s: Column, key: str | Column) -> Column:
     """A real date of 0001 to 9999 becomes another date of its 400-year cycle (146097 = 189 * 773 days; the last one ends with
     the year 9999 and has 145731 = 93 * 1567), in its own format.
 
@@ -192,7 +204,7 @@ def _mod97(s: Column) -> Column:
     )
 
 
-def _iban(s: Column, key: str) -> Column:
+def _iban(s: Column, key: str | Column) -> Column:
     """A number of 15 to 34 characters with right check digits (02 to 98): its account part is permuted, digits among digits
     and letters among letters, and its check digits are set anew."""
 
@@ -231,9 +243,9 @@ def _pick(code: Column, what: int) -> Column:
     return out
 
 
-def _moved(half: Column, other: Column, key: str, tweak: str, i: Column) -> Column:
+def _moved(half: Column, other: Column, key: str | Column, tweak: str, i: Column) -> Column:
     """Each code of one half moved within its class by what a keyed digest of the other half says for its place."""
-    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), i.cast("string"), F.size(half).cast("string"), F.array_join(other.cast("array<string>"), ",")), 256)
+    digest = F.sha2(F.concat_ws("|", _key(key), F.lit(tweak), i.cast("string"), F.size(half).cast("string"), F.array_join(other.cast("array<string>"), ",")), 256)
     return _let(
         digest,
         lambda d: _let(
@@ -245,7 +257,7 @@ def _moved(half: Column, other: Column, key: str, tweak: str, i: Column) -> Colu
     )
 
 
-def permuted_string(s: Column, key: str, tweak: str) -> Column:
+def permuted_string(s: Column, key: str | Column, tweak: str) -> Column:
     """A string of any length permuted among those of its form: a Feistel network over its two halves, in which each character
     is moved within its class (digits, a-f, g-z, A-F, G-Z) and all others stay. Different strings stay different."""
 
@@ -264,21 +276,28 @@ def permuted_string(s: Column, key: str, tweak: str) -> Column:
     return F.when(F.length(s) > 0, _let(F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.ascii(c)), body)).otherwise(s)
 
 
-def _email(s: Column, key: str) -> Column:
-    """Local part and the domain before its last label are permuted each by itself, so addresses of one domain stay together."""
+def _cased(form: Column, moved: Column) -> Column:
+    """moved, a permuted lower-cased string, with capitals where form has them."""
+    letters = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
+    return F.array_join(F.zip_with(letters(form), letters(moved), lambda f, m: F.when(f.rlike("[A-Z]"), F.upper(m)).otherwise(m)), "")
+
+
+def _email(s: Column, key: str | Column) -> Column:
+    """Local part and the domain before its last label are permuted each by itself, so addresses of one domain stay together.
+    Case makes no difference: the lower-cased parts are permuted and get their capitals back."""
     local, domain = F.substring_index(s, "@", 1), F.substring_index(s, "@", -1)
     tail = F.concat(F.lit("."), F.substring_index(domain, ".", -1))
     head = F.substring(domain, F.lit(1), F.length(domain) - F.length(tail))
-    return F.concat(permuted_string(local, key, "local"), F.lit("@"), permuted_string(head, key, "domain"), tail)
+    return F.concat(_cased(local, permuted_string(F.lower(local), key, "local")), F.lit("@"), _cased(head, permuted_string(F.lower(head), key, "domain")), tail)
 
 
-def _secret(s: Column, key: str) -> Column:
+def _secret(s: Column, key: str | Column) -> Column:
     """What follows AKIA, or the = or : of a named secret, is permuted as a string, whole."""
     lead = F.regexp_extract(s, r"^(AKIA|[A-Za-z_]+\s*[=:]\s*\"?)", 1)
     return F.concat(lead, permuted_string(F.substring(s, F.length(lead) + 1, F.length(s)), key, "secret"))
 
 
-def _pseudonym(s: Column, key: str) -> Column:
+def _pseudonym(s: Column, key: str | Column) -> Column:
     """(kind, replacement) of a match; the match itself and no kind if none of its readings is valid."""
     made = {
         "email": _email(s, key), "secret": _secret(s, key), "iban": _iban(s, key), "ip": _ip(s, key), "date": _date(s, key),
@@ -299,9 +318,14 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", *, out: str = "t
     and secrets are moved by one over their characters, whatever their length. Equal values get equal pseudonyms in every
     document, different ones of a kind and format different ones. What fails its check is left alone. Null texts stay null,
     and texts without a digit, @ or a secret's name are passed through unread. Columns of docs named as out or found are
-    replaced. Rows do not depend on each other: no shuffle.
+    replaced. Rows do not depend on each other: no shuffle. The key comes to them from a table of one row, so that neither
+    a plan nor an event log shows it; it must not be empty.
     """
-    t = F.col(text)
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    held = free_name(docs, "_key")
+    docs = docs.withColumn(held, docs.sparkSession.createDataFrame([(key,)], "key string").scalar())
+    t, key = F.col(text), F.col(held)
     hits = F.when(t.rlike("[0-9@]|AKIA|(?i:password|passwd|pwd|secret|token|api_?key)"), F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)))
     new = _let(
         F.struct(F.split(t, PATTERN, -1).alias("gap"), F.transform(hits, lambda s: _pseudonym(s, key)).alias("hit")),
@@ -315,20 +339,26 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", *, out: str = "t
     made = F.when(F.col(found).isNull(), t).otherwise(F.col(found)["text"])
     kinds = F.coalesce(F.col(found)["kinds"], F.array().cast("array<string>"))
     counts = F.map_from_entries(F.transform(F.array_distinct(kinds), lambda k: F.struct(k, F.size(F.filter(kinds, lambda x: x == k)))))
-    return done.withColumn(out, made).withColumn(found, counts)
+    return done.withColumn(out, made).withColumn(found, counts).drop(held)
 
 
-def session_key(spark: SparkSession) -> str:
-    """The key of spark.lexiforge.pii.key; where it is unset, a random one that the session keeps. Who has it can undo pseudonyms."""
-    if not (key := spark.conf.get("spark.lexiforge.pii.key", None)):
-        spark.conf.set("spark.lexiforge.pii.key", key := token_hex(32))
+def session_key(spark: SparkSession, *, random: bool = False) -> str:
+    """The key of spark.lexiforge.pii.secret, a name that Spark redacts wherever it shows settings. Who has it can undo
+    pseudonyms. Where it is unset that is an error, since links would end with the session; with random the session gets a
+    key of its own and keeps it."""
+    if not (key := spark.conf.get("spark.lexiforge.pii.secret", None)):
+        if not random:
+            raise RuntimeError("spark.lexiforge.pii.secret must hold the key")
+        spark.conf.set("spark.lexiforge.pii.secret", key := token_hex(32))
     return key
 
 
 def op3_pii(spark: SparkSession, sf_dir: str, key: str | None = None) -> DataFrame:
+    """The texts of documents with pseudonyms and what was found; with a random key where none is set, so its links hold inside
+    one session."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     n = {k: F.coalesce(F.try_element_at("pii", F.lit(k)), F.lit(0)).alias(f"n_{k}") for k in KINDS}
-    return pseudonymise(docs, key or session_key(spark)).select("doc_id", "text", *n.values())
+    return pseudonymise(docs, key or session_key(spark, random=True)).select("doc_id", "text", *n.values())
 
 
 QUERIES = {"op3_pii": op3_pii}

@@ -322,6 +322,36 @@ def test_pii_keeps_formats_and_links(spark):
     assert pseudo(spark, texts[:2], "another key")[1] not in (out[1], card)
 
 
+def test_a_phone_number_is_linked_in_all_its_notations(spark):
+    import re
+
+    out = pseudo(spark, ["+49 30 12345678", "+493012345678", "+49 (30) 1234 5678", "+1 724-555-3457", "+1 (724) 555-3457", "+17245553457", "+380 44 123 4567", "(724) 555-3457", "724-555-3457", "+49 30 12345679"])
+    digits = [re.sub(r"\D", "", x) for x in out]
+    assert digits[0] == digits[1] == digits[2] != "493012345678" and digits[0].startswith("49") and re.fullmatch(r"\+49 \d\d \d{8}", out[0])
+    assert digits[3] == digits[4] == digits[5] != "17245553457" and digits[3][0] == "1"
+    assert digits[6].startswith("380") and digits[7] == digits[8] != "7245553457" and digits[9] != digits[0]
+
+
+def test_addresses_are_linked_whatever_their_case_and_values_after_marks_are_found(spark):
+    out = pseudo(spark, ["Foo.Bar@Example.com", "foo.bar@example.com", "ip=-10.0.0.1", "ip 10.0.0.1", "x-10.0.0.1 1.10.0.0.1", "++49 30 12345678", "--secret=abcdefgh1234"])
+    assert out[0].lower() == out[1] != "foo.bar@example.com" and [c.isupper() for c in out[0]] == [c.isupper() for c in "Foo.Bar@Example.com"]
+    assert out[2][4:] == out[3][3:] != "10.0.0.1" and out[4] == "x-10.0.0.1 1.10.0.0.1"
+    assert "12345678" not in out[5] and "abcdefgh" not in out[6]
+
+
+def test_the_key_is_in_no_plan(spark):
+    key = "0123456789abcdef0123456789"
+    df = pii.pseudonymise(spark.createDataFrame([("ip 10.0.0.1",)], "text string"), key)
+    df.collect()
+    assert key not in df._jdf.queryExecution().toString() and "10.0.0.1" not in df.first()["text"]
+    with pytest.raises(ValueError):
+        pii.pseudonymise(df.select("text"), "")
+    spark.conf.unset("spark.lexiforge.pii.secret")
+    with pytest.raises(RuntimeError):
+        pii.session_key(spark)
+    assert pii.session_key(spark, random=True) == pii.session_key(spark)
+
+
 def test_feistel_is_a_permutation(spark):
     for a, b in ((7, 11), (1, 13), (189, 773 // 8)):
         df = spark.range(a * b).select(pii.feistel(F.col("id"), F.lit(a).cast("bigint"), F.lit(b).cast("bigint"), "k", "t").alias("y"))
@@ -656,7 +686,7 @@ def test_longest_stretch_equals_brute_force():
 def test_overlap_of_exactly_the_share_is_found(monkeypatch, changed):
     item = words(random.Random(32), 20).split()
     doc = ["before", *(f"other{i}" if i in changed else w for i, w in enumerate(item)), "after"]
-    monkeypatch.setattr(decontaminate.Seeds, "diagonals", lambda *_: {(0, 1), (0, -1)})
+    monkeypatch.setattr(decontaminate.Seeds, "diagonals", lambda *_: [(np.array([0, 0]), np.array([-1, 1]))])
     hashes = decontaminate.word_hashes(" ".join(doc), decontaminate._Hashes())
     got = list(decontaminate.Seeds.of([(0, " ".join(item))]).overlaps(hashes, 20, 0.8))
     assert got == ([(0, 1, 20, 16)] if len(changed) == 4 else [])  # 16 of 20 words are four fifths, 15 are not
@@ -690,6 +720,32 @@ def test_short_overlaps_and_items_have_seeds():
             assert got == [(7, 0, n_copied, n_copied - n_changed)]
 
 
+def test_a_long_text_of_one_word_is_worked_through_in_runs():
+    import tracemalloc
+
+    known = decontaminate._Hashes()
+    word = decontaminate.word_hashes("same", known)
+    whole = decontaminate.Seeds.of([(0, "same " * 200)])
+    tracemalloc.start()
+    assert list(whole.overlaps(np.tile(word, 1_000_000), 10, 0.8)) == [(0, 0, 200, 200)]
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+    part = decontaminate.Seeds.of([(1, "same " * 150 + "other " * 50)])
+    assert all(len(items) <= decontaminate._RUN + 600 for items, _ in part.diagonals(np.tile(word, 10_000)))
+    assert [r[2:] for r in part.overlaps(np.tile(word, 10_000), 10, 0.8)] == [(187, 150)]
+
+
+def test_diagonals_do_not_depend_on_the_runs():
+    rng = random.Random(35)
+    known = decontaminate._Hashes()
+    items = [(k, " ".join(rng.choice("abcd") for _ in range(30))) for k in range(4)]
+    seeds = decontaminate.Seeds.of(items)
+    for _ in range(10):
+        text = decontaminate.word_hashes(" ".join(rng.choice("abcd") for _ in range(300)), known)
+        every = [{(i, s) for a, b in seeds.diagonals(text, run) for i, s in zip(a.tolist(), b.tolist())} for run in (1, 50, 1 << 18)]
+        assert every[0] == every[1] == every[2]
+
+
 def test_benchmark_blocks_cover_it(spark):
     bench = spark.createDataFrame([(k, words(random.Random(k), 30)) for k in range(20)], "item_id bigint, text string")
     parts = list(decontaminate.blocks(bench, max_words=100))
@@ -716,6 +772,17 @@ def test_language_id(spark, empty):
     assert kept.columns == test.columns and {r["doc_id"] for r in kept.collect()} == {r[0] for r in rows[160:]} | {1003}
 
 
+def test_a_language_of_few_texts_that_repeat_is_learned(spark):
+    rng = random.Random(14)
+    few = [words(rng, 30, "xyz") for _ in range(3)]
+    many = spark.range(100_000).select(F.try_element_at(F.array(*map(F.lit, few)), (F.col("id") % 3 + 1).cast("int")).alias("text"), F.lit("xx").alias("lang"))
+    others = spark.createDataFrame([(words(rng, 30, "abc"), "en"), (words(rng, 30, "def"), "de")], "text string, lang string")
+    model = langid.fit(many.unionByName(others))
+    assert model.langs == ["de", "en", "xx"]
+    assert [r["lang_pred"] for r in langid.predict(spark.createDataFrame([(few[0],)], "text string"), model).collect()] == ["xx"]
+    assert langid.fit(many.unionByName(others), max_langs=1).langs == ["xx"] and langid.fit(many.unionByName(others), max_rows=3).langs == ["de", "en", "xx"]
+
+
 def test_spectrum_reads_long_texts_in_blocks(monkeypatch):
     s = langid.Spectrum()
     text = words(random.Random(12), 900) + " 123 " + words(random.Random(13), 400)
