@@ -128,12 +128,12 @@ class _Writer:
         self.total += len(ids) // self.kind.itemsize
         if self.size >= (full := self.length * self.rows * self.kind.itemsize):
             data = b"".join(self.held)
-            while len(data) >= full:
-                self._batch(data[:full])
-                data = data[full:]
-            self.held, self.size = [data], len(data)
+            whole = len(data) // full * full
+            for at in range(0, whole, full):
+                self._batch(memoryview(data)[at : at + full])
+            self.held, self.size = [data[whole:]], len(data) - whole
 
-    def _batch(self, data: bytes) -> None:
+    def _batch(self, data: bytes | memoryview) -> None:
         ids = np.frombuffer(data, dtype=self.kind)
         n = -(-len(ids) // self.length) * self.length
         mask = np.arange(n) < len(ids)
@@ -164,13 +164,15 @@ def write(
 
     Every document's ids, its end id last, follow those of the one before it; a file holds one range of ids as sequences of
     `length` ids with a mask that is false only on the padding of the file's last sequence. first counts ids from the
-    file's start. Null texts are empty: their end id alone. Null ids come first; equal ids are ordered by text, and all rows
-    are kept. Files are written under a name of their own attempt and only a task that ended is in the index, so a task
+    file's start. Null texts are empty: their end id alone. Null ids come first; equal ids are ordered by a hash of the text, so
+    that one id or none may hold most rows, and all rows are kept. Files are written under a name of their own attempt and only a task that ended is in the index, so a task
     may be run again at any time. Ranges follow the texts' bytes in total, about partition_bytes each.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ordered = base.repartitionByRange(max(1, -(-size // partition_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", "mix", "spread"]  # a row that repeats has its place in the table besides
+    spread = base.select("*", F.xxhash64("text").alias("mix"), F.monotonically_increasing_id().alias("spread"))
+    ordered = spread.repartitionByRange(max(1, -(-size // partition_bytes)), *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
