@@ -20,13 +20,19 @@ def score_join(topics: DataFrame, feed: DataFrame, score: Column, threshold: Col
     return topics.join(feed, score >= threshold).withColumn(name, score)
 
 
+def lexical_hits(topics: DataFrame, feed: DataFrame, topic_key: str, terms: str, key: str, title: str, body: str) -> DataFrame:
+    """Rows (topic_key, key, w, n): one for each word that a topic of n words and a document share, 1 in its title and 0.7 in its
+    body alone. No aggregate, so feed may be a stream."""
+    asked = topics.select(topic_key, F.size(F.array_distinct(terms)).alias("n"), F.explode(F.array_distinct(terms)).alias("term"))
+    told = lambda words, w: F.transform(words, lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
+    said = feed.select(key, F.explode(F.concat(told(F.array_distinct(title), 1.0), told(F.array_except(body, title), 0.7))).alias("t")).select(key, "t.term", "t.w")
+    return said.join(asked, "term").select(topic_key, key, "w", "n")
+
+
 def lexical_scores(topics: DataFrame, feed: DataFrame, topic_key: str, terms: str, key: str, title: str, body: str) -> DataFrame:
     """Rows (topic_key, key, score): (title hits + 0.7 * body-only hits) / terms, at most 1, rounded half even to 4 places;
     only pairs that share a term. terms, title and body are arrays of keywords."""
-    asked = topics.select(topic_key, F.size(F.array_distinct(terms)).alias("n"), F.explode(F.array_distinct(terms)).alias("term"))
-    heads = feed.select(key, F.explode(F.array_distinct(title)).alias("term")).withColumn("w", F.lit(1.0))
-    bodies = feed.select(key, F.explode(F.array_except(body, title)).alias("term")).withColumn("w", F.lit(0.7))
-    hits = asked.join(heads.unionByName(bodies), "term")
+    hits = lexical_hits(topics, feed, topic_key, terms, key, title, body)
     return hits.groupBy(topic_key, key, "n").agg(F.sum("w").alias("w")).select(topic_key, key, F.bround(F.least(F.lit(1.0), F.col("w") / F.col("n")), 4).alias("score"))
 
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import QueryProgressEvent, QueryStartedEvent, QueryTerminatedEvent, StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lexiforge.operators import alerts as A
-from lexiforge.operators.relational import insert_if_absent
+from lexiforge.streaming.stateful import new_alerts
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, schema: str, per_trigger: int | None = None) -> DataFrame:
@@ -33,53 +34,72 @@ def next_start(marks: DataFrame, filters: str, overlap_s: int = 300) -> DataFram
     return marks.where(F.col("fingerprint") == filters).groupBy("fingerprint").agg((F.max("mark") - F.make_dt_interval(secs=F.lit(float(overlap_s)))).alias("start"))
 
 
-def collect_batch(batch: DataFrame, store: str, marks: str, filters: str, key: str = "id", ts: str = "updated_at") -> None:
-    """Append what the store does not have (by id and content hash), then the mark: replays of the overlap add nothing.
+def collect_batch(batch: DataFrame, store: str, key: str = "id", ts: str = "updated_at") -> None:
+    """Append what the store does not have (by id and content hash): replays of the overlap add nothing, nor does a batch that
+    runs again.
 
     Of the store only rows from the batch's own span of time are read: equal content has equal times.
     """
-    spark = batch.sparkSession
-    rest = [c for c in batch.columns if c != "content_hash"]
-    rows = batch.withColumn("content_hash", F.sha2(F.to_json(F.struct(*rest)), 256))
-    rows = rows.dropDuplicates([key, "content_hash"])
+    spark, rows = batch.sparkSession, batch.dropDuplicates([key, "content_hash"])
     try:
         old = spark.read.schema(rows.schema).parquet(store)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
         span = batch.agg(F.min(ts).alias("a"), F.max(ts).alias("b")).first()
         old = old.where(F.col(ts).isNull() if span["a"] is None else F.col(ts).isNull() | F.col(ts).between(F.lit(span["a"]), F.lit(span["b"])))
         rows = rows.join(old.select(key, "content_hash"), [key, "content_hash"], "left_anti").select(*rows.columns)
-    except Exception as e:  # the first batch: nothing is stored yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
     rows.write.mode("append").parquet(store)
-    batch.agg(F.lit(filters).alias("fingerprint"), F.max(ts).alias("mark")).where("mark is not null").write.mode("append").parquet(marks)
 
 
-def collect_incremental(stream: DataFrame, store: str, marks: str, filters: str, checkpoint: str) -> StreamingQuery:
-    """Run collect_batch over everything that has landed since the last run."""
-    return stream.writeStream.foreachBatch(lambda b, _: collect_batch(b, store, marks, filters)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def commit_marks(spark: SparkSession, marks: str, filters: str, run: str) -> object:
+    """Make the greatest mark of a run's batches the mark of its filters, once all of them are stored; the mark, None if there is
+    none. One row under a name of its own: done twice it is the same row."""
+    try:
+        pending = spark.read.option("basePath", f"{marks}-pending").parquet(f"{marks}-pending/run={run}").where("mark is not null")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    last = pending.agg(F.max("batch").alias("batch"), F.max("mark").alias("mark")).first()
+    if last["mark"] is not None:
+        pending.agg(F.lit(filters).alias("fingerprint"), F.max("mark").alias("mark")).write.mode("overwrite").parquet(f"{marks}/run={run}/batch={last['batch']}")
+    return last["mark"]
 
 
-def scan_alerts(feed: DataFrame, topics: DataFrame, scores: Callable[[DataFrame], DataFrame], alerts: str, checkpoint: str, *, limit: int = 2, default: float = 0.6, once: bool = True) -> StreamingQuery:
-    """Every batch of new documents is scored against all topics; each subscription gets at most `limit` documents that it
-    never got, which are appended. Without `once` it runs every two minutes."""
-    schema = "subscription_id bigint, document_id string, topic_id string, score double"
+def collect_incremental(stream: DataFrame, store: str, marks: str, filters: str, checkpoint: str, key: str = "id", ts: str = "updated_at", *, overlap: str = "5 minutes") -> StreamingQuery:
+    """Collect everything that has landed since the last run into the store, then advance the mark of the filters.
 
-    def one(batch: DataFrame, batch_id: int) -> None:
-        scan_batch(batch.sparkSession, scores(batch), topics, alerts, schema, limit, default)
+    What lands again within the overlap is dropped by the stream's own state (id and content hash, by the time of landing, so
+    nothing is late however old it is); what comes again later is found in the store. Every batch notes its mark as
+    pending; the mark itself advances by one row when the run has ended well. A run that dies leaves the old mark, and the
+    next one goes on from its checkpoint, with the pending marks of the batches that it does not see again.
+    """
+    rows = stream.withColumn("content_hash", F.sha2(F.to_json(F.struct(*stream.columns)), 256)).withColumn("_landed", F.current_timestamp())
+    rows = rows.withWatermark("_landed", overlap).dropDuplicatesWithinWatermark([key, "content_hash"])
+    run = fingerprint({"checkpoint": checkpoint, "filters": filters})[:16]
 
-    w = feed.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
-    return (w.trigger(availableNow=True) if once else w.trigger(processingTime="2 minutes")).start()
+    def put(batch: DataFrame, number: int) -> None:
+        collect_batch(batch.drop("_landed"), store, key, ts)
+        batch.agg(F.max(ts).alias("mark")).write.mode("overwrite").parquet(f"{marks}-pending/run={run}/batch={number}")
 
+    query = rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    commit_marks(stream.sparkSession, marks, filters, run)
+    return query
 
-def scan_batch(spark: SparkSession, scores: DataFrame, topics: DataFrame, alerts: str, schema: str, limit: int, default: float) -> None:
-    from pyspark.errors import AnalysisException
 
-    try:
-        seen = spark.read.schema(schema).parquet(alerts)
-    except AnalysisException:
-        seen = spark.createDataFrame([], schema)
-    new = A.match(scores, topics, seen, "subscription_id", "topic_id", "document_id", limit, default).select("subscription_id", "document_id", "topic_id", "score")
-    insert_if_absent(seen, new, ["subscription_id", "document_id"]).select("subscription_id", "document_id", "topic_id", "score").write.mode("append").parquet(alerts)
+def scan_alerts(feed: DataFrame, topics: DataFrame, scores: Callable[[DataFrame], DataFrame], alerts: str, checkpoint: str, *, limit: int = 2, default: float = 0.6, once: bool = True) -> StreamingQuery:
+    """Every batch of new documents is scored against all topics; each subscription gets at most `limit` documents that it
+    never got (stateful.new_alerts), written under alerts as part=<batch>, which a batch that runs again replaces. scores
+    makes scores or word hits of the stream, row by row. Without `once` it runs every two minutes."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{alerts}/part={number}")
+
+    w = new_alerts(scores(feed), topics, limit=limit, default=default).writeStream.foreachBatch(put).outputMode("append").option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if once else w.trigger(processingTime="2 minutes")).start()
 
 
 def session_counts(events: DataFrame, key: str, ts: str, gap: str, late: str = "1 hour") -> DataFrame:
@@ -88,33 +108,6 @@ def session_counts(events: DataFrame, key: str, ts: str, gap: str, late: str = "
     return s.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n")
 
 
-def session_history(turns: DataFrame, key: str, *, ttl_ms: int = 1_800_000, most: int = 20, late: str = "10 minutes") -> DataFrame:
-    """Rows (key, ts, history): after each message of a chat its last `most` messages; a chat idle longer than ttl starts anew.
-
-    turns: a stream of key, ts (a timestamp), text. State is one bounded list a chat, dropped once the watermark has passed
-    its time to live, whether or not the chat returns.
-    """
-    kind = turns.schema[key].dataType.simpleString()
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, held = state.get if state.exists else (0, [])
-        held, out = list(held), []
-        for r in pd.concat(list(frames)).sort_values("at", kind="stable").itertuples():
-            if held and r.at - last > ttl_ms:
-                held = []
-            held, last = [*held, r.text][-most:], int(r.at)
-            out.append((k[0], last, list(held)))
-        state.update((last, held))
-        state.setTimeoutTimestamp(max(last + ttl_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[key, "ts", "history"])
-
-    rows = turns.withWatermark("ts", late).select(key, "ts", F.unix_millis("ts").alias("at"), "text")
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ts bigint, history array<string>", "last bigint, held array<string>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def _fold_turn(row: dict | None, e: dict, expiry_ms: int) -> dict | None:
     """The turn after an event: start, retry, complete, fail or tick, with its attempt's version."""
     if row and row["status"] == "PENDING" and e["ts"] > row["started"] + expiry_ms:
@@ -216,5 +209,55 @@ def embed_missing(texts: DataFrame, stored: DataFrame, embed: Callable[[list[str
 
 
 def progress(df: DataFrame, name: str, done: Column) -> DataFrame:
-    """df with observed counts: total rows and those done; read them from an Observation or a listener of that name."""
+    """df with observed counts: total rows and those done; read them with a Progress of that name."""
     return df.observe(name, F.count("*").alias("total"), F.count_if(done).alias("done"))
+
+
+def observed(df: DataFrame, name: str, done: Column) -> tuple[DataFrame, Observation]:
+    """As progress, for a table: the counts are in the observation once an action on df has ended."""
+    seen = Observation(name)
+    return df.observe(seen, F.count("*").alias("total"), F.count_if(done).alias("done")), seen
+
+
+PROGRESS = "name string, batch bigint, seconds double, done bigint, failed bigint, total bigint, rate double, eta double"
+
+
+def progress_row(name: str, batch: int, seconds: float, done: int, failed: int, total: int) -> tuple:
+    """(name, batch, seconds, done, failed, total, rate, eta): rows gone through a second, and the seconds that the rest of total
+    takes at that rate; null while nothing is known of it."""
+    through = done + failed
+    rate = through / seconds if seconds > 0 and through else None
+    return name, batch, seconds, done, failed, total, rate, max(0, total - through) / rate if rate else None
+
+
+class Progress(StreamingQueryListener):
+    """Turns what progress() observes in a stream into rows: one a batch with rows, all batches so far counted together.
+
+    total is how many rows are expected in all; unknown, it is those seen. Add it with spark.streams.addListener before the
+    query starts; a query that ends in an error has it in failure. Batch actions give their row by of_table."""
+
+    def __init__(self, name: str, total: int | None = None):
+        self.name, self.total, self.rows, self.failure = name, total, [], None
+        self._done = self._seen = 0
+        self._seconds = 0.0
+
+    def onQueryStarted(self, event: QueryStartedEvent) -> None:
+        pass
+
+    def onQueryProgress(self, event: QueryProgressEvent) -> None:
+        got = event.progress.observedMetrics.get(self.name)
+        self._seconds += event.progress.batchDuration / 1000
+        if got is not None and got["total"]:
+            self._done, self._seen = self._done + got["done"], self._seen + got["total"]
+            self.rows.append(progress_row(self.name, event.progress.batchId, self._seconds, self._done, self._seen - self._done, max(self.total or 0, self._seen)))
+
+    def onQueryTerminated(self, event: QueryTerminatedEvent) -> None:
+        self.failure = event.exception
+
+    def of_table(self, seen: Observation, seconds: float) -> None:
+        got = seen.get
+        self._done, self._seen, self._seconds = self._done + got["done"], self._seen + got["total"], self._seconds + seconds
+        self.rows.append(progress_row(self.name, len(self.rows), self._seconds, self._done, self._seen - self._done, max(self.total or 0, self._seen)))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.rows, PROGRESS)

@@ -625,19 +625,6 @@ def test_silent_turns_of_a_stream_run_out(spark, tmp_path):
     assert ("b", "FAILED", "GENERATION_INTERRUPTED") not in rows
 
 
-def test_session_history(spark, tmp_path):
-    t0 = dt.datetime(2026, 9, 1, 8)
-    at = lambda minutes: t0 + dt.timedelta(minutes=minutes)
-    rows = [("x", at(0), "a"), ("x", at(29), "b"), ("x", at(61), "c"), ("y", at(0), "k"), *[("z", t0 + dt.timedelta(seconds=i), str(i)) for i in range(25)]]
-    schema = "chat string, ts timestamp, text string"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    q = X.session_history(stream, "chat").writeStream.format("memory").queryName("hist").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
-    assert q.awaitTermination(60)
-    h = {(r["chat"], r["history"][-1]): r["history"] for r in spark.table("hist").collect()}
-    assert h["x", "b"] == ["a", "b"] and h["x", "c"] == ["c"] and h["z", "24"] == [str(i) for i in range(5, 25)]
-
-
 def test_embed_missing(spark):
     def embed(texts):
         if "bad" in texts:
