@@ -71,16 +71,17 @@ def new_labels(existing: DataFrame, suggested: DataFrame, by: str, label: str) -
 
 
 def finalize_topics(topics: DataFrame, by: str, label: str, order: str, most: int = 4, *, query: str | None = None, existing: DataFrame | None = None) -> DataFrame:
-    """First `most` topics with a label and a query, repeats of a label apart from case dropped, those that exist (by, label)
-    too; labels are cut to 80 characters, queries to 300."""
+    """First `most` topics with a label, repeats of a label apart from case dropped, those that exist (by, label) too; labels are cut
+    to 80 characters, queries to 300; a topic without a query is searched for by its label."""
     from lexiforge.functions.text import clip
 
+    key = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
     rows = topics.withColumn(label, clip(label, 80))
     if query is not None:
-        rows = rows.withColumn(query, clip(query, 300)).where(F.length(query) > 0)
-    rows = rows.withColumn("_k", F.lower(F.trim(F.col(label)))).where("_k <> ''")
+        rows = rows.withColumn(query, F.coalesce(F.nullif(clip(query, 300), F.lit("")), F.col(label)))
+    rows = rows.withColumn("_k", key(F.col(label))).where("_k <> ''")
     if existing is not None:
-        rows = rows.join(existing.select(by, F.lower(F.trim(F.col(label))).alias("_k")).distinct(), [by, "_k"], "left_anti")
+        rows = rows.join(existing.select(by, key(F.col(label)).alias("_k")).distinct(), [by, "_k"], "left_anti")
     first = top_per(rows, [by, "_k"], [F.asc(order)], 1, "_n").drop("_n", "_k")
     return top_per(first, [by], [F.asc(order)], most)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.functions import packs
 from lexiforge.functions import text as T
+from lexiforge.operators.alerts import finalize_topics
 
 REQUIREMENT = "array<struct<id:string,query:string,kind:string>>"
 INTERPRETATION = f"language string, standalone string, query string, category string, answer_type string, yearly boolean, streets array<string>, requirements {REQUIREMENT}"
@@ -83,20 +84,50 @@ def dense_query_text(query: Column, yearly: Column, years: Column, today: Column
     return F.when(yearly & (F.size(years) == 0), F.concat(query, F.lit(" "), F.year(today).cast("string"))).otherwise(query)
 
 
-def extract_topics(questions: DataFrame, by: str, text: str, themes: DataFrame, districts: tuple[str, ...], most: int = 4) -> DataFrame:
-    """Rows (by, label, query): a group's themes by hits, with the district after them if its questions name exactly one; a
-    group without a theme gets up to five content words of its latest question, unless it is Cyrillic."""
-    from lexiforge.operators.alerts import theme_counts
-    from lexiforge.operators.search import top_per
-
-    named = questions.select(by, F.explode(T.named_in(text, districts)).alias("d")).groupBy(by).agg(F.collect_set("d").alias("_d"))
-    hits = theme_counts(questions.withColumn(text, T.fold(text)), by, text, themes).where(F.col("rank") <= most)
-    known = hits.join(named, by, "left").withColumn("query", F.concat_ws(" ", "label", F.when(F.size("_d") == 1, F.element_at("_d", 1))))
-    rest = top_per(questions.join(hits.select(by).distinct(), by, "left_anti"), [by], [F.desc("position")], 1, "_n")
-    words = F.slice(F.filter(F.regexp_extract_all(F.col(text), F.lit(r"(?U)\p{L}[\w-]{2,}"), F.lit(0)), lambda w: ~T.fold(w).isin(*packs.STOPWORDS)), 1, 5)
-    said = F.array_join(words, " ")
-    other = rest.where(~F.col(text).rlike(packs.SCRIPTS["ru"]) & (F.size(words) > 0)).select(by, F.concat(F.upper(F.substring(said, 1, 1)), F.substring(said, 2, 10_000)).alias("label"), said.alias("query"))
-    return known.select(by, "label", "query").unionByName(other)
+def _at_words(patterns: tuple[str, ...]) -> str:
+    """One pattern for folded text that finds any of these where a word starts."""
+    return r"(?U)(?<!\w)(?:" + "|".join(T.folded(p) for p in patterns) + ")"
+
+
+def extract_topics(
+    questions: DataFrame, by: str, text: str, order: str, *, existing: DataFrame | None = None, themes: tuple = packs.THEMES, districts: tuple = packs.DISTRICTS, most: int = 4
+) -> DataFrame:
+    """Rows (by, label, query, rank): what a group of questions is about, at most `most` topics.
+
+    Themes come by how often their patterns stand in all questions together, then in their own order; if the questions name
+    one district and no other, it goes into label and query. A group without a theme gets a topic of up to five content
+    words for each of its questions, in order, but for those in Cyrillic. Labels that exist (by, label) and repeats are
+    dropped before the first `most` are taken.
+    """
+    folded = questions.select(by, T.fold(text).alias("_t"))
+    counts = F.array(*[F.regexp_count("_t", F.lit(_at_words(p))).cast("bigint") for _, _, p in themes])
+    named = F.array(*[F.col("_t").rlike(_at_words(p)).cast("int") for _, p in districts])
+    hits = folded.select(by, F.posexplode(counts).alias("theme", "hits")).where("hits > 0").groupBy(by, "theme").agg(F.sum("hits").alias("hits"))
+    said = folded.select(by, F.posexplode(named).alias("d", "is")).where("is = 1").groupBy(by).agg(F.collect_set("d").alias("d"))
+    where = said.where("size(d) = 1").select(by, F.element_at(F.array(*[F.lit(name) for name, _ in districts]), F.col("d")[0] + 1).alias("district"))
+    table = questions.sparkSession.createDataFrame([(i, label, query) for i, (label, query, _) in enumerate(themes)], "theme int, label string, query string")
+    known = hits.join(F.broadcast(table), "theme").join(where, by, "left")  # a fixed list of themes
+    inside = lambda form, plain: F.when(F.col("district").isNull(), F.col(plain)).otherwise(F.replace(F.replace(F.lit(form), F.lit("{" + plain + "}"), F.col(plain)), F.lit("{district}"), F.col("district")))
+    known = known.select(by, inside(packs.TOPIC_IN_DISTRICT[0], "label").alias("label"), inside(packs.TOPIC_IN_DISTRICT[1], "query").alias("query"), F.struct((-F.col("hits")).alias("a"), F.col("theme").alias("b")).alias("_o"))
+    words = F.slice(F.filter(F.regexp_extract_all(F.col(text), F.lit(r"(?U)[\p{L}\p{Nl}\p{No}][\w-]*"), F.lit(0)), lambda w: (F.length(w) >= 3) & ~T.fold(w).isin(*packs.STOPWORDS)), 1, 5)
+    phrase = F.array_join(words, " ")
+    alone = questions.where(~F.col(text).rlike("[\u0400-\u04ff]") & (F.size(words) > 0)).join(hits.select(by).distinct(), by, "left_anti")
+    other = alone.select(by, F.concat(F.upper(F.substring(phrase, 1, 1)), F.substring(phrase, F.lit(2), F.length(phrase))).alias("label"), phrase.alias("query"), F.struct(F.col(order).cast("bigint").alias("a"), F.lit(0).alias("b")).alias("_o"))
+    return finalize_topics(known.unionByName(other), by, "label", "_o", most, query="query", existing=existing).drop("_o")
+
+
+MODEL_TOPICS = "struct<topics:array<struct<label:string,query:string>>>"
+
+
+def topics_of(questions: DataFrame, by: str, text: str, order: str, model: DataFrame | None = None, *, existing: DataFrame | None = None, most: int = 4) -> DataFrame:
+    """Rows (by, label, query, rank): a model's topics where it gave a list of them, and extract_topics for groups whose model output
+    (by, output: JSON) is missing, is no such JSON or has no list. An empty list is an answer: the group has no topic."""
+    if model is None:
+        return extract_topics(questions, by, text, order, existing=existing, most=most)
+    read = model.select(by, F.from_json("output", MODEL_TOPICS).alias("m")).where("m.topics is not null")
+    given = read.select(by, F.posexplode("m.topics").alias("_o", "t")).select(by, F.coalesce("t.label", F.lit("")).alias("label"), F.coalesce("t.query", F.lit("")).alias("query"), "_o")
+    ours = finalize_topics(given, by, "label", "_o", most, query="query", existing=existing).drop("_o")
+    return ours.unionByName(extract_topics(questions.join(read.select(by), by, "left_anti"), by, text, order, existing=existing, most=most))
 
 
 def resolve_followup(reply: Column, labels: Column) -> Column:

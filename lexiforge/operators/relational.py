@@ -198,6 +198,32 @@ def run_status(consistent: Column, errors: Column, problems: Column) -> Column:
     return F.when(~consistent | (errors > 0), "FAILED").when(problems > 0, "PARTIAL_SUCCESS").otherwise("SUCCESS")
 
 
-def nearest_rank(value: Column, q: float) -> Column:
-    """The element at place ceil(q * n) of the sorted values."""
-    return F.call_function("percentile_approx", value, F.lit(q), F.lit(2147483647))
+def nearest_ranks(df: DataFrame, by: list[str], value: str, percents: dict[str, int]) -> DataFrame:
+    """Rows (by, and a column for each percent): the element at place ceil(q * n / 100) of a group's values in order, the first for
+    none; nulls do not count, groups without a value have nulls, and without `by` there is one row.
+
+    Exact and spread out: equal values of a group are counted together before they move, the counts are dealt out by ranges of
+    (group, value), and each range finds the places inside it from the counts of the ranges before it, so a group may hold
+    all rows and no task holds more than a range.
+    """
+    keys = [f"_g{i}" for i in range(len(by))] or ["_all"]
+    named = [F.col(b).alias(k) for b, k in zip(by, keys)] or [F.lit(1).alias("_all")]
+    counted = df.select(*named, F.col(value).alias("_v")).groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+    dealt = materialize(counted.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()), "value-ranges")
+    some = dealt.where("_v is not null")
+    parts = some.groupBy("_part", *keys).agg(F.sum("_n").alias("_in"))  # one row a range, and one a group more
+    before = parts.select("_part", F.struct(*keys).alias("_key"), (F.sum("_in").over(W.partitionBy(*keys).orderBy("_part")) - F.col("_in")).alias("_before"), F.sum("_in").over(W.partitionBy(*keys)).alias("_total"))
+    upto = F.sum("_n").over(W.partitionBy("_part", *keys).orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
+    placed = some.select("_part", F.struct(*keys).alias("_key"), "_v", "_n", upto.alias("_upto")).alias("a").join(before.alias("b"), (F.col("a._part") == F.col("b._part")) & F.col("a._key").eqNullSafe(F.col("b._key")))
+    last = F.col("_before") + F.col("_upto")
+
+    def at(q: int) -> Column:
+        place = F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("_total") * q / 100))
+        return F.max(F.when((last - F.col("_n") < place) & (place <= last), F.col("_v")))
+
+    found = placed.groupBy(F.col("a._key").alias("_key")).agg(*[at(q).alias(name) for name, q in percents.items()])
+    if not by:
+        return found.drop("_key").unionByName(dealt.sparkSession.range(1).select(*[F.lit(None).cast(df.schema[value].dataType).alias(n) for n in percents])).agg(*[F.max(n).alias(n) for n in percents])
+    groups = dealt.select(F.struct(*keys).alias("_key")).distinct()
+    out = groups.alias("g").join(found.alias("f"), F.col("g._key").eqNullSafe(F.col("f._key")), "left")
+    return out.select(*[F.col(f"g._key.{k}").alias(b) for b, k in zip(by, keys)], *percents)

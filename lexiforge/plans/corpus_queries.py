@@ -13,7 +13,7 @@ from lexiforge.operators import corpus as P
 from lexiforge.operators import evaluation as V
 from lexiforge.operators import rules as R
 from lexiforge.operators import validation as Q
-from lexiforge.operators.relational import numbered
+from lexiforge.operators.relational import nearest_ranks, numbered
 from lexiforge.operators.search import dense_pairs, dense_topk
 from lexiforge.operators.similarity import similar_sets
 from lexiforge.plans.query import query, table
@@ -251,19 +251,26 @@ def q_mrr(spark: SparkSession, d: str) -> DataFrame:
     """SELECT event_type AS kind, CAST(count(*) AS BIGINT) AS cases, CAST(count(*) FILTER (WHERE value <= 10) AS BIGINT) AS passed, round_even(count(*) FILTER (WHERE value <= 10) / count(*), 4) AS rate, CAST(quantile_disc(value, 0.95) AS DOUBLE) AS p95 FROM events GROUP BY event_type"""
 )
 def q_suite_metrics(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").withColumn("passed", F.col("value") <= 10)
-    return e.groupBy(F.col("event_type").alias("kind")).agg(
-        F.count("*").alias("cases"), F.count_if("passed").alias("passed"), V.rate(F.count_if("passed"), F.count("*")).alias("rate"), F.expr("percentile_disc(0.95) within group (order by value)").alias("p95")
-    )
+    e = table(spark, d, "events").withColumn("passed", F.coalesce(F.col("value") <= 10, F.lit(False))).withColumnRenamed("event_type", "kind")
+    kinds = e.groupBy("kind").agg(F.count("*").alias("cases"), F.count_if("passed").alias("passed"))
+    return kinds.join(nearest_ranks(e, ["kind"], "value", {"p95": 95}), "kind").select("kind", "cases", "passed", V.rate(F.col("passed"), F.col("cases")).alias("rate"), "p95")
 
 
 @query(
-    """WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS slot FROM documents QUALIFY slot < 100)
-    SELECT g AS case_no, doc_id, ['a', 'b', 'c', 'd', 'e'][g % 5 + 1] AS kind, CASE WHEN g % 10 < 6 THEN 'ro' ELSE 'ru' END AS language, CASE WHEN g % 10 < 6 THEN 'train' WHEN g % 10 < 8 THEN 'dev' ELSE 'test' END AS split
-    FROM (SELECT unnest(generate_series(0, 99)) AS g) JOIN d ON d.slot = g % (SELECT count(*) FROM d)"""
+    """WITH d AS (SELECT doc_id, source || ' ' || doc_id AS title, row_number() OVER (ORDER BY doc_id) - 1 AS slot, count(*) OVER () AS have FROM documents),
+    g AS (SELECT i, ['direct_fact', 'date', 'amount', 'location', 'list', 'comparison', 'ambiguous', 'title_only', 'historical', 'unanswerable'][i % 10 + 1] AS kind, i < 60 AS ro, a.doc_id, a.title, b.title AS second
+      FROM (SELECT unnest(generate_series(0, 99)) AS i) JOIN d a ON a.slot = i % a.have JOIN d b ON b.slot = (i + 1) % b.have)
+    SELECT CASE WHEN ro THEN 'ro-' ELSE 'ru-' END || lpad((i + 1)::VARCHAR, 3, '0') AS id, CASE WHEN ro THEN 'ro' ELSE 'ru' END AS language, CASE WHEN i < 60 THEN 'tuning' WHEN i < 80 THEN 'validation' ELSE 'test' END AS split, kind,
+      CASE kind WHEN 'ambiguous' THEN CASE WHEN ro THEN 'Care este bugetul proiectului?' ELSE 'Каков бюджет проекта?' END
+        WHEN 'historical' THEN CASE WHEN ro THEN 'Ce informații erau raportate în 2022 despre «' || title || '»?' ELSE 'Какие сведения сообщались в 2022 году о «' || title || '»?' END
+        WHEN 'unanswerable' THEN CASE WHEN ro THEN 'Care a fost temperatura exactă la inaugurare?' ELSE 'Какой была точная температура на открытии?' END
+        WHEN 'comparison' THEN CASE WHEN ro THEN 'Compară faptele din «' || title || '» și «' || second || '».' ELSE 'Сравните факты из «' || title || '» и «' || second || '».' END
+        ELSE CASE WHEN ro THEN 'Ce informații verificabile oferă documentul «' || title || '»?' ELSE 'Какие проверяемые сведения содержит документ «' || title || '»?' END END AS question,
+      CASE WHEN kind = 'unanswerable' THEN 'UNANSWERABLE' ELSE 'ANSWERABLE' END AS answerable, CASE WHEN kind <> 'unanswerable' THEN doc_id END AS document_id, kind = 'ambiguous' AS clarification_expected, 'PENDING' AS review_status FROM g"""
 )
 def q_eval_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return V.evaluation_candidates(spark, table(spark, d, "documents"), "doc_id", ["a", "b", "c", "d", "e"])
+    docs = table(spark, d, "documents").select("doc_id", F.concat_ws(" ", "source", F.col("doc_id").cast("string")).alias("title"))
+    return V.evaluation_candidates(spark, docs, "doc_id", "title")
 
 
 @query("SELECT DISTINCT page_id, title <> '' AS has_title, lower(regexp_replace(regexp_replace(title, '&[a-z]+;', '', 'g'), '[^\\p{L}]+', '', 'g')) AS title_letters FROM (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages)")

@@ -24,6 +24,15 @@ from lexiforge.plans.query import query, table
 _MONTHS = "[" + ", ".join(f"'{m}'" for m in K.MONTHS_RO) + "]"
 
 
+def _plain(kind: str) -> str:
+    return "(?i)" + packs.FACTS[kind]
+
+
+def _found(kind: str) -> str:
+    """All matches of a family of facts in `text`."""
+    return f"array_to_string(regexp_extract_all(text, '{_plain(kind)}', 0), '|')"
+
+
 def _listed(values: tuple[str, ...]) -> str:
     return "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
 
@@ -196,7 +205,8 @@ def q_numeric_facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) || ' lei' AS amount, strftime(o_orderdate, '%d.%m.%Y') || '|' || year(o_orderdate) AS dates, '3 luni' AS durations, CAST(0 AS BIGINT) AS counts FROM orders"""
+    f"""WITH t AS (SELECT o_orderkey, 'Costă ' || o_orderkey || ' lei din ' || strftime(o_orderdate, '%d.%m.%Y') || ' și durează 3 luni din ' || year(o_orderdate) || '.' AS text FROM orders)
+    SELECT o_orderkey, {_found("amounts")} AS amount, {_found("dates")} AS dates, {_found("durations")} AS durations, CAST(len(regexp_extract_all(text, '{_plain("counts")}', 0)) AS BIGINT) AS counts FROM t"""
 )
 def q_fact_matches(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit("Costă "), F.col("o_orderkey"), F.lit(" lei din "), F.date_format("o_orderdate", "dd.MM.yyyy"), F.lit(" și durează 3 luni din "), F.year("o_orderdate"), F.lit("."))
@@ -436,23 +446,41 @@ def q_ingest(spark: SparkSession, d: str) -> DataFrame:
     return new.groupBy("sha256").agg(F.min("source").alias("source"), F.count("*").alias("manifests")).select(F.substring("sha256", 1, 12).alias("digits"), "source", "manifests")
 
 
-@query(
-    """SELECT CAST(count(*) AS BIGINT) AS cases, CAST(count(*) FILTER (WHERE value <= 10) AS BIGINT) AS passed, CAST(sum(event_id % 4) AS BIGINT) AS citations, CAST(sum(event_id % 2) AS BIGINT) AS unrelated, round_even(sum(event_id % 2) / sum(event_id % 4), 4) AS unrelated_rate,
-    round_even(count(*) FILTER (WHERE value <= 10) / count(*), 4) AS status_rate, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events WHERE value IS NOT NULL"""
-)
+def _scored(e: DataFrame) -> DataFrame:
+    """Events as scored cases: what a check or count says follows from their numbers."""
+    n, none = F.col("event_id"), F.lit(None)
+    good = n % 11 > 0
+    some = lambda c, kind="bigint": F.when(good, c.cast(kind))
+    kinds = F.when(n % 4 == 0, "yearly_topic").when(n % 4 == 1, "ambiguous").when(n % 4 == 2, "answerable").otherwise(none)
+    status = F.when(n % 5 == 0, "NOT_FOUND").when(n % 5 == 1, "NEEDS_CLARIFICATION").otherwise("SUPPORTED")
+    return e.select(
+        kinds.alias("kind"), F.col("value").alias("latency_ms"), good.alias("request_ok"), (good & (F.col("value") <= 10)).alias("passed"), F.when(good, status).alias("status_given"), F.when(n % 3 == 0, good).alias("reason"),
+        some(n % 6).alias("n_citations"), some(n % 2 == 0, "boolean").alias("relevance_scored"), some(F.when(n % 2 == 0, n % 3).otherwise(0)).alias("n_unrelated_citations"), some(n % 7).alias("n_choices"), some(n % 2 == 0, "boolean").alias("choices_scored"),
+        some(F.when((n % 2 == 0) & (n % 7 > 1), 1).otherwise(0)).alias("n_unrelated_choices"), some(n % 7 > 5).alias("n_duplicate_choices"), some(n % 9 == 0).alias("n_outdated_documents"), some(n % 5 > 1, "boolean").alias("answer_bearing"), some((n % 5 > 1) & (n % 6 == 0), "boolean").alias("uncited_answer"),
+        some(n % 3).alias("n_uncited_sentences"), some(n % 3 + 2).alias("n_sentences"), some(n % 3 == 0, "boolean").alias("reason_reported"), some(F.lit(False), "boolean").alias("flags_reported"),
+    )
+
+
+_SUITE = """WITH g AS (SELECT *, event_id AS n FROM events WHERE event_id % 11 > 0), r AS (SELECT value, row_number() OVER (ORDER BY value) AS place, count(*) OVER () AS total FROM g WHERE value IS NOT NULL)
+SELECT (SELECT count(*) FROM events) AS cases, count(*) FILTER (WHERE value <= 10) AS passed, (SELECT count(*) FROM events) - count(*) FILTER (WHERE value <= 10) AS failed, (SELECT count(*) FROM events WHERE event_id % 11 = 0) AS request_errors,
+CAST(sum(n % 3) FILTER (WHERE n % 2 = 0) AS BIGINT) AS unrelated_citations, CAST(sum(n % 6) FILTER (WHERE n % 2 = 0) AS BIGINT) AS scored_citations, round_even(sum(n % 3) FILTER (WHERE n % 2 = 0) / sum(n % 6) FILTER (WHERE n % 2 = 0), 4) AS unrelated_citation_rate,
+count(*) FILTER (WHERE n % 5 > 1 AND n % 6 = 0) AS uncited_answers, count(*) FILTER (WHERE n % 5 > 1) AS answer_bearing_replies, round_even(count(*) FILTER (WHERE n % 5 > 1 AND n % 6 = 0) / count(*) FILTER (WHERE n % 5 > 1), 4) AS uncited_answer_rate,
+round_even(sum(n % 3) / sum(n % 3 + 2), 4) AS uncited_sentence_rate, count(*) FILTER (WHERE n % 4 IN (0, 2) AND n % 5 = 0) AS false_not_found, count(*) FILTER (WHERE n % 4 IN (0, 2)) AS answerable_cases,
+round_even(count(*) FILTER (WHERE n % 4 IN (0, 2) AND n % 5 = 0) / count(*) FILTER (WHERE n % 4 IN (0, 2)), 4) AS false_not_found_rate, CAST(sum(n % 7) FILTER (WHERE n % 2 = 0) AS BIGINT) AS scored_choices,
+round_even((sum(n % 7) FILTER (WHERE n % 2 = 0) - count(*) FILTER (WHERE n % 2 = 0 AND n % 7 > 1)) / sum(n % 7) FILTER (WHERE n % 2 = 0), 4) AS clarification_precision,
+round_even(count(*) FILTER (WHERE n % 4 = 1 AND n % 5 = 1) / count(*) FILTER (WHERE n % 4 = 1), 4) AS ambiguous_clarified_rate, count(*) FILTER (WHERE n % 4 = 0 AND n % 9 = 0) AS outdated_source_cases, count(*) FILTER (WHERE n % 4 = 0) AS yearly_cases,
+round_even(count(*) FILTER (WHERE n % 4 = 0 AND n % 9 = 0) / count(*) FILTER (WHERE n % 4 = 0), 4) AS outdated_source_rate, count(*) FILTER (WHERE n % 7 = 6) AS duplicate_choices, bool_or(n % 3 = 0) AS reason_reported, false AS flags_reported,
+count(*) FILTER (WHERE n % 3 = 0) AS reason_checks_scored, (SELECT value FROM r WHERE place = ceil(total * 50 / 100)) AS latency_p50, (SELECT value FROM r WHERE place = ceil(total * 95 / 100)) AS latency_p95 FROM g"""
+
+
+@query(_SUITE)
 def q_suite_totals(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("value is not null")
-    ok, yes = F.col("value") <= 10, F.lit(True)
-    scored = e.select(F.col("event_type").alias("kind"), F.col("value").alias("latency_ms"), yes.alias("request_ok"), ok.alias("passed"), ok.alias("status_ok"), yes.alias("all_cited"), yes.alias("no_duplicates"), (F.col("event_id") % 4).alias("n_citations"), (F.col("event_id") % 2).alias("n_unrelated"))
-    return V.suite_metrics(scored)[0].select("cases", "passed", "citations", "unrelated", "unrelated_rate", "status_rate", "p50", "p95")
+    return V.suite_metrics(_scored(table(spark, d, "events")))[0]
 
 
-@query("SELECT event_type AS kind, CAST(count(*) AS BIGINT) AS cases, CAST(count(*) FILTER (WHERE value <= 10) AS BIGINT) AS passed FROM events WHERE value IS NOT NULL GROUP BY event_type")
+@query("SELECT CASE event_id % 4 WHEN 0 THEN 'yearly_topic' WHEN 1 THEN 'ambiguous' WHEN 2 THEN 'answerable' ELSE '?' END AS kind, CAST(count(*) AS BIGINT) AS cases, CAST(count(*) FILTER (WHERE value <= 10 AND event_id % 11 > 0) AS BIGINT) AS passed FROM events GROUP BY kind")
 def q_suite_kinds(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("value is not null")
-    ok, yes = F.col("value") <= 10, F.lit(True)
-    scored = e.select(F.col("event_type").alias("kind"), F.col("value").alias("latency_ms"), yes.alias("request_ok"), ok.alias("passed"), ok.alias("status_ok"), yes.alias("all_cited"), yes.alias("no_duplicates"), F.lit(0).alias("n_citations"), F.lit(0).alias("n_unrelated"))
-    return V.suite_metrics(scored)[1]
+    return V.suite_metrics(_scored(table(spark, d, "events")))[1]
 
 
 @query(
@@ -491,3 +519,32 @@ def q_eligible(spark: SparkSession, d: str) -> DataFrame:
     even = F.col("vec_id") % 2 == 0
     ranked = e.select(F.lit("q").alias("query"), "vec_id", "label", F.when(even, F.col("vec_id") / 1000.0).otherwise(0.0).alias("score"), F.when(~even, F.col("vec_id") - 1).alias("anchor"))
     return S.eligible_with_context(ranked, 0.2, "query", "vec_id", "anchor").select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
+def _at_words(patterns: tuple[str, ...]) -> str:
+    edge = r"[^\p{L}\p{N}_]"
+    return f"(?:^|{edge})(?:" + "|".join(T.folded(p).replace(r"\b", f"(?:{edge}|$)") for p in patterns) + ")"
+
+
+_ASKED = {0: "Când vine troleibuzul și autobuzul la Botanica?", 2: "Где школа в секторе Чеканы и детский садик?", 4: "Reparație de drum pe strada mea, sectorul Centru", 6: "Ajutor social; concert și teatru; spital"}
+_TOPICS = rf"""WITH u AS (SELECT conv_id, turn, CASE (conv_id + turn) % 24 {" ".join(f"WHEN {k} THEN '{v}'" for k, v in _ASKED.items())} ELSE substr(text, 1, 60) END AS q FROM conversations WHERE role = 'user'),
+f AS (SELECT conv_id, strip_accents(lower(q)) AS t FROM u),
+th(theme, label, query, pattern) AS (VALUES {", ".join(f"({i}, '{label}', '{query}', '{_at_words(p)}')" for i, (label, query, p) in enumerate(packs.THEMES))}),
+di(name, pattern) AS (VALUES {", ".join(f"('{name}', '{_at_words(p)}')" for name, p in packs.DISTRICTS)}),
+h AS (SELECT conv_id, theme, label, query, sum(len(regexp_extract_all(t, pattern))) AS hits FROM f, th GROUP BY ALL HAVING hits > 0),
+w AS (SELECT conv_id, min(name) AS district FROM (SELECT DISTINCT conv_id, name FROM f, di WHERE regexp_matches(t, pattern)) GROUP BY conv_id HAVING count(*) = 1),
+known AS (SELECT conv_id, label || coalesce(' – sectorul ' || district, '') AS label, query || coalesce(' sectorul ' || district, '') AS query, -hits AS a, theme AS b FROM h LEFT JOIN w USING (conv_id)),
+ws AS (SELECT conv_id, turn, list_filter(regexp_extract_all(q, '[\p{{L}}\p{{Nl}}\p{{No}}][\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}-]*'), lambda x: len(x) >= 3 AND strip_accents(lower(x)) NOT IN {_listed(packs.STOPWORDS)})[1:5] AS w
+  FROM u WHERE NOT regexp_matches(q, '[\x{{0400}}-\x{{04FF}}]') AND conv_id NOT IN (SELECT conv_id FROM h)),
+other AS (SELECT conv_id, upper(left(p, 1)) || substr(p, 2) AS label, p AS query, turn AS a, 0 AS b FROM (SELECT conv_id, turn, array_to_string(w, ' ') AS p FROM ws WHERE len(w) > 0)),
+n AS (SELECT * FROM (SELECT * FROM known UNION ALL SELECT * FROM other) WHERE NOT (conv_id % 3 = 0 AND lower(label) = 'școli și grădinițe') QUALIFY row_number() OVER (PARTITION BY conv_id, lower(label) ORDER BY a, b) = 1)
+SELECT conv_id, label, query, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY a, b) AS INTEGER) AS rank FROM n QUALIFY rank <= 4"""
+
+
+@query(_TOPICS)
+def q_topics(spark: SparkSession, d: str) -> DataFrame:
+    """What each conversation's user asks about, but for what a third of them follows already."""
+    c, k = table(spark, d, "conversations").where("role = 'user'"), (F.col("conv_id") + F.col("turn")) % 24
+    asked = F.coalesce(*[F.when(k == n, F.lit(text)) for n, text in _ASKED.items()], F.substring("text", 1, 60))
+    had = c.where("conv_id % 3 = 0").select("conv_id", F.lit(" Școli  și GRĂDINIȚE ").alias("label")).distinct()
+    return I.extract_topics(c.select("conv_id", "turn", asked.alias("q")), "conv_id", "q", "turn", existing=had)

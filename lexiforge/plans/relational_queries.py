@@ -195,9 +195,9 @@ def q_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type, CAST(quantile_disc(value, 0.5) AS DOUBLE) AS p50, CAST(quantile_disc(value, 0.95) AS DOUBLE) AS p95 FROM events GROUP BY event_type")
 def q_p50_p95(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
-    p = lambda q: F.expr(f"percentile_disc({q}) within group (order by value)")
-    return e.groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"))
+    from lexiforge.operators.relational import nearest_ranks
+
+    return nearest_ranks(table(spark, d, "events"), ["event_type"], "value", {"p50": 50, "p95": 95})
 
 
 @query("SELECT conv_id, sha256(string_agg(turn || ':' || role || ':' || sha256(text), chr(10) ORDER BY turn)) AS signature FROM conversations GROUP BY conv_id")

@@ -48,10 +48,19 @@ def test_replies(spark):
 
 
 def test_topics_and_models(spark):
-    themes = spark.createDataFrame([("transport", "autobuz|troleibuz", 1), ("educație", "scoal|gradinit", 2)], "label string, pattern string, position int")
-    q = spark.createDataFrame([("p1", "Când vine autobuzul la Botanica?", 1), ("p2", "parcuri verzi curate", 1), ("p3", "вопрос", 1)], "p string, t string, position int")
-    out = {r["p"]: (r["label"], r["query"]) for r in I.extract_topics(q, "p", "t", themes, ("botanica", "centru")).collect()}
-    assert out["p1"] == ("transport", "transport botanica") and out["p2"] == ("Parcuri verzi curate", "parcuri verzi curate") and "p3" not in out
+    q = [("p1", 1, "Când vine autobuzul la Botanica?"), ("p1", 2, "Și troleibuzul? Ce lucrări de drum sunt?"), ("p2", 1, "parcuri verzi curate"), ("p2", 2, "de la 3 la 5"), ("p2", 3, "Linii noi; linii vechi, alte linii, foarte bune"), ("p2", 4, "PARCURI verzi curate"), ("p3", 1, "вопрос"), ("p4", 1, "где школа в секторе Чеканы или Ботаника?"), ("p5", 1, "apa la Ciocana")]
+    q = spark.createDataFrame(q, "p string, n int, t string")
+    rows = lambda df: sorted((r["p"], r["rank"], r["label"], r["query"]) for r in df.collect())
+    transport, roads = (f"transport public rute troleibuz autobuz orar circulație sectorul Botanica", "reparație străzi drumuri trafic rutier suspendare circulație sectorul Botanica")
+    known = [("p1", 1, "Transport public – sectorul Botanica", transport), ("p1", 2, "Lucrări la drumuri și trafic – sectorul Botanica", roads)]
+    words = [("p2", 1, "Parcuri verzi curate", "parcuri verzi curate"), ("p2", 2, "Linii linii vechi alte linii", "Linii linii vechi alte linii")]
+    school = [("p4", 1, "Școli și grădinițe", "școli grădinițe educație înscriere elevi instituții de învățământ")]
+    water = [("p5", 1, "Apă și canalizare – sectorul Ciocana", "apă potabilă canalizare deconectare apă Apă-Canal sectorul Ciocana")]
+    assert rows(I.extract_topics(q, "p", "t", "n")) == known + words + school + water
+    had = spark.createDataFrame([("p1", " transport  PUBLIC – sectorul botanica"), ("p5", "apă și canalizare – sectorul ciocana")], "p string, label string")
+    assert rows(I.extract_topics(q.where("p in ('p1', 'p5')"), "p", "t", "n", existing=had)) == [("p1", 1, *known[1][2:])]
+    model = spark.createDataFrame([("p1", '{"topics": [{"label": "Orar", "query": ""}, {"label": " ", "query": "x"}, {"label": "orar", "query": "y"}]}'), ("p2", '{"topics": []}'), ("p4", "no json"), ("p5", '{"other": 1}')], "p string, output string")
+    assert rows(I.topics_of(q, "p", "t", "n", model)) == [("p1", 1, "Orar", "Orar"), *school, *water] and rows(I.topics_of(q, "p", "t", "n")) == rows(I.extract_topics(q, "p", "t", "n"))
     e = I.embed(spark.createDataFrame([(1, "ab"), (2, "c")], "k int, t string"), "k", "t", lambda ts: [[float(len(t)), 1.0] for t in ts])
     assert {r["k"]: r["embedding"] for r in e.collect()} == {1: [2.0, 1.0], 2: [1.0, 1.0]}
     c = spark.createDataFrame([("a", 0.1), ("b", 0.2)], "id string, score double")

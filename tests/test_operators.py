@@ -642,23 +642,6 @@ def test_embed_missing(spark):
 # ---------------------------------------------------------------- evaluation and history
 
 
-def test_evaluation(spark):
-    expect = "struct<status:array<string>,reasons:array<string>,max_citations:int,acceptable_document_ids:array<string>,acceptable_title_patterns:array<string>,acceptable_url_patterns:array<string>,required_document_ids:array<string>,forbidden_document_ids:array<string>,duplicate_groups:array<array<string>>,answer_pattern:string,value_pattern:string>"
-    e = lambda **k: tuple(k.get(n) for n in ("status", "reasons", "max_citations", "ids", "titles", "urls", "required", "forbidden", "groups", "answer", "value"))
-    cases = spark.createDataFrame([("1", "a", e(status=["SUPPORTED"], ids=["d1"])), ("2", "a", e(status=["NOT_FOUND"], reasons=["OUT_OF_SCOPE"])), ("3", "b", e(ids=["d1"], groups=[["d1", "d2"]]))], f"id string, kind string, expect {expect}")
-    cite = "array<struct<id:string,document_id:string,title:string,url:string>>"
-    replies = spark.createDataFrame([("1", "SUPPORTED", "Aceasta este o propoziție citată [S1].", None, [("S1", "d1", "t", "u")], None, 1000.0, None), ("2", "NOT_FOUND", "", "OUT_OF_SCOPE", [], None, 3000.0, None), ("3", "SUPPORTED", "Aceasta este o propoziție [S1][S2].", None, [("S1", "d1", "t", "u"), ("S2", "d2", "t", "u")], None, 5000.0, None)], f"id string, status string, answer string, reason string, citations {cite}, clarification_choices array<string>, latency_ms double, error string")
-    s = V.score_cases(cases, replies)
-    got = {r["id"]: r for r in s.collect()}
-    assert {i: r["passed"] for i, r in got.items()} == {"1": True, "2": True, "3": False}
-    assert [got["1"][c] for c in ("n_answer_bearing", "n_uncited_answer", "n_sentences", "n_dangling_marks", "n_choices", "n_relevance_scored")] == [1, 0, 1, 0, 0, 1] and got["2"]["n_reason_reported"] == 1
-    total, kinds = V.suite_metrics(s)
-    t = total.first()
-    assert (t["cases"], t["passed"], t["unrelated"], t["unrelated_rate"], t["p50"], t["p95"]) == (3, 2, 1, 0.3333, 3000.0, 5000.0) and kinds.count() == 2
-    with pytest.raises(ValueError):
-        V.approved_only(spark.createDataFrame([("DRAFT",)], "status string"))
-
-
 def test_history_window_and_page(spark):
     turns = spark.createDataFrame([("c", i, r) for i, r in enumerate(["user", "assistant"] * 3)], "c string, n int, role string")
     assert [r["n"] for r in R.history_window(turns, "c", "n", "role", 3).orderBy("n").collect()] == [4, 5]
