@@ -37,13 +37,40 @@ def q_line_counts(spark: SparkSession, d: str) -> DataFrame:
     return b.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("k").alias("numbers"))
 
 
-@query(f"SELECT CASE WHEN doc_id % 10 = 0 THEN 'CITATION_MISMATCH' WHEN doc_id % 10 = 1 THEN 'CITATION_UNAVAILABLE' ELSE 'OK' END AS outcome, CAST(count(*) AS BIGINT) AS n FROM ({_LINES}) WHERE t <> '' GROUP BY outcome")
+@query(
+    """WITH d AS (SELECT doc_id, doc_id % 24 AS v, source, text, string_split(text, chr(10)) AS raw FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\\r\\x0B\\f\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]')),
+    l AS (SELECT *, CASE WHEN raw[-1] = '' THEN raw[:-2] ELSE raw END AS lines FROM d),
+    c AS (SELECT *, len(lines) AS n, regexp_replace(raw[1], '\\s+$', '') AS first, regexp_replace(array_to_string(lines[1:2], chr(10)), '^\\s+|\\s+$', '', 'g') AS two FROM l),
+    o AS (SELECT doc_id, CASE v
+      WHEN 0 THEN CASE WHEN n = 0 THEN 'CITATION_SOURCE_UNAVAILABLE' WHEN n < 2 THEN 'SOURCE_LINE_RANGE_OUT_OF_BOUNDS' WHEN two = '' THEN 'CITATION_TEXT_MISSING' END
+      WHEN 1 THEN CASE WHEN n = 0 THEN 'CITATION_SOURCE_UNAVAILABLE' WHEN n < 2 THEN 'SOURCE_LINE_RANGE_OUT_OF_BOUNDS' ELSE 'CITATION_TEXT_SOURCE_MISMATCH' END
+      WHEN 2 THEN CASE WHEN n = 0 THEN 'CITATION_SOURCE_UNAVAILABLE' ELSE 'SOURCE_LINE_RANGE_INVALID' END WHEN 3 THEN CASE WHEN n = 0 THEN 'CITATION_SOURCE_UNAVAILABLE' ELSE 'SOURCE_LINE_RANGE_OUT_OF_BOUNDS' END
+      WHEN 4 THEN '' WHEN 5 THEN CASE WHEN n = 0 THEN 'CITATION_SOURCE_UNAVAILABLE' ELSE 'CITATION_LOCATOR_INVALID' END WHEN 6 THEN 'CITATION_SOURCE_UNAVAILABLE' WHEN 7 THEN '' WHEN 8 THEN ''
+      WHEN 9 THEN 'CITATION_TEXT_SOURCE_MISMATCH' WHEN 10 THEN 'API_METADATA_LOCATOR_INVALID' WHEN 11 THEN CASE WHEN n < 2 THEN 'SCRAPER_TEXT_RANGE_OUT_OF_BOUNDS' WHEN two = '' THEN 'CITATION_TEXT_MISSING' END
+      WHEN 12 THEN 'SCRAPER_TEXT_LOCATOR_INVALID' WHEN 13 THEN 'SCRAPER_TEXT_RANGE_OUT_OF_BOUNDS' WHEN 14 THEN CASE WHEN n < 2 THEN 'SCRAPER_TEXT_RANGE_OUT_OF_BOUNDS' ELSE 'CITATION_TEXT_SOURCE_MISMATCH' END
+      WHEN 15 THEN CASE WHEN first = '' THEN 'API_BLOCK_RANGE_OUT_OF_BOUNDS,CITATION_TEXT_MISSING' END WHEN 16 THEN CASE WHEN first = '' THEN 'API_BLOCK_RANGE_OUT_OF_BOUNDS' ELSE 'CITATION_TEXT_SOURCE_MISMATCH' END
+      WHEN 17 THEN 'API_PAGE_LOCATOR_INVALID' WHEN 18 THEN 'API_PAGE_TEXT_UNAVAILABLE' WHEN 19 THEN 'API_BLOCK_RANGE_OUT_OF_BOUNDS' WHEN 20 THEN 'CITATION_LOCATOR_INVALID' WHEN 21 THEN 'CITATION_TEXT_MISSING' WHEN 22 THEN 'API_PAGE_LOCATOR_INVALID' ELSE 'CITATION_LOCATOR_INVALID,CITATION_TEXT_MISSING' END AS issues FROM c)
+    SELECT doc_id, coalesce(issues, '') AS issues FROM o"""
+)
 def q_citation_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    b = _line_blocks(spark, d)
-    passages = b.select("doc_id", "start_line", F.when(F.col("doc_id") % 10 == 0, F.concat("block", F.lit("!"))).otherwise(F.col("block")).alias("citation_text"))
-    sources = b.where("doc_id % 10 <> 1").select("doc_id", "start_line", F.col("block").alias("source_text"))
-    found = Q.validate_citations(passages, sources, ["doc_id", "start_line"])
-    return found.groupBy(F.coalesce("citation_issue", F.lit("OK")).alias("outcome")).agg(F.count("*").alias("n"))
+    """A passage of each document, cited in one of 24 ways, right ones and wrong ones of every kind."""
+    docs = table(spark, d, "documents").where(F.col("text").isNotNull() & ~F.col("text").rlike(r"[\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"))
+    v, none = F.col("doc_id") % 24, F.lit(None)
+    lines = F.split("text", "\n", -1)
+    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
+    two, first = F.regexp_replace(F.array_join(F.slice(lines, 1, 2), "\n"), r"^\s+|\s+$", ""), F.regexp_replace(F.substring_index("text", "\n", 1), r"\s+$", "")
+    kind = F.when(v < 6, "lines").when(v > 7, "api")
+    sources = docs.select(F.col("doc_id").alias("document_id"), kind.alias("source_kind"), F.when(v != 12, F.col("text")).alias("text"), F.col("source").alias("title"), F.when(v != 22, F.array(F.struct(F.substring_index("text", "\n", 1).alias("text")), F.struct(none.cast("string").alias("text")))).alias("pages"))
+    place = lambda kind, start=None, end=None, page=None, block=None, field=None: F.struct(F.lit(kind).alias("kind"), F.lit(start).cast("int").alias("start_line"), F.lit(end).cast("int").alias("end_line"), F.lit(page).cast("int").alias("page_index"), F.lit(block).cast("int").alias("block_index"), F.lit(field).cast("string").alias("field"))
+    far = 1_000_000
+    places = [
+        place("source_lines", 1, 2), place("source_lines", 1, 2), place("source_lines", 2, 1), place("source_lines", 1, far), place("pdf_page"), place("api_page", page=0, block=1), place("source_lines", 1, 2), place("html_extraction"), place("api_metadata", field="title"),
+        place("api_metadata", field="title"), place("api_metadata", field="lang"), place("scraper_text", 1, 2), place("scraper_text", 1, 2), place("scraper_text", 1, far), place("scraper_text", 1, 2), place("api_page", page=0, block=1), place("scraper_page", page=0, block=1),
+        place("api_page", page=2, block=1), place("api_page", page=1, block=1), place("api_page", page=0, block=far), place("pdf_page"), place("api_metadata", field="title"), place("api_page", page=0, block=1), place("source_lines", 1, 1),
+    ]
+    cited = F.when(v.isin(0, 11), two).when(v == 15, first).when(v.isin(8, 21), F.when(v == 8, F.col("source")).otherwise(F.lit(" "))).when(v == 23, F.lit("")).otherwise(F.concat(two, F.lit("!")))
+    passages = docs.select("doc_id", F.col("doc_id").alias("document_id"), cited.alias("citation_text"), F.when(v == 21, F.col("source")).alias("quote"), F.element_at(F.array(*places), (v + 1).cast("int")).alias("locator"))
+    return Q.validate_citations(passages, sources).select("doc_id", F.array_join("citation_issues", ",").alias("issues"))
 
 
 @query(

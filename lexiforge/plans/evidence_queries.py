@@ -425,16 +425,18 @@ def q_pipeline_outcome(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 3 = 0 THEN 'SNAPSHOT_MISSING' END, CASE WHEN doc_id % 4 = 0 THEN 'INVALID_URL' END, CASE WHEN doc_id % 2 = 0 THEN 'RAW_WEBPAGE_SNAPSHOT_MISSING' END, CASE WHEN doc_id % 5 = 0 THEN 'ARTICLE_DATE_MISSING' END], lambda x: x IS NOT NULL), ',') AS issues FROM documents"""
+    """SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 3 = 0 THEN 'SOURCE_SNAPSHOT_MISSING' WHEN doc_id % 7 = 0 OR text IS NULL THEN 'SOURCE_HASH_MISMATCH' END, CASE WHEN doc_id % 4 = 0 THEN 'SOURCE_URL_MISSING_OR_INVALID' END, CASE WHEN doc_id % 2 = 0 THEN 'RAW_WEBPAGE_SNAPSHOT_MISSING' END], lambda x: x IS NOT NULL), ',') AS issues,
+    array_to_string(list_filter([CASE WHEN doc_id % 11 = 0 THEN 'OCR_REQUIRED' END, CASE WHEN doc_id % 5 = 0 AND doc_id % 2 = 1 THEN 'PUBLICATION_DATE_MISSING_OR_INVALID' END], lambda x: x IS NOT NULL), ',') AS data FROM documents"""
 )
 def q_source_issues(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").withColumn("source_sha256", F.sha2("text", 256).eqNullSafe(F.lit("")).cast("string")).select("doc_id", F.concat(F.lit("s"), F.col("doc_id")).alias("source_sha256"))
     k = F.col("doc_id")
-    docs = docs.select(
-        "doc_id", "source_sha256", F.when(k % 4 == 0, "nowhere").otherwise("https://a.md/x").alias("url"), F.when(k % 2 == 0, "derived_web_text").otherwise("webpage").alias("source_type"),
-        F.lit("article").alias("document_type"), F.when(k % 5 == 0, "undated").otherwise("2026-01-02").alias("published_date"), F.lit(None).cast("string").alias("raw_page_sha256"),
+    raw, path = table(spark, d, "documents"), F.concat(F.lit("snapshots/"), k)
+    docs = raw.select(
+        "doc_id", path.alias("snapshot_path"), F.sha2("text", 256).alias("source_sha256"), F.when(k % 8 == 0, None).when(k % 4 == 0, "nowhere").otherwise("https://a.md/x").alias("url"), F.when(k % 2 == 0, "derived_web_text").otherwise("webpage").alias("source_type"),
+        F.when(k % 2 == 1, "webpage_article").otherwise("article").alias("document_type"), F.when(k % 5 == 0, "2026-02-30").otherwise("2026-01-02").alias("published_date"), (k % 11 == 0).alias("requires_ocr"),
     )
-    return Q.validate_source(docs, docs.where("doc_id % 3 <> 0").select(F.col("source_sha256").alias("sha256"))).select("doc_id", F.array_join("source_issues", ",").alias("issues"))
+    held = raw.where(k % 3 != 0).select(path.alias("path"), F.sha2(F.when(k % 7 != 0, F.col("text")).otherwise(F.lit("changed")), 256).alias("sha256"))
+    return Q.validate_source(docs, held).select("doc_id", F.array_join("source_issues", ",").alias("issues"), F.array_join("data_issues", ",").alias("data"))
 
 
 @query("SELECT substr(sha256(text), 1, 12) AS digits, min(source) AS source, CAST(count(DISTINCT source) AS BIGINT) AS manifests FROM documents WHERE text IS NOT NULL GROUP BY sha256(text)")

@@ -306,13 +306,28 @@ def test_quality_and_validation(spark):
     q = lambda t: one(spark, P.passage_quality(F.col("t"), F.lit(True)), t=t)
     assert q("")["issues"] == ["EMPTY_PASSAGE"] and q("unu doi")["issues"] == ["FRAGMENT"] and q("a � text cu semn")["issues"] == ["ENCODING_NOISE"]
     assert q(" ".join("abcdefghij"))["issues"] == ["OCR_NOISE"] and q("un text bun de citit")["status"] == "READY"
-    docs = spark.createDataFrame([("a", "s1", "https://a.md", "webpage", "article", "2026-01-01", None), ("b", "s9", "x", "derived_web_text", "article", None, None)], "id string, source_sha256 string, url string, source_type string, document_type string, published_date string, raw_page_sha256 string")
-    out = {r["id"]: r["source_issues"] for r in Q.validate_source(docs, spark.createDataFrame([("s1",)], "sha256 string")).collect()}
-    assert out == {"a": [], "b": ["SNAPSHOT_MISSING", "INVALID_URL", "RAW_WEBPAGE_SNAPSHOT_MISSING", "ARTICLE_DATE_MISSING"]}
+    docs = spark.createDataFrame([("a", "f1", "s1", "https://a.md", "webpage", "webpage_article", "2026-01-01", False), ("b", "f9", "s9", None, "derived_web_text", "webpage_article", "2026-1-1", True), ("c", "f1", "s2", "x", "webpage", "article", None, None)], "id string, snapshot_path string, source_sha256 string, url string, source_type string, document_type string, published_date string, requires_ocr boolean")
+    out = {r["id"]: (r["source_issues"], r["data_issues"]) for r in Q.validate_source(docs, spark.createDataFrame([("f1", "s1"), ("f1", "s1")], "path string, sha256 string")).collect()}
+    assert out == {"a": ([], []), "b": (["SOURCE_SNAPSHOT_MISSING", "SOURCE_URL_MISSING_OR_INVALID", "RAW_WEBPAGE_SNAPSHOT_MISSING"], ["OCR_REQUIRED", "PUBLICATION_DATE_MISSING_OR_INVALID"]), "c": (["SOURCE_HASH_MISMATCH", "SOURCE_URL_MISSING_OR_INVALID"], [])}
     st = spark.createDataFrame([("a", 1, "READY", []), ("a", 2, "WARNING", ["w"]), ("b", 1, "READY", []), ("b", 3, "ERROR", ["e"])], "id string, stage int, status string, issues array<string>")
     assert {r["id"]: (r["status"], r["failed_stage"], r["issues"]) for r in Q.pipeline_outcome(st, "id").collect()} == {"a": ("WARNING", None, ["w"]), "b": ("ERROR", 3, ["e"])}
 
 
+def test_citations_are_cut_anew(spark):
+    place = "struct<kind:string,start_line:int,end_line:int,page_index:int,block_index:int,field:string>"
+    docs = spark.createDataFrame([("t", "lines", "one\r\n two \u2028three\n", None, None), ("e", "lines", "", None, None), ("a", "api", None, "Title", [("first\nline\n\n second  ",), (None,)])], "document_id string, source_kind string, text string, title string, pages array<struct<text:string>>")
+    cases = [
+        ("t", "one\n two", ("source_lines", 1, 2, None, None, None), []), ("t", "two \nthree", ("source_lines", 2, 3, None, None, None), []), ("t", "three", ("source_lines", 3, 4, None, None, None), ["SOURCE_LINE_RANGE_OUT_OF_BOUNDS"]),
+        ("t", "one", ("source_lines", 0, 1, None, None, None), ["SOURCE_LINE_RANGE_INVALID"]), ("t", "x", None, ["CITATION_LOCATOR_INVALID"]), ("e", "x", ("source_lines", 1, 1, None, None, None), ["CITATION_SOURCE_UNAVAILABLE"]), ("e", "x", ("pdf_page", None, None, None, None, None), []),
+        ("a", "first\nline", ("api_page", None, None, 0, 1, None), []), ("a", " second", ("api_page", None, None, 0, 2, None), []), ("a", "second", ("api_page", None, None, 0, 2, None), ["CITATION_TEXT_SOURCE_MISMATCH"]), ("a", "x", ("scraper_text", 1, 1, None, None, None), ["SCRAPER_TEXT_LOCATOR_INVALID"]),
+        ("a", "Title", ("api_metadata", None, None, None, None, "title"), []), ("a", None, ("api_page", None, None, 1, 1, None), ["API_PAGE_TEXT_UNAVAILABLE", "CITATION_TEXT_MISSING"]), ("nowhere", "x", ("source_lines", 1, 1, None, None, None), ["CITATION_SOURCE_UNAVAILABLE"]),
+    ]
+    rows = spark.createDataFrame([(i, d, t, None, p) for i, (d, t, p, _) in enumerate(cases)], f"n int, document_id string, citation_text string, quote string, locator {place}")
+    out = Q.validate_citations(rows, docs)
+    assert out.columns == [*rows.columns, "citation_issues"] and {r["n"]: r["citation_issues"] for r in out.collect()} == {i: c[3] for i, c in enumerate(cases)}
+    assert Q.validate_citations(rows.limit(0), docs).count() == 0
+
+
 def test_evidence_rows(spark):
     docs = spark.createDataFrame([("d", "v1", "Titlu distinct", "2026-03-01", "Botanica")], "document_id string, version_id string, title string, published_date string, district string")
     long_ = " ".join(f"Propoziția numărul {i} are destule cuvinte." for i in range(60))
