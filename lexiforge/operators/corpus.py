@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udtf, udtf
 
 from lexiforge.functions import text as T
 
@@ -117,12 +119,6 @@ def passage_quality(text: Column, validated: Column, least_words: int = 4, kind:
     return F.struct(issues.alias("issues"), F.when(validated & (F.size(issues) == 0), "READY").otherwise("QUARANTINED").alias("status"))
 
 
-def _tokens(s: str) -> int:
-    import re
-
-    return max(1, int(1.25 * len(re.findall(r"\w+|[^\w\s]", s)) + 0.5))
-
-
 def exact_parts(text: str, budget: int, overlap: int = 1) -> list[tuple[str, int, int]]:
     """A text cut into parts of whole sentences under a token budget, the last `overlap` sentences of a part opening the next;
     a sentence over the budget is cut at white space. Every part equals text[start:end]. It ends with the last sentence.
@@ -268,27 +264,87 @@ def source_previews(evidence: DataFrame) -> DataFrame:
     )
 
 
+def _token_marks(s: str) -> int:
+    """Words and punctuation marks of a text; those of texts joined by blank lines add up."""
+    import re
+
+    return sum(1 for _ in re.finditer(r"\w+|[^\w\s]", s))
+
+
+def packing_function(kind: str, budget: int, *, emit: int = 1024):
+    """A table function for passages of one document at a time, in order: rows (document, chunk, passages, text), neighbours of one
+    heading merged under a token budget, events alone. kind is the type of the document's key.
+
+    Its input (key, passage_ord, type, heading, citation_text) is partitioned by the key and ordered by passage_ord. Passages
+    come in batches of Arrow's and chunks leave `emit` at a time; only the chunk that is open is held, so a document may
+    have any number of passages. In SQL, once registered: pack(TABLE(passages) PARTITION BY document ORDER BY passage_ord).
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType
+
+    key_type = to_arrow_type(StructType.fromDDL(f"k {kind}").fields[0].dataType)
+
+    def batch(rows: list[tuple]) -> pa.Table:
+        kinds = (key_type, pa.int32(), pa.list_(pa.int32()), pa.string())
+        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["document", "chunk", "passages", "text"])
+
+    @arrow_udtf(returnType=f"document {kind}, chunk int, passages array<int>, text string")
+    class PackPassages:
+        def __init__(self):
+            self.done, self.chunk, self.open = [], 0, None
+
+        def _close(self) -> None:
+            if self.open is not None:
+                key, places, texts, _, _ = self.open
+                self.done.append((key, self.chunk, places, "\n\n".join(texts)))
+                self.chunk, self.open = self.chunk + 1, None
+
+        def eval(self, passages: pa.Table):
+            for key, place, type_, heading, text in zip(*(c.to_pylist() for c in passages.itercolumns()), strict=True):
+                own, n = type_ == "municipal_event", _token_marks(text or "")
+                if self.open is not None and not own and self.open[3] == (heading, False) and max(1, int(1.25 * (self.open[4] + n) + 0.5)) <= budget:
+                    self.open[1].append(place)
+                    self.open[2].append(text or "")
+                    self.open[4] += n
+                else:
+                    self._close()
+                    self.open = [key, [place], [text or ""], (heading, own), n]
+                if len(self.done) >= emit:
+                    yield batch(self.done)
+                    self.done = []
+
+        def terminate(self):
+            self._close()
+            if self.done:
+                yield batch(self.done)
+
+    return PackPassages
+
+
 def pack_passages(df: DataFrame, key: str, budget: int) -> DataFrame:
     """Neighbouring passages of one heading merged under a token budget; events stay alone. Rows (key, chunk, passages, text).
 
-    Whether a passage fits depends on those before it, so a document's passages are walked through in one call; documents
-    are dealt out by key.
+    Whether a passage fits depends on those before it, so a document's passages are walked through in order, by a table function
+    that holds one chunk (packing_function); documents are dealt out by key. A null text is an empty one.
     """
-    schema = f"{key} {df.schema[key].dataType.simpleString()}, chunk int, passages array<int>, text string"
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("passage_ord")
-        chunks: list[tuple[list[int], list[str], object]] = []
-        for r in f.itertuples():
-            own = r.type == "municipal_event"
-            if chunks and not own and chunks[-1][2] == (r.heading, False) and _tokens("\n\n".join([*chunks[-1][1], r.citation_text])) <= budget:
-                chunks[-1][0].append(int(r.passage_ord))
-                chunks[-1][1].append(r.citation_text)
-            else:
-                chunks.append(([int(r.passage_ord)], [r.citation_text], (r.heading, own)))
-        return pd.DataFrame({key: f[key].iloc[0], "chunk": range(len(chunks)), "passages": [c[0] for c in chunks], "text": ["\n\n".join(c[1]) for c in chunks]})
-
-    return df.select(key, "passage_ord", "type", "heading", "citation_text").groupBy(key).applyInPandas(run, schema)
+    rows = df.select(key, F.col("passage_ord").cast("int").alias("passage_ord"), "type", "heading", "citation_text")
+    packed = packing_function(df.schema[key].dataType.simpleString(), budget)(rows.asTable().partitionBy(key).orderBy("passage_ord"))
+    return packed.withColumnRenamed("document", key)
+
+
+@udtf(returnType="part int, quote string, char_start int, char_end int")
+class SplitExact:
+    """exact_parts as a table function: in SQL, once registered, FROM texts, LATERAL split_exact(text, budget, overlap)."""
+
+    def eval(self, text: str, budget: int, overlap: int = 1):
+        for n, part in enumerate(exact_parts(text or "", budget, overlap)):
+            yield n, *part
+
+
+def register_table_functions(spark: SparkSession, kind: str = "string", budget: int = 420) -> None:
+    """split_exact(text, budget, overlap) and pack_passages(TABLE(...) PARTITION BY ... ORDER BY ...) for this session's SQL."""
+    spark.udtf.register("split_exact", SplitExact)
+    spark.udtf.register("pack_passages", packing_function(kind, budget))
 
 
 def chunk_status(data_ok: Column, citations_ok: Column) -> Column:

@@ -302,6 +302,19 @@ def test_pack_passages(spark):
     assert [list(r["passages"]) for r in out] == [[0, 1, 2], [3], [4], [5], [6, 7, 8]]
 
 
+def test_table_functions_stream_a_document(spark, monkeypatch):
+    many = spark.range(30_000).select(F.lit("d").alias("document"), F.col("id").alias("passage_ord"), F.lit("paragraph").alias("type"), F.lit(None).cast("string").alias("heading"), F.when(F.col("id") % 3 > 0, F.lit("one two")).alias("citation_text"))
+    out = P.pack_passages(many.repartition(4), "document", 10).orderBy("chunk").collect()
+    assert [x for r in out for x in r["passages"]] == list(range(30_000)) and all(r["text"].count("one") <= 4 for r in out) and len(out) == 5000
+    P.register_table_functions(spark, "string", 10)
+    many.createOrReplaceTempView("passages")
+    same = spark.sql("SELECT * FROM pack_passages(TABLE(SELECT document, CAST(passage_ord AS INT), type, heading, citation_text FROM passages) PARTITION BY document ORDER BY passage_ord)").orderBy("chunk").collect()
+    assert [r["text"] for r in same] == [r["text"] for r in out]
+    parts = spark.sql("SELECT t.n, s.* FROM VALUES (1, 'Unu doi. Trei patru.'), (2, NULL) AS t(n, x), LATERAL split_exact(x, 3, 0) s").collect()
+    assert [(r["n"], r["part"], r["quote"]) for r in parts] == [(1, k, p[0]) for k, p in enumerate(P.exact_parts("Unu doi. Trei patru.", 3, 0))] and len(parts) > 1
+    assert P.pack_passages(many.limit(0), "document", 10).count() == 0
+
+
 def test_quality_and_validation(spark):
     q = lambda t: one(spark, P.passage_quality(F.col("t"), F.lit(True)), t=t)
     assert q("")["issues"] == ["EMPTY_PASSAGE"] and q("unu doi")["issues"] == ["FRAGMENT"] and q("a � text cu semn")["issues"] == ["ENCODING_NOISE"]
