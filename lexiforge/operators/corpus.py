@@ -87,6 +87,26 @@ def structure(blocks: DataFrame, key: str, order: str = "ord", type_: str = "typ
     return rows.withColumn("passage_ord", F.row_number().over(w) - 1)
 
 
+#: The source whose titles are cited by their field, the language where none is told, and keys of a preface.
+TITLE_SOURCE, LANGUAGE = "municipal_corpus_api", "ro"
+PREFACE = {"title": "Title", "publisher": "Publisher", "published_date": "Publication date", "language": "Language", "url": "Source URL"}
+
+
+def structured_documents(documents: DataFrame) -> DataFrame:
+    """documents with what their preface says put before what their manifest says, and what follows from it.
+
+    documents: document_id, title, publisher, published_date, language, url, source_type, document_type, metadata (the preface's
+    map, parse_preface). A key of the preface counts if it is not blank. More columns: image_url (of the preface),
+    statistics_as_of (the date of publication), and title_citation (passage_id, quote, locator) for documents of the API, whose
+    title is cited by its field; its passages' chunks open with it (merge_chunk).
+    """
+    said = {c: T.first_non_blank(F.try_element_at("metadata", F.lit(k)), F.col(c)) for c, k in PREFACE.items()}
+    rows = documents.withColumns(said | {"language": F.coalesce(said["language"], F.lit(LANGUAGE)), "document_type": T.doc_type("document_type", "source_type"), "image_url": T.first_non_blank(F.try_element_at("metadata", F.lit("Main image URL")))})
+    locator = F.struct(F.lit("api_metadata").alias("kind"), F.lit("title").alias("field"))
+    cited = F.struct(T.stable_id("passage", "document_id", F.lit("api_metadata"), F.lit("title"), "title").alias("passage_id"), F.col("title").alias("quote"), locator.alias("locator"))
+    return rows.withColumns({"statistics_as_of": F.col("published_date"), "title_citation": F.when((F.col("source_type") == TITLE_SOURCE) & F.col("title").isNotNull(), cited)})
+
+
 def document_hash(df: DataFrame, key: str, order: str, text: str) -> DataFrame:
     """SHA-256 of a document's texts in order, a blank line between them."""
     texts = F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text])

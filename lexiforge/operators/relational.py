@@ -179,6 +179,68 @@ def close_ties(df: DataFrame, by: str, subject: str, score: str, *, least: float
     return top_per(near, [by], [F.desc(score), F.asc(subject)], most).withColumn("_n", F.count("*").over(w)).where("_n >= 2").drop("_n")
 
 
+def clarification_choices(items: DataFrame, by: str, *, least: float, ratio: float, most: int = 3) -> DataFrame:
+    """Rows (by, rank, document_id, label) of what a question may have meant: none, or the best item of each of 2 to `most` subjects.
+
+    items: by, subject, document_id, label, score, multiple_projects. An item without a subject is one of its document; the
+    first by document of equal items stands for a subject. A question about several projects is never asked back. A label
+    that an earlier choice has gets the end of its document's id.
+    """
+    rows = items.where(~F.coalesce("multiple_projects", F.lit(False))).withColumn("_s", F.coalesce(F.nullif("subject", F.lit("")), F.col("document_id").cast("string")))
+    best = top_per(rows, [by, "_s"], [F.desc("score"), F.asc("document_id")], 1, "_n").drop("_n")
+    tied = close_ties(best, by, "_s", "score", least=least, ratio=ratio, most=most).select(by, "_s", "rank")
+    w = W.partitionBy(by, "label").orderBy("rank")
+    again = F.concat(F.substring("label", 1, 100), F.lit(" ("), F.right(F.col("document_id").cast("string"), F.lit(6)), F.lit(")"))
+    return best.join(tied, [by, "_s"]).withColumn("_k", F.row_number().over(w)).select(by, "rank", "document_id", F.when(F.col("_k") > 1, again).otherwise(F.col("label")).alias("label"))
+
+
+def keep_chosen(evidence: DataFrame, by: str, chosen: DataFrame) -> DataFrame:
+    """Evidence (by, subject, label, ...) of the subjects that carry the label chosen in a follow-up (by, chosen); all of a
+    question's where it chose nothing, or a label that no evidence has."""
+    named = evidence.join(chosen.where("chosen is not null").dropDuplicates([by]), by).where(F.col("label") == F.col("chosen")).select(by, F.col("subject").alias("_s")).distinct()
+    inside = evidence.alias("e").join(named.alias("n"), (F.col(f"e.{by}") == F.col(f"n.{by}")) & F.col("e.subject").eqNullSafe(F.col("n._s")), "left_semi")
+    return inside.unionByName(evidence.join(named.select(by).distinct(), by, "left_anti").select(*evidence.columns))
+
+
+def previous(turns: DataFrame, by: str, order: str, *columns: str) -> DataFrame:
+    """turns with prev_<column> of the turn before, null for the first: what a reply may refer to."""
+    w = W.partitionBy(by).orderBy(order)
+    return turns.withColumns({f"prev_{c}": F.lag(c).over(w) for c in columns})
+
+
+def needs_refresh(asked: DataFrame, refreshed: DataFrame, by: str, at: str) -> DataFrame:
+    """Keys whose newest question is later than their last refresh, or that have questions and never had one."""
+    newest, last = asked.groupBy(by).agg(F.max(at).alias("_asked")), refreshed.groupBy(by).agg(F.max(at).alias("_done"))
+    return newest.join(last, by, "left").where("_asked is not null and (_done is null or _asked > _done)").select(by)
+
+
+def auto_names(prompts: DataFrame, by: str, order: str, prompt: str, *, most: int = 50) -> DataFrame:
+    """Rows (by, prompt, name): the first prompt of each chat, and the name it gives one that has none yet: squeezed and cut."""
+    first = prompts.groupBy(by).agg(F.min_by(prompt, order).alias("prompt"))
+    squeezed = F.regexp_replace(F.trim("prompt"), r"\s+", " ")
+    return first.select(by, "prompt", F.when(F.length(squeezed) <= most, squeezed).otherwise(F.rtrim(F.substring(squeezed, 1, most))).alias("name"))
+
+
+def turn_messages(turns: DataFrame, by: str, order: str) -> DataFrame:
+    """Rows (by, order, part, role, content, sources): a stored turn as the message of its prompt, unless that is empty, and that of
+    its answer with its sources (title, link, outdated).
+
+    turns: by, order, prompt, text, flags, citations (document_id, title, url, outdated; null where no reply was kept),
+    documents (title, link). A reply flagged OUTDATED_SOURCES whose citations say nothing themselves marks them all. A source
+    without a title has its document's id, or Source.
+    """
+    none = "array<struct<title:string,link:string,outdated:boolean>>"
+    every = F.coalesce(F.array_contains("flags", "OUTDATED_SOURCES"), F.lit(False)) & F.forall("citations", lambda c: c["outdated"].isNull())
+    named = lambda *cs: F.coalesce(*[F.nullif(c, F.lit("")) for c in cs], F.lit("Source"))
+    cited = F.transform("citations", lambda c: F.struct(named(c["title"], c["document_id"]).alias("title"), F.coalesce(c["url"], F.lit("")).alias("link"), (F.coalesce(c["outdated"], F.lit(False)) | every).alias("outdated")))
+    stored = F.transform("documents", lambda d: F.struct(named(d["title"]).alias("title"), F.coalesce(d["link"], F.lit("")).alias("link"), F.lit(False).alias("outdated")))
+    sources = F.coalesce(cited, stored, F.array().cast(none)).cast(none)
+    asked = F.struct(F.lit(0).alias("part"), F.lit("user").alias("role"), F.col("prompt").alias("content"), F.array().cast(none).alias("sources"))
+    answered = F.struct(F.lit(1).alias("part"), F.lit("assistant").alias("role"), F.coalesce("text", F.lit("")).alias("content"), sources.alias("sources"))
+    both = F.when(F.coalesce(F.length("prompt") > 0, F.lit(False)), F.array(asked, answered)).otherwise(F.array(answered))
+    return turns.select(by, order, F.explode(both).alias("m")).select(by, order, "m.*")
+
+
 def signature(df: DataFrame, by: str, order: str, *parts: str) -> DataFrame:
     """One SHA-256 of each group's ordered list of parts: equal lists, equal signatures."""
     lists = F.transform(F.array_sort(F.collect_list(F.struct(order, *parts))), lambda x: F.concat_ws(":", *[F.coalesce(x[p].cast("string"), F.lit("")) for p in parts]))

@@ -324,3 +324,21 @@ def q_pack_passages(spark: SparkSession, d: str) -> DataFrame:
     """Lines of all documents packed into chunks of 420 tokens."""
     b = _line_blocks(spark, d).select("doc_id", F.col("ord").alias("passage_ord"), F.lit("paragraph").alias("type"), F.lit("").alias("heading"), F.col("block").alias("citation_text"))
     return P.pack_passages(b, "doc_id", 420).select("doc_id", "chunk", F.size("passages").alias("n_passages"), F.sha2("text", 256).alias("text_hash"))
+
+
+@query(
+    """WITH p AS (SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN ' Own title ' || page_id WHEN page_id % 3 = 1 THEN '  ' END AS own, CASE WHEN page_id % 5 > 0 THEN 'Page ' || page_id END AS given, page_id % 2 = 0 AS api, page_id % 4 = 0 AS ru FROM pages),
+    t AS (SELECT *, CASE WHEN trim(coalesce(own, '')) <> '' THEN trim(own) ELSE given END AS title FROM p)
+    SELECT page_id, title, CASE WHEN ru THEN 'ru' ELSE 'ro' END AS language, '2026-01-02' AS statistics_as_of, CASE WHEN page_id % 6 = 0 THEN 'unknown page' ELSE url END AS url, CASE WHEN api THEN title END AS quote,
+    CASE WHEN api AND title IS NOT NULL THEN 'passage-' || substr(sha256(concat_ws(chr(31), page_id::VARCHAR, 'api_metadata', 'title', title)), 1, 16) END AS passage_id FROM t"""
+)
+def q_document_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as documents with a manifest and, for some, a preface that says other things."""
+    k = F.col("page_id")
+    own = F.when(k % 3 == 0, F.concat(F.lit(" Own title "), k)).when(k % 3 == 1, "  ")
+    pairs = F.array(F.struct(F.lit("Title").alias("k"), own.alias("v")), F.struct(F.lit("Language").alias("k"), F.when(k % 4 == 0, "ru").alias("v")), F.struct(F.lit("Source URL").alias("k"), F.when(k % 6 == 0, "unknown page").alias("v")))
+    docs = table(spark, d, "pages").select(
+        "page_id", k.cast("string").alias("document_id"), F.when(k % 5 > 0, F.concat(F.lit("Page "), k)).alias("title"), F.lit("City").alias("publisher"), F.lit("2026-01-02").alias("published_date"), F.lit(None).cast("string").alias("language"), "url",
+        F.when(k % 2 == 0, "municipal_corpus_api").otherwise("webpage").alias("source_type"), F.lit("unknown").alias("document_type"), F.map_from_entries(F.filter(pairs, lambda x: x["v"].isNotNull())).alias("metadata"),
+    )
+    return P.structured_documents(docs).select("page_id", "title", "language", "statistics_as_of", "url", F.col("title_citation.quote").alias("quote"), F.col("title_citation.passage_id").alias("passage_id"))

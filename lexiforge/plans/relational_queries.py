@@ -297,8 +297,8 @@ def q_insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT user_id FROM events GROUP BY user_id HAVING max(CASE WHEN event_type = 'search' OR event_type = 'click' THEN ts END) > coalesce(max(CASE WHEN event_type = 'purchase' THEN ts END), TIMESTAMP '1970-01-01')")
 def q_needs_refresh(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").groupBy("user_id").agg(F.max(F.when(F.col("event_type").isin("search", "click"), F.col("ts"))).alias("asked"), F.max(F.when(F.col("event_type") == "purchase", F.col("ts"))).alias("done"))
-    return e.where("asked > done or (asked is not null and done is null)").select("user_id")
+    e = table(spark, d, "events")
+    return R.needs_refresh(e.where("event_type in ('search', 'click')"), e.where("event_type = 'purchase'"), "user_id", "ts")
 
 
 @query(
@@ -314,9 +314,16 @@ def q_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, CASE WHEN nxt IS NULL OR nxt > ts + INTERVAL 300 MINUTE THEN 'GENERATION_INTERRUPTED' ELSE 'COMPLETED' END AS outcome FROM (SELECT event_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events)")
 def q_expired(spark: SparkSession, d: str) -> DataFrame:
-    nxt = F.lead("ts").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    rows = table(spark, d, "events").withColumn("nxt", nxt)
-    return rows.select("event_id", F.when(F.col("nxt").isNull() | (F.col("nxt") > F.col("ts") + F.expr("interval 300 minutes")), "GENERATION_INTERRUPTED").otherwise("COMPLETED").alias("outcome"))
+    """Each event as an attempt that the user's next event completes, if it comes in time."""
+    from lexiforge.streaming.stateful import chat_turns
+
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, d, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.lag("event_id").over(w).alias("before"))
+    both = F.array(F.struct(F.lit("complete").alias("kind"), F.col("before").alias("turn"), F.lit("0").alias("id")), F.struct(F.lit("start").alias("kind"), F.col("event_id").alias("turn"), F.lit("1").alias("id")))
+    events = rows.select("user_id", "ts", "event_id", F.explode(both).alias("e")).where("e.turn is not null")
+    events = events.select("user_id", "ts", F.concat(F.lpad(F.col("event_id").cast("string"), 12, "0"), "e.id").alias("id"), "e.kind", "e.turn", F.when(F.col("e.kind") == "start", F.col("e.turn")).alias("request"), F.lit(None).cast("bigint").alias("version"), F.lit("x").alias("text"))
+    done = chat_turns(events, "user_id", expiry_ms=300 * 60_000, now=1 << 62).where("outcome in ('COMPLETED', 'INTERRUPTED')")
+    return done.select(F.col("turn").cast("bigint").alias("event_id"), F.when(F.col("outcome") == "COMPLETED", "COMPLETED").otherwise("GENERATION_INTERRUPTED").alias("outcome"))
 
 
 @query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
@@ -335,23 +342,70 @@ def q_thresholds(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT conv_id, min_by(text, turn) AS prompt, CASE WHEN length(s) <= 50 THEN s ELSE rtrim(substr(s, 1, 50), ' ') END AS name FROM (SELECT *, regexp_replace(trim(first_value(text) OVER (PARTITION BY conv_id ORDER BY turn), ' '), '\\s+', ' ', 'g') AS s FROM conversations WHERE role = 'user') GROUP BY conv_id, s")
 def q_first_prompt(spark: SparkSession, d: str) -> DataFrame:
-    first = table(spark, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("prompt"))
-    s = F.regexp_replace(F.trim("prompt"), r"\s+", " ")
-    return first.select("conv_id", "prompt", F.when(F.length(s) <= 50, s).otherwise(F.rtrim(F.substring(s, 1, 50))).alias("name"))
+    return R.auto_names(table(spark, d, "conversations").where("role = 'user'"), "conv_id", "turn", "text")
 
 
 @query("SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev_role, sha256(coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '')) AS prev_hash FROM conversations")
 def q_prev_turn(spark: SparkSession, d: str) -> DataFrame:
-    w = W.partitionBy("conv_id").orderBy("turn")
-    return table(spark, d, "conversations").select("conv_id", "turn", "role", F.lag("role").over(w).alias("prev_role"), F.sha2(F.coalesce(F.lag("text").over(w), F.lit("")), 256).alias("prev_hash"))
+    rows = R.previous(table(spark, d, "conversations"), "conv_id", "turn", "role", "text")
+    return rows.select("conv_id", "turn", "role", "prev_role", F.sha2(F.coalesce("prev_text", F.lit("")), 256).alias("prev_hash"))
 
 
 @query("SELECT conv_id, turn, part, sha256(CASE WHEN part = 'prompt' THEN text ELSE coalesce(answer, '') END) AS body FROM (SELECT conv_id, turn, role, text, lead(CASE WHEN role = 'assistant' THEN text END) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations), (VALUES ('prompt'), ('answer')) v(part) WHERE role = 'user'")
 def q_turns(spark: SparkSession, d: str) -> DataFrame:
     w = W.partitionBy("conv_id").orderBy("turn")
     rows = table(spark, d, "conversations").withColumn("answer", F.lead(F.when(F.col("role") == "assistant", F.col("text"))).over(w)).where("role = 'user'")
-    both = F.array(F.struct(F.lit("prompt").alias("part"), F.col("text").alias("t")), F.struct(F.lit("answer").alias("part"), F.coalesce("answer", F.lit("")).alias("t")))
-    return rows.select("conv_id", "turn", F.explode(both).alias("m")).select("conv_id", "turn", "m.part", F.sha2("m.t", 256).alias("body"))
+    cites = "array<struct<document_id:string,title:string,url:string,outdated:boolean>>"
+    turns = rows.select("conv_id", "turn", F.col("text").alias("prompt"), F.col("answer").alias("text"), F.lit(None).cast("array<string>").alias("flags"), F.lit(None).cast(cites).alias("citations"), F.lit(None).cast("array<struct<title:string,link:string>>").alias("documents"))
+    return R.turn_messages(turns, "conv_id", "turn").select("conv_id", "turn", F.when(F.col("part") == 0, "prompt").otherwise("answer").alias("part"), F.sha2("content", 256).alias("body"))
+
+
+@query(
+    """WITH c AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 4 > 0 THEN o_orderstatus END AS subject, 'Order ' || o_orderstatus AS label, o_totalprice AS score FROM orders WHERE o_custkey % 7 > 0),
+    b AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, coalesce(subject, o_orderkey::VARCHAR) ORDER BY score DESC, o_orderkey) AS k FROM c),
+    t AS (SELECT *, coalesce(subject, o_orderkey::VARCHAR) AS s, max(score) OVER (PARTITION BY o_custkey) AS top FROM b WHERE k = 1),
+    r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY score DESC, s) AS rank, count(*) OVER (PARTITION BY o_custkey) AS n FROM t WHERE top >= 100000 AND score >= greatest(100000, top * 0.9)),
+    p AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, label ORDER BY rank) AS again FROM r WHERE rank <= 3 AND n >= 2)
+    SELECT o_custkey, CAST(rank AS INTEGER) AS rank, o_orderkey AS document_id, CASE WHEN again > 1 THEN left(label, 100) || ' (' || right(o_orderkey::VARCHAR, 6) || ')' ELSE label END AS label FROM p"""
+)
+def q_choices(spark: SparkSession, d: str) -> DataFrame:
+    """What each customer may have meant: orders of about the same price, some without a subject; one in seven asks for all."""
+    o = table(spark, d, "orders")
+    items = o.select("o_custkey", F.col("o_orderkey").alias("document_id"), F.when(F.col("o_orderkey") % 4 > 0, F.col("o_orderstatus")).alias("subject"), F.concat(F.lit("Order "), "o_orderstatus").alias("label"), F.col("o_totalprice").alias("score"), (F.col("o_custkey") % 7 == 0).alias("multiple_projects"))
+    return R.clarification_choices(items, "o_custkey", least=100_000.0, ratio=0.9)
+
+
+@query(
+    """WITH e AS (SELECT user_id, event_id, event_type AS subject, CASE WHEN event_id % 5 = 0 THEN 'other' ELSE event_type END AS label FROM events),
+    c AS (SELECT DISTINCT user_id, CASE user_id % 4 WHEN 0 THEN 'click' WHEN 1 THEN 'nothing like it' WHEN 2 THEN 'other' END AS chosen FROM events),
+    n AS (SELECT DISTINCT user_id, subject FROM e JOIN c USING (user_id) WHERE label = chosen)
+    SELECT user_id, event_id FROM e WHERE (user_id, subject) IN (SELECT user_id, subject FROM n) OR user_id NOT IN (SELECT user_id FROM n)"""
+)
+def q_kept_subject(spark: SparkSession, d: str) -> DataFrame:
+    """Events as evidence of questions that chose a label, none, or one that nothing has."""
+    e = table(spark, d, "events").select("user_id", "event_id", F.col("event_type").alias("subject"), F.when(F.col("event_id") % 5 == 0, "other").otherwise(F.col("event_type")).alias("label"))
+    chosen = e.select("user_id", F.element_at(F.array(F.lit("click"), F.lit("nothing like it"), F.lit("other"), F.lit(None).cast("string")), (F.col("user_id") % 4 + 1).cast("int")).alias("chosen")).distinct()
+    return R.keep_chosen(e, "user_id", chosen).select("user_id", "event_id")
+
+
+@query(
+    """WITH d AS (SELECT l_suppkey % 30 AS run, CASE WHEN l_suppkey % 30 < 10 THEN 'READY' WHEN l_returnflag = 'R' THEN 'ERROR' WHEN l_returnflag = 'A' THEN 'WARNING' ELSE 'READY' END AS status FROM lineitem WHERE l_suppkey % 30 < 25),
+    c AS (SELECT run, count(*) AS total, count(*) FILTER (WHERE status = 'READY') AS ready, count(*) FILTER (WHERE status = 'WARNING') AS warning, count(*) FILTER (WHERE status = 'ERROR') AS error FROM d GROUP BY run),
+    r AS (SELECT DISTINCT s_suppkey % 30 AS run FROM supplier)
+    SELECT run AS run_id, coalesce(total, 0) AS total, coalesce(ready, 0) AS ready, coalesce(warning, 0) AS warning, coalesce(error, 0) AS error,
+      CASE WHEN run % 6 = 0 OR run % 10 = 3 THEN 'FAILED' WHEN coalesce(warning, 0) + coalesce(error, 0) > 0 THEN 'PARTIAL_SUCCESS' ELSE 'SUCCESS' END AS run_status, run = max(run) FILTER (WHERE run % 7 > 0) OVER () AS latest FROM r LEFT JOIN c USING (run)"""
+)
+def q_review(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as runs, their lines as documents; some runs fail as a whole, some have no document."""
+    from lexiforge.sources.feeds import latest_run, review_reports
+
+    run, flag = F.col("l_suppkey") % 30, F.col("l_returnflag")
+    docs = table(spark, d, "lineitem").where(run < 25).select(run.alias("run_id"), F.col("l_orderkey").alias("document_id"), F.when((run < 10) | (flag == "N"), "READY").when(flag == "R", "ERROR").otherwise("WARNING").alias("status"), F.array().cast("array<struct<severity:string,code:string,stage:int,message:string>>").alias("issues"))
+    k = F.col("run_id")
+    runs = table(spark, d, "supplier").select((F.col("s_suppkey") % 30).alias("run_id")).distinct().select("run_id", (k % 6 != 0).alias("consistent"), F.when(k % 10 == 3, "broken").alias("global_error"), F.when(k % 7 > 0, F.timestamp_seconds(k)).alias("completed_at"))
+    reports, _ = review_reports(docs, runs)
+    last = latest_run(reports).select(k.alias("last"))
+    return reports.join(F.broadcast(last), k == F.col("last"), "left").select("run_id", "total", "ready", "warning", "error", "run_status", F.col("last").isNotNull().alias("latest"))
 
 
 @query("SELECT conv_id, sha256(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS document_hash FROM conversations GROUP BY conv_id")

@@ -166,11 +166,26 @@ def append_trace(results: DataFrame, path: str) -> None:
     results.select(F.sha2("question", 256).alias("question_sha256"), "language", "status", "elapsed_ms", F.transform("citations", lambda c: F.struct(c["id"].alias("id"), c["ranks"].alias("ranks"))).alias("citations")).write.mode("append").json(path)
 
 
-def review_reports(run_documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per run: counts and status; and one row for each problem."""
+def review_reports(run_documents: DataFrame, runs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Per run: counts and status; and one row for each problem.
+
+    runs (run_id, consistent, global_error, completed_at) says what happened to a run as a whole: an error of its own, or a
+    database that it left inconsistent, makes it FAILED whatever its documents say. Runs without documents are in it too.
+    """
     from lexiforge.operators.relational import run_status
 
     counts = run_documents.groupBy("run_id").agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s.lower()) for s in ("READY", "WARNING", "ERROR")])
-    counts = counts.withColumn("run_status", run_status(F.col("ready") + F.col("warning") + F.col("error") == F.col("total"), F.lit(0), F.col("warning") + F.col("error")))
+    if runs is None:
+        runs = counts.select("run_id", F.lit(None).cast("boolean").alias("consistent"), F.lit(None).cast("string").alias("global_error"), F.lit(None).cast("timestamp").alias("completed_at"))
+    rows = runs.select("run_id", "consistent", "global_error", "completed_at").join(counts, "run_id", "full")
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("total", "ready", "warning", "error")})
+    whole = F.coalesce("consistent", F.lit(True)) & (F.col("ready") + F.col("warning") + F.col("error") == F.col("total"))
+    status = run_status(whole, F.when(F.length("global_error") > 0, 1).otherwise(0), F.col("warning") + F.col("error"))
     problems = run_documents.select("run_id", "document_id", F.explode("issues").alias("i")).select("run_id", "document_id", "i.severity", "i.code", "i.stage", "i.message")
-    return counts, problems
+    return rows.select("run_id", "total", "ready", "warning", "error", status.alias("run_status"), "completed_at"), problems
+
+
+def latest_run(reports: DataFrame) -> DataFrame:
+    """One row (run_id, run_status): the run that completed last, the greatest id of several; what readers of reports open first."""
+    last = reports.where("completed_at is not null").agg(F.max_by(F.struct("run_id", "run_status"), F.struct("completed_at", "run_id")).alias("r"))
+    return last.where("r is not null").select("r.*")
