@@ -11,13 +11,19 @@ from pyspark.sql import functions as F
 from lexiforge.operators.search import top_per
 
 
-def score_join(topics: DataFrame, feed: DataFrame, score: Column, threshold: Column, name: str = "score") -> DataFrame:
+def score_join(topics: DataFrame, feed: DataFrame, score: Column, threshold: Column, name: str = "score", *, block: int = 4096) -> DataFrame:
     """Every topic with every feed row that reaches its threshold: a theta join, which has no key to deal rows by.
 
-    The feed is what is new since the last scan and topics are the subscriptions', so the smaller side goes to all tasks by
-    Spark's own choice of a nested-loop join; pairs below the threshold are never written.
+    Topics go to the tasks of the feed in blocks of about `block` rows, by a hash, so what is broadcast is bounded however many
+    topics there are; the feed is gone through once for each block and stays where it is, and pairs below the threshold are
+    never written.
     """
-    return topics.join(feed, score >= threshold).withColumn(name, score)
+    parts, out = max(1, -(-topics.count() // block)), None
+    for p in range(parts):
+        some = topics if parts == 1 else topics.where(F.pmod(F.xxhash64(*topics.columns), F.lit(parts)) == p)
+        pairs = feed.join(F.broadcast(some), score >= threshold).select(*topics.columns, *feed.columns, score.alias(name))
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
 
 
 def lexical_hits(topics: DataFrame, feed: DataFrame, topic_key: str, terms: str, key: str, title: str, body: str) -> DataFrame:

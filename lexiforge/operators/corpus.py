@@ -291,6 +291,10 @@ def _token_marks(s: str) -> int:
     return sum(1 for _ in re.finditer(r"\w+|[^\w\s]", s))
 
 
+def _tokens(s: str) -> int:
+    return max(1, int(1.25 * _token_marks(s) + 0.5))
+
+
 def packing_function(kind: str, budget: int, *, emit: int = 1024):
     """A table function for passages of one document at a time, in order: rows (document, chunk, passages, text), neighbours of one
     heading merged under a token budget, events alone. kind is the type of the document's key.

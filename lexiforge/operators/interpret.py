@@ -13,8 +13,8 @@ from lexiforge.functions import packs
 from lexiforge.functions import text as T
 from lexiforge.operators.alerts import finalize_topics
 
-REQUIREMENT = "array<struct<id:string,query:string,kind:string>>"
-INTERPRETATION = f"language string, standalone string, query string, category string, answer_type string, yearly boolean, streets array<string>, requirements {REQUIREMENT}"
+REQUIREMENT = "array<struct<id:string,question:string,query:string,kind:string,answer_type:string,yearly:boolean,category:string>>"
+INTERPRETATION = f"language string, standalone string, query string, category string, answer_type string, yearly boolean, in_scope boolean, streets array<string>, requirements {REQUIREMENT}"
 
 
 def embed(df: DataFrame, key: str, text: str, embedder: Callable[[list[str]], list[list[float]]]) -> DataFrame:
@@ -58,27 +58,43 @@ def is_yearly(question: Column | str, hint: Column | None = None) -> Column:
 
 
 def interpret(questions: DataFrame, model_output: str | None = None, most: int = 8, kinds: tuple[str, ...] = ("fact", "date", "amount", "procedure", "contact", "other")) -> DataFrame:
-    """Questions with language, query, answer_type, yearly, years, streets, sectors, acronyms, category and requirements.
+    """Questions with language, query, answer_type, yearly, years, streets, sectors, acronyms, category, historical,
+    multiple_projects, in_scope, requirements and multi_intent.
 
     model_output names a column of JSON, of which valid parts are used; what it lacks comes from the rules, and the rules on
-    language, kind of answer and years override it. At least one requirement, at most `most`, of known kinds.
+    language, kind of answer and years override it, for the question with its query and for each requirement by itself. A
+    category that is none of the known ones is `none`; a question is in scope unless the model says that it is not. At least
+    one requirement, the question itself if no other is left, at most `most`, of known kinds, numbered R1, R2 ...
     """
     m = F.from_json(F.col(model_output) if model_output else F.lit("{}"), INTERPRETATION)
     rows = questions.withColumn("_m", m)
-    q, query = F.col("question"), T.first_non_blank("_m.query", "question")
+    q, query, standalone = F.col("question"), T.first_non_blank("_m.query", "question"), T.first_non_blank("_m.standalone", "question")
     lang = T.detect_language(q, F.col("_m.language"), known=packs.LANGUAGES)
-    wanted = F.filter(F.coalesce("_m.requirements", F.array().cast(REQUIREMENT)), lambda r: r["kind"].isin(*kinds) & (F.length(F.trim(r["query"])) > 0))
-    single = F.array(F.struct(F.lit("r1").alias("id"), q.alias("query"), F.lit("other").alias("kind")))
-    both = F.concat_ws("\n", q, query)
+    known = lambda c: F.when(c.isin(*packs.CATEGORIES), c).otherwise("none")
+    both, asked = F.concat_ws("\n", q, query), F.concat_ws("\n", standalone, query)
+    kind, yearly, category = answer_type(asked, F.col("_m.answer_type")), is_yearly(asked, F.col("_m.yearly")), known(F.col("_m.category"))
+    wanted = F.slice(F.filter(F.coalesce("_m.requirements", F.array().cast(REQUIREMENT)), lambda r: r["kind"].isin(*kinds) & (F.length(F.trim(r["query"])) > 0)), 1, most)
+
+    def requirement(r: Column, i: Column) -> Column:
+        said = F.coalesce(F.nullif(F.trim(r["question"]), F.lit("")), F.trim(r["query"]))
+        own = (said, F.trim(r["query"]), r["kind"], answer_type(F.concat_ws("\n", said, r["query"]), r["answer_type"]), F.coalesce(r["yearly"], F.lit(False)), known(r["category"]))
+        return _requirement(F.concat(F.lit("R"), (i + 1).cast("string")), *own)
+
+    single = F.array(_requirement(F.lit("R1"), standalone, query, F.lit("other"), kind, yearly, category))
+    needs = F.when(F.size(wanted) > 0, F.transform(wanted, requirement)).otherwise(single)
+    found = lambda pattern: F.coalesce(standalone.rlike("(?iU)" + pattern), F.lit(False))
     return rows.select(
-        *questions.columns, lang.alias("language"), T.first_non_blank("_m.standalone", "question").alias("standalone"), query.alias("query"),
-        answer_type(q, F.col("_m.answer_type")).alias("answer_type"), is_yearly(q, F.col("_m.yearly")).alias("yearly"),
-        T.years_in(both).alias("years"), T.street_keys(query, F.col("_m.streets")).alias("streets"), T.sectors_in(both).alias("sectors"), T.acronyms(q).alias("acronyms"),
-        T.first_non_blank("_m.category", F.lit("none")).alias("category"),
-        F.slice(F.when(F.size(wanted) > 0, wanted).otherwise(single), 1, most).alias("requirements"),
+        *questions.columns, lang.alias("language"), standalone.alias("standalone"), query.alias("query"), kind.alias("answer_type"), yearly.alias("yearly"),
+        T.years_in(both).alias("years"), T.street_keys(query, F.col("_m.streets")).alias("streets"), T.sectors_in(both).alias("sectors"), T.acronyms(q).alias("acronyms"), category.alias("category"),
+        found(packs.HISTORICAL).alias("historical"), found(packs.SEVERAL_PROJECTS).alias("multiple_projects"), F.coalesce("_m.in_scope", F.lit(True)).alias("in_scope"), needs.alias("requirements"), (F.size(wanted) > 1).alias("multi_intent"),
     )
 
 
+def _requirement(*values: Column) -> Column:
+    names = ("id", "question", "query", "kind", "answer_type", "yearly", "category")
+    return F.struct(*[v.alias(n) for v, n in zip(values, names, strict=True)])
+
+
 def dense_query_text(query: Column, yearly: Column, years: Column, today: Column) -> Column:
     """The query, with the current year after it for yearly questions that name none."""
     return F.when(yearly & (F.size(years) == 0), F.concat(query, F.lit(" "), F.year(today).cast("string"))).otherwise(query)

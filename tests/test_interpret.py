@@ -18,6 +18,18 @@ def test_interpret(spark):
     assert q.first()["x"] == "taxa 2026"
 
 
+def test_rules_for_each_requirement_and_category(spark):
+    model = '{"category":"mobility","in_scope":false,"standalone":"Compară orarele din 2021","requirements":[{"question":"Care este programul de lucru?","query":"program de lucru","kind":"fact","category":"nope","yearly":true},{"query":"taxa","kind":"amount","answer_type":"amount","category":"services"},{"query":" ","kind":"fact"}]}'
+    df = spark.createDataFrame([(1, "și cel vechi?", model), (2, "Unde este școala?", '{"category":"unheard of"}'), (3, "x", "broken")], "id int, question string, m string")
+    out = {r["id"]: r for r in I.interpret(df, "m").collect()}
+    a = out[1]
+    assert (a["category"], a["historical"], a["multiple_projects"], a["in_scope"], a["multi_intent"]) == ("mobility", True, True, False, True)
+    assert [tuple(r) for r in a["requirements"]] == [("R1", "Care este programul de lucru?", "program de lucru", "fact", "hours", True, "none"), ("R2", "taxa", "taxa", "amount", "amount", False, "services")]
+    b = out[2]
+    assert (b["category"], b["historical"], b["multiple_projects"], b["in_scope"], b["multi_intent"]) == ("none", False, False, True, False)
+    assert b["requirements"][0]["id"] == "R1" and b["requirements"][0]["question"] == "Unde este școala?" and out[3]["requirements"][0]["query"] == "x"
+
+
 def test_answer_types_and_yearly_topics(spark):
     rows = [("vreau sa aflu despre legislatiile cum sa dau copilul la scoala", "procedure", "legal_act"), ("Care este programul de lucru al DGTPCC?", "other", "hours"), ("Какой график работы?", "other", "hours"), ("Cât costă parcarea?", "amount", "amount"), ("Ce este?", "nonsense", "other")]
     got = spark.createDataFrame(rows, "q string, h string, w string").select("w", I.answer_type("q", F.col("h")).alias("t")).collect()
