@@ -83,6 +83,7 @@ def _write_segment(docs: DataFrame, folder: str, number: int, bands: int | None)
     of these. One exchange brings a block's postings of a term together, no group larger than a block."""
     spark = docs.sparkSession
     path = f"{folder}/segment-{uuid.uuid4().hex}"
+    docs = docs.select("key", "hash", "words")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = (number << _SEGMENT) + (TaskContext.get().partitionId() << _PART)
@@ -98,7 +99,7 @@ def _write_segment(docs: DataFrame, folder: str, number: int, bands: int | None)
             row += batch.num_rows
 
     kind = docs.schema["key"].dataType.simpleString()
-    docs.select("key", "hash", "words").mapInArrow(count, f"row bigint, key {kind}, hash string, terms array<string>, weights array<double>").write.parquet(f"{path}/documents")
+    docs.mapInArrow(count, f"row bigint, key {kind}, hash string, terms array<string>, weights array<double>").write.parquet(f"{path}/documents")
     written = spark.read.parquet(f"{path}/documents")
     n = written.count()
     bands = bands or max(1, -(-n // _BAND_DOCS))
@@ -147,11 +148,14 @@ def _named(field: str) -> Callable[[Column], Column]:
     return lambda term: F.concat(F.lit(f"{field}:"), term)
 
 
-def build_index(docs: DataFrame, folder: str, key: str, *texts: str, terms: Callable[[Column], Column] = tokenize_stem, by_field: bool = False, bands: int | None = None) -> Index:
+def build_index(docs: DataFrame, folder: str, key: str, *texts: str, terms: Callable[[Column], Column] = tokenize_stem, by_field: bool = False, bands: int | None = None, spread: bool = True) -> Index:
     """Index documents anew: the terms of the columns `texts`, joined by " | " where there are several, or each column in a term
-    space of its own (by_field). Keys should be unique; a document without terms counts in n and is never found."""
+    space of its own (by_field). Keys should be unique; a document without terms counts in n and is never found. Blocks follow
+    the order of docs; with spread, docs of fewer partitions than cores are dealt out first."""
     spark = docs.sparkSession
     old = open_index(spark, folder)
+    if spread and docs.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # a few small files: their rows are dealt out over the cores
+        docs = docs.select(key, *texts).repartition(spark.sparkContext.defaultParallelism)
     segment, n = _write_segment(_prepared(docs, key, list(texts), terms, by_field), folder, 0, bands)
     return _publish(spark, Index(folder, old.generation + 1 if old else 0, (segment,), None, n))
 

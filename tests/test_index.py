@@ -74,7 +74,7 @@ def test_blocks_that_cannot_reach_the_kth_score_are_skipped(spark, tmp_path, sma
     for i in range(5):
         docs[i] = ["zz", "zy", "zx", *docs[i][:2]]
     queries = {0: ["zz", "zy", "zx", "ab", "cd"], 1: ["zz", "ee"]}
-    index = I.build_index(frame(spark, docs, 1), str(tmp_path / "index"), "id", "text")
+    index = I.build_index(frame(spark, docs, 1), str(tmp_path / "index"), "id", "text", spread=False)
     stats = {}
     got = found(index, spark, queries, 3, stats=stats)
     assert [r[:3] for r in got] == sorted(r[:3] for r in ((f"q{q}", *rest) for q, *rest in slow_topk(queries, docs, 3)))
