@@ -238,6 +238,12 @@ def test_chunks_and_pages(spark, tmp_path):
     assert [(r["tag"], r["text"]) for r in b if r["id"] == 1] == [("h1", "Head"), ("p", "One two")] and b[0]["title"] == "T & x" and (b[0]["date"], b[0]["url"], b[0]["image"]) == ("2026-01-02", "https://a.md/x", "i.png") and len([r for r in b if r["id"] == 2]) == 1
 
 
+def test_unfinished_references_of_a_title_stay(spark):
+    html = ["<title>A &amp; b&amp</title><p>&copy 2024</p>", "<TITLE lang=en>c &eacute; &#233 &x</TITLE>", "<title>&quo</title>", "<title>open &amp"]
+    b = pages.html_blocks(spark.createDataFrame(list(enumerate(html)), "id int, h string"), "id", "h").orderBy("id").collect()
+    assert [r["title"] for r in b][:3] == ["A & b&amp", "c é &#233 &x", "&quo"] and b[0]["text"] == "© 2024"
+
+
 # ---------------------------------------------------------------- corpus batch
 
 
