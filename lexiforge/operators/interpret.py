@@ -128,7 +128,7 @@ def extract_topics(
     words = F.slice(F.filter(F.regexp_extract_all(F.col(text), F.lit(r"(?U)[\p{L}\p{Nl}\p{No}][\w-]*"), F.lit(0)), lambda w: (F.length(w) >= 3) & ~T.fold(w).isin(*packs.STOPWORDS)), 1, 5)
     phrase = F.array_join(words, " ")
     alone = questions.where(~F.col(text).rlike("[\u0400-\u04ff]") & (F.size(words) > 0)).join(hits.select(by).distinct(), by, "left_anti")
-    other = alone.select(by, F.concat(F.upper(F.substring(phrase, 1, 1)), F.substring(phrase, F.lit(2), F.length(phrase))).alias("label"), phrase.alias("query"), F.struct(F.col(order).cast("bigint").alias("a"), F.lit(0).alias("b")).alias("_o"))
+    other = alone.select(by, T.capitalized(phrase).alias("label"), phrase.alias("query"), F.struct(F.col(order).cast("bigint").alias("a"), F.lit(0).alias("b")).alias("_o"))
     return finalize_topics(known.unionByName(other), by, "label", "_o", most, query="query", existing=existing).drop("_o")
 
 

@@ -78,3 +78,16 @@ def test_topics_and_models(spark):
     c = spark.createDataFrame([("a", 0.1), ("b", 0.2)], "id string, score double")
     s = spark.createDataFrame([("a", 0.9), ("b", 7.0)], "id string, score double")
     assert {r["id"]: r["score"] for r in I.rerank(c, s, ["id"]).collect()} == {"a": 0.9, "b": 0.2}
+
+
+def test_labels_begin_with_one_capital(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from lexiforge.functions import text as T
+
+    letters = [chr(c) for c in range(0x21, 0x10000) if chr(c).isalpha() and chr(c) not in "ƛɤ"]  # the capitals of these two are newer than DuckDB's tables
+    got = {r["c"]: r["u"] for r in spark.createDataFrame([(c,) for c in letters], "c string").select("c", T.capitalized(F.concat("c", F.lit("x"))).alias("u")).collect()}
+    con = duckdb.connect()
+    want = con.execute("SELECT c, upper(c) || 'x' FROM (SELECT unnest(?) AS c)", [letters]).fetchall()
+    assert [(c, u, got[c]) for c, u in want if got[c] != u] == []
+    q = spark.createDataFrame([(1, 1, "ßer dieengeheitpf")], "conv int, turn int, q string")
+    assert [r["label"] for r in I.extract_topics(q, "conv", "q", "turn").collect()] == ["ẞer dieengeheitpf"]
