@@ -681,3 +681,24 @@ def test_history_window_and_page(spark):
     assert [r["n"] for r in R.history_window(turns, "c", "n", "role", 3).orderBy("n").collect()] == [4, 5]
     p = R.page(spark.createDataFrame([("v", i) for i in range(5)], "v string, n int"), "v", [F.asc("n")], 2, focus=F.col("n") == 3).collect()
     assert [(r["n"], r["has_previous"], r["has_next"]) for r in p] == [(3, True, False), (4, True, False)]
+
+
+def test_similar_sets_equal_brute_force_in_cells_of_any_size(spark, monkeypatch):
+    import random
+
+    from lexiforge.operators import similarity
+
+    monkeypatch.setattr(similarity, "_CUT", 3)
+    monkeypatch.setattr(similarity, "_BROADCAST", 0)
+    rng = random.Random(5)
+    sets = [[f"w{rng.randrange(400)}" for _ in range(rng.choice([5, 12, 60, 300]))] for _ in range(40)]
+    for base in list(sets):
+        for _ in range(rng.randrange(6)):
+            sets.append([w for w in base if rng.random() > 0.06] + [f"n{rng.randrange(99)}" for _ in range(rng.randrange(3))])
+    got = {(r["a"], r["b"]): r["jaccard"] for r in similar_sets(spark.createDataFrame(list(enumerate(sets)), "k int, w array<string>"), "k", F.col("w")).collect()}
+    first = {}
+    for k, s in enumerate(sets):
+        if len(set(s)) >= 8:
+            first.setdefault(frozenset(s), k)
+    want = {(x, y): len(a & b) / len(a | b) for a, x in first.items() for b, y in first.items() if x < y and len(a & b) / len(a | b) >= 0.85}
+    assert got == want and len(want) > 50
