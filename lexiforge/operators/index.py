@@ -191,11 +191,16 @@ def search_index(
 
     The greatest weights of a block bound what any of its documents can score. The `probe` blocks of the highest bound are
     scored first; their k-th score is what a block must reach to be scored as well, so no result is lost. A block meets up
-    to `group` queries at once as one sum over its postings, read once. fields searches the term spaces of these columns
+    to `group` queries at once as one sum over its postings, read once. Queries of equal terms are searched once. fields searches the term spaces of these columns
     with every word of a query. stats gets how many (query, block) pairs there were and how many were scored.
     """
     spark = queries.sparkSession
-    asked = postings(queries, query_key, query_text, terms)
+    asked = materialize(postings(queries, query_key, query_text, terms), "asked")
+    bags = asked.groupBy(F.col(query_key).alias("as")).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("term", "weight")))), 256).alias("bag"))
+    bags = materialize(bags, "bags")
+    alike = materialize(bags.groupBy("bag").agg(F.min("as").alias("q")), "alike")
+    same = materialize(bags.join(alike, "bag").select("q", "as"), "same")
+    asked = asked.join(alike.select(F.col("q").alias(query_key)), query_key, "left_semi")
     if fields:
         asked = asked.withColumn("term", F.explode(F.array(*[_named(f)(F.col("term")) for f in fields])))
     df = _union([s.terms(spark) for s in index.segments])
@@ -204,7 +209,7 @@ def search_index(
         lost = _union([s.documents(spark) for s in index.segments]).join(gone, "row", "left_semi").select(F.explode("terms").alias("term")).groupBy("term").agg((-F.count("*")).alias("df"))
         df = df.unionByName(lost)
     df = df.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
-    groups = max(1, -(-queries.count() // group))
+    groups = max(1, -(-alike.count() // group))
     wanted = asked.join(df, "term").select(F.col(query_key).alias("q"), "term", (F.col("weight") * idf(F.lit(index.n), F.col("df"))).alias("w"), F.pmod(F.xxhash64(query_key), F.lit(groups)).cast("int").alias("g"))
     wanted = materialize(wanted, "wanted")
 
@@ -221,7 +226,8 @@ def search_index(
     found = first.unionByName(_scored(index, rest, wanted, k))
     near = found.withColumn("place", F.rank().over(W.partitionBy("q").orderBy(F.desc("score")))).where(F.col("place") <= k).drop("place")  # ties stay until keys are known
     named = near.join(_union([s.documents(spark).select("row", "key") for s in index.segments]), "row")
-    return top_per(named, ["q"], [F.desc("score"), F.asc("key")], k).select(F.col("q").alias(query_key), "rank", F.col("key").alias(key), "score")
+    best = top_per(named, ["q"], [F.desc("score"), F.asc("key")], k)
+    return best.join(same, "q").select(F.col("as").alias(query_key), "rank", F.col("key").alias(key), "score")
 
 
 def _scored(index: Index, pairs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:

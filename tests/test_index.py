@@ -145,3 +145,12 @@ def test_the_catalog_of_a_hybrid_search_comes_from_the_index(spark, tmp_path):
     more = df.where("document <> 'd2'").unionByName(df.where("document = 'd2'").withColumn("title", F.lit("Road closures")))
     _, fresh = I.build_catalog(more, str(tmp_path / "catalog"), "document", "point", "title", "publisher")
     assert fresh.generation == index.generation + 1 and fresh.segments[1].documents(spark).count() == 1
+
+
+def test_queries_of_equal_terms_are_searched_once(spark, tmp_path, small_blocks):
+    docs = texts(random.Random(9), 60)
+    index = I.build_index(frame(spark, docs), str(tmp_path / "index"), "id", "text")
+    one, many = {}, {}
+    first = found(index, spark, {0: ["ab", "cd", "ab"]}, 4, stats=one)
+    rest = found(index, spark, {i: ["ab", "ab", "cd"] if i % 2 else ["cd", "ab", "ab"] for i in range(30)}, 4, stats=many)
+    assert many == one and first and rest == sorted((f"q{i}", *r[1:]) for i in range(30) for r in first)
