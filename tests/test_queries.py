@@ -32,3 +32,11 @@ def test_queries_equal_their_sql(spark):
         if sorted(want.columns) != cols or got != sorted(tuple(text(r[i]) for i in at) for r in want.fetchall()):
             wrong.append(name)
     assert not wrong
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+def test_jaccard_reads_the_documents_once(spark):
+    from lexiforge.plans.registry import QUERIES
+
+    plan = QUERIES["q_jaccard"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [doc_id") == 1
