@@ -5,6 +5,7 @@ All of these need the RocksDB state store (use_rocksdb): state is kept on disk,
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -21,20 +22,24 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
 
 
+_LOT = 256  # rows or entries that one value of a state may hold: every call of a state crosses over to the JVM and back
+
+
 class InOrder(StatefulProcessor):
     """Holds rows in a ListState until the watermark has passed them, then hands them on in order of time.
 
     Spark drops what comes behind the watermark, so nothing can still come before a row that it has passed: results do not
     depend on how rows are dealt out over micro-batches. One timer a key wakes it for its earliest row, or for what the
-    subclass waits for. Rows are tuples whose first field is the time in microseconds; ties go by the other fields.
+    subclass waits for. Rows are tuples of whole numbers and strings whose first field is the time in microseconds; ties go
+    by the other fields. They wait in lots, as JSON.
     """
 
-    def __init__(self, fields: str, names: list[str], out: list[str]):
-        self.fields, self.names, self.out = fields, names, out
+    def __init__(self, names: list[str], out: list[str]):
+        self.names, self.out = names, out
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.fields)
+        self.waiting = handle.getListState("waiting", "lot string")
         self.due = handle.getValueState("due", "at bigint")
         self.open(handle)
 
@@ -45,11 +50,10 @@ class InOrder(StatefulProcessor):
         """The output rows for the rows of a key up to a time, and when (in milliseconds) to wake next without new rows."""
         raise NotImplementedError
 
-    def _wake(self, at: int | None) -> None:
-        held = self.due.get()[0] if self.due.exists() else None
-        if held is not None and (at is None or at != held):
+    def _wake(self, at: int | None, held: int | None) -> None:
+        """Sets the timer of a key, which stands at `held`."""
+        if held is not None and at != held:
             self.handle.deleteTimer(held)
-            self.due.clear()
         if at is not None and at != held:
             self.handle.registerTimer(at)
             self.due.update((at,))
@@ -57,24 +61,25 @@ class InOrder(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         if not (new := [r for f in rows for r in _tuples(f, self.names)]):
             return iter(())
-        self.waiting.appendList(new)
-        first = _millis(min(r[0] for r in new))
-        held = self.due.get()[0] if self.due.exists() else None
-        if held is None or first < held:
-            self._wake(first)
+        self.waiting.appendList(_lots(new))
+        first, due = _millis(min(r[0] for r in new)), self.due.get()
+        if due is None or first < due[0]:
+            self._wake(first, due and due[0])
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() - 1  # a timer fires once the watermark is over its time
-        self.due.clear()  # this timer is gone
-        rows = sorted((tuple(r) for r in self.waiting.get()), key=_order) if self.waiting.exists() else []
+        rows = sorted((tuple(r) for lot in self.waiting.get() for r in json.loads(lot[0])), key=_order)
         ready = [r for r in rows if _millis(r[0]) <= passed]
         rest = rows[len(ready) :]
         if ready:
-            self.waiting.put(rest) if rest else self.waiting.clear()
+            self.waiting.put(_lots(rest)) if rest else self.waiting.clear()
         out, wake = self.release(key, ready, passed * 1000)
         times = ([_millis(rest[0][0])] if rest else []) + ([wake] if wake is not None else [])
-        self._wake(max(min(times), passed + 1) if times else None)
+        if times:
+            self._wake(max(min(times), passed + 1), None)  # this timer is gone
+        else:
+            self.due.clear()
         if out:
             yield pd.DataFrame(out, columns=self.out)
 
@@ -83,8 +88,12 @@ class InOrder(StatefulProcessor):
 
 
 def _tuples(f: pd.DataFrame, names: list[str]) -> Iterable[tuple]:
-    f = f[names].astype(object)
-    return (tuple(r) for r in f.where(f.notna(), None).itertuples(index=False))
+    whole = lambda v: None if v is None or v != v else int(v) if isinstance(v, float) else v  # noqa: E731  # a column with gaps has floats
+    return zip(*([whole(v) for v in f[n].tolist()] for n in names), strict=True)
+
+
+def _lots(rows: list[tuple]) -> list[tuple[str]]:
+    return [(json.dumps(rows[i : i + _LOT], ensure_ascii=False, separators=(",", ":")),) for i in range(0, len(rows), _LOT)]
 
 
 def _millis(micros: int) -> int:
@@ -100,7 +109,7 @@ def _order(row: tuple) -> tuple:
 
 class _Histories(InOrder):
     def __init__(self, ttl_us: int, most: int, key: str):
-        super().__init__("at bigint, tie string, text string", ["at", "tie", "text"], [key, "ts", "history"])
+        super().__init__(["at", "tie", "text"], [key, "ts", "history"])
         self.ttl_us, self.most = ttl_us, most
 
     def open(self, handle: StatefulProcessorHandle) -> None:
@@ -153,16 +162,26 @@ def session_history(turns: DataFrame, key: str, *, tie: str | None = None, ttl_m
 
 
 class _Kept:
-    """A MapState with the methods of a dict that a fold needs."""
+    """A MapState with the methods of a dict that a fold needs: new entries are held by `recent` and only looked up in the state
+    where it has some (`deep`)."""
 
-    def __init__(self, state):
-        self.state = state
+    def __init__(self, state, recent: dict[str, list], deep: bool):
+        self.state, self.recent, self.deep = state, recent, deep
 
     def get(self, key: str) -> tuple | None:
-        return tuple(self.state.getValue((key,))) if self.state.containsKey((key,)) else None
+        if key in self.recent:
+            return tuple(self.recent[key])
+        found = self.state.getValue((key,)) if self.deep and self.state.containsKey((key,)) else None
+        return tuple(found) if found is not None else None
 
     def __setitem__(self, key: str, value: tuple) -> None:
-        self.state.updateValue((key,), value)
+        self.recent[key] = value
+
+    def settle(self) -> None:
+        """Hands the recent entries over to the state."""
+        for key, value in self.recent.items():
+            self.state.updateValue((key,), tuple(value))
+        self.recent, self.deep = {}, True
 
 
 _EVENT = ["at", "id", "kind", "turn", "request", "version", "text"]
@@ -224,28 +243,28 @@ def _fold_events(key: object, events: list[tuple], pending: tuple | None, reques
 
 class _Chats(InOrder):
     def __init__(self, key: str, expiry_us: int, keep_us: int):
-        super().__init__("at bigint, id string, kind string, turn string, request string, version bigint, text string", _EVENT, [key, "at", "id", "turn", "version", "outcome"])
+        super().__init__(_EVENT, [key, "at", "id", "turn", "version", "outcome"])
         self.expiry_us, self.keep_us = expiry_us, keep_us
 
     def open(self, handle: StatefulProcessorHandle) -> None:
-        self.pending = handle.getValueState("pending", "turn string, version bigint, request string, started bigint")
-        self.last = handle.getValueState("last", "at bigint")
+        self.chat = handle.getValueState("chat", "last bigint, turn string, version bigint, request string, started bigint, deep boolean, recent string")
         self.requests = handle.getMapState("requests", "request string", "turn string, prompt string")
         self.turns = handle.getMapState("turns", "turn string", "version bigint, status string, text string, request string")
 
     def release(self, key: tuple, rows: list[tuple], until: int) -> tuple[list[tuple], int | None]:
-        last = rows[-1][0] if rows else self.last.get()[0] if self.last.exists() else None
-        before = tuple(self.pending.get()) if self.pending.exists() else None
-        out, pending = _fold_events(key[0], rows, before, _Kept(self.requests), _Kept(self.turns), self.expiry_us, until)
-        if pending is not None:
-            self.pending.update(pending)
-        else:
-            self.pending.clear()
+        last, *before, deep, recent = self.chat.get() or (None, None, None, None, None, False, "[[], []]")
+        requests, turns = (_Kept(s, dict(r), deep) for s, r in zip((self.requests, self.turns), json.loads(recent), strict=True))
+        last = rows[-1][0] if rows else last
+        out, pending = _fold_events(key[0], rows, tuple(before) if before[3] is not None else None, requests, turns, self.expiry_us, until)
         if last is None or (pending is None and until - last > self.keep_us):
-            for state in (self.last, self.requests, self.turns):
+            for state in (self.chat, self.requests, self.turns) if deep else (self.chat,):
                 state.clear()
             return out, None
-        self.last.update((last,))
+        if len(requests.recent) + len(turns.recent) > _LOT:
+            requests.settle()
+            turns.settle()
+        recent = json.dumps([list(k.recent.items()) for k in (requests, turns)], ensure_ascii=False, separators=(",", ":"))
+        self.chat.update((last, *(pending or (None,) * 4), turns.deep, recent))
         return out, _millis(pending[3] + self.expiry_us if pending else last + self.keep_us) + 1
 
 

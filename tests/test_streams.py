@@ -193,3 +193,87 @@ def test_progress_of_streams_and_tables(spark, tmp_path):
     batch = S.Progress("table")
     batch.of_table(got, 2.0)
     assert batch.rows == [("table", 0, 2.0, 45, 15, 60, 30.0, 0.0)] and S.progress_row("x", 0, 0.0, 0, 0, 5)[-2:] == (None, None)
+
+
+class Calls:
+    """A handle whose states are held here and count their calls."""
+
+    def __init__(self):
+        self.n, self.timers = 0, set()
+
+    def _state(self, value):
+        calls = self
+
+        class State:
+            def __init__(self):
+                self.value = value()
+
+            def __getattr__(self, name):
+                calls.n += 1
+                held = self.value
+                put = lambda v: setattr(self, "value", v)
+                return {
+                    "exists": lambda: bool(held), "get": lambda: iter(held) if isinstance(held, list) else held, "update": put, "put": put, "appendList": lambda v: put([*held, *v]), "clear": lambda: put(value()),
+                    "getValue": lambda k: held.get(k), "containsKey": lambda k: k in held, "updateValue": lambda k, v: put(held | {k: v}),
+                }[name]
+
+        return State()
+
+    def getListState(self, *_):
+        return self._state(list)
+
+    def getValueState(self, *_):
+        return self._state(lambda: None)
+
+    def getMapState(self, *_):
+        return self._state(dict)
+
+    def registerTimer(self, at):
+        self.n += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.n += 1
+        self.timers.remove(at)
+
+
+def drive(op, lots, names):
+    """Output rows of one key for lots of input rows, each passed by the watermark before the next comes, and the calls of states."""
+    import pandas as pd
+
+    handle, out = Calls(), []
+    op.init(handle)
+    for lot in lots:
+        list(op.handleInputRows(("k",), iter([pd.DataFrame(lot, columns=names)]), None))
+        mark = max(r[0] for r in lot) // 1000 + 2
+        while handle.timers and min(handle.timers) < mark:
+            handle.timers.remove(min(handle.timers))
+            now = type("T", (), {"getCurrentWatermarkInMs": staticmethod(lambda: mark)})
+            out += [tuple(r) for f in op.handleExpiredTimer(("k",), now, None) for r in f.astype(object).where(f.notna(), None).itertuples(index=False)]
+    return out, handle.n
+
+
+@pytest.mark.parametrize("lots", [1, 3])
+def test_a_chat_calls_its_states_a_few_times_for_many_events(lots):
+    rng = random.Random(lots)
+    kinds = rng.choices(["start", "complete", "fail", "retry"], k=240)
+    rows = [(i * 1_000_000, f"{i:05}", k, str(rng.randrange(60)) if k == "retry" else None, str(rng.randrange(60)) if k == "start" else f"r{i}" if k == "retry" else None, None, rng.choice("pq")) for i, k in enumerate(kinds)]
+    got, calls = drive(X._Chats("chat", 300_000_000, 10**15), [rows[i : i + 240 // lots] for i in range(0, 240, 240 // lots)], X._EVENT)
+    want = X._fold_events("k", rows, None, {}, {}, 300_000_000, None)[0]
+    assert got == want and calls <= 12 * lots
+
+
+def test_a_long_chat_hands_its_entries_over_to_the_map_states():
+    rows = [(n * 1_000_000, f"{n:05}", "start" if n % 2 == 0 else "complete", None, f"q{n // 2 % 700}" if n % 2 == 0 else None, None, "p") for n in range(2000)]
+    got, _ = drive(X._Chats("chat", 300_000_000, 10**15), [rows[i : i + 150] for i in range(0, 2000, 150)], X._EVENT)
+    want = X._fold_events("k", rows, None, {}, {}, 300_000_000, None)[0]
+    assert got == want and {r[5] for r in got} == {"CREATED", "COMPLETED", "REPLAYED", "IGNORED"}
+
+
+def test_versions_with_gaps_are_whole_numbers_on_a_stream(spark, tmp_path):
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    rows = [("c", at(0), "1", "start", "t", "q", None, "x"), ("c", at(1), "2", "complete", "t", "q", 1, "y"), ("c", at(2), "3", "retry", "t", "r", 1, None), ("c", at(3), "4", "retry", "t", "s", 1, None), ("c", at(4), "5", "fail", "t", "r", 9, None), ("d", at(60), "6", "start", "t", "q", None, "x")]
+    got = run(spark, tmp_path, EVENT, [rows], lambda df: X.chat_turns(df, "chat"))
+    assert got == sorted(map(str, X.chat_turns(spark.createDataFrame(rows[:-1], EVENT), "chat", now=passed(rows, 1, 600)).collect()))
+    assert [r.split("outcome='")[1][:-2] for r in sorted(got, key=lambda r: r.split("id=")[1][:4])] == ["CREATED", "COMPLETED", "RETRIED", "STALE_GENERATION", "IGNORED", "INTERRUPTED"]
+
