@@ -113,12 +113,10 @@ class _Histories(InOrder):
         self.ttl_us, self.most = ttl_us, most
 
     def open(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at bigint")
-        self.held = handle.getListState("held", "text string")
+        self.last = handle.getValueState("last", "at bigint, held array<string>")
 
     def release(self, key: tuple, rows: list[tuple], until: int) -> tuple[list[tuple], int | None]:
-        last = self.last.get()[0] if self.last.exists() else None
-        held = [r[0] for r in self.held.get()] if last is not None and rows else []
+        last, held = self.last.get() or (None, [])
         out = []
         for at, _, text in rows:
             if last is not None and at - last > self.ttl_us:
@@ -127,11 +125,9 @@ class _Histories(InOrder):
             out.append((key[0], at, list(held)))
         if last is None or until - last > self.ttl_us:
             self.last.clear()
-            self.held.clear()
             return out, None
         if rows:
-            self.last.update((last,))
-            self.held.put([(t,) for t in held])
+            self.last.update((last, held))
         return out, _millis(last + self.ttl_us) + 1
 
 

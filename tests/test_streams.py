@@ -277,3 +277,8 @@ def test_versions_with_gaps_are_whole_numbers_on_a_stream(spark, tmp_path):
     assert got == sorted(map(str, X.chat_turns(spark.createDataFrame(rows[:-1], EVENT), "chat", now=passed(rows, 1, 600)).collect()))
     assert [r.split("outcome='")[1][:-2] for r in sorted(got, key=lambda r: r.split("id=")[1][:4])] == ["CREATED", "COMPLETED", "RETRIED", "STALE_GENERATION", "IGNORED", "INTERRUPTED"]
 
+
+def test_a_history_calls_its_states_a_few_times_for_many_messages():
+    rows = [(i * 60_000_000 + (i // 50) * 3_600_000_000, f"{i:04}", f"m{i}") for i in range(200)]
+    got, calls = drive(X._Histories(1_800_000_000, 5, "chat"), [rows[:120], rows[120:]], ["at", "tie", "text"])
+    assert [h for _, _, h in got] == [[f"m{j}" for j in range(max(i // 50 * 50, i - 4), i + 1)] for i in range(200)] and calls <= 24
