@@ -20,6 +20,7 @@ from lexiforge.operators import relational as R
 from lexiforge.operators import search as S
 from lexiforge.operators import validation as Q
 from lexiforge.plans.query import query, table
+from lexiforge.store import materialize
 
 _MONTHS = "[" + ", ".join(f"'{m}'" for m in K.MONTHS_RO) + "]"
 
@@ -331,7 +332,7 @@ def q_verified_claims(spark: SparkSession, d: str) -> DataFrame:
     SELECT CAST(t.l_orderkey AS VARCHAR) AS question_id, answer, CAST(cited AS BIGINT) AS citations, CAST(total - coalesce(kept, 0) AS BIGINT) AS dropped FROM t LEFT JOIN a ON a.l_orderkey = t.l_orderkey"""
 )
 def q_answers(spark: SparkSession, d: str) -> DataFrame:
-    li = _lines(spark, d)
+    li = materialize(_lines(spark, d), "lines")  # claims and what is known are made of it
     cited = F.array(F.when(F.col("l_returnflag") == "R", "none").otherwise(F.col("l_suppkey").cast("string")))
     claims = li.select(F.col("l_orderkey").cast("string").alias("question_id"), F.col("l_linenumber").alias("claim_no"), F.concat(F.lit("Linia "), F.col("l_linenumber"), F.lit(" este gata.")).alias("text"), cited.alias("evidence_ids"))
     known = li.where("l_returnflag <> 'R'").select(F.col("l_orderkey").cast("string").alias("question_id"), F.col("l_suppkey").cast("string").alias("evidence_id"))

@@ -40,3 +40,15 @@ def test_jaccard_reads_the_documents_once(spark):
 
     plan = QUERIES["q_jaccard"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [doc_id") == 1
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+@pytest.mark.parametrize("name", ["q_answers"])
+def test_the_lines_of_orders_are_made_once(spark, name):
+    from lexiforge.plans.registry import QUERIES
+
+    assert "l_shipdate" not in _plan(QUERIES[name](spark, SF))  # no plan of the result reads lineitem again
