@@ -46,7 +46,9 @@ def deterministic_issues(claims: DataFrame, evidence: DataFrame, question: str =
     rows = with_quotes(claims, evidence)
     quotes = F.coalesce(F.transform("cited", lambda c: F.coalesce(c["quote"], F.lit(""))), F.array().cast("array<string>"))
     rows = rows.withColumn("_quotes", quotes).withColumn("_said", F.array_join("_quotes", "\n"))
-    mine, theirs = numbers_in("text"), numbers_in("_said")
+    # read several times below, worked out once a row
+    rows = rows.withColumns({"_mine": numbers_in("text"), "_theirs": numbers_in("_said"), "_text_folded": T.fold("text"), "_said_folded": T.fold("_said")})
+    mine, theirs, text, said = (F.col(c) for c in ("_mine", "_theirs", "_text_folded", "_said_folded"))
     echo = T.normalize_label("text") == T.normalize_label(question)
     alone = F.coalesce(
         F.when((F.coalesce("unknown", F.lit(0)) > 0) | (F.size("_quotes") <= 0), "UNKNOWN_EVIDENCE"),
@@ -59,19 +61,18 @@ def deterministic_issues(claims: DataFrame, evidence: DataFrame, question: str =
     money = r"(?i)(?<!\p{L})(lei|mdl|eur|euro|usd|dolari)(?!\p{L})"
     currency = F.lower(F.regexp_extract("text", money, 1))
     spent, allocated = r"cheltuit|executat|spent|израсходован", r"alocat|planificat|aprobat|allocated|выделен"
-    said = T.fold("_said")
     missing = F.transform(F.array_except(mine, theirs), lambda n: F.concat(F.lit("UNSUPPORTED_NUMBER:"), n))
     codes = F.array_compact(
         F.array(
             F.when(headline, "HEADLINE_ONLY"),
             F.when((F.size(mine) > 1) & (F.size(docs) > 1) & (F.size(missing) == 0) & ~F.coalesce(together, F.lit(False)), "CROSS_DOCUMENT_NUMERIC_CLAIM"),
             F.when((F.length(currency) > 0) & ~F.coalesce(F.contains(said, currency), F.lit(False)), "UNSUPPORTED_CURRENCY"),
-            F.when(T.fold("text").rlike(spent) & ~said.rlike(spent), "UNSUPPORTED_FINANCIAL_STAGE:SPENT"),
-            F.when(T.fold("text").rlike(allocated) & ~said.rlike(allocated) & said.rlike(spent), "UNSUPPORTED_FINANCIAL_STAGE:ALLOCATED"),
+            F.when(text.rlike(spent) & ~said.rlike(spent), "UNSUPPORTED_FINANCIAL_STAGE:SPENT"),
+            F.when(text.rlike(allocated) & ~said.rlike(allocated) & said.rlike(spent), "UNSUPPORTED_FINANCIAL_STAGE:ALLOCATED"),
         )
     )
     issues = F.when(alone.isNotNull(), F.array(alone)).otherwise(F.concat(codes, missing))
-    return rows.withColumn("issues", issues).drop("_quotes", "_said", "cited", "unknown")
+    return rows.withColumn("issues", issues).drop("_quotes", "_said", "_mine", "_theirs", "_text_folded", "_said_folded", "cited", "unknown")
 
 
 def bind_requirements(claims: DataFrame, evidence: DataFrame, requirements: DataFrame) -> DataFrame:

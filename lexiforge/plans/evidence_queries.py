@@ -293,7 +293,7 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _claims(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    li = _lines(spark, d)
+    li = materialize(_lines(spark, d), "lines")  # both are made of it
     named = lambda n: F.concat(F.lit("Linia are "), F.col("l_partkey") + n, F.lit(" bucăți."))
     claims = li.select(
         F.col("l_orderkey").cast("string").alias("question_id"), F.col("l_linenumber").alias("claim_no"), named(F.when(F.col("l_linestatus") == "F", 1).otherwise(0)).alias("text"), F.lit("Câte?").alias("question"),

@@ -47,7 +47,7 @@ def _plan(df):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
-@pytest.mark.parametrize("name", ["q_answers"])
+@pytest.mark.parametrize("name", ["q_claim_issues", "q_answers"])
 def test_the_lines_of_orders_are_made_once(spark, name):
     from lexiforge.plans.registry import QUERIES
 
