@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import IntegerType, LongType, StructType
 
+from lexiforge.functions.lots import LOT, lots
 from lexiforge.llm.common import distinct, table
 
 #: Fixed seeds: 1 is a word that is hashed, 0 one that is ignored. Every stretch of ten words or more of which four fifths
@@ -247,7 +248,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             s, known = shared.value, _Hashes()
-            for batch in batches:
+            for batch in (lot for b in batches for lot in lots(b, LOT, at)):
                 clean = [next(s.overlaps(word_hashes(t, known), least_words, least_share), None) is None for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 

@@ -11,12 +11,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiforge.functions.lots import LOT, lots
 from lexiforge.llm.common import distinct, free_name, plus, table
 from lexiforge.llm.simhash import _forest
 from lexiforge.operators.components import connected_components
 from lexiforge.store import materialize
 
 _CHUNK = 1 << 15
+_ENTRIES = 1 << 19  # members of sets that are compared at once
 _FILTER_BITS = 1 << 28
 
 
@@ -140,8 +142,7 @@ def _sketch(shape: Shape):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for part in lots(batch, 2 * LOT, 2):
                 of, no, ids, new, slot = [], [], [], {}, []
                 for i, text in enumerate(part.column(2).to_pylist()):
                     for n, raw in enumerate((text or "").lower().split("\n")):
@@ -173,15 +174,18 @@ def _texts(bits: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wanted = np.frombuffer(shared.value, dtype=np.uint8)
             for batch in batches:
-                got = {}
-                for text in batch.column(0).to_pylist():
-                    for raw in (text or "").lower().split("\n"):
-                        if line := _squeezed(raw):
-                            x = line_id(line)
-                            p = (x & 0xFFFFFFFFFFFFFFFF) % bits
-                            if wanted[p >> 3] >> (p & 7) & 1:
-                                got[x] = line
-                yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.string())], ["line", "text"])
+                seen = set()
+                for part in lots(batch, LOT, 0):
+                    got = {}
+                    for text in part.column(0).to_pylist():
+                        for raw in (text or "").lower().split("\n"):
+                            if line := _squeezed(raw):
+                                x = line_id(line)
+                                p = (x & 0xFFFFFFFFFFFFFFFF) % bits
+                                if wanted[p >> 3] >> (p & 7) & 1 and x not in seen:
+                                    got[x] = line
+                    seen.update(got)
+                    yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.string())], ["line", "text"])
 
         return run
 
@@ -260,7 +264,7 @@ class _Sets:
         out, lo, n = np.zeros(len(a)), 0, 1 << _RUN_BITS
         total = np.cumsum(self.size[a] + self.size[b])
         while lo < len(a):
-            hi = max(lo + 1, min(lo + n, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + (1 << 22)))))
+            hi = max(lo + 1, min(lo + n, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + _ENTRIES))))
             x, y = a[lo:hi], b[lo:hi]
             both = np.sort(np.concatenate([self._of(x), self._of(y)]))
             both = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(64 - _RUN_BITS)).astype(np.int64), minlength=len(x))
@@ -273,7 +277,7 @@ def _verify(shape: Shape):
     """Of rows (a, b, text_a, text_b) those whose exact Jaccard similarity reaches the threshold, as (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (lot for b in batches for lot in lots(b, LOT, 2, 3)):
             sets, n = _Sets(batch.column(2).to_pylist() + batch.column(3).to_pylist(), shape.chars), batch.num_rows
             like = sets.jaccards(np.arange(n), np.arange(n, 2 * n)) >= shape.least
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(like))
@@ -369,16 +373,16 @@ def _common(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096) -> np
     return out
 
 
-def _link_blocks(shape: Shape, few: int = 4096):
+def _link_blocks(shape: Shape, few: int = 4096, lines: int = 1 << 14):
     """For each row of two blocks of (line, text), or one that meets itself: the pairs that reach the threshold, contracted to
     a spanning forest. The lines of y hang together already where together says so, and count as one.
 
-    The shingles of a batch's lines are hashed once. Blocks of up to `few` pairs are compared pair by pair, those of the whole
-    batch together; larger ones by matrix products.
+    The rows of a batch are taken in lots of about `lines` lines. The shingles of a lot's lines are hashed once. Blocks of up to
+    `few` pairs are compared pair by pair, those of the whole lot together; larger ones by matrix products.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (lot for b in batches for lot in lots(b, lines, 0, 1)):
             members = [batch.column(k).flatten() for k in (0, 1)]
             many = [np.diff(batch.column(k).offsets.to_numpy()) * batch.column(k).is_valid().to_numpy(zero_copy_only=False) for k in (0, 1)]
             texts = pa.concat_arrays([m.field(1) for m in members])

@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiforge.functions.lots import LOT, lots
 from lexiforge.llm.common import distinct, free_name, plus, table
 from lexiforge.operators.components import connected_components
 from lexiforge.store import materialize
@@ -251,7 +252,7 @@ def _sketched(docs: DataFrame, width: int, shards: int) -> DataFrame:
     distinct shingles: node is its hash, fp its SimHash, a name two of its minima, shingles 32 bits of each member's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (lot for batch in batches for lot in lots(batch, LOT, 0)):
             node, prints, names, members = [], [], [], []
             for text in b.column(0).to_pylist():
                 h = [np.frombuffer(r.tobytes(), dtype=">u8").astype(np.uint64) for r in shingle_hashes(text, width)]
