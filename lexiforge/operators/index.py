@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lexiforge.functions.lots import lots
 from lexiforge.functions.text import tokenize_stem
 from lexiforge.operators.corpus import catalog
 from lexiforge.operators.search import K1, B, NOMINAL, idf, postings, top_per
@@ -78,28 +79,34 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _write_segment(docs: DataFrame, folder: str, number: int, bands: int | None) -> tuple[Segment, int]:
-    """docs: (key, hash, words). Two passes: the documents with their counted terms are written, and their postings are made
-    of these. One exchange brings a block's postings of a term together, no group larger than a block."""
-    spark = docs.sparkSession
-    path = f"{folder}/segment-{uuid.uuid4().hex}"
-    docs = docs.select("key", "hash", "words")
+def _counted(number: int, words: int = 1 << 17):
+    """Rows (row, key, hash, terms, weights) of (key, hash, words); a task holds about `words` words as strings at once."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = (number << _SEGMENT) + (TaskContext.get().partitionId() << _PART)
-        for batch in batches:
+        for batch in (lot for b in batches for lot in lots(b, words, 2)):
             terms, weights = [], []
-            for words in batch.column(2).to_pylist():
-                counts = sorted(Counter(words or ()).items())
-                least = K1 * (1 - B + B * len(words or ()) / NOMINAL)
+            for said in batch.column(2).to_pylist():
+                counts = sorted(Counter(said or ()).items())
+                least = K1 * (1 - B + B * len(said or ()) / NOMINAL)
                 terms.append([t for t, _ in counts])
                 weights.append([c * (K1 + 1) / (c + least) for _, c in counts])
             at = pa.array(np.arange(row, row + batch.num_rows))
             yield pa.RecordBatch.from_arrays([at, batch.column(0), batch.column(1), pa.array(terms, pa.list_(pa.string())), pa.array(weights, pa.list_(pa.float64()))], ["row", "key", "hash", "terms", "weights"])
             row += batch.num_rows
 
+    return run
+
+
+def _write_segment(docs: DataFrame, folder: str, number: int, bands: int | None) -> tuple[Segment, int]:
+    """docs: (key, hash, words). Two passes: the documents with their counted terms are written, and their postings are made
+    of these. One exchange brings a block's postings of a term together, no group larger than a block."""
+    spark = docs.sparkSession
+    path = f"{folder}/segment-{uuid.uuid4().hex}"
+    docs = docs.select("key", "hash", "words")
+
     kind = docs.schema["key"].dataType.simpleString()
-    docs.mapInArrow(count, f"row bigint, key {kind}, hash string, terms array<string>, weights array<double>").write.parquet(f"{path}/documents")
+    docs.mapInArrow(_counted(number), f"row bigint, key {kind}, hash string, terms array<string>, weights array<double>").write.parquet(f"{path}/documents")
     written = spark.read.parquet(f"{path}/documents")
     n = written.count()
     bands = bands or max(1, -(-n // _BAND_DOCS))
@@ -254,7 +261,7 @@ def _scored(index: Index, pairs: DataFrame, wanted: DataFrame, k: int) -> DataFr
     return held.groupBy("g", "block").cogroup(needs.groupBy("of_g", "of_block")).applyInArrow(score, StructType().add("q", kind).add("row", "long").add("score", "double"))
 
 
-def _score_block(held: pa.Table, needs: pa.Table, k: int, bits: int, entries: int = 1 << 21) -> pa.Table:
+def _score_block(held: pa.Table, needs: pa.Table, k: int, bits: int, entries: int = 1 << 19) -> pa.Table:
     """The documents of one block that reach the k-th score of a query, ties included; queries are taken in runs of about
     `entries` postings."""
     kind = needs.schema.field("q").type

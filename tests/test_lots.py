@@ -63,3 +63,15 @@ def test_verified_pairs_are_taken_in_lots():
     batch = pa.RecordBatch.from_arrays([ids, ids, pa.array(lines), pa.array(near)], ["a", "b", "text_a", "text_b"])
     assert _peak_mb(_verify(Shape())(iter([batch]))) < 60
     assert [r["a"] for b in _verify(Shape())(iter([batch])) for r in b.to_pylist()] == list(range(1, len(lines), 2))
+
+
+def test_an_index_build_counts_words_in_lots(monkeypatch):
+    from lexiforge.operators import index as I
+
+    monkeypatch.setattr(I, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 2)))
+    said = [[f"w{(i * j) % 997}" for j in range(300)] for i in range(3_000)] + [None, []]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(said))), pa.array(["h"] * len(said)), pa.array(said, pa.list_(pa.string()))], ["key", "hash", "words"])
+    del said
+    assert _peak_mb(I._counted(1)(iter([batch]))) < 40  # all words together are over 60 MB of strings
+    whole, parts = ([r for b in I._counted(1, words)(iter([batch])) for r in b.to_pylist()] for words in (1 << 40, 700))
+    assert whole == parts and whole[5]["row"] == (1 << I._SEGMENT) + (2 << I._PART) + 5
