@@ -75,3 +75,20 @@ def test_an_index_build_counts_words_in_lots(monkeypatch):
     assert _peak_mb(I._counted(1)(iter([batch]))) < 40  # all words together are over 60 MB of strings
     whole, parts = ([r for b in I._counted(1, words)(iter([batch])) for r in b.to_pylist()] for words in (1 << 40, 700))
     assert whole == parts and whole[5]["row"] == (1 << I._SEGMENT) + (2 << I._PART) + 5
+
+
+def test_dense_queries_meet_vectors_a_few_at_a_time():
+    from lexiforge.operators.search import _best_of
+
+    rng = np.random.default_rng(5)
+    x, ids, m = rng.integers(-3, 4, (1_500, 8)).astype(np.float64), np.arange(4_096), rng.integers(-3, 4, (4_096, 8)).astype(np.float64) + 0.5
+    x[7] = 0  # scores nothing
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), pa.array(list(x), pa.list_(pa.float64()))], ["k", "v"])
+    assert _peak_mb(_best_of(iter([b]), ids, m, 20, ["q", "k", "score"]) for b in [batch]) < 30
+    got = _best_of(iter([batch.slice(0, 700), batch.slice(700)]), ids, m, 20, ["q", "k", "score"])
+    keys = np.delete(np.arange(len(x)), 7)
+    s = np.round(m @ (x[keys] / np.linalg.norm(x[keys], axis=1)[:, None]).T, 9)
+    order = np.lexsort((np.broadcast_to(keys, s.shape), -s), axis=1)[:, :20]
+    assert got.column("q").to_pylist() == np.repeat(ids, 20).tolist()
+    assert np.array_equal(got.column("k").to_numpy().reshape(-1, 20), keys[order])
