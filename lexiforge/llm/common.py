@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lexiforge.store import materialize
+
+_FILTER_BITS = 1 << 28
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -60,3 +67,57 @@ def distinct(values: np.ndarray) -> np.ndarray:
     keep = np.ones(len(values), dtype=bool)
     keep[1:] = values[1:] != values[:-1]
     return values[keep]
+
+
+def _filter_blocks(wanted: DataFrame, kind: pa.DataType) -> tuple[int, DataFrame]:
+    """How many bits a filter of the 64-bit hashes in the one column of `wanted` has, about 16 for each and 2**28 at most, and
+    its blocks of 65,536 bits (block, bits) that are not all 0, as binaries or as lists of 64-bit integers."""
+    n = wanted.count()
+    bits = 1 << 19
+    while bits < min(16 * n, _FILTER_BITS):
+        bits *= 2
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = []
+            for places in batch.column(1):
+                b = np.zeros(8192, dtype=np.uint8)
+                p = places.values.to_numpy()
+                np.bitwise_or.at(b, p >> 3, np.left_shift(np.uint8(1), (p & 7).astype(np.uint8)))
+                blocks.append(b.view("<i8") if pa.types.is_list(kind) else b.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blocks, kind)], ["block", "bits"])
+
+    block, place = _place(F.col(wanted.columns[0]), bits)
+    rows = wanted.select(block.alias("block"), place.alias("p"))
+    packed = rows.groupBy("block").agg(F.collect_set("p").alias("ps"))
+    return bits, packed.mapInArrow(pack, f"block int, bits {'array<bigint>' if pa.types.is_list(kind) else 'binary'}")
+
+
+def _place(hash_: Column, bits: int) -> tuple[Column, Column]:
+    place = F.pmod(hash_, F.lit(bits))  # bits is a power of two, so this is the unsigned remainder
+    return F.shiftright(place, 16).cast("int"), place.bitwiseAND(F.lit(65535)).cast("int")
+
+
+def id_filter(wanted: DataFrame) -> tuple[int, bytes]:
+    """A filter of the 64-bit hashes in the one column of `wanted`: about 16 bits each, at most 32 MB in all; beyond that it only
+    lets more through."""
+    bits, packed = _filter_blocks(wanted, pa.binary())
+    out = bytearray(bits // 8)
+    for r in packed.collect():  # bits / 65536 blocks of 8 KB
+        out[r["block"] * 8192 : (r["block"] + 1) * 8192] = r["bits"]
+    return bits, bytes(out)
+
+
+def split_by(wanted: DataFrame) -> Callable[[DataFrame, str], tuple[DataFrame, DataFrame]]:
+    """A function that splits tables by a column of 64-bit hashes, without moving rows: those that may stand in `wanted` (one
+    column, distinct), which are all that do and, while the filter of 32 MB at most is not full, about one in 16 to 32 of the
+    others, and those that do not. The filter is a written table that is broadcast."""
+    bits, packed = _filter_blocks(wanted, pa.list_(pa.int64()))
+    blocks = F.broadcast(materialize(packed.select(F.col("block").alias("_block"), F.col("bits").alias("_bits")), "filter"))
+
+    def split(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+        block, place = _place(F.col(column), bits)
+        there = (F.col("_block") == block) & (F.bit_get(F.get("_bits", F.shiftright(place, 6)), place.bitwiseAND(F.lit(63))) == 1)
+        return df.join(blocks, there, "left_semi"), df.join(blocks, there, "left_anti")
+
+    return split

@@ -12,14 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.functions.lots import LOT, lots
-from lexiforge.llm.common import distinct, free_name, plus, table
+from lexiforge.llm.common import distinct, free_name, id_filter, plus, table
 from lexiforge.llm.simhash import _forest
 from lexiforge.operators.components import connected_components
 from lexiforge.store import materialize
 
 _CHUNK = 1 << 15
 _ENTRIES = 1 << 19  # members of sets that are compared at once
-_FILTER_BITS = 1 << 28
 
 
 @dataclass(frozen=True)
@@ -192,32 +191,6 @@ def _texts(bits: int):
     return make
 
 
-def _filter_of(wanted: DataFrame) -> tuple[int, bytes]:
-    """A filter of the ids in `wanted`: about 16 bits each, at most 32 MB in all; beyond that it only lets more through."""
-    n = wanted.count()
-    bits = 1 << 19
-    while bits < min(16 * n, _FILTER_BITS):
-        bits *= 2
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blocks = []
-            for places in batch.column(1):
-                b = np.zeros(8192, dtype=np.uint8)
-                p = places.values.to_numpy()
-                np.bitwise_or.at(b, p >> 3, np.left_shift(np.uint8(1), (p & 7).astype(np.uint8)))
-                blocks.append(b.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blocks, pa.binary())], ["block", "bits"])
-
-    place = F.pmod(F.col("line"), F.lit(bits))  # bits is a power of two, so this is the unsigned remainder
-    rows = wanted.select((F.shiftright(place, 16)).cast("int").alias("block"), place.bitwiseAND(F.lit(65535)).cast("int").alias("p"))
-    packed = rows.groupBy("block").agg(F.collect_set("p").alias("ps")).mapInArrow(pack, "block int, bits binary")
-    out = bytearray(bits // 8)
-    for r in packed.collect():  # bits / 65536 blocks of 8 KB
-        out[r["block"] * 8192 : (r["block"] + 1) * 8192] = r["bits"]
-    return bits, bytes(out)
-
-
 _RUN_BITS = 12
 
 
@@ -481,7 +454,7 @@ def similar_lines(docs: DataFrame, lines: DataFrame, shape: Shape, *, levels: tu
         pairs = materialize(placed.mapInArrow(_pairs, "a bigint, b bigint, key bigint"), "line-pairs")
         if texts is None:
             wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct(), "lines-wanted")
-            bits, bitmap = _filter_of(wanted)
+            bits, bitmap = id_filter(wanted)
             texts = docs.mapInArrow(_texts(bits)(spark.sparkContext.broadcast(bitmap)), "line bigint, text string").dropDuplicates(["line"]).join(wanted, "line", "left_semi")
             texts = materialize(texts, "line-texts")
         right = texts.select(F.col("line").alias("b"), F.col("text").alias("text_b"))

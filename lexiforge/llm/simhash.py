@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.functions.lots import LOT, lots
-from lexiforge.llm.common import distinct, free_name, plus, table
+from lexiforge.llm.common import distinct, free_name, plus, split_by, table
 from lexiforge.operators.components import connected_components
-from lexiforge.store import materialize
+from lexiforge.store import discard, materialize
 
 SEED = 42
 _BLOCK = 1 << 20
@@ -349,21 +349,33 @@ def _link_like(radius: int, least: float, block: int = 256):
     return run
 
 
-def _near(rows: DataFrame, data: DataFrame, least: float, radius: int, tree_size: int) -> DataFrame:
-    """Components (node, component) over links of a similarity of least or more; rows has (node, names), data what a node's
-    rows in it hold: fp and shingles. Nodes that no shard brings together are not in it."""
+def _met(rows: DataFrame, data: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members (shard, at, node, n) of the shards that bring nodes together, and (node, fp, shingles) of these nodes, both
+    written; rows has (node, names), data what a node's rows in it hold. Of data only what may be needed is moved: a filter
+    of a bounded size leaves out most of the other nodes where they stand."""
     named = rows.select("node", F.posexplode("names").alias("shard", "at")).distinct()
     full = named.groupBy("shard", "at").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(named.join(full, ["shard", "at"]), "shard-members")
-    needed = members.select("node").distinct()
-    held = materialize(data.join(needed, "node", "left_semi").select("node", "fp", "shingles").dropDuplicates(["node"]), "shard-data")
-    members = members.withColumn("cuts", F.ceil(F.col("n") / tree_size).cast("int")).withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("cuts")).cast("int"))
-    full_rows = members.join(held, "node")
+    needed = materialize(members.select("node").distinct(), "shard-nodes")
+    held, _ = split_by(needed)(data.select("node", "fp", "shingles"), "node")
+    held = held.join(needed, "node", "left_semi").dropDuplicates(["node"])
+    held = materialize(held, "shard-data")
+    discard(needed)
+    return members, held
+
+
+def _near(members: DataFrame, held: DataFrame, least: float, radius: int, tree_size: int) -> DataFrame:
+    """Components (node, component) over links of a similarity of least or more. Nodes that no shard brings together are not in
+    it. The two tables (see _met) go when they have been read."""
+    placed = members.withColumn("cuts", F.ceil(F.col("n") / tree_size).cast("int")).withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("cuts")).cast("int"))
+    full_rows = placed.join(held, "node")
     trees = materialize(full_rows.groupBy("shard", "at", "part").agg(F.sort_array(F.collect_list(F.struct("node", "fp", "shingles"))).alias("m"), F.first("cuts").alias("cuts")), "trees")
+    discard(full_rows)
     alone = trees.select(F.col("m").alias("t"), F.lit(None).cast(trees.schema["m"].dataType).alias("q"))
     many = trees.where("cuts > 1")
     across = many.join(many.select("shard", "at", F.col("part").alias("to"), F.col("m").alias("q")), ["shard", "at"]).where("part < to").select(F.col("m").alias("t"), "q")
     links = materialize(alone.unionByName(across).mapInArrow(_link_like(radius, least), "a bigint, b bigint").distinct(), "links")
+    discard(trees)
     return connected_components(links)
 
 
@@ -379,7 +391,7 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *,
     without words are alike. Repeated rows come back as often as they stand in docs; an empty table gives an empty result.
     """
     rows = materialize(_sketched(docs.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id")), width, shards), "sketches")
-    groups = _near(rows, rows, least, radius, tree_size)
+    groups = _near(*_met(rows, rows), least, radius, tree_size)
     named = rows.select("doc_id", "fp", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = materialize(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     return named.join(first, "component").select("doc_id", "fp", "component_id")
@@ -412,13 +424,22 @@ def keep_one(
             apart = materialize(_sketched(apart, width, shards), "sketches")
             rows = rows.where("node is not null").unionByName(apart.select(*rows.columns))
             data = data.select("node", "fp", "shingles").unionByName(apart.select("node", "fp", "shingles"))
-    groups = _near(rows, data, least, radius, tree_size)
-    named = rows.select("doc_id", "h", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    best = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "h")).alias("best"))
-    best = materialize(best.select(_name(F.col("best.doc_id"), F.col("best.h")).alias("best_name")).distinct(), "kept")
+    members, held = _met(rows, data)
+    discard(data, rows)
+    groups = _near(members, held, least, radius, tree_size)
+    named = rows.select(_name(F.col("doc_id"), F.col("h")).alias("name"), "doc_id", "h", "node").join(groups, "node", "left")
+    named = materialize(named.select("name", "doc_id", "h", F.coalesce("component", "node").alias("component")), "near-named")
+    discard(rows)
+    best = named.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "h")).alias("best"))
+    best = materialize(best.select("component", "n", _name(F.col("best.doc_id"), F.col("best.h")).alias("best_name")), "kept")
+    # a row that is its whole group stays where it is; only those that may have company are joined, so few texts are moved
+    company = materialize(named.join(best.where("n > 1").select("component"), "component", "left_semi").select("name").distinct(), "near-company")
+    split = split_by(company)
+    open_, alone = split(keyed.withColumn(key, _name(F.col(key), F.col(hash_))), key)
+    best, _ = split(best.select("best_name"), "best_name")
     # joined and made single by the same column, so that the texts are moved once
-    kept = keyed.withColumn(key, _name(F.col(key), F.col(hash_))).join(best, F.col(key) == F.col("best_name"), "left_semi")
-    return kept.dropDuplicates([key]).select(*docs.columns)
+    chosen = open_.join(best.distinct(), F.col(key) == F.col("best_name"), "left_semi").dropDuplicates([key])
+    return alone.unionByName(chosen).select(*docs.columns)
 
 
 def _name(doc_id: Column, text_hash: Column) -> Column:
