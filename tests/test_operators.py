@@ -702,3 +702,13 @@ def test_similar_sets_equal_brute_force_in_cells_of_any_size(spark, monkeypatch)
             first.setdefault(frozenset(s), k)
     want = {(x, y): len(a & b) / len(a | b) for a, x in first.items() for b, y in first.items() if x < y and len(a & b) / len(a | b) >= 0.85}
     assert got == want and len(want) > 50
+
+
+def test_similar_sets_lose_no_link_of_copies_short_sets_and_repeated_keys(spark):
+    words = [f"w{i}" for i in range(20)]
+    rows = [(4, words), (2, words[::-1]), (9, words + words[:3]), (9, words), (1, [*words[:19], "x"]), (1, words[:19]), (5, list("abcdefg")), (6, list("abcdef")), (7, list("gfedcba")), (8, []), (3, None), (None, words)]
+    sets = spark.createDataFrame(rows, "k int, w array<string>")
+    links = lambda **more: sorted((r["a"], r["b"], round(r["jaccard"], 4)) for r in similar_sets(sets, "k", F.col("w"), **more).collect())
+    other = [(1, 1, 0.95), (1, 2, 0.9048), (1, 2, 0.95)]
+    assert links() == other
+    assert links(least_tokens=1, copies=True) == [*other, (2, 4, 1.0), (2, 9, 1.0), (5, 6, 0.8571), (5, 7, 1.0)]
