@@ -530,7 +530,7 @@ def _at_words(patterns: tuple[str, ...]) -> str:
 
 
 _PROMPTS = {0: "Când vine troleibuzul și autobuzul la Botanica?", 2: "Где школа в секторе Чеканы и детский садик?", 4: "Reparație de drum pe strada mea, sectorul Centru", 6: "Ajutor social; concert și teatru; spital"}
-_TOPICS = rf"""WITH u AS (SELECT conv_id, turn, CASE (conv_id + turn) % 24 {" ".join(f"WHEN {k} THEN '{v}'" for k, v in _PROMPTS.items())} ELSE substr(text, 1, 60) END AS q FROM conversations WHERE role = 'user'),
+_TOPICS = rf"""WITH u AS (SELECT conv_id, turn, CASE (conv_id + turn) % 24 {" ".join(f"WHEN {k} THEN '{v}'" for k, v in _PROMPTS.items())} ELSE text END AS q FROM conversations WHERE role = 'user'),
 f AS (SELECT conv_id, strip_accents(lower(q)) AS t FROM u),
 th(theme, label, query, pattern) AS (VALUES {", ".join(f"({i}, '{label}', '{query}', '{_at_words(p)}')" for i, (label, query, p) in enumerate(packs.THEMES))}),
 di(name, pattern) AS (VALUES {", ".join(f"('{name}', '{_at_words(p)}')" for name, p in packs.DISTRICTS)}),
@@ -548,6 +548,6 @@ SELECT conv_id, label, query, CAST(row_number() OVER (PARTITION BY conv_id ORDER
 def q_topics(spark: SparkSession, d: str) -> DataFrame:
     """What each conversation's user asks about, but for what a third of them follows already."""
     c, k = table(spark, d, "conversations").where("role = 'user'"), (F.col("conv_id") + F.col("turn")) % 24
-    asked = F.coalesce(*[F.when(k == n, F.lit(text)) for n, text in _PROMPTS.items()], F.substring("text", 1, 60))
+    asked = F.coalesce(*[F.when(k == n, F.lit(text)) for n, text in _PROMPTS.items()], F.col("text"))
     had = c.where("conv_id % 3 = 0").select("conv_id", F.lit(" Școli  și GRĂDINIȚE ").alias("label")).distinct()
     return I.extract_topics(c.select("conv_id", "turn", asked.alias("q")), "conv_id", "q", "turn", existing=had)
