@@ -404,38 +404,53 @@ def keep_one(
 
     A document is a pair of id and text. The one that stays has the group's smallest id, rows without an id last, and of
     several texts with that id the smallest hash; of rows that repeat it one stays. whole may give the documents as they once
-    were, with the same columns: then a row whose id stands there once, with a text, is compared by that text and not by what
-    a former stage has left of it.
+    were, with the same columns: then a row whose id stands there once is compared by that text and by what a former stage has
+    left of it; two rows are near copies if a text of one and a text of the other are.
     """
     key, hash_ = free_name(docs, "near_id"), free_name(docs, "near_hash")
-    keyed = docs.withColumn(hash_, F.xxhash64(F.col(text), F.col(text).isNull())).withColumn(key, F.col(doc_id))
-    mine = keyed.select(F.col(key).alias("doc_id"), F.col(hash_).alias("h"))
+    keyed = docs.withColumn(hash_, F.xxhash64(F.col(text), F.col(text).isNull())).withColumn(key, _name(F.col(doc_id), F.col(hash_)))
+    texts = keyed.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id"), F.col(key).alias("name"))
     if whole is None:
-        rows = data = materialize(_sketched(docs.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id")), width, shards), "sketches")
+        rows = data = materialize(_sketched(texts.drop("name"), width, shards), "sketches")
+        rows = rows.withColumn("own", F.lit(True))
     else:
         data = materialize(_sketched(whole.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id")), width, shards), "sketches")
-        once = data.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("names").alias("names")).where("n = 1 and doc_id is not null").drop("n")
+        once = data.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("h").alias("was"), F.min("node").alias("node"), F.min("names").alias("names")).where("n = 1 and doc_id is not null").drop("n")
         once = materialize(once, "whole")
+        mine = keyed.select(F.col(key).alias("name"), F.col(doc_id).alias("doc_id"), F.col(hash_).alias("h"))
         rows = materialize(mine.join(once, "doc_id", "left"), "sketches")
-        others = rows.where("node is null").select("doc_id").distinct()
-        if not others.isEmpty():
-            ids = materialize(others, "others").withColumnRenamed("doc_id", "other_id")
-            apart = docs.join(ids, docs[doc_id].eqNullSafe(ids["other_id"]), "left_semi").select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id"))
-            apart = materialize(_sketched(apart, width, shards), "sketches")
-            rows = rows.where("node is not null").unionByName(apart.select(*rows.columns))
-            data = data.select("node", "fp", "shingles").unionByName(apart.select("node", "fp", "shingles"))
+        discard(once)
+        changed = materialize(rows.where("was is null or was <> h").select("name").distinct(), "changed")
+        # all rows whose text is not the one in whole, and a few others, which only come twice
+        own = materialize(_sketched(split_by(changed)(texts, "name")[0].drop("name"), width, shards), "sketches")
+        rows = rows.where("node is not null").select("doc_id", "h", "node", "names", F.lit(False).alias("own")).unionByName(own.select("doc_id", "h", "node", "names", F.lit(True).alias("own")))
+        data = data.select("node", "fp", "shingles").unionByName(own.select("node", "fp", "shingles"))
     members, held = _met(rows, data)
     discard(data, rows)
     groups = _near(members, held, least, radius, tree_size)
-    named = rows.select(_name(F.col("doc_id"), F.col("h")).alias("name"), "doc_id", "h", "node").join(groups, "node", "left")
-    named = materialize(named.select("name", "doc_id", "h", F.coalesce("component", "node").alias("component")), "near-named")
+    placed = rows.select(_name(F.col("doc_id"), F.col("h")).alias("name"), "doc_id", "h", "own", "node").join(groups, "node", "left")
+    placed = materialize(placed.select("name", "doc_id", "h", "own", F.coalesce("component", "node").alias("component")), "near-placed")
     discard(rows)
-    best = named.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "h")).alias("best"))
+    named = placed.groupBy("name").agg(
+        F.min("doc_id").alias("doc_id"), F.min("h").alias("h"), F.min(F.struct("own", "component")).alias("first"), F.count_if(~F.col("own")).alias("n"), F.count_if("own").alias("n_own")
+    )
+    named = named.select("name", "doc_id", "h", F.col("first.component").alias("component"), F.when(F.col("n") > 0, F.col("n")).otherwise(F.col("n_own")).alias("n"))
+    if whole is not None:
+        named = materialize(named, "near-first")
+        # groups that a row's two texts are in are one, but for what is left of a row and is like no other text
+        several = placed.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+        left = placed.where("own").join(several, "component").select("name", F.col("component").alias("b"))
+        ties = left.join(named.select("name", F.col("component").alias("a")), "name").where("a <> b").select("a", "b").distinct()
+        ties = connected_components(materialize(ties, "near-ties")).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+        named = named.join(ties, "component", "left").withColumn("component", F.coalesce("joined", "component")).drop("joined")
+    named = materialize(named, "near-named")
+    discard(placed, named)
+    best = named.groupBy("component").agg(F.sum("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "h")).alias("best"))
     best = materialize(best.select("component", "n", _name(F.col("best.doc_id"), F.col("best.h")).alias("best_name")), "kept")
     # a row that is its whole group stays where it is; only those that may have company are joined, so few texts are moved
     company = materialize(named.join(best.where("n > 1").select("component"), "component", "left_semi").select("name").distinct(), "near-company")
     split = split_by(company)
-    open_, alone = split(keyed.withColumn(key, _name(F.col(key), F.col(hash_))), key)
+    open_, alone = split(keyed, key)
     best, _ = split(best.select("best_name"), "best_name")
     # joined and made single by the same column, so that the texts are moved once
     chosen = open_.join(best.distinct(), F.col(key) == F.col("best_name"), "left_semi").dropDuplicates([key])

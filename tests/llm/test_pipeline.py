@@ -112,3 +112,21 @@ def test_texts_without_a_near_copy_are_not_moved(spark, tmp_path, monkeypatch):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out.collect()) == [(False, i) for i in range(300)] + [(True, 0)]
     moved, stay = next(c for c in cuts if "text" in c[0].columns)
     assert moved.count() < 60 and moved.count() + stay.count() == docs.count()
+
+
+def test_near_copies_among_what_line_dedup_has_left_go(spark, tmp_path):
+    rng = random.Random(26)
+    rows, lone, common = [], [], [words(rng, 25) for _ in range(200)]
+    for i in range(10):
+        text = words(rng, 240).split()
+        wrapped = lambda n, text=text: [" ".join(text[k : k + n]) for k in range(0, len(text), n)]
+        rows += [(i, "\n".join(common[10 * i : 10 * i + 10] + wrapped(30)), "xx", "s", 1), (100 + i, "\n".join(common[100 + 10 * i : 110 + 10 * i] + wrapped(80)), "xx", "s", 1)]
+        lone += [(200 + i, "\n".join([common[10 * i], words(rng, 30)]), "xx", "s", 1)]
+    holders = [(k - 20, "\n".join(common[10 * k : 10 * k + 10]), "xx", "s", 1) for k in range(20)]  # of the lines that go
+    spark.createDataFrame(rows + lone + holders, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    left = corpus_pipeline.line_dedup(spark, docs, str(tmp_path))
+    texts = {r["doc_id"]: r["text"].split() for r in left.collect()}
+    assert all(texts[i] == texts[100 + i] for i in range(10))
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, left, str(tmp_path)).collect()}
+    assert kept == set(range(-20, 10)) | set(range(200, 210))
