@@ -351,9 +351,9 @@ def _link_like(radius: int, least: float, block: int = 256):
 
 def _met(rows: DataFrame, data: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The members (shard, at, node, n) of the shards that bring nodes together, and (node, fp, shingles) of these nodes, both
-    written; rows has (node, names), data what a node's rows in it hold. Of data only what may be needed is moved: a filter
-    of a bounded size leaves out most of the other nodes where they stand."""
-    named = rows.select("node", F.posexplode("names").alias("shard", "at")).distinct()
+    written; rows has (node, names), null for a shard that it is not in, data what a node's rows in it hold. Of data only what
+    may be needed is moved: a filter of a bounded size leaves out most of the other nodes where they stand."""
+    named = rows.select("node", F.posexplode("names").alias("shard", "at")).where("at is not null").distinct()
     full = named.groupBy("shard", "at").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(named.join(full, ["shard", "at"]), "shard-members")
     needed = materialize(members.select("node").distinct(), "shard-nodes")
@@ -405,7 +405,7 @@ def keep_one(
     A document is a pair of id and text. The one that stays has the group's smallest id, rows without an id last, and of
     several texts with that id the smallest hash; of rows that repeat it one stays. whole may give the documents as they once
     were, with the same columns: then a row whose id stands there once is compared by that text and by what a former stage has
-    left of it; two rows are near copies if a text of one and a text of the other are.
+    left of it; two rows are near copies if their whole texts are, or what is left of them.
     """
     key, hash_ = free_name(docs, "near_id"), free_name(docs, "near_hash")
     keyed = docs.withColumn(hash_, F.xxhash64(F.col(text), F.col(text).isNull())).withColumn(key, _name(F.col(doc_id), F.col(hash_)))
@@ -422,9 +422,16 @@ def keep_one(
         discard(once)
         changed = materialize(rows.where("was is null or was <> h").select("name").distinct(), "changed")
         # all rows whose text is not the one in whole, and a few others, which only come twice
-        own = materialize(_sketched(split_by(changed)(texts, "name")[0].drop("name"), width, shards), "sketches")
-        rows = rows.where("node is not null").select("doc_id", "h", "node", "names", F.lit(False).alias("own")).unionByName(own.select("doc_id", "h", "node", "names", F.lit(True).alias("own")))
-        data = data.select("node", "fp", "shingles").unionByName(own.select("node", "fp", "shingles"))
+        own = sketches = materialize(_sketched(split_by(changed)(texts, "name")[0].drop("name"), width, shards), "sketches")
+        # whole texts meet in the first shards and what is left of them in as many others, so that no row meets itself; a text
+        # that is both, or that has no whole one beside it, is in all
+        everywhere, left = F.concat("names", "names"), F.concat(F.array_repeat(F.lit(None).cast("bigint"), shards), F.col("names"))
+        lone = rows.where("was is null").select("name").distinct().withColumn("lone", F.lit(True))
+        own = own.select(_name(F.col("doc_id"), F.col("h")).alias("name"), "*").join(lone, "name", "left")
+        first = rows.where("node is not null").withColumn("names", F.when(F.col("was") == F.col("h"), everywhere).otherwise(F.col("names")))
+        own_rows = own.withColumn("names", F.when(F.col("lone"), everywhere).otherwise(left))
+        rows = first.select("doc_id", "h", "node", "names", F.lit(False).alias("own")).unionByName(own_rows.select("doc_id", "h", "node", "names", F.lit(True).alias("own")))
+        data = data.select("node", "fp", "shingles").unionByName(sketches.select("node", "fp", "shingles"))
     members, held = _met(rows, data)
     discard(data, rows)
     groups = _near(members, held, least, radius, tree_size)

@@ -130,3 +130,12 @@ def test_near_copies_among_what_line_dedup_has_left_go(spark, tmp_path):
     assert all(texts[i] == texts[100 + i] for i in range(10))
     kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, left, str(tmp_path)).collect()}
     assert kept == set(range(-20, 10)) | set(range(200, 210))
+
+
+def test_rows_without_a_whole_text_meet_whole_texts_too(spark):
+    rng = random.Random(27)
+    base, other = words(rng, 200), words(rng, 200)
+    schema = "doc_id bigint, text string"
+    whole = spark.createDataFrame([(1, base), (2, other), (4, base + " end"), (4, "y"), (7, words(rng, 50))], schema)
+    left = spark.createDataFrame([(1, words(rng, 9)), (2, other), (4, base + " end"), (9, other + " end"), (7, words(rng, 9))], schema)
+    assert {r["doc_id"] for r in simhash.keep_one(left, whole=whole).collect()} == {1, 2, 7}
